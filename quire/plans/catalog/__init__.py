@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from quire.plans.catalog import gate, runs  # noqa: F401
+from quire.plans.catalog import gate, replies, reviews, runs  # noqa: F401
