@@ -1,13 +1,26 @@
-"""Ordered series: crossings, best-so-far, smoothing, cumulative products,
-future-window labels, EMA, top-k softmax, modular arithmetic tables.
+"""Ordered series: crossings, best-so-far, phase changes, smoothing, running
+means, cumulative products, transmittance, future-window labels, gaps, EMA,
+top-k softmax, peaks, block means, modular operation tables, noise schedules.
+
+Per-key order statistics use the bucketed helpers of ``quire.plans.ordering``
+(``positions``, ``running``, ``shifted``) so that a key holding a large share
+of the rows is spread over many tasks instead of one window partition.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.plans.ordering import positions, running, running_totals, shifted
+
+# ---------------------------------------------------------------- crossings
 
 
 def first_crossing_agg(step: str, cond: Column, default: int | Column) -> Column:
@@ -18,19 +31,359 @@ def first_crossing_agg(step: str, cond: Column, default: int | Column) -> Column
 
 def first_crossing(df: DataFrame, key: Sequence[str], step: str, value: str, thr: float,
                    default: Column | int | None = None) -> DataFrame:
-    """First step with value > thr per key; default = total steps of the key."""
+    """First step with value > thr per key; default = number of steps of the key."""
     d = F.count("*") if default is None else (default if isinstance(default, Column) else F.lit(default))
     return df.groupBy(*key).agg(first_crossing_agg(step, F.col(value) > thr, d).alias("first_step"))
 
 
 def best_so_far(df: DataFrame, key: Sequence[str], order: str, value: str, mode: str = "min",
                 start: float | None = None) -> DataFrame:
-    """Running best before each row and a strict-improvement flag."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = (F.min if mode == "min" else F.max)(F.col(value)).over(w)
+    """Best value strictly before each row (start value when none) and a
+    strict-improvement flag (``<`` for losses, ``>`` for accuracies)."""
     if start is None:
         start = 1e9 if mode == "min" else 0.0
-    prev = F.coalesce(prev, F.lit(float(start)))
+    r = running(df, [order], {"_prev": (F.col(value), mode)}, inclusive=False, partition_by=list(key))
+    prev = F.coalesce(F.col("_prev"), F.lit(float(start)))
     better = F.col(value) < prev if mode == "min" else F.col(value) > prev
     best = F.least(prev, F.col(value)) if mode == "min" else F.greatest(prev, F.col(value))
-    return df.withColumn("best_before", prev).withColumn("improved", better).withColumn("best", best)
+    return (r.withColumn("best_before", prev).withColumn("improved", better).withColumn("best", best)
+            .drop("_prev"))
+
+
+def phase_changes(df: DataFrame, key: Sequence[str], order: str, phase: str, default: str = "full1") -> DataFrame:
+    """Rows whose phase (missing -> ``default``) differs from the previous row's."""
+    p = positions(df.withColumn("_ph", F.coalesce(F.col(phase), F.lit(default))), key, [order], "_pos")
+    s = shifted(p, list(key), "_pos", ["_ph"], 1)
+    return s.where(F.col("prev__ph").isNotNull() & (F.col("prev__ph") != F.col("_ph"))).drop("_pos", "_ph", "prev__ph")
+
+
+# ---------------------------------------------------------------- smoothing
+
+# The named numpy windows (symmetric, length m).
+def kernel(name: str, m: int) -> list[float]:
+    if m == 1:
+        return [1.0]
+    n = np.arange(m)
+    if name == "flat":
+        w = np.ones(m)
+    elif name == "hanning":
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * n / (m - 1))
+    elif name == "hamming":
+        w = 0.54 - 0.46 * np.cos(2 * np.pi * n / (m - 1))
+    elif name == "bartlett":
+        w = 1 - np.abs(2 * n / (m - 1) - 1)
+    elif name == "blackman":
+        w = 0.42 - 0.5 * np.cos(2 * np.pi * n / (m - 1)) + 0.08 * np.cos(4 * np.pi * n / (m - 1))
+    else:
+        raise ValueError(f"unknown window {name}")
+    return [float(x) for x in w / w.sum()]
+
+
+def smooth(df: DataFrame, key: Sequence[str], order: str, value: str, w: int = 10,
+           kernel_name: str = "hanning") -> DataFrame:
+    """Kernel smoothing with reflected ends; output length n + w - 1 per key.
+
+    Every input row is emitted once per reflected copy and once per kernel tap
+    (at most 3·w rows, independent of the series length), then summed by
+    output index: no window, no self-join, no whole-series group.
+    """
+    kern = kernel(kernel_name, w)
+    keys = list(key)
+    pos = positions(df, keys, [order], "_i")
+    n = pos.groupBy(*keys).agg(F.count("*").alias("_n"))
+    p = pos.join(n, keys)
+    i, nn = F.col("_i"), F.col("_n")
+    L = F.least(F.lit(w - 1), nn - 1)
+    R = F.least(F.lit(w - 1), nn - 1)
+    t_mid = i + L
+    t_left = F.when((i >= 1) & (i <= L), L - i)
+    t_right = F.when((i >= nn - 1 - R) & (i <= nn - 2), L + nn + (nn - 2 - i))
+    ts = F.filter(F.array(t_mid, t_left, t_right), lambda x: x.isNotNull())
+    taps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(kern[j]).alias("kw")) for j in range(w)])
+    e = p.select(*keys, F.col(value).alias("_v"), L.alias("_L"), R.alias("_R"), nn.alias("_n"),
+                 F.explode(ts).alias("_t")).select("*", F.inline(taps))
+    k = F.col("_t") - (w - 1) + F.col("j")
+    last = F.col("_L") + F.col("_n") + F.col("_R") - w
+    contrib = e.where((k >= 0) & (k <= last)).select(*keys, k.alias("k"), (F.col("kw") * F.col("_v")).alias("_c"))
+    return contrib.groupBy(*keys, "k").agg(F.sum("_c").alias("smoothed"))
+
+
+# ------------------------------------------------------------ running means
+
+
+def running_mean(df: DataFrame, key: Sequence[str], order: str, loss: str, n: str, correct: str,
+                 every: int = 1) -> DataFrame:
+    """Running mean loss (over batches so far) and running percent accuracy
+    inside each key (epoch), logged for batch indices divisible by ``every``."""
+    keys = list(key)
+    p = positions(df, keys, [order], "batch_idx")
+    r = running_totals(p, [order], {"_l": F.col(loss), "_c": F.col(correct), "_t": F.col(n)}, partition_by=keys)
+    return (r.where(F.pmod(F.col("batch_idx"), F.lit(every)) == 0)
+            .select(*keys, "batch_idx", (F.col("_l") / (F.col("batch_idx") + 1)).alias("loss"),
+                    (100.0 * F.col("_c") / F.col("_t")).alias("acc")))
+
+
+# ------------------------------------------------------ cumulative products
+
+
+def cumulative_product(df: DataFrame, key: Sequence[str], order: str, x: str, shift: bool = False,
+                       name: str = "cumprod") -> DataFrame:
+    """Inclusive (or shifted, leading 1) cumulative product per key via sums of
+    logs of |x|, a running count of negatives and of zeros."""
+    xc = F.col(x)
+    r = running_totals(
+        df, [order],
+        {"_ln": F.when(xc != 0, F.log(F.abs(xc))).otherwise(F.lit(0.0)),
+         "_neg": (xc < 0).cast("long"), "_zero": (xc == 0).cast("long")},
+        inclusive=not shift, partition_by=list(key))
+    sign = F.when(F.pmod(F.col("_neg"), F.lit(2)) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    val = F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(sign * F.exp(F.col("_ln")))
+    return r.withColumn(name, val).drop("_ln", "_neg", "_zero")
+
+
+def composite(samples: DataFrame, ray: str, order: str, sigma: str, dist: str, values: Sequence[str],
+              white_bg: bool = False) -> DataFrame:
+    """Volume compositing: alpha = 1 - exp(-sigma*dist); T = exclusive product
+    of (1 - alpha + 1e-10); weight = alpha*T; per ray the weight sum and the
+    weighted value sums (+ background), clamped to [0, 1]."""
+    a = samples.withColumn("_alpha", 1 - F.exp(-F.col(sigma) * F.col(dist)))
+    a = a.withColumn("_keep", 1 - F.col("_alpha") + F.lit(1e-10))
+    t = cumulative_product(a, [ray], order, "_keep", shift=True, name="_T")
+    wgt = F.col("_alpha") * F.col("_T")
+    agg = t.groupBy(ray).agg(F.sum(wgt).alias("acc_map"), *[F.sum(wgt * F.col(v)).alias(v) for v in values])
+    out = agg
+    for v in values:
+        col = F.col(v) + (1 - F.col("acc_map")) if white_bg else F.col(v)
+        out = out.withColumn(v, F.least(F.greatest(col, F.lit(0.0)), F.lit(1.0)))
+    return out
+
+
+# ------------------------------------------------------- future-window label
+
+
+def future_label(df: DataFrame, key: str, day: str, value: str, thr: float, lo: int = 10,
+                 hi: int = 50) -> DataFrame:
+    """label(t) = 1 iff some value > thr on days [t+lo, t+hi) of the key.
+
+    Each exceeding row marks the (hi-lo) days it labels; distinct marks are
+    left-joined back.  Rows are kept for t < T - hi (T = number of days,
+    counted from the first day 0), as the reference shortens the series."""
+    hits = (df.where(F.col(value) > thr)
+            .select(key, F.explode(F.sequence(F.col(day) - (hi - 1), F.col(day) - lo)).alias(day))
+            .distinct().withColumn("label", F.lit(1)))
+    total_days = df.agg(F.max(day)).first()[0] + 1
+    base = df.where(F.col(day) < total_days - hi).select(key, day)
+    return base.join(hits, [key, day], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+# ---------------------------------------------------------------------- gaps
+
+
+def gaps(df: DataFrame, key: Sequence[str], order: str, x: str, pad: float = 1e10, scale: Column | float = 1.0
+         ) -> DataFrame:
+    """Adjacent difference next(x) - x, the last element padded, times ``scale``."""
+    p = positions(df, key, [order], "_pos")
+    s = shifted(p, list(key), "_pos", [x], -1, prefix="next_")
+    sc = scale if isinstance(scale, Column) else F.lit(scale)
+    d = F.coalesce(F.col("next_" + x) - F.col(x), F.lit(pad)) * sc
+    return s.withColumn("gap", d).drop("_pos", "next_" + x)
+
+
+# ------------------------------------------------------------------------ EMA
+
+AFFINE = T.StructType([T.StructField("A", T.DoubleType()), T.StructField("C", T.DoubleType())])
+
+
+def ema_decay(step_after: Column, update_after: int, inv_gamma: float, power: float, min_value: float,
+              beta: float) -> Column:
+    """Decay used at 0-based update ``step_after``-th call (counter already +1)."""
+    epoch = F.greatest(step_after - update_after - 1, F.lit(0)).cast("double")
+    value = 1 - F.pow(1 + epoch / inv_gamma, F.lit(-power))
+    return F.when(epoch <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(value, F.lit(min_value)), F.lit(beta)))
+
+
+def _compose_block(pdf: pd.DataFrame, idx: str) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Exclusive prefix maps inside one block (sorted) and the block total."""
+    pdf = pdf.sort_values(idx)
+    a = pdf["A"].to_numpy(dtype=float)
+    c = pdf["C"].to_numpy(dtype=float)
+    pa = np.empty(len(a))
+    pc = np.empty(len(a))
+    A, C = 1.0, 0.0
+    for t in range(len(a)):
+        pa[t], pc[t] = A, C
+        A, C = a[t] * A, a[t] * C + c[t]
+    return pa, pc, A, C
+
+
+def affine_scan(df: DataFrame, key: str, idx: str, block: int = 4096) -> DataFrame:
+    """Exclusive prefix composition of affine maps e -> A*e + C, per key, in
+    ``idx`` order.  Blocks of at most ``block`` maps are folded in pandas
+    (``applyInPandas`` on bounded groups); block totals are scanned the same
+    way, recursively, so no group ever exceeds ``block`` rows.
+    Output: (key, idx, PA, PC)."""
+    ktype = dict(df.dtypes)[key]
+    schema = f"{key} {ktype}, {idx} long, PA double, PC double"
+    max_n = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if max_n <= block:
+        def fn(pdf):
+            pa, pc, _, _ = _compose_block(pdf, idx)
+            s = pdf.sort_values(idx)
+            return pd.DataFrame({key: s[key].to_numpy(), idx: s[idx].to_numpy(dtype="int64"), "PA": pa, "PC": pc})
+        return df.select(key, idx, "A", "C").groupBy(key).applyInPandas(fn, schema)
+    blk = df.select(key, idx, "A", "C").withColumn("_blk", F.floor(F.col(idx) / block).cast("long"))
+
+    def local(pdf):
+        pa, pc, A, C = _compose_block(pdf, idx)
+        s = pdf.sort_values(idx)
+        return pd.DataFrame({key: s[key].to_numpy(), idx: s[idx].to_numpy(dtype="int64"), "_blk": s["_blk"].to_numpy(),
+                             "LA": pa, "LC": pc, "TA": A, "TC": C})
+    loc = blk.groupBy(key, "_blk").applyInPandas(
+        local, f"{key} {ktype}, {idx} long, _blk long, LA double, LC double, TA double, TC double")
+    totals = loc.groupBy(key, "_blk").agg(F.first("TA").alias("A"), F.first("TC").alias("C"))
+    pre = affine_scan(totals.withColumnRenamed("_blk", "_bi"), key, "_bi", block) \
+        .withColumnRenamed("_bi", "_blk").withColumnRenamed("PA", "BA").withColumnRenamed("PC", "BC")
+    j = loc.join(pre, [key, "_blk"])
+    # prefix = local prefix applied after the block prefix
+    return j.select(key, idx, (F.col("LA") * F.col("BA")).alias("PA"),
+                    (F.col("LA") * F.col("BC") + F.col("LC")).alias("PC"))
+
+
+def ema(df: DataFrame, key: str, order: str, value: str, beta: float = 0.9999, update_after: int = 100,
+        update_every: int = 10, inv_gamma: float = 1.0, power: float = 2 / 3, min_value: float = 0.0,
+        block: int = 4096) -> DataFrame:
+    """EMA of a series with the update schedule of the diffusion template:
+    call k (0-based) is skipped unless k % update_every == 0; while
+    k <= update_after the average copies the value; afterwards it moves by
+    1 - decay(k).  The starting average is the first value of the key."""
+    p = positions(df, [key], [order], "_k")
+    k = F.col("_k")
+    x = F.col(value)
+    d = ema_decay(k + 1, update_after, inv_gamma, power, min_value, beta)
+    skip = F.pmod(k, F.lit(update_every)) != 0
+    # first non-skipped call after the warm-up copies too (average not yet initialised)
+    k_first = (update_after // update_every + 1) * update_every if update_after >= 0 else 0
+    copy = (k <= update_after) | (k == k_first) | (d == 0.0)
+    maps = p.select(key, "_k", x.alias("_x"),
+                    F.when(skip, F.lit(1.0)).when(copy, F.lit(0.0)).otherwise(d).alias("A"),
+                    F.when(skip, F.lit(0.0)).when(copy, x).otherwise((1 - d) * x).alias("C"))
+    pre = affine_scan(maps, key, "_k", block)
+    first = maps.groupBy(key).agg(F.min_by("_x", "_k").alias("_e0"))
+    j = maps.join(pre, [key, "_k"]).join(first, key)
+    # inclusive value = this row's map applied to the exclusive prefix value
+    before = F.col("PA") * F.col("_e0") + F.col("PC")
+    return j.select(key, F.col("_k").alias("step"), F.col("_x").alias(value),
+                    (F.col("A") * before + F.col("C")).alias("ema"))
+
+
+# ------------------------------------------------------------- top-k softmax
+
+
+def topk_softmax(df: DataFrame, key: str, cls: str, score: str, k: int, temperature: float = 1.0) -> DataFrame:
+    """Scores / temperature, values below the k-th largest removed (ties kept),
+    softmax over the rest.  One group = one distribution over classes."""
+    s = F.col(score) / temperature
+    w = Window.partitionBy(key).orderBy(F.desc(score))
+    kept = df.withColumn("_s", s).withColumn("_r", F.rank().over(w)).where(F.col("_r") <= k)
+    agg = kept.groupBy(key).agg(F.max("_s").alias("_m"))
+    z = kept.join(agg, key).withColumn("_e", F.exp(F.col("_s") - F.col("_m")))
+    tot = z.groupBy(key).agg(F.sum("_e").alias("_z"))
+    return z.join(tot, key).select(key, cls, (F.col("_e") / F.col("_z")).alias("prob"))
+
+
+# ---------------------------------------------------------------- summaries
+
+
+def peak(df: DataFrame, key: Sequence[str], order: str, value: str) -> DataFrame:
+    """Step of the maximum (first on ties), the maximum, and the last value."""
+    return df.groupBy(*key).agg(
+        F.min_by(F.col(order), F.struct(-F.col(value), F.col(order))).alias("peak_step"),
+        F.max(value).alias("peak"),
+        F.max_by(F.col(value), F.col(order)).alias("last_value"))
+
+
+def block_mean(df: DataFrame, key: Sequence[str], step: str, value: str, k: int) -> DataFrame:
+    """Mean since the last report every k steps: step 0 is its own block,
+    then blocks of steps (1..k), (k+1..2k), ..."""
+    blk = F.when(F.col(step) == 0, F.lit(-1)).otherwise(F.floor((F.col(step) - 1) / k))
+    return df.groupBy(*key, blk.alias("block")).agg(F.avg(value).alias("mean"), F.max(step).alias("last_step"))
+
+
+# ------------------------------------------------------ modular arithmetic
+
+
+def mod_add(a: Column, b: Column, p: int) -> Column:
+    return F.pmod(a + b, F.lit(p))
+
+
+def mod_sub(a: Column, b: Column, p: int) -> Column:
+    return F.pmod(a - b, F.lit(p))
+
+
+def mod_pow(b: Column, e: int, p: int) -> Column:
+    """b**e mod p by square-and-multiply over the bits of e (exact longs)."""
+    result = F.lit(1).cast("long")
+    base = F.pmod(b.cast("long"), F.lit(p))
+    while e > 0:
+        if e & 1:
+            result = F.pmod(result * base, F.lit(p))
+        base = F.pmod(base * base, F.lit(p))
+        e >>= 1
+    return result
+
+
+def mod_div(a: Column, b: Column, p: int) -> Column:
+    """a * b^(p-2) mod p (p prime, b != 0)."""
+    return F.pmod(a.cast("long") * mod_pow(b, p - 2, p), F.lit(p))
+
+
+def compose(a: Column, b: Column) -> Column:
+    """Permutation composition: result[i] = a[b[i]] (0-based entries)."""
+    return F.transform(b, lambda i: F.element_at(a, (i + 1).cast("int")))
+
+
+def operation_table(elements: DataFrame, col: str, p: int, op: str = "add") -> DataFrame:
+    """All pairs (a, b) of the element set with b in [0, p) generated per row
+    (no join), result by the modular operation; division skips b = 0."""
+    t = elements.select(F.col(col).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    if op == "add":
+        return t.withColumn("c", mod_add(a, b, p))
+    if op == "sub":
+        return t.withColumn("c", mod_sub(a, b, p))
+    if op == "div":
+        return t.where(b != 0).withColumn("c", mod_div(a, b, p))
+    raise ValueError(op)
+
+
+def pair_from_index(idx: Column, n: int) -> tuple[Column, Column]:
+    return F.floor(idx / n), F.pmod(idx, F.lit(n))
+
+
+# --------------------------------------------------------- noise schedules
+
+
+def noise_schedule(spark, n: int, kind: str = "linear", beta_start: float = 0.0001,
+                   beta_end: float = 0.02) -> DataFrame:
+    """Per timestep: beta, alpha, alphas_cumprod (and shifted), sqrt factors.
+    ``n`` rows: a bounded table (one row per timestep)."""
+    t = spark.range(n).select(F.col("id").cast("int").alias("t"))
+    frac = F.col("t") / F.lit(max(n - 1, 1))
+    if kind == "linear":
+        beta = F.lit(beta_start) + (beta_end - beta_start) * frac
+    elif kind == "quadratic":
+        beta = F.pow(F.lit(math.sqrt(beta_start)) + (math.sqrt(beta_end) - math.sqrt(beta_start)) * frac, 2)
+    else:
+        raise ValueError(f"Unknown beta schedule: {kind}")
+    s = t.select("t", beta.alias("beta"), (1 - beta).alias("alpha"), F.lit(0).alias("_g"))
+    s = cumulative_product(s, ["_g"], "t", "alpha", name="alphas_cumprod")
+    s = cumulative_product(s, ["_g"], "t", "alpha", shift=True, name="alphas_cumprod_prev")
+    return s.select("t", "beta", "alpha", "alphas_cumprod", "alphas_cumprod_prev",
+                    F.sqrt("alphas_cumprod").alias("sqrt_ac"), F.sqrt(1 - F.col("alphas_cumprod")).alias("sqrt_1m_ac"))
+
+
+def mix(df: DataFrame, schedule: DataFrame, t: str, x: str, eps: str) -> DataFrame:
+    """Forward noising sqrt(ac_t)·x + sqrt(1-ac_t)·eps (schedule broadcast: one row per timestep)."""
+    s = F.broadcast(schedule.select(F.col("t").alias(t), "sqrt_ac", "sqrt_1m_ac"))
+    return df.join(s, t).withColumn("noisy", F.col("sqrt_ac") * F.col(x) + F.col("sqrt_1m_ac") * F.col(eps)) \
+        .drop("sqrt_ac", "sqrt_1m_ac")

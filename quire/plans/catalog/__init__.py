@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from quire.plans.catalog import gate, metrics, replies, reviews, runs, splits  # noqa: F401
+from quire.plans.catalog import gate, metrics, replies, reviews, runs, series, splits  # noqa: F401

@@ -104,6 +104,8 @@ def cte(sql: str, *names: str) -> str:
         return sql
     parts = ",\n".join(f"{n} AS ({SQL[n].strip()})" for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"

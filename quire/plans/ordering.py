@@ -5,8 +5,8 @@ helpers number rows (or accumulate sums) across a total order in two
 distributed steps:
 
 1. rows are split into *buckets* that are monotone in the order (a prefix of
-   a uniform hash, or the partitions of a range repartition), and a window
-   runs inside each bucket;
+   a uniform hash, or approximate-quantile ranges of the order value), and a
+   window runs inside each bucket;
 2. per-bucket totals form a table with one row per bucket (bounded by the
    bucket count, not by the data); their exclusive prefix sums are
    broadcast back as offsets.
@@ -44,37 +44,86 @@ SQL_HASH_INT = ("list_reduce(list_transform(string_split(substr(md5(cast({} as v
                 "lambda c: cast(position(c in '0123456789abcdef') - 1 as bigint)), lambda a, b: a * 16 + b)")
 
 
+def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, rel_err: float = 0.001) -> Column:
+    """Bucket id monotone in ``col``: the number of approximate-quantile
+    boundaries <= value.  Boundaries come from one aggregation pass and form a
+    short literal list (``buckets - 1`` values), so the bucket of a row is a
+    pure function of its value: the same on every recomputation and in every
+    branch of a plan (unlike a physical partition id)."""
+    n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
+    probs = [i / n for i in range(1, n)]
+    dtype = dict(df.dtypes)[col]
+    bounds = sorted({b for b in df.approxQuantile(col, probs, rel_err) if b is not None})
+    if not bounds:
+        return F.lit(0)
+    arr = F.array(*[F.lit(b).cast(dtype) for b in bounds])
+    v = F.col(col)
+    return F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(arr, lambda x: x <= v)))
+
+
 def _with_bucket(df: DataFrame, order: Sequence[str], bucket: Column | None, partitions: int | None):
     if bucket is not None:
         return df.withColumn("_bucket", bucket)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id())
+    return df.withColumn("_bucket", quantile_bucket(df, order[0], partitions))
 
 
-def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, Column],
-                   bucket: Column | None = None, partitions: int | None = None,
-                   inclusive: bool = True, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Adds one column per ``sums`` entry: running sum over ``order`` (a total
-    order), restarting for each ``partition_by`` group.  ``bucket`` must be
-    monotone in (partition_by, order); when omitted, a range repartition on
-    (partition_by, order) supplies the buckets."""
+_COMBINE = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, str]],
+            bucket: Column | None = None, partitions: int | None = None, inclusive: bool = True,
+            partition_by: Sequence[str] = ()) -> DataFrame:
+    """Running aggregates (``sum``/``min``/``max``) over ``order`` (a total
+    order), restarting per ``partition_by`` group.
+
+    ``bucket`` must be monotone in ``order``; when omitted, quantile buckets of
+    the first order column are used, so a hot group is spread over many
+    buckets instead of one window task.
+    """
     keys = list(partition_by)
-    b = _with_bucket(df, [*keys, *order], bucket, partitions)
+    b = _with_bucket(df, list(order), bucket, partitions)
     frame_end = 0 if inclusive else -1
     w = Window.partitionBy("_bucket", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    local = b.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_loc_{n}") for n, c in sums.items()])
-    totals = b.groupBy("_bucket", *keys).agg(*[F.sum(c).alias(f"_tot_{n}") for n, c in sums.items()])
+    local = b.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_loc_{n}") for n, (c, k) in aggs.items()])
+    totals = b.groupBy("_bucket", *keys).agg(*[_COMBINE[k][0](c).alias(f"_tot_{n}") for n, (c, k) in aggs.items()])
     # One row per (bucket, group) present: bounded by the bucket count times
     # the groups that straddle buckets, never by the row count of a group.
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *keys, *[F.coalesce(F.sum(f"_tot_{n}").over(wb), F.lit(0)).alias(f"_off_{n}")
-                                                for n in sums])
+    offsets = totals.select("_bucket", *keys, *[_COMBINE[k][0](f"_tot_{n}").over(wb).alias(f"_off_{n}")
+                                                for n, (_, k) in aggs.items()])
     if not keys:
         offsets = F.broadcast(offsets)  # one row per bucket
     out = local.join(offsets, ["_bucket", *keys])
-    for n in sums:
-        out = out.withColumn(n, F.col(f"_loc_{n}") + F.col(f"_off_{n}"))
-    return out.drop("_bucket", *[f"_loc_{n}" for n in sums], *[f"_off_{n}" for n in sums])
+    for n, (_, k) in aggs.items():
+        loc, off = F.col(f"_loc_{n}"), F.col(f"_off_{n}")
+        if k == "sum":
+            val = F.coalesce(loc, F.lit(0)) + F.coalesce(off, F.lit(0))
+        else:
+            val = _COMBINE[k][1](loc, off)
+        out = out.withColumn(n, val)
+    return out.drop("_bucket", *[f"_loc_{n}" for n in aggs], *[f"_off_{n}" for n in aggs])
+
+
+def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, Column],
+                   bucket: Column | None = None, partitions: int | None = None,
+                   inclusive: bool = True, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Running sums (see ``running``)."""
+    return running(df, order, {n: (c, "sum") for n, c in sums.items()}, bucket, partitions, inclusive,
+                   partition_by)
+
+
+def positions(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+    """0-based position of each row inside its key (skew-safe row_number - 1)."""
+    out = running_totals(df, list(order), {name: F.lit(1).cast("long")}, partition_by=list(key))
+    return out.withColumn(name, F.col(name) - 1)
+
+
+def shifted(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str], offset: int = 1,
+            prefix: str = "prev_") -> DataFrame:
+    """lag (offset > 0) / lead (offset < 0) by an equi-join on (key, pos):
+    skew is handled by AQE's skew join instead of one window task per key."""
+    other = df.select(*key, (F.col(pos) + offset).alias(pos), *[F.col(c).alias(prefix + c) for c in cols])
+    return df.join(other, [*key, pos], "left")
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], bucket: Column | None = None,
