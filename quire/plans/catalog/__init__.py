@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from quire.plans.catalog import gate, geo, metrics, replies, reviews, runs, series, splits, text  # noqa: F401
+from quire.plans.catalog import gate, geo, metrics, replies, reviews, runs, series, sources, splits, text  # noqa: F401
