@@ -1,3 +1,5 @@
 """Registered queries, one module per operator family."""
 
-from quire.plans.catalog import gate, geo, metrics, replies, reviews, runs, series, sources, splits, streams, text  # noqa: F401
+from quire.plans.catalog import (  # noqa: F401
+    gate, geo, metrics, plugins, replies, reviews, runs, series, sources, splits, streams, text,
+)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quire.sources.tables import Tables
 
-NL = F.lit("\n")
 BS = "\\"
 
 
@@ -21,7 +20,7 @@ def _s(c) -> Column:
 
 
 def _opt(cond: Column, text: str) -> Column:
-    return F.when(cond, F.concat(NL, F.lit(text))).otherwise(F.lit(""))
+    return F.when(cond, F.concat(F.lit("\n"), F.lit(text))).otherwise(F.lit(""))
 
 
 def d_papers(t: Tables) -> DataFrame:
@@ -59,14 +58,14 @@ def d_responses(t: Tables) -> DataFrame:
     fence = F.lit("```json")
     ks = _s(k)
     text = (
-        F.when(k % 6 == 0, F.concat(F.lit("ok"), NL, fence, NL, F.lit('{"Name": "idea_'), ks,
-                                    F.lit('", "Novelty": '), _s(k % 10 + 1), F.lit("}"), NL, F.lit("```")))
-        .when(k % 6 == 1, F.concat(F.lit("two"), NL, fence, NL, F.lit("{bad}"), NL, F.lit("```"), NL,
-                                   fence, NL, F.lit('{"Name": "second_'), ks, F.lit('"}'), NL, F.lit("```")))
+        F.when(k % 6 == 0, F.concat(F.lit("ok"), F.lit("\n"), fence, F.lit("\n"), F.lit('{"Name": "idea_'), ks,
+                                    F.lit('", "Novelty": '), _s(k % 10 + 1), F.lit("}"), F.lit("\n"), F.lit("```")))
+        .when(k % 6 == 1, F.concat(F.lit("two"), F.lit("\n"), fence, F.lit("\n"), F.lit("{bad}"), F.lit("\n"), F.lit("```"), F.lit("\n"),
+                                   fence, F.lit("\n"), F.lit('{"Name": "second_'), ks, F.lit('"}'), F.lit("\n"), F.lit("```")))
         .when(k % 6 == 2, F.concat(F.lit('bare {"Name": "bare_'), ks, F.lit('"} end')))
         .when(k % 6 == 3, F.lit("nothing to parse"))
-        .when(k % 6 == 4, F.concat(F.lit("I am done"), NL, fence, NL, F.lit('{"Name": "done_'), ks,
-                                   F.lit('"}'), NL, F.lit("```")))
+        .when(k % 6 == 4, F.concat(F.lit("I am done"), F.lit("\n"), fence, F.lit("\n"), F.lit('{"Name": "done_'), ks,
+                                   F.lit('"}'), F.lit("\n"), F.lit("```")))
         .otherwise(F.when(F.floor(k / 6) % 2 == 0, F.lit("Decision made: novel."))
                    .otherwise(F.lit("Decision made: not novel.")))
     )
@@ -74,7 +73,7 @@ def d_responses(t: Tables) -> DataFrame:
     return t.orders.select(
         F.col("o_custkey").alias("item_id"),
         F.row_number().over(w).cast("int").alias("round"),
-        F.concat(F.lit("THOUGHT:"), NL, text).alias("text"),
+        F.concat(F.lit("THOUGHT:"), F.lit("\n"), text).alias("text"),
     )
 
 
@@ -112,7 +111,7 @@ def d_review_md(t: Tables) -> DataFrame:
         F.concat(
             F.lit("# Review\n## Summary\n- not collected\n## Weaknesses\n- w"), ds,
             F.lit("\n  * indented\n**bold** start\n-\nplain line\n"),
-            F.when(d % 3 == 0, F.concat(F.lit("## Suggestions for improvement\n- s"), ds, NL))
+            F.when(d % 3 == 0, F.concat(F.lit("## Suggestions for improvement\n- s"), ds, F.lit("\n")))
             .otherwise(F.lit("## Questions\n- q\n")),
             F.when(d % 4 == 0, F.concat(F.lit("## Rating\n"), _s(d % 10), F.lit(": accept")))
             .when(d % 4 == 1, F.concat(F.lit("Overall rating: "), _s(d % 11), F.lit("/10")))
