@@ -198,3 +198,12 @@ def sc4(t):
     tok = G.tokens(F.col("text"))
     return t.documents.select("doc_id", F.size(tok).alias("n_tokens"),
                               F.md5(G.last_tokens(F.col("text"), 2048)).alias("tail_md5"))
+
+
+@query("jn8_rule_with_optional_classifier", f"""WITH {_verdict_sql('d_papers')},
+{LABEL_VERDICT_SQL}
+select v.doc_id, v.stage, v.rule_decision, lv.ai_result, round(lv.ai_confidence, 6) as ai_confidence
+from v left join lv on v.doc_id = lv.doc_id""", ("d_papers", "d_clf"))
+def jn8(t):
+    j = G.with_classifier(G.verdict(D.d_papers(t)), G.label_verdict(D.d_clf(t)))
+    return j.select("doc_id", "stage", "rule_decision", "ai_result", F.round("ai_confidence", 6).alias("ai_confidence"))

@@ -313,3 +313,15 @@ def sc26(t):
     ev = t.events.select("event_id", AT.run_id(F.col("ts"), F.concat(F.lit("idea_"), F.col("user_id").cast("string")))
                          .alias("id"))
     return AT.check_new(ev, "id").select("event_id", "id", "is_new")
+
+
+@query("sc19_modular_ops", f"""
+select l_orderkey, l_linenumber, (a + b) % 97 as add_ab, ((a - b) % 97 + 97) % 97 as sub_ab,
+       case when b <> 0 then (a * {_pow_sql("b", 95, 97)}) % 97 end as div_ab
+from (select l_orderkey, l_linenumber, l_partkey % 97 as a, l_suppkey % 97 as b from lineitem)""")
+def sc19(t):
+    li = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 97).alias("a"),
+                           (F.col("l_suppkey") % 97).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return li.select("l_orderkey", "l_linenumber", S.mod_add(a, b, 97).alias("add_ab"),
+                     S.mod_sub(a, b, 97).alias("sub_ab"), F.when(b != 0, S.mod_div(a, b, 97)).alias("div_ab"))
