@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.ordering import running_totals
-from quire.plans.pairs import block_cogroup, group_sums, same_group
+from quire.plans.pairs import block_cogroup, group_sums, pair_index, per_left
 
 AX = ("x", "y", "z")
 
@@ -68,14 +68,17 @@ def pair_distance_stats(points: DataFrame, group: Sequence[str], pid: str, coord
             return pd.DataFrame({**{c: [] for c in keys}, "n": [], "s": [], "s2": []})
         a = lp[cols].to_numpy(float)
         b = rp[cols].to_numpy(float)
-        sq = np.zeros((a.shape[0], b.shape[0]))
-        for j in range(a.shape[1]):
-            diff = a[:, j][:, None] - b[:, j][None, :]
+        i, j = pair_index(lp, rp)
+        keep = lp[pid].to_numpy()[i] < rp[pid].to_numpy()[j]
+        i, j = i[keep], j[keep]
+        sq = np.zeros(len(i))
+        for k in range(a.shape[1]):
+            diff = a[i, k] - b[j, k]
             sq += diff * diff
         dist = np.sqrt(sq)
-        mask = same_group(lp, rp) & (lp[pid].to_numpy()[:, None] < rp[pid].to_numpy()[None, :])
-        dd = np.where(mask, dist, 0.0)
-        return group_sums(lp, keys, {"n": mask.sum(1).astype("int64"), "s": dd.sum(1), "s2": (dd * dd).sum(1)})
+        n = len(lp)
+        return group_sums(lp, keys, {"n": np.bincount(i, minlength=n).astype("int64"),
+                                     "s": per_left(i, dist, n), "s2": per_left(i, dist * dist, n)})
 
     types = dict(points.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["n long", "s double", "s2 double"])
@@ -112,14 +115,14 @@ def focus_point(lines: DataFrame, group: Sequence[str], lid: str, o: Sequence[st
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({**{c: [] for c in keys}, "w": [], "px": [], "py": [], "pz": []})
-        oa = lp[oc].to_numpy(float)[:, None, :]
-        da = lp[dc].to_numpy(float)[:, None, :]
-        ob = rp[oc].to_numpy(float)[None, :, :]
-        db = rp[dc].to_numpy(float)[None, :, :]
+        i, j = pair_index(lp, rp)
+        oa, da = lp[oc].to_numpy(float)[i], lp[dc].to_numpy(float)[i]
+        ob, db = rp[oc].to_numpy(float)[j], rp[dc].to_numpy(float)[j]
         p, w = _closest(oa, da, ob, db)
-        ww = np.where(same_group(lp, rp) & (w > min_weight), w, 0.0)
-        return group_sums(lp, keys, {"w": ww.sum(1), "px": (p[..., 0] * ww).sum(1),
-                                     "py": (p[..., 1] * ww).sum(1), "pz": (p[..., 2] * ww).sum(1)})
+        ww = np.where(w > min_weight, w, 0.0)
+        n = len(lp)
+        return group_sums(lp, keys, {"w": per_left(i, ww, n), "px": per_left(i, p[:, 0] * ww, n),
+                                     "py": per_left(i, p[:, 1] * ww, n), "pz": per_left(i, p[:, 2] * ww, n)})
 
     types = dict(lines.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["w double", "px double", "py double", "pz double"])

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.joins import small_join
+
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -28,9 +30,13 @@ def top_documents(queries: DataFrame, qkey: str, qtext: str, docs: DataFrame, dk
     near-ties).  Queries with no terms or no hit produce no rows (NULL result
     in the reference)."""
     n_docs = docs.count()
-    dt = term_counts(docs, dkey, dtext)
-    df_t = dt.groupBy("term").agg(F.count("*").alias("df"))
     qt = term_counts(queries, qkey, qtext).withColumnRenamed("tf", "qtf")
+    # only query terms can score: keep those before counting document terms
+    vocab = qt.select("term").distinct()
+    doc_terms = docs.select(dkey, F.explode(terms(F.col(dtext))).alias("term"))
+    dt = (small_join(doc_terms, vocab, "term", "left_semi")
+          .groupBy(dkey, "term").agg(F.count("*").alias("tf")))
+    df_t = dt.groupBy("term").agg(F.count("*").alias("df"))
     q_idf = qt.join(df_t, "term").withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df")))
     pairs = q_idf.join(dt, "term")
     scored = pairs.groupBy(qkey, dkey).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"))

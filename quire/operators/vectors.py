@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.pairs import DEFAULT_BLOCK, block_cogroup, group_sums, same_group
+from quire.plans.pairs import DEFAULT_BLOCK, block_cogroup, group_sums, pair_index, per_left
 
 
 def mean_vector(df: DataFrame, by: Sequence[str], pos: str, x: str) -> DataFrame:
@@ -74,6 +74,19 @@ def _dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
+def _pair_dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of row-aligned pairs (a[k], b[k])."""
+    if metric == "chebyshev":
+        return np.max(np.abs(a - b), axis=1) if len(a) else np.zeros(0)
+    if metric == "euclidean":
+        sq = np.zeros(len(a))
+        for c in range(a.shape[1]):
+            diff = a[:, c] - b[:, c]
+            sq += diff * diff
+        return np.sqrt(sq)
+    raise ValueError(metric)
+
+
 def knn(left: DataFrame, right: DataFrame, lid: str, rid: str, coords: Sequence[str], k: int,
         metric: str = "euclidean", exclude_self: bool = False, group: Sequence[str] = (),
         block_size: int = DEFAULT_BLOCK) -> DataFrame:
@@ -87,21 +100,19 @@ def knn(left: DataFrame, right: DataFrame, lid: str, rid: str, coords: Sequence[
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"_lid": [], "_rid": [], "dist": []})
-        d = _dist(lp[cols].to_numpy(float), rp[cols].to_numpy(float), metric)
-        li = lp[lid].to_numpy()
-        ri = rp[rid].to_numpy()
-        d = np.where(same_group(lp, rp), d, np.inf)
+        i, j = pair_index(lp, rp)
+        li = lp[lid].to_numpy()[i]
+        ri = rp[rid].to_numpy()[j]
         if exclude_self:
-            d = np.where(li[:, None] == ri[None, :], np.inf, d)
-        kk = min(k, d.shape[1])
-        # order by (distance, right id): stable sort on id first, then distance
-        oid = np.argsort(ri, kind="stable")
-        d2 = d[:, oid]
-        part = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-        dist = np.take_along_axis(d2, part, axis=1)
-        rr = ri[oid][part]
-        out = pd.DataFrame({"_lid": np.repeat(li, kk), "_rid": rr.ravel(), "dist": dist.ravel()})
-        return out[np.isfinite(out["dist"])]
+            keep = li != ri
+            i, j, li, ri = i[keep], j[keep], li[keep], ri[keep]
+        d = _pair_dist(lp[cols].to_numpy(float)[i], rp[cols].to_numpy(float)[j], metric)
+        # k best per left row, ties by right id: sort by (left, distance, right id)
+        order = np.lexsort((ri, d, i))
+        i, d, li, ri = i[order], d[order], li[order], ri[order]
+        rank = pd.Series(i).groupby(i).cumcount().to_numpy()
+        keep = rank < k
+        return pd.DataFrame({"_lid": li[keep], "_rid": ri[keep], "dist": d[keep]})
 
     lt = dict(left.dtypes)[lid]
     rt = dict(right.dtypes)[rid]
@@ -154,9 +165,12 @@ def gram_offdiag(vecs: DataFrame, group: Sequence[str], vid: str, vec: str,
             return pd.DataFrame({**{c: [] for c in keys}, "s": [], "n": []})
         a = np.stack(lp[vec].to_numpy()).astype(float)
         b = np.stack(rp[vec].to_numpy()).astype(float)
-        dots = np.abs(a @ b.T)
-        mask = same_group(lp, rp) & (lp[vid].to_numpy()[:, None] != rp[vid].to_numpy()[None, :])
-        return group_sums(lp, keys, {"s": np.where(mask, dots, 0.0).sum(1), "n": mask.sum(1).astype("int64")})
+        i, j = pair_index(lp, rp)
+        keep = lp[vid].to_numpy()[i] != rp[vid].to_numpy()[j]
+        i, j = i[keep], j[keep]
+        dots = np.abs(np.einsum("ij,ij->i", a[i], b[j])) if len(i) else np.zeros(0)
+        n = len(lp)
+        return group_sums(lp, keys, {"s": per_left(i, dots, n), "n": np.bincount(i, minlength=n).astype("int64")})
 
     types = dict(vecs.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["s double", "n long"])

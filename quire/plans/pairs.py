@@ -62,6 +62,21 @@ def block_cogroup(left: DataFrame, right: DataFrame, group: Sequence[str], left_
     return lrep.groupBy(*gk).cogroup(rrep.groupBy(*gk)).applyInPandas(fn, schema)
 
 
+def pair_index(lp: pd.DataFrame, rp: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all same-group (left, right) row pairs in a task:
+    a hash merge on ``_gid``, so packed small groups cost only their own
+    pairs, not the full block product."""
+    left = pd.DataFrame({"g": lp[GID].to_numpy(), "i": np.arange(len(lp))})
+    right = pd.DataFrame({"g": rp[GID].to_numpy(), "j": np.arange(len(rp))})
+    m = left.merge(right, on="g", how="inner")
+    return m["i"].to_numpy(), m["j"].to_numpy()
+
+
+def per_left(i: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum pair values onto their left rows."""
+    return np.bincount(i, weights=values, minlength=n)
+
+
 def same_group(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
     return lp[GID].to_numpy()[:, None] == rp[GID].to_numpy()[None, :]
 
