@@ -249,13 +249,51 @@ def affine_scan(df: DataFrame, key: str, idx: str, block: int = 4096) -> DataFra
                     (F.col("LA") * F.col("BC") + F.col("LC")).alias("PC"))
 
 
+def _ema_loop(x: np.ndarray, beta: float, update_after: int, update_every: int, inv_gamma: float,
+              power: float, min_value: float) -> np.ndarray:
+    """The update schedule as a plain loop over one bounded, ordered series."""
+    out = np.empty(len(x))
+    e = x[0] if len(x) else 0.0
+    initted = False
+    for k in range(len(x)):
+        if k % update_every == 0:
+            if k <= update_after:
+                e = x[k]
+            else:
+                if not initted:
+                    e, initted = x[k], True
+                epoch = max(k + 1 - update_after - 1, 0)
+                d = 0.0 if epoch <= 0 else min(max(1 - (1 + epoch / inv_gamma) ** -power, min_value), beta)
+                e = e + (x[k] - e) * (1 - d)
+        out[k] = e
+    return out
+
+
 def ema(df: DataFrame, key: str, order: str, value: str, beta: float = 0.9999, update_after: int = 100,
         update_every: int = 10, inv_gamma: float = 1.0, power: float = 2 / 3, min_value: float = 0.0,
         block: int = 4096) -> DataFrame:
     """EMA of a series with the update schedule of the diffusion template:
     call k (0-based) is skipped unless k % update_every == 0; while
     k <= update_after the average copies the value; afterwards it moves by
-    1 - decay(k).  The starting average is the first value of the key."""
+    1 - decay(k).  The starting average is the first value of the key.
+
+    Keys of at most ``block`` rows (checked with one aggregate) run the
+    recurrence in one bounded ``applyInPandas`` group each.  Larger keys use
+    the blocked associative scan of affine maps (``affine_scan``), so a hot
+    key is split over many bounded tasks."""
+    max_n = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    ktype = dict(df.dtypes)[key]
+    if max_n <= block:
+        params = (beta, update_after, update_every, inv_gamma, power, min_value)
+
+        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = pdf.sort_values(order)
+            x = s[value].to_numpy(dtype=float)
+            return pd.DataFrame({key: s[key].to_numpy(), "step": np.arange(len(x), dtype="int64"),
+                                 value: x, "ema": _ema_loop(x, *params)})
+
+        return df.select(key, order, value).groupBy(key).applyInPandas(
+            fn, f"{key} {ktype}, step long, {value} double, ema double")
     p = positions(df, [key], [order], "_k")
     k = F.col("_k")
     x = F.col(value)

@@ -148,3 +148,17 @@ select doc_id, md5(substring(text, length(substring(text, 1, 50)) + 1)) as out_m
 def sc28(t):
     d = t.documents
     return d.select("doc_id", F.md5(RP.strip_prompt(F.col("text"), F.substring("text", 1, 50))).alias("out_md5"))
+
+
+@query("sc15_prompt_messages", """
+select doc_id, 2 as n_messages,
+  md5('system: You review papers.' || chr(10) || 'user: Review this paper:' || chr(10) || text) as messages_md5,
+  md5(text) = md5(text) as flattened_ok
+from d_papers""", ("d_papers",))
+def sc15m(t):
+    d = D.d_papers(t)
+    m = RP.messages(d, "You review papers.", "Review this paper:\n{paper_text}")
+    flat = F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+    nested = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    return d.select("doc_id", F.size(m).alias("n_messages"), F.md5(flat).alias("messages_md5"),
+                    (RP.flatten_content(nested) == F.col("text")).alias("flattened_ok"))

@@ -185,3 +185,29 @@ def sc24(t):
     r = RV.read_reviews(D.d_reviews(t))
     m = F.create_map(F.lit("Overall"), F.col("review.Overall").cast("string"), F.lit("Decision"), F.col("review.Decision"))
     return r.select("paper_id", F.md5(RV.map_to_markdown(m)).alias("md_md5"))
+
+
+@query("sc17_fewshot_block", """
+WITH p AS (select item_id, text, row_number() over (order by item_id) as pos from benchmark),
+r AS (select paper_id, json_extract_string(raw, '$.review') as review, row_number() over (order by paper_id) as pos from d_reviews)
+select md5(concat(chr(10) || 'Below are some sample reviews, copied from previous machine learning conferences.' || chr(10)
+  || 'Note that while each review is formatted differently according to each reviewer''s style, the reviews are well-structured and therefore easy to navigate.' || chr(10),
+  string_agg(chr(10) || 'Paper:' || chr(10) || chr(10) || '```' || chr(10) || p.text || chr(10) || '```' || chr(10) || chr(10) || 'Review:' || chr(10) || chr(10) || '```' || chr(10)
+             || r.review || chr(10) || '```' || chr(10), '' order by p.pos))) as prompt_md5
+from p join r on p.pos = r.pos where p.pos <= 2""", ("d_reviews",))
+def sc17f(t):
+    reviews = D.d_reviews(t).select("paper_id", F.from_json("raw", "review string")["review"].alias("review"))
+    out = RV.fewshot_block(t.benchmark, reviews, "item_id", "paper_id", "text", "review", n=2)
+    return out.select(F.md5("prompt").alias("prompt_md5"))
+
+
+@query("pf12_review_form_check", """
+select paper_id, array_to_string(list_filter([
+    case when json_extract(r, '$.Overall') is null then 'missing:Overall' end,
+    case when json_extract_string(r, '$.Decision') is null then 'missing:Decision' end,
+    case when cast(json_extract(r, '$.Overall') as int) not between 1 and 10 then 'range:Overall' end,
+    case when json_extract_string(r, '$.Decision') not in ('Accept', 'Reject') then 'decision' end], lambda x: x is not null), '|') as problems
+from (select paper_id, json_extract_string(raw, '$.review') as r from d_reviews)""", ("d_reviews",))
+def pf12f(t):
+    r = RV.read_reviews(D.d_reviews(t))
+    return RV.form_report(r).select("paper_id", F.array_join("problems", "|").alias("problems"))
