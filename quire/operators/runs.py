@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans.joins import small_join
+from quire.plans.ordering import positions
 
 STDERR_MODES = ("n", "sqrt_n", "sample_std")
 
@@ -61,8 +62,7 @@ def curve_band(log: DataFrame, by: Sequence[str], seed: str, order: str, value:
     seed is cut to the shortest seed of its group and the x axis is taken
     from the first seed (lowest seed id).
     """
-    per_seed = Window.partitionBy(*by, seed).orderBy(order)
-    pos = log.withColumn("pos", F.row_number().over(per_seed))
+    pos = positions(log, [*by, seed], [order], "pos").withColumn("pos", F.col("pos") + 1)
     if truncate:
         lengths = pos.groupBy(*by, seed).agg(F.max("pos").alias("_len"))
         shortest = lengths.groupBy(*by).agg(F.min("_len").alias("_minlen"))

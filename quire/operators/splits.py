@@ -80,9 +80,10 @@ def complement(df: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
 
 
 def drop_head(df: DataFrame, key: Sequence[str], order: str, n: int = 10) -> DataFrame:
-    """Discard the first ``n`` rows of every series."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") > n).drop("_rn")
+    """Discard the first ``n`` rows of every series (skew-safe positions)."""
+    from quire.plans.ordering import positions
+
+    return positions(df, list(key), [order], "_pos").where(F.col("_pos") >= n).drop("_pos")
 
 
 def time_holdout(df: DataFrame, day: str, n: int = 1000) -> DataFrame:
