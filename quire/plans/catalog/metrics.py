@@ -142,8 +142,26 @@ def ag34(t):
                       r6("seconds_per_item").alias("seconds_per_item"))
 
 
-@query("ag22_ols_effect")
+OLS_SQL = """
+WITH d AS (select l_extendedprice as y, l_quantity as x, l_discount as a, l_tax as b from lineitem),
+m AS (select avg(y) as my, avg(x) as mx, avg(a) as ma, avg(b) as mb, count(*) as n,
+             covar_pop(a, a) as saa, covar_pop(a, b) as sab, covar_pop(b, b) as sbb, covar_pop(a, x) as sax,
+             covar_pop(b, x) as sbx, covar_pop(a, y) as say, covar_pop(b, y) as sby from d),
+p AS (select *, (sax * sbb - sbx * sab) / (saa * sbb - sab * sab) as pxa, (sbx * saa - sax * sab) / (saa * sbb - sab * sab) as pxb,
+                (say * sbb - sby * sab) / (saa * sbb - sab * sab) as pya, (sby * saa - say * sab) / (saa * sbb - sab * sab) as pyb from m),
+r AS (select p.*, (d.x - mx) - pxa * (d.a - ma) - pxb * (d.b - mb) as rx, (d.y - my) - pya * (d.a - ma) - pyb * (d.b - mb) as ry from d, p),
+k AS (select sum(rx * ry) / sum(rx * rx) as coef, sum(rx * rx) as sxx from r),
+e AS (select sum(pow(r.ry - k.coef * r.rx, 2)) as sse from r, k)
+select 'l_quantity' as regressor, round(k.coef, 4) as coef, round(sqrt(e.sse / (p.n - 4) / k.sxx), 4) as std_err,
+       round(p.my - k.coef * p.mx - (p.pya - k.coef * p.pxa) * p.ma - (p.pyb - k.coef * p.pxb) * p.mb, 4) as intercept,
+       p.n as n
+from k, e, p"""
+
+
+@query("ag22_ols_effect", OLS_SQL)
 def ag22(t):
-    """OLS of price on quantity given discount and tax (rows-only check)."""
+    """OLS of price on quantity given discount and tax (Spark ML normal equations)."""
     df = t.lineitem.select("l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    return EM.ols_effect(df, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"])
+    out = EM.ols_effect(df, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"])
+    return out.select("regressor", F.round("coef", 4).alias("coef"), F.round("std_err", 4).alias("std_err"),
+                      F.round("intercept", 4).alias("intercept"), "n")
