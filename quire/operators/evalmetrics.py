@@ -51,7 +51,7 @@ def exceedance(df: DataFrame, cell: str, value: str, thr: float = 3.5, n_times:
     """Per cell: share of time steps with value > thr; absent steps count as 0,
     so the denominator is the total number of time steps."""
     if n_times is None:
-        n_times = df.agg(F.count_distinct(time)).first()[0]
+        n_times = df.agg(F.count_distinct(time)).scalar()
     nt = n_times if isinstance(n_times, Column) else F.lit(n_times)
     return df.groupBy(cell).agg((F.sum((F.col(value) > thr).cast("double")) / nt).alias("freq"))
 
@@ -83,7 +83,7 @@ def average_precision(df: DataFrame, y: str, score: str, by: Sequence[str] = ())
         tot = counts.groupBy(*by).agg(F.sum("_pos").alias("P"))
         j = cum.join(tot, list(by))
     else:
-        j = cum.withColumn("P", F.lit(counts.agg(F.sum("_pos")).first()[0]))
+        j = cum.withColumn("P", counts.agg(F.sum("_pos")).scalar())
     prec = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     return j.groupBy(*by).agg(F.sum(F.col("_pos") / F.col("P") * prec).alias("average_precision"))
 

@@ -277,8 +277,8 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def rescale(points: DataFrame, coords: Sequence[str] = AX, target: float = 4.0) -> DataFrame:
     """Scale all points so the mean distance from the origin becomes ``target``."""
-    avg = points.agg(F.avg(F.sqrt(sum(F.pow(F.col(c), 2) for c in coords)))).first()[0]
-    f = target / avg
+    avg = points.agg(F.avg(F.sqrt(sum(F.pow(F.col(c), 2) for c in coords)))).scalar()
+    f = F.lit(target) / avg
     return points.select(*[c for c in points.columns if c not in coords],
                          *[(F.col(c) * f).alias(c) for c in coords])
 

@@ -171,7 +171,7 @@ def future_label(df: DataFrame, key: str, day: str, value: str, thr: float, lo:
     hits = (df.where(F.col(value) > thr)
             .select(key, F.explode(F.sequence(F.col(day) - (hi - 1), F.col(day) - lo)).alias(day))
             .distinct().withColumn("label", F.lit(1)))
-    total_days = df.agg(F.max(day)).first()[0] + 1
+    total_days = df.agg(F.max(day)).scalar() + 1
     base = df.where(F.col(day) < total_days - hi).select(key, day)
     return base.join(hits, [key, day], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 

@@ -25,13 +25,14 @@ def _count(df: DataFrame) -> Column:
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Shuffled k-fold assignment (``fold`` 0..k-1): first ``n mod k`` folds
     get one more row, as in a shuffled KFold."""
-    n = df.count()
-    q, r = divmod(n, k)
+    n = df.agg(F.count("*")).scalar()  # scalar subquery: same plan, no eager job
+    q = F.floor(n / k)
+    r = n - q * k
     numbered = hash_row_number(df, key, seed)
     rn = F.col("rn")
-    big = F.lit(r * (q + 1))
-    fold = (F.when(rn <= big, F.ceil(rn / F.lit(q + 1)))
-            .otherwise(F.lit(r) + F.ceil((rn - big) / F.lit(max(q, 1))))) - 1
+    big = r * (q + 1)
+    fold = (F.when(rn <= big, F.ceil(rn / (q + 1)))
+            .otherwise(r + F.ceil((rn - big) / F.greatest(q, F.lit(1))))) - 1
     return numbered.withColumn("fold", fold.cast("int")).drop("rn")
 
 
@@ -46,8 +47,7 @@ def train_test(folded: DataFrame, test_fold: int) -> tuple[DataFrame, DataFrame]
 
 def fraction(df: DataFrame, key: str, frac: float, seed: int = 42) -> DataFrame:
     """``is_train``: shuffled index < int(n * frac)."""
-    n = df.count()
-    cut = int(n * frac)
+    cut = F.floor(df.agg(F.count("*")).scalar() * frac)
     return hash_row_number(df, key, seed).withColumn("is_train", F.col("rn") <= cut).drop("rn")
 
 
@@ -59,16 +59,14 @@ def every_k(df: DataFrame, order: Sequence[str], k: int = 8) -> DataFrame:
 
 def stride_sample(df: DataFrame, order: Sequence[str], m: int) -> DataFrame:
     """Every ``max(n div m, 1)``-th row in ``order`` (starting at the first)."""
-    n = df.count()
-    stride = max(n // m, 1)
-    return (global_row_number(df, list(order)).where(F.pmod(F.col("rn") - 1, F.lit(stride)) == 0)
+    stride = F.greatest(F.floor(df.agg(F.count("*")).scalar() / m), F.lit(1))
+    return (global_row_number(df, list(order)).where(F.pmod(F.col("rn") - 1, stride) == 0)
             .drop("rn"))
 
 
 def epoch_batches(df: DataFrame, key: str, batch: int, seed: int = 42) -> DataFrame:
     """Permutation cut into batches of ``batch`` rows; incomplete tail dropped."""
-    n = df.count()
-    keep = (n // batch) * batch
+    keep = F.floor(df.agg(F.count("*")).scalar() / batch) * batch
     rn = F.col("rn")
     return (hash_row_number(df, key, seed).where(rn <= keep)
             .withColumn("batch", F.floor((rn - 1) / batch).cast("long")).drop("rn"))
@@ -88,8 +86,8 @@ def drop_head(df: DataFrame, key: Sequence[str], order: str, n: int = 10) -> Dat
 
 def time_holdout(df: DataFrame, day: str, n: int = 1000) -> DataFrame:
     """``is_test``: the last ``n`` days (day > max(day) - n); max is one scalar."""
-    mx = df.agg(F.max(day)).first()[0]
-    return df.withColumn("is_test", F.col(day) > F.lit(mx - n))
+    mx = df.agg(F.max(day)).scalar()
+    return df.withColumn("is_test", F.col(day) > mx - n)
 
 
 def segments(df: DataFrame, day: str, length: int, cycles: int, seed: int = 42) -> DataFrame:

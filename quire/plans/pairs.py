@@ -35,18 +35,23 @@ def block_cogroup(left: DataFrame, right: DataFrame, group: Sequence[str], left_
     combine rows with equal ``_gid`` (see ``same_group``)."""
     keys = list(group) or ["_g"]
     if not group:
+        same0 = right is left
         left = left.withColumn("_g", F.lit(0))
-        right = right.withColumn("_g", F.lit(0))
+        right = left if same0 else right.withColumn("_g", F.lit(0))
+    same = right is left
     left = left.withColumn(GID, F.xxhash64(*keys))
-    right = right.withColumn(GID, F.xxhash64(*keys))
+    right = left if same else right.withColumn(GID, F.xxhash64(*keys))
     nl = left.groupBy(*keys).agg(F.count("*").alias("_nl"))
-    nr = right.groupBy(*keys).agg(F.count("*").alias("_nr"))
-    counts = nl.join(nr, keys)
-    total = left.count()
-    n_buckets = max(1, -(-total // block_size))
+    if right is left:  # self pairs: one aggregation serves both sides
+        counts = nl.withColumn("_nr", F.col("_nl"))
+    else:
+        counts = nl.join(right.groupBy(*keys).agg(F.count("*").alias("_nr")), keys)
+    # bucket count from a scalar subquery (part of the same plan, no eager job)
+    total = left.agg(F.count("*")).scalar()
+    n_buckets = F.greatest(F.ceil(total / F.lit(block_size)), F.lit(1))
     nbl = F.greatest(F.ceil(F.col("_nl") / block_size), F.lit(1))
     nbr = F.greatest(F.ceil(F.col("_nr") / block_size), F.lit(1))
-    gb = F.pmod(F.col(GID), F.lit(n_buckets))
+    gb = F.pmod(F.col(GID), n_buckets)
     lrep = (left.join(counts, keys).withColumn("_gb", gb)
             .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_id)), nbl))
             .withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), nbr - 1)))
