@@ -37,8 +37,11 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def kfold_hash(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Large-scale mode: fold = hash(key, seed) mod k (sizes differ slightly)."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    """Large-scale mode: fold = hash(key, seed) mod k, map-only (no ordering,
+    fold sizes differ slightly).  The hash is the md5-derived integer of
+    ``hash_int`` so other engines can reproduce the assignment."""
+    h = hash_int(F.concat(F.col(key).cast("string"), F.lit("_"), F.lit(str(seed))))
+    return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
 
 
 def train_test(folded: DataFrame, test_fold: int) -> tuple[DataFrame, DataFrame]:

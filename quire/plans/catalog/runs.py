@@ -78,21 +78,20 @@ def ag4(t):
 
 
 @query("ag5_group_mean_sample_std", """
-select dataset, seed, round(avg(val_loss), 6) as mean, round(stddev_samp(val_loss), 6) as std, count(val_loss) as n
-from d_runs where step < 2 and run = 'run_0' group by dataset, seed""", ("d_runs",))
+select run, dataset, seed, round(avg(val_loss), 6) as mean, round(stddev_samp(val_loss), 6) as std, count(val_loss) as n
+from d_runs group by run, dataset, seed""", ("d_runs",))
 def ag5(t):
-    df = D.d_runs(t).where((F.col("step") < 2) & (F.col("run") == "run_0"))
-    s = R.seed_stats(df, ["dataset", "seed"], "val_loss", stderr="sample_std")
-    return s.select("dataset", "seed", r6("mean").alias("mean"), r6("std").alias("std"), "n")
+    s = R.seed_stats(D.d_runs(t), ["run", "dataset", "seed"], "val_loss", stderr="sample_std")
+    return s.select("run", "dataset", "seed", r6("mean").alias("mean"), r6("std").alias("std"), "n")
 
 
 @query("ag6_single_run_summary", """
-select dataset, step, round(avg(val_loss), 6) as mean, cast(0.0 as double) as stderr
-from d_runs where run = 'run_1' and seed = 0 group by dataset, step""", ("d_runs",))
+select run, seed, dataset, step, round(avg(val_loss), 6) as mean, cast(0.0 as double) as stderr
+from d_runs group by run, seed, dataset, step""", ("d_runs",))
 def ag6(t):
-    df = D.d_runs(t).where((F.col("run") == "run_1") & (F.col("seed") == 0))
-    s = R.single_run(df, ["dataset", "step"], "val_loss")
-    return s.select("dataset", "step", r6("mean").alias("mean"), "stderr")
+    # every (run, seed) pair is one single-seed run: same layout, stderr 0.0
+    s = R.single_run(D.d_runs(t), ["run", "seed", "dataset", "step"], "val_loss")
+    return s.select("run", "seed", "dataset", "step", r6("mean").alias("mean"), "stderr")
 
 
 @query("ag7_seed_values", """

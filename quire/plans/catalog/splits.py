@@ -20,9 +20,10 @@ def wn20(t):
     return SP.kfold(t.documents.select("doc_id"), "doc_id", k=5, seed=42)
 
 
-@query("wn20_kfold_hash_mode")
+@query("wn20_kfold_hash_mode", f"""
+select doc_id, cast({SQL_HASH_INT.format("cast(doc_id as varchar) || '_42'")} % 5 as int) as fold from documents""")
 def wn20h(t):
-    """Large-scale fold assignment (xxhash64 mod k); rows-only check."""
+    """Large-scale fold assignment (hash of key and seed mod k, map-only)."""
     return SP.kfold_hash(t.documents.select("doc_id"), "doc_id", k=5, seed=42)
 
 
@@ -103,13 +104,13 @@ def jn9(t):
 
 
 @query("jn10_parameter_grid", """
-WITH g AS (select * from (values (0), (1), (2)) s(split), (values (0), (1), (2), (3)) l(layer), (values (1), (5)) b(beta))
+WITH g AS (select * from (values (0), (1), (2)) s(split), (select unnest(range(10)) as layer) l, (values (1), (5)) b(beta))
 select g.split, g.layer, g.beta, count(*) as n, round(avg(v.x * g.beta), 6) as score
 from g join d_vectors v on v.layer = g.layer and v.vec_id % 3 = g.split group by g.split, g.layer, g.beta""",
        ("d_vectors",))
 def jn10(t):
     spark = t.spark
-    grid = spark.range(1).select(SP.grid(split=[0, 1, 2], layer=[0, 1, 2, 3], beta=[1, 5]))
+    grid = spark.range(1).select(SP.grid(split=[0, 1, 2], layer=list(range(10)), beta=[1, 5]))
     v = D.d_vectors(t)
     j = v.join(F.broadcast(grid), (v["layer"] == grid["layer"]) & (v["vec_id"] % 3 == grid["split"]))
     return j.groupBy(grid["split"], grid["layer"], grid["beta"]).agg(

@@ -132,11 +132,11 @@ def pf8(t):
 
 
 FOLDERS_SQL = """folders AS (select distinct strftime(o_orderdate, '%Y%m%d') || '_idea_' || cast(o_orderkey % 2500 as varchar) as folder
-   from orders where o_orderkey % 7 = 0)"""
+   from orders)"""
 
 
 def _folders(t):
-    o = t.orders.where(F.col("o_orderkey") % 7 == 0)
+    o = t.orders
     return o.select(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_idea_"),
                              (F.col("o_orderkey") % 2500).cast("string")).alias("folder")).distinct()
 
@@ -266,10 +266,10 @@ def sc8(t):
 @query("ud5_unify_providers", """
 select 'engine_1' as engine, 'doc ' || cast(doc_id as varchar) as title, lang || ' and ' || source as authors, source as venue,
        cast(2000 + doc_id % 25 as integer) as year, cast(n_chars as integer) as citationCount, md5(substring(text, 1, 100)) as bibtex_md5
-from documents where doc_id % 2 = 0
+from documents
 union all select 'engine_2', 'item ' || cast(item_id as varchar), 'anonymous', 'bench', 2024, cast(length(text) as integer), null from benchmark""")
 def ud5(t):
-    docs = t.documents.where(F.col("doc_id") % 2 == 0)
+    docs = t.documents
     rec1 = F.struct(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
                     F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("authors"),
                     F.col("source").alias("venue"), (F.lit(2000) + F.col("doc_id") % 25).cast("int").alias("year"),

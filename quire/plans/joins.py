@@ -36,14 +36,18 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
     return left.join(right, on, how)
 
 
+BNLJ_MAX_ROWS = 1000
+
+
 def contains_join(left: DataFrame, text: str, right: DataFrame, pattern: str,
-                  how: str = "inner", max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                  how: str = "inner", max_rows: int = BNLJ_MAX_ROWS) -> DataFrame:
     """Rows where ``left[text]`` contains ``right[pattern]`` as a substring.
 
-    Small pattern side: broadcast nested loop with ``contains``.  Large
-    pattern side: exact equi-join on every distinct substring of the left
-    text no longer than the longest pattern (a scalar aggregate), so no
-    pair enumeration across the two tables is needed.
+    Tiny pattern side (at most ``max_rows``, checked): broadcast nested loop
+    with ``contains`` (cost |left| x |patterns|).  Otherwise: exact
+    equi-join on every distinct substring of the left text no longer than
+    the longest pattern (a scalar aggregate), so the cost grows with
+    |left| x text length instead of with the product of the two tables.
     """
     if is_bounded(right, max_rows):
         return left.join(F.broadcast(right), F.contains(F.col(text), F.col(pattern)), how)

@@ -17,6 +17,6 @@ def test_registry_names_and_oracles():
     assert set(orc) <= set(qs)
     # every oracle-less query is a deliberate rows-only check
     rows_only = set(qs) - set(orc)
-    assert rows_only == {"wn20_kfold_hash_mode"}
+    assert rows_only == set()
     for name in qs:
         assert not name.startswith("op") and "pipeline" not in name
