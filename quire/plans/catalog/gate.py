@@ -182,7 +182,7 @@ def pf7(t):
 
 
 @query("sc3_head_tail_sample", """
-select doc_id, length(s) as sample_len, md5(s) as sample_md5 from (
+select doc_id, cast(length(s) as integer) as sample_len, md5(s) as sample_md5 from (
   select doc_id, case when length(text) > 4000 then concat(substring(text, 1, 2000), chr(10) || '...' || chr(10), substring(text, length(text) - 1999, 2000))
                       else substring(text, 1, 4000) end as s from documents)""")
 def sc3(t):
@@ -191,7 +191,7 @@ def sc3(t):
 
 
 @query("sc4_last_tokens", """
-select doc_id, len(tok) as n_tokens, md5(array_to_string(case when len(tok) <= 2048 then tok else tok[len(tok) - 2047:] end, ' ')) as tail_md5
+select doc_id, cast(len(tok) as integer) as n_tokens, md5(array_to_string(case when len(tok) <= 2048 then tok else tok[len(tok) - 2047:] end, ' ')) as tail_md5
 from (select doc_id, case when trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then []::varchar[]
         else string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') end as tok from documents)""")
 def sc4(t):

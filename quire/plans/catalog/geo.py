@@ -288,7 +288,7 @@ def ag27(t):
 
 
 @query("ag28_depth_stats", """
-WITH p AS (select quantile_cont(abs(tx), 0.9) as rad_x, quantile_cont(abs(ty), 0.9) as rad_y, quantile_cont(abs(0.0), 0.9) as rad_z from d_poses),
+WITH p AS (select quantile_cont(abs(tx), 0.9) as rad_x, quantile_cont(abs(ty), 0.9) as rad_y, quantile_cont(abs(0.0::double), 0.9) as rad_z from d_poses),
 b AS (select min(l_discount + 0.1) as nmin, max(l_tax + 1.0) as fmax from lineitem)
 select round(rad_x, 9) as rad_x, round(rad_y, 9) as rad_y, round(rad_z, 9) as rad_z, round(nmin * 0.9, 9) as close_depth,
        round(fmax * 5.0, 9) as inf_depth, round(1.0 / ((1.0 - 0.75) / (nmin * 0.9) + 0.75 / (fmax * 5.0)), 9) as focal,

@@ -104,7 +104,7 @@ def ag2(t):
 
 
 @query("wn9_growing_prefixes", """
-select resp_id, pos, length(p) as prefix_len, md5(p) as prefix_md5 from (
+select resp_id, pos, cast(length(p) as integer) as prefix_len, md5(p) as prefix_md5 from (
   select resp_id, pos, replace(string_agg(chunk, '' order by pos) over (partition by resp_id order by pos rows between unbounded preceding and current row), '<|eot_id|>', '') as p
   from d_chunks)""", ("d_chunks",))
 def wn9(t):
@@ -113,7 +113,7 @@ def wn9(t):
 
 
 @query("sc25_final_text", """
-select resp_id, length(t) as text_len, md5(t) as text_md5 from (
+select resp_id, cast(length(t) as integer) as text_len, md5(t) as text_md5 from (
   select resp_id, replace(string_agg(chunk, '' order by pos), '<|eot_id|>', '') as t from d_chunks group by resp_id)""",
        ("d_chunks",))
 def sc25(t):
@@ -123,7 +123,7 @@ def sc25(t):
 
 @query("sc25_joined_prefixes_compat", """
 WITH p AS (select resp_id, pos, replace(string_agg(chunk, '' order by pos) over (partition by resp_id order by pos rows between unbounded preceding and current row), '<|eot_id|>', '') as p from d_chunks)
-select resp_id, length(t) as text_len, md5(t) as text_md5 from (
+select resp_id, cast(length(t) as integer) as text_len, md5(t) as text_md5 from (
   select resp_id, string_agg(p, chr(10) order by pos) as t from p group by resp_id)""", ("d_chunks",))
 def sc25c(t):
     a = RP.join_prefixes(D.d_chunks(t), final_only=False)
@@ -131,7 +131,7 @@ def sc25c(t):
 
 
 @query("sc15_chat_history", """
-select conv_id, len(m) + 1 - 1 as n_messages,
+select conv_id, cast(len(m) as integer) as n_messages,
   md5(array_to_string(list_transform(m, lambda x: concat(x.role, ': ', x.content)), chr(10))) as history_md5
 from (select conv_id, list_append(list_slice(list(struct_pack(role := role, content := text) order by turn), 1, -2),
                                   struct_pack(role := 'assistant', content := 'ok')) as m

@@ -24,7 +24,7 @@ def src2(t):
 
 @query("pf12_score_violations", f"""
 WITH {LIMITS_SQL}
-select s.field, count(*) as n, sum(case when l.lo is null or s.score between l.lo and l.hi then 0 else 1 end) as violations
+select s.field, count(*) as n, cast(sum(case when l.lo is null or s.score between l.lo and l.hi then 0 else 1 end) as bigint) as violations
 from d_scores s left join limits_t l on s.field = l.field group by s.field""", ("d_scores",))
 def pf12(t):
     checked = RV.check_scores(D.d_scores(t), RV.limits_table(t.spark))
@@ -76,8 +76,8 @@ fb AS (select d.doc_id,
     coalesce(list(i.item order by i.pos) filter (where i.section = 'suggestions'), []) as suggestions
   from d_review_md d left join (select * from items where item <> '') i on d.doc_id = i.doc_id group by d.doc_id)"""
 
-SCORE_SQL = """coalesce(try_cast(nullif(regexp_extract({t}, '(?i)(?:score|rating).*?(\\d+)(?:/10)?', 1), '') as bigint),
-         try_cast(nullif(regexp_extract({t}, '(?i)(\\d+)(?:/10)', 1), '') as bigint), 0)"""
+SCORE_SQL = """coalesce(try_cast(nullif(regexp_extract({t}, '(?i)(?:score|rating).*?(\\d+)(?:/10)?', 1), '') as integer),
+         try_cast(nullif(regexp_extract({t}, '(?i)(\\d+)(?:/10)', 1), '') as integer), 0)"""
 
 
 @query("wn14_feedback_items", f"""
@@ -92,8 +92,8 @@ def wn14(t):
 
 @query("sc13_review_score", f"""
 select doc_id, {SCORE_SQL.format(t='review')} as score,
-  coalesce(try_cast(nullif(regexp_extract(review, '(?is)(?:score|rating).*?(\\d+)(?:/10)?', 1), '') as bigint),
-           try_cast(nullif(regexp_extract(review, '(?is)(\\d+)(?:/10)', 1), '') as bigint), 0) as score_cross_line
+  coalesce(try_cast(nullif(regexp_extract(review, '(?is)(?:score|rating).*?(\\d+)(?:/10)?', 1), '') as integer),
+           try_cast(nullif(regexp_extract(review, '(?is)(\\d+)(?:/10)', 1), '') as integer), 0) as score_cross_line
 from d_review_md""", ("d_review_md",))
 def sc13(t):
     r = F.col("review")
@@ -118,7 +118,7 @@ def _bul_sql(arr: str, none_text: str) -> str:
 
 @query("sc14_improvement_prompt", f"""
 WITH {FEEDBACK_SQL}
-select fb.doc_id, md5(p) as prompt_md5, length(p) as prompt_len from fb join (
+select fb.doc_id, md5(p) as prompt_md5, cast(length(p) as integer) as prompt_len from fb join (
   select doc_id, review, {SCORE_SQL.format(t='review')} as score from d_review_md) d on fb.doc_id = d.doc_id,
 lateral (select concat('{RV.IMPROVE_HEAD}', cast(d.score as varchar), '/10**' || chr(10) || chr(10) || '**Main Weaknesses:**' || chr(10),
    {_bul_sql('fb.weaknesses', 'None identified')}, chr(10) || chr(10) || '**Improvement Suggestions:**' || chr(10),
@@ -160,7 +160,7 @@ def tk6(t):
 
 @query("sc23_assemble_pages", """
 select resp_id as doc_id, md5(string_agg(concat(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10)), '' order by pos)) as text_md5,
-       length(string_agg(concat(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10)), '' order by pos)) as text_len
+       cast(length(string_agg(concat(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10)), '' order by pos)) as integer) as text_len
 from d_chunks where pos <= 5 group by resp_id""", ("d_chunks",))
 def sc23(t):
     a = RV.assemble_pages(D.d_chunks(t), "resp_id", "pos", "chunk", max_pages=5)

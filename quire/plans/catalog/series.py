@@ -171,7 +171,7 @@ def ag23(t):
 
 
 @query("ag26_block_mean", """
-select run, dataset, seed, case when step = 0 then -1 else (step - 1) // 10 end as block, round(avg(val_loss), 6) as mean, max(step) as last_step
+select run, dataset, seed, cast(case when step = 0 then -1 else (step - 1) // 10 end as bigint) as block, round(avg(val_loss), 6) as mean, max(step) as last_step
 from d_runs group by run, dataset, seed, case when step = 0 then -1 else (step - 1) // 10 end""", ("d_runs",))
 def ag26(t):
     out = S.block_mean(D.d_runs(t), RUN_KEY, "step", "val_loss", 10)
@@ -299,7 +299,7 @@ def ag36(t):
 
 
 @query("sc18_error_tail", """
-select doc_id, length(e) as tail_len, md5(e) as tail_md5 from (
+select doc_id, cast(length(e) as integer) as tail_len, md5(e) as tail_md5 from (
   select doc_id, case when length(text) > 1500 then '...' || substring(text, length(text) - 1499, 1500) else text end as e from documents)""")
 def sc18(t):
     e = AT.error_tail(F.col("text"), 1500)

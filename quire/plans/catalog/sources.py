@@ -118,7 +118,7 @@ def src6(t):
 
 
 @query("src7_read_whole_documents", """
-select doc_id % 4 as grp, sum(length(review) + 1) as n_chars from d_review_md group by doc_id % 4""", ("d_review_md",))
+select doc_id % 4 as grp, cast(sum(length(review) + 1) as bigint) as n_chars from d_review_md group by doc_id % 4""", ("d_review_md",))
 def src7(t):
     path = IO.scratch_dir(t.spark, "docs")
     md = D.d_review_md(t).select((F.col("doc_id") % 4).alias("grp"), F.col("review").alias("value"))
@@ -156,9 +156,9 @@ CAMERA_MODEL_SQL = ("case s_nationkey % 5 when 0 then 'SIMPLE_PINHOLE' when 1 th
 
 @query("src8_read_cameras", f"""
 WITH c AS (select s_suppkey as camera_id, {CAMERA_MODEL_SQL} as model, 640.0 as w, 480.0 as h, 500.0 + s_nationkey as f, s_nationkey as k from supplier)
-select camera_id, model, case when model in ('PINHOLE', 'OPENCV') then f + 1 else f end as fl_y,
-       case when model = 'SIMPLE_PINHOLE' or model = 'SIMPLE_RADIAL' or model = 'RADIAL' then 300.0 + k when model in ('PINHOLE', 'OPENCV') then 301.0 + k end as cx,
-       case when model = 'RADIAL' then 0.5 when model = 'OPENCV' then 0.25 else 0.0 end as k2,
+select camera_id, model, cast(case when model in ('PINHOLE', 'OPENCV') then f + 1 else f end as double) as fl_y,
+       cast(case when model = 'SIMPLE_PINHOLE' or model = 'SIMPLE_RADIAL' or model = 'RADIAL' then 300.0 + k when model in ('PINHOLE', 'OPENCV') then 301.0 + k end as double) as cx,
+       cast(case when model = 'RADIAL' then 0.5 when model = 'OPENCV' then 0.25 else 0.0 end as double) as k2,
        round(atan(w / (f * 2)) * 2, 9) as angle_x,
        round(atan(h / ((case when model in ('PINHOLE', 'OPENCV') then f + 1 else f end) * 2)) * 2, 9) as angle_y from c""")
 def src8c(t):

@@ -105,7 +105,7 @@ def jn9(t):
 
 @query("jn10_parameter_grid", """
 WITH g AS (select * from (values (0), (1), (2)) s(split), (select unnest(range(10)) as layer) l, (values (1), (5)) b(beta))
-select g.split, g.layer, g.beta, count(*) as n, round(avg(v.x * g.beta), 6) as score
+select g.split, cast(g.layer as integer) as layer, g.beta, count(*) as n, round(avg(v.x * g.beta), 6) as score
 from g join d_vectors v on v.layer = g.layer and v.vec_id % 3 = g.split group by g.split, g.layer, g.beta""",
        ("d_vectors",))
 def jn10(t):
@@ -123,7 +123,7 @@ vocab AS (select ch, cast(row_number() over (order by ch) - 1 + 2 as int) as id
 
 @query("jn16_vocab_encode", f"""
 WITH {VOCAB_SQL}
-select c.doc_id, count(*) as n_ids, sum(v.id) as id_sum from chars c join vocab v on c.ch = v.ch group by c.doc_id""")
+select c.doc_id, count(*) as n_ids, cast(sum(v.id) as bigint) as id_sum from chars c join vocab v on c.ch = v.ch group by c.doc_id""")
 def jn16(t):
     docs = t.documents.select("doc_id", "text")
     vocab = SP.build_vocab(docs, "text")

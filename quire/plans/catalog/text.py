@@ -236,7 +236,7 @@ def jn20(t):
 WITH {TFIDF_SQL}
 select h.item_id, d.doc_id % 3 <> 0 as has_bibtex,
        md5(case when d.doc_id % 3 <> 0 then substring(d.text, 1, 50000) end) as bibtex_md5,
-       length(case when d.doc_id % 3 <> 0 then substring(d.text, 1, 1000) end) as abstract_len
+       cast(length(case when d.doc_id % 3 <> 0 then substring(d.text, 1, 1000) end) as integer) as abstract_len
 from hits h join documents d on h.doc_id = d.doc_id where h.rank = 1""")
 def tk1(t):
     docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("bib"),
