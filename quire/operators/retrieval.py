@@ -29,7 +29,7 @@ def top_documents(queries: DataFrame, qkey: str, qtext: str, docs: DataFrame, dk
     ``rounding`` digits when given, so summation order cannot reorder
     near-ties).  Queries with no terms or no hit produce no rows (NULL result
     in the reference)."""
-    n_docs = docs.count()
+    n_docs = docs.agg(F.count("*")).scalar()  # lazy scalar subquery
     qt = term_counts(queries, qkey, qtext).withColumnRenamed("tf", "qtf")
     # only query terms can score: keep those before counting document terms
     vocab = qt.select("term").distinct()
@@ -37,7 +37,7 @@ def top_documents(queries: DataFrame, qkey: str, qtext: str, docs: DataFrame, dk
     dt = (small_join(doc_terms, vocab, "term", "left_semi")
           .groupBy(dkey, "term").agg(F.count("*").alias("tf")))
     df_t = dt.groupBy("term").agg(F.count("*").alias("df"))
-    q_idf = qt.join(df_t, "term").withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df")))
+    q_idf = qt.join(df_t, "term").withColumn("idf", F.log(n_docs.cast("double") / F.col("df")))
     pairs = q_idf.join(dt, "term")
     scored = pairs.groupBy(qkey, dkey).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"))
     rank_score = F.round("score", rounding) if rounding is not None else F.col("score")

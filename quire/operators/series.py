@@ -249,6 +249,20 @@ def affine_scan(df: DataFrame, key: str, idx: str, block: int = 4096) -> DataFra
                     (F.col("LA") * F.col("BC") + F.col("LC")).alias("PC"))
 
 
+def _ema_step(k: int, x: float, e: float, initted: bool, beta: float, update_after: int, update_every: int,
+              inv_gamma: float, power: float, min_value: float) -> tuple[float, bool]:
+    """One call of the update schedule (call index k, 0-based)."""
+    if k % update_every != 0:
+        return e, initted
+    if k <= update_after:
+        return x, initted
+    if not initted:
+        e, initted = x, True
+    epoch = max(k + 1 - update_after - 1, 0)
+    d = 0.0 if epoch <= 0 else min(max(1 - (1 + epoch / inv_gamma) ** -power, min_value), beta)
+    return e + (x - e) * (1 - d), initted
+
+
 def _ema_loop(x: np.ndarray, beta: float, update_after: int, update_every: int, inv_gamma: float,
               power: float, min_value: float) -> np.ndarray:
     """The update schedule as a plain loop over one bounded, ordered series."""
@@ -256,15 +270,8 @@ def _ema_loop(x: np.ndarray, beta: float, update_after: int, update_every: int,
     e = x[0] if len(x) else 0.0
     initted = False
     for k in range(len(x)):
-        if k % update_every == 0:
-            if k <= update_after:
-                e = x[k]
-            else:
-                if not initted:
-                    e, initted = x[k], True
-                epoch = max(k + 1 - update_after - 1, 0)
-                d = 0.0 if epoch <= 0 else min(max(1 - (1 + epoch / inv_gamma) ** -power, min_value), beta)
-                e = e + (x[k] - e) * (1 - d)
+        e, initted = _ema_step(k, float(x[k]), e, initted, beta, update_after, update_every, inv_gamma, power,
+                               min_value)
         out[k] = e
     return out
 
@@ -278,22 +285,35 @@ def ema(df: DataFrame, key: str, order: str, value: str, beta: float = 0.9999, u
     1 - decay(k).  The starting average is the first value of the key.
 
     Keys of at most ``block`` rows (checked with one aggregate) run the
-    recurrence in one bounded ``applyInPandas`` group each.  Larger keys use
-    the blocked associative scan of affine maps (``affine_scan``), so a hot
-    key is split over many bounded tasks."""
+    recurrence in one sorted ``mapInPandas`` pass.  Larger keys use the
+    blocked associative scan of affine maps (``affine_scan``), so a hot key
+    is split over many bounded tasks."""
     max_n = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     ktype = dict(df.dtypes)[key]
     if max_n <= block:
+        # bounded keys: hash-partition on the key, sort inside partitions and
+        # run the recurrence in one mapInPandas pass (one Python call per Arrow
+        # batch, state carried across batch boundaries of a partition)
         params = (beta, update_after, update_every, inv_gamma, power, min_value)
 
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = pdf.sort_values(order)
-            x = s[value].to_numpy(dtype=float)
-            return pd.DataFrame({key: s[key].to_numpy(), "step": np.arange(len(x), dtype="int64"),
-                                 value: x, "ema": _ema_loop(x, *params)})
-
-        return df.select(key, order, value).groupBy(key).applyInPandas(
-            fn, f"{key} {ktype}, step long, {value} double, ema double")
+        def run(batches):
+            cur, k, e, initted = None, 0, 0.0, False
+            for pdf in batches:
+                keys = pdf[key].to_numpy()
+                x = pdf[value].to_numpy(dtype=float)
+                out = np.empty(len(x))
+                steps = np.empty(len(x), dtype="int64")
+                for i in range(len(x)):
+                    if cur is None or keys[i] != cur:
+                        cur, k, e, initted = keys[i], 0, x[i], False
+                    e, initted = _ema_step(k, x[i], e, initted, *params)
+                    out[i] = e
+                    steps[i] = k
+                    k += 1
+                yield pd.DataFrame({key: keys, "step": steps, value: x, "ema": out})
+
+        part = df.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
+        return part.mapInPandas(run, f"{key} {ktype}, step long, {value} double, ema double")
     p = positions(df, [key], [order], "_k")
     k = F.col("_k")
     x = F.col(value)

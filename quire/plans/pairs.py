@@ -28,11 +28,14 @@ GID = "_gid"
 
 def block_cogroup(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str,
                   fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                  block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                  block_size: int = DEFAULT_BLOCK, pack_factor: int = 8) -> DataFrame:
     """Apply ``fn(left_rows, right_rows)`` to every block pair.
 
-    Both frames carry ``_gid`` (a hash of the group key); ``fn`` must only
-    combine rows with equal ``_gid`` (see ``same_group``)."""
+    A group larger than ``block_size`` is cut into blocks of that size (the
+    bound on pairs per task); small groups are packed about
+    ``block_size * pack_factor`` rows per task, since they only pair within
+    themselves.  Both frames carry ``_gid`` (a hash of the group key); ``fn``
+    must only combine rows with equal ``_gid`` (see ``pair_index``)."""
     keys = list(group) or ["_g"]
     if not group:
         same0 = right is left
@@ -48,7 +51,7 @@ def block_cogroup(left: DataFrame, right: DataFrame, group: Sequence[str], left_
         counts = nl.join(right.groupBy(*keys).agg(F.count("*").alias("_nr")), keys)
     # bucket count from a scalar subquery (part of the same plan, no eager job)
     total = left.agg(F.count("*")).scalar()
-    n_buckets = F.greatest(F.ceil(total / F.lit(block_size)), F.lit(1))
+    n_buckets = F.greatest(F.ceil(total / F.lit(block_size * pack_factor)), F.lit(1))
     nbl = F.greatest(F.ceil(F.col("_nl") / block_size), F.lit(1))
     nbr = F.greatest(F.ceil(F.col("_nr") / block_size), F.lit(1))
     gb = F.pmod(F.col(GID), n_buckets)
