@@ -83,9 +83,14 @@ def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, s
     keys = list(partition_by)
     b = _with_bucket(df, list(order), bucket, partitions)
     frame_end = 0 if inclusive else -1
-    w = Window.partitionBy("_bucket", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    local = b.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_loc_{n}") for n, (c, k) in aggs.items()])
-    totals = b.groupBy("_bucket", *keys).agg(*[_COMBINE[k][0](c).alias(f"_tot_{n}") for n, (c, k) in aggs.items()])
+    part = Window.partitionBy("_bucket", *keys)
+    w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+    # running value and the (bucket, key) total come from the same window
+    # pass, so the offsets branch reuses its shuffle instead of re-reading
+    # the input
+    local = b.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_loc_{n}") for n, (c, k) in aggs.items()],
+                     *[_COMBINE[k][0](c).over(part).alias(f"_tot_{n}") for n, (c, k) in aggs.items()])
+    totals = local.groupBy("_bucket", *keys).agg(*[F.first(f"_tot_{n}").alias(f"_tot_{n}") for n in aggs])
     # One row per (bucket, group) present: bounded by the bucket count times
     # the groups that straddle buckets, never by the row count of a group.
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +106,8 @@ def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, s
         else:
             val = _COMBINE[k][1](loc, off)
         out = out.withColumn(n, val)
-    return out.drop("_bucket", *[f"_loc_{n}" for n in aggs], *[f"_off_{n}" for n in aggs])
+    return out.drop("_bucket", *[f"_loc_{n}" for n in aggs], *[f"_off_{n}" for n in aggs],
+                    *[f"_tot_{n}" for n in aggs])
 
 
 def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, Column],
