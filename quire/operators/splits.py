@@ -176,6 +176,24 @@ def encode(text: Column, symbol_to_id: Column, unk: int = 1) -> Column:
     return F.transform(chars(text), lambda c: F.coalesce(F.element_at(symbol_to_id, c), F.lit(unk)))
 
 
+def encode_table(docs: DataFrame, key: str, text: str, vocab: DataFrame, unk: int = 1,
+                 max_literal: int = 20_000) -> DataFrame:
+    """(key, ids) per document.  A small vocabulary (checked) is inlined as a
+    map literal and applied in-row; a large one is joined (size-checked
+    broadcast, else shuffle) character by character and the ids are put back
+    in order per document."""
+    if is_bounded(vocab, max_literal):
+        return docs.select(key, encode(F.col(text), vocab_map(vocab)).alias("ids"))
+    from quire.plans.joins import small_join
+
+    ex = docs.select(key, F.posexplode(chars(F.col(text))).alias("pos", "symbol"))
+    ids = small_join(ex, vocab, "symbol", "left").select(key, "pos", F.coalesce("id", F.lit(unk)).alias("id"))
+    per_doc = ids.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    return (docs.select(key).join(per_doc, key, "left")
+            .select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")))
+
+
 def decode(ids: Column, id_to_symbol: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.element_at(id_to_symbol, i)), "")
 

@@ -127,9 +127,9 @@ select c.doc_id, count(*) as n_ids, cast(sum(v.id) as bigint) as id_sum from cha
 def jn16(t):
     docs = t.documents.select("doc_id", "text")
     vocab = SP.build_vocab(docs, "text")
-    ids = SP.encode(F.col("text"), SP.vocab_map(vocab))
-    return docs.select("doc_id", F.size(ids).cast("long").alias("n_ids"),
-                       F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    enc = SP.encode_table(docs, "doc_id", "text", vocab)
+    return enc.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
 @query("jn16_vocab_roundtrip", """
