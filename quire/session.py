@@ -39,16 +39,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder of our own.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: only the conf is visible
+        sc = None
     if conf:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf)
         return conf
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     path = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -60,7 +65,10 @@ def ship_package(spark: SparkSession) -> None:
     (``addPyFile`` of a zip), so pandas UDFs import it on any executor."""
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: code ships with the client
+        return
     if id(sc) in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))

@@ -33,10 +33,13 @@ def spread(df: DataFrame, key: str | None, min_bytes: int = MIN_SPREAD_BYTES) ->
     per-row work (regex, tokenising) is not confined to one task.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM handles (e.g. a remote session): read as is
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < min_bytes:
         return df
     n = cores * 2
