@@ -96,13 +96,14 @@ def time_holdout(df: DataFrame, day: str, n: int = 1000) -> DataFrame:
 def segments(df: DataFrame, day: str, length: int, cycles: int, seed: int = 42) -> DataFrame:
     """One contiguous day window of ``length`` per cycle, start from a hash of
     (cycle, seed) over the observed day range.  Output rows carry ``cycle``."""
-    lo, hi = df.agg(F.min(day), F.max(day)).first()
-    span = max(hi - lo + 1 - length + 1, 1)
+    lo = df.agg(F.min(day)).scalar()  # lazy scalar subqueries
+    hi = df.agg(F.max(day)).scalar()
+    span = F.greatest(hi - lo + 1 - length + 1, F.lit(1))
     spark = df.sparkSession
     starts = spark.range(cycles).select(
         F.col("id").cast("int").alias("cycle"),
-        (F.lit(lo) + F.pmod(hash_int(F.concat(F.col("id").cast("string"), F.lit("_"), F.lit(str(seed)))),
-                            F.lit(span))).cast("int").alias("_start"))
+        (lo + F.pmod(hash_int(F.concat(F.col("id").cast("string"), F.lit("_"), F.lit(str(seed)))),
+                     span)).cast("int").alias("_start"))
     cond = (F.col(day) >= F.col("_start")) & (F.col(day) < F.col("_start") + length)
     return df.join(F.broadcast(starts), cond).drop("_start")
 
@@ -112,12 +113,12 @@ def draw(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
     Rows are numbered in key order with the bucketed global numbering, then
     draws equi-join on the row number (no pair enumeration)."""
-    count = df.count()
+    count = df.agg(F.count("*")).scalar()  # lazy scalar subquery
     numbered = global_row_number(df, [key])
     spark = df.sparkSession
     draws = spark.range(n).select(
         F.col("id").alias("draw"),
-        (F.pmod(hash_int(F.concat(F.col("id").cast("string"), F.lit("_"), F.lit(str(seed)))), F.lit(count)) + 1)
+        (F.pmod(hash_int(F.concat(F.col("id").cast("string"), F.lit("_"), F.lit(str(seed)))), count) + 1)
         .alias("rn"))
     return draws.join(numbered, "rn").drop("rn")
 

@@ -134,8 +134,8 @@ def kl_knn(p: DataFrame, q: DataFrame, pid: str, qid: str, coords: Sequence[str]
     (ln m - ln(n-1) + d·(mean ln nu_k - mean ln rho_k)) / ln(base), where
     rho_k is the k-th neighbour distance inside p (self excluded) and nu_k
     the k-th neighbour distance from p to q."""
-    n = p.count()
-    m = q.count()
+    n = p.agg(F.count("*")).scalar()  # lazy scalar subqueries
+    m = q.agg(F.count("*")).scalar()
     d = len(coords)
     q2 = q.withColumnRenamed(qid, "_qid")
     rho = knn_self(p, pid, coords, k, metric)
@@ -143,8 +143,8 @@ def kl_knn(p: DataFrame, q: DataFrame, pid: str, qid: str, coords: Sequence[str]
     r = kth_distance(rho, pid, k).withColumnRenamed("kdist", "rho")
     v = kth_distance(nu, pid, k).withColumnRenamed("kdist", "nu")
     j = r.join(v, pid)
-    const = math.log(m) - math.log(n - 1)
-    return j.agg(((F.lit(const) + F.lit(float(d)) * (F.avg(F.log("nu")) - F.avg(F.log("rho"))))
+    const = F.log(m.cast("double")) - F.log((n - 1).cast("double"))
+    return j.agg(((const + F.lit(float(d)) * (F.avg(F.log("nu")) - F.avg(F.log("rho"))))
                   / F.lit(math.log(base))).alias("kl"))
 
 
