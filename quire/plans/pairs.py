@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 DEFAULT_BLOCK = 2048
 GID = "_gid"
 
@@ -36,6 +38,12 @@ def block_cogroup(left: DataFrame, right: DataFrame, group: Sequence[str], left_
     ``block_size * pack_factor`` rows per task, since they only pair within
     themselves.  Both frames carry ``_gid`` (a hash of the group key); ``fn``
     must only combine rows with equal ``_gid`` (see ``pair_index``)."""
+    # the inputs feed four branches (group counts, total, both replicated
+    # sides): write each once to the shared checkpoint folder instead of
+    # recomputing a derived input four times
+    same_input = right is left
+    left = cut_lineage(left)
+    right = left if same_input else cut_lineage(right)
     keys = list(group) or ["_g"]
     if not group:
         same0 = right is left
