@@ -162,7 +162,7 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: DataFram
     got = select_copies(docs, levels, weights, id_col=id_col, text_col=text_col, **options) \
         .groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")) \
         .agg(F.max("tokens").alias("mix_tokens"), F.max("copies").alias("__n"))
-    out = docs.join(got, docs[id_col].cast("long").eqNullSafe(F.col("__id"))
+    out = docs.join(got.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id"))
                     & (F.xxhash64(docs[text_col]) == F.col("__key")))
     return out.select(*[docs[c] for c in docs.columns], "mix_tokens",
                       F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_epoch"))

@@ -156,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     "bench-spots")
     with_text = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("dk"),
                             F.col(text_col).alias("t"))
-    with_text = per_doc.join(with_text, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("dk"))) \
+    with_text = with_text.join(per_doc.hint("merge"), F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("dk"))) \
         .select("id", "key", "spots", "t").dropDuplicates(["id", "key"])
 
     def cut(batches):
@@ -220,5 +220,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """``docs`` without the documents that hold a benchmark passage."""
     bad = table(leaks(docs, benchmark, id_col, text_col, **options).select("id", "key").distinct(), "bench-leaks") \
         .select(F.col("id").alias("__leak_id"), F.col("key").alias("__leak_key"))
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__leak_id"))
+    return docs.join(bad.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__leak_id"))
                      & (F.xxhash64(docs[text_col]) == F.col("__leak_key")), "left_anti")

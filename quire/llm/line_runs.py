@@ -182,7 +182,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``__deleted`` (lines deleted)."""
     gone = table(deleted_lines(docs, id_col, text_col, min_words), "line-deleted") \
         .select(F.col("__id").alias("__gone_id"), F.col("__key").alias("__gone_key"), F.col("lines").alias("__lines"))
-    joined = docs.join(gone, (F.xxhash64(docs[text_col]) == F.col("__gone_key"))
+    # merge: neither side has a bound that would allow a broadcast
+    joined = docs.join(gone.hint("merge"), (F.xxhash64(docs[text_col]) == F.col("__gone_key"))
                        & docs[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import budget_mix, decontaminate, kn_quality, line_runs, simhash_trie
+from quire.llm import (
+    ann_partitions,
+    budget_mix,
+    chat_masks,
+    decontaminate,
+    ef_trie_lm,
+    kn_quality,
+    license_scan,
+    line_runs,
+    simhash_trie,
+    site_style,
+)
 from quire.session import ensure_checkpoint_dir, ship_package
 from quire.sources.tables import read_table
 
@@ -110,3 +121,40 @@ def op9_line_runs(spark, sf_dir):
     """All documents with later copies of repeated line runs (50 words or more) deleted."""
     out = line_runs.drop_repeats(read_table(spark, sf_dir, "documents"), min_words=50)
     return out.select("doc_id", "text", F.col("__deleted").alias("n_deleted"))
+
+
+@query
+def op1_learned_partitions(spark, sf_dir):
+    """20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann_partitions.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+CONTROL_CASE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op3_chat_masks(spark, sf_dir):
+    """Formatted conversations with loss masks, as digests read back from the output."""
+    cols = ["conv_id", "turn", "role", "text"]
+    case = spark.createDataFrame([(-1, 0, "user", CONTROL_CASE), (-1, 1, "assistant", CONTROL_CASE)],
+                                 "conv_id long, turn long, role string, text string")
+    talks = read_table(spark, sf_dir, "conversations").select(*cols).unionByName(case)
+    return chat_masks.digests(chat_masks.format_conversations(talks))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    """License phrases and fuzzy notices of all documents."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op8_ef_trie_lm(spark, sf_dir):
+    """Log probabilities of all documents under the Elias-Fano bigram model."""
+    return ef_trie_lm.score(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_site_style(spark, sf_dir):
+    """Main text of all pages."""
+    return site_style.extract(read_table(spark, sf_dir, "pages"))

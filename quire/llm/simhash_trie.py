@@ -245,7 +245,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")) \
         .agg(F.count("*").alias("__rows"))
     cols = [docs[c] for c in docs.columns]
-    found = docs.join(kept, docs[id_col] == F.col("__id"))
+    found = docs.join(kept.hint("merge"), docs[id_col] == F.col("__id"))
     once = found.where("__rows = 1").select(*cols)
     again = found.where("__rows > 1").groupBy("__id") \
         .agg(F.min_by(F.struct(*cols), F.struct(docs[text_col])).alias("__row")).select("__row.*")
