@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.words import BY_SPACE, GOLD, blocks, mix
 
-BLOCK_BYTES = 4 << 20
-CLASSES = 16
+BLOCK_BYTES = 8 << 20
+CLASSES = 4
+CTX_BYTES, WORD_BYTES = 6, 5  # hash bytes that name a context, and a word below its context, between tasks
 STEP = 0.04
 UNSEEN = 255
 DISCOUNT = 0.75
@@ -233,7 +234,7 @@ def _value(code: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------- blocks
 
 def _class(w: np.ndarray) -> np.ndarray:
-    return ((w * GOLD) >> np.uint64(60)).astype(np.int64)  # CLASSES = 16
+    return ((w * GOLD) >> np.uint64(62)).astype(np.int64)  # CLASSES = 4
 
 
 class Block:
@@ -262,6 +263,8 @@ class Block:
         w2 = self.words[self.second]
         # context = word before, with the class of the word that follows
         self.ctx = mix(names[self.ctx_word] ^ mix(_class(w2).astype(np.uint64) + np.uint64(1)))
+        self.ctx &= np.uint64((1 << 8 * CTX_BYTES) - 1)
+        self.below = w2 & np.uint64((1 << 8 * WORD_BYTES) - 1)
         on = train[self.doc]
         self.word_count = np.bincount(self.word_of[on], minlength=len(self.words))
         self.bigram_count = np.bincount(self.bigram_of[on], minlength=len(code))
@@ -290,6 +293,17 @@ REQUEST = "shard int, block int, words binary, word_count binary, ctx binary, ct
 ANSWER = "block int, shard int, word_count binary, codes binary, backoff binary, total binary, class_count binary, class_types binary"
 
 
+def _narrow(v: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number."""
+    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _widen(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
+    return out.view("<u8").reshape(-1)
+
+
 def _ask(shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b = Block(pdf["t"].tolist(), pdf["train"].to_numpy(bool), shards)
@@ -298,16 +312,17 @@ def _ask(shards: int):
             w, g = b.of_words(s), b.of_bigrams(s)
             ctx, run = _runs(b.ctx[g])
             rows.append((s, int(pdf["block"].iloc[0]), b.words[w].tobytes(), b.word_count[w].astype("<i4").tobytes(),
-                         ctx.tobytes(), run.astype("<i4").tobytes(), b.words[b.second[g]].tobytes(),
+                         _narrow(ctx, CTX_BYTES), run.astype("<i4").tobytes(), _narrow(b.below[g], WORD_BYTES),
                          b.bigram_count[g].astype("<i4").tobytes()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in REQUEST.split(", ")])
     return run
 
 
-def _read(rows: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a binary column and where each row's end."""
-    parts = [np.frombuffer(x, dtype=kind) for x in rows]
-    return np.concatenate(parts) if parts else np.empty(0, kind), np.cumsum([len(p) for p in parts])
+def _read(rows: pd.Series, kind: str | int) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column (of a type, or of so many bytes) and
+    where each row's end."""
+    parts = [_widen(x, kind) if isinstance(kind, int) else np.frombuffer(x, dtype=kind) for x in rows]
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 def build_shard(ctx: np.ndarray, second: np.ndarray, count: np.ndarray):
@@ -331,9 +346,9 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     per_class = np.bincount(kind, total, CLASSES).astype(np.int64)
     types = np.bincount(kind, total > 0, CLASSES).astype(np.int64)
 
-    ctx, ctx_end = _read(pdf["ctx"], "<u8")
+    ctx, ctx_end = _read(pdf["ctx"], CTX_BYTES)
     run, _ = _read(pdf["ctx_run"], "<i4")
-    second, second_end = _read(pdf["second"], "<u8")
+    second, second_end = _read(pdf["second"], WORD_BYTES)
     times, _ = _read(pdf["bigram_count"], "<i4")
     vocab, second_no = np.unique(second, return_inverse=True)
     ctxs, ctx_no = np.unique(ctx, return_inverse=True)
