@@ -50,12 +50,18 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
 
 
 def bit_table(seeds: DataFrame) -> np.ndarray:
-    """Fixed-size bit table of the hashes in column g (at most 2**BITS bits)."""
+    """Fixed-size bit table of the hashes in column g (2**BITS bits)."""
+
+    def pack(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"w": [pdf["w"].to_numpy(np.int32).tobytes()], "b": [pdf["b"].to_numpy(np.int64).tobytes()]})
+
     rows = seeds.select(F.expr(f"shiftright(g & {(1 << BITS) - 1}L, 6)").cast("int").alias("w"),
                         F.expr("shiftleft(1L, cast(g & 63 as int))").alias("b")) \
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        .groupBy("w").agg(F.bit_or("b").alias("b")).mapInPandas(pack, "w binary, b binary")
     bits = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    for r in rows.toLocalIterator():
+        bits[np.frombuffer(r["w"], np.int32)] = np.frombuffer(r["b"], np.int64).view(np.uint64)
     return bits
 
 
