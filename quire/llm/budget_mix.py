@@ -160,9 +160,10 @@ def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: DataFram
     """``docs`` as selected, one row per copy, plus ``mix_tokens`` and
     ``mix_epoch`` (0, 1, ...).  Options as in ``select_copies``."""
     got = select_copies(docs, levels, weights, id_col=id_col, text_col=text_col, **options) \
-        .groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")) \
-        .agg(F.max("tokens").alias("mix_tokens"), F.max("copies").alias("__n"))
-    out = docs.join(got.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id"))
-                    & (F.xxhash64(docs[text_col]) == F.col("__key")))
-    return out.select(*[docs[c] for c in docs.columns], "mix_tokens",
-                      F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_epoch"))
+        .groupBy(F.col("id").alias("__mix_id"), F.col("text_key").alias("__mix_key")) \
+        .agg(F.max("tokens").alias("mix_tokens"), F.max("copies").alias("__mix_copies"))
+    # merge: neither side has a bound that would allow a broadcast
+    out = docs.join(got.hint("merge"), docs[id_col].cast("long").eqNullSafe(got["__mix_id"])
+                    & (F.xxhash64(docs[text_col]) == got["__mix_key"]))
+    return out.select(*[docs[c] for c in docs.columns], got["mix_tokens"],
+                      F.explode(F.sequence(F.lit(0), got["__mix_copies"] - 1)).alias("mix_epoch"))

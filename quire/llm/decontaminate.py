@@ -5,9 +5,8 @@
    the number of items) goes to the tasks, which scan whole documents and
    write only n-grams that may be in a benchmark; the join with the item
    n-grams drops the chance hits of the bit table.
-2. Document frequencies are counted over all documents; the rarest
-   ``share`` of each item's n-grams are its seeds (at least ``least`` of
-   them).  The rank is inside the item, so an item copied into a third of the
+2. Document frequencies are counted over all documents; of each item's n-grams
+   that occur at all, the rarest ``share`` are its seeds (at least ``least``).  The rank is inside the item, so an item copied into a third of the
    corpus keeps its seeds.
 3. Seed hits of one document and item that lie near each other make one
    passage (two item lengths to both sides); passages and items are aligned
@@ -148,7 +147,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     every = table(hits(docs, item.select("g").distinct(), n, id_col, text_col), "bench-hits")
     df = every.groupBy("g", "id", "key").agg(F.lit(1)).groupBy("g").agg(F.count("*").alias("df"))
     rank = Window.partitionBy("item_id").orderBy("df", "g")
-    seeds = item.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(0))) \
+    seeds = item.join(df, "g") \
         .withColumn("r", F.row_number().over(rank)) \
         .withColumn("of", F.count("*").over(Window.partitionBy("item_id"))) \
         .where(F.col("r") <= F.greatest(F.lit(least), F.ceil(F.col("of") * share))) \

@@ -88,6 +88,8 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
                     rows["h1"].append(int.from_bytes(h[:8], "little", signed=True))
                     rows["h2"].append(int.from_bytes(h[8:], "little", signed=True))
                     rows["lens"].append(lens)
+            if not rows["ord"]:
+                continue
             out = pd.DataFrame(rows)
             out["__id"] = out["__id"].astype("Int64")
             yield out

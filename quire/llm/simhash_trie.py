@@ -242,12 +242,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their whole group has no id (then one of them stays).
     """
     groups = table(near_groups(docs, id_col, text_col, shingle, max_bits), "simhash-rows")
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")) \
-        .agg(F.count("*").alias("__rows"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")) \
+        .agg(F.count("*").alias("__kept_rows"))
     cols = [docs[c] for c in docs.columns]
-    found = docs.join(kept.hint("merge"), docs[id_col] == F.col("__id"))
-    once = found.where("__rows = 1").select(*cols)
-    again = found.where("__rows > 1").groupBy("__id") \
+    found = docs.join(kept.hint("merge"), docs[id_col] == F.col("__kept_id"))
+    once = found.where("__kept_rows = 1").select(*cols)
+    again = found.where("__kept_rows > 1").groupBy("__kept_id") \
         .agg(F.min_by(F.struct(*cols), F.struct(docs[text_col])).alias("__row")).select("__row.*")
     lone = groups.where("component_id is null").select("fingerprint").distinct()
     return once.unionByName(again).unionByName(_null_rows(docs, lone, id_col, text_col, shingle))
