@@ -44,6 +44,8 @@ def outcome(df: DataFrame, key: str, order: str, ok: str, max_runs: int = 2, max
     need = F.when(F.col("_island") == 0, F.lit(max_iters)).otherwise(F.lit(max_iters - 1))
     fail_hit = (o == 0) & (F.col("_fno") == need) & (F.col("_island") < max_runs)
     succ_hit = (o == 1) & (F.col("_succ") == max_runs)
+    if max_iters <= 1:  # the counter is spent after any first event, a success too
+        fail_hit, succ_hit = F.lit(True), F.lit(False)
     aggs = [F.min(F.when(fail_hit, seq)).alias("_f"), F.min(F.when(succ_hit, seq)).alias("_s")]
     if done is not None:
         aggs.append(F.min(F.when(F.col(done).cast("boolean"), seq)).alias("_d"))

@@ -90,19 +90,19 @@ def pair_distance_stats(points: DataFrame, group: Sequence[str], pid: str, coord
         *keys, "n_pairs", mean.alias("mean_dist"), (F.col("_s2") / F.col("n_pairs") - mean * mean).alias("var_dist"))
 
 
-def _closest(oa, da, ob, db):
-    """Vectorised closest point of two line families (broadcast arrays)."""
-    da = da / np.linalg.norm(da, axis=-1, keepdims=True)
-    db = db / np.linalg.norm(db, axis=-1, keepdims=True)
-    c = np.cross(da, db)
-    denom = (c * c).sum(-1)
-    t = ob - oa
-    ta = (t * np.cross(db, c)).sum(-1) / (denom + 1e-10)
-    tb = (t * np.cross(da, c)).sum(-1) / (denom + 1e-10)
-    ta = np.minimum(ta, 0.0)
-    tb = np.minimum(tb, 0.0)
-    p = (oa + ta[..., None] * da + ob + tb[..., None] * db) * 0.5
-    return p, denom
+def _midpoints(p: np.ndarray, u: np.ndarray, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Midpoint of the shortest segment between lines p + s*u and q + t*v, with
+    s, t <= 0, and sin^2 of the angle between them (row by row).
+
+    For unit directions the normal equations s - k*t = w.u and k*s - t = w.v
+    (k = u.v, w = q - p) give s and t over 1 - k^2.
+    """
+    u, v = (x / np.sqrt((x * x).sum(-1, keepdims=True)) for x in (u, v))
+    w, cross = q - p, np.cross(u, v)
+    sin2 = (cross * cross).sum(-1)
+    k, wu, wv = (u * v).sum(-1), (w * u).sum(-1), (w * v).sum(-1)
+    s, t = ((x / (sin2 + 1e-10)).clip(max=0.0) for x in (wu - k * wv, k * wu - wv))
+    return (p + q + s[..., None] * u + t[..., None] * v) / 2, sin2
 
 
 def focus_point(lines: DataFrame, group: Sequence[str], lid: str, o: Sequence[str], d: Sequence[str],
@@ -118,7 +118,7 @@ def focus_point(lines: DataFrame, group: Sequence[str], lid: str, o: Sequence[st
         i, j = pair_index(lp, rp)
         oa, da = lp[oc].to_numpy(float)[i], lp[dc].to_numpy(float)[i]
         ob, db = rp[oc].to_numpy(float)[j], rp[dc].to_numpy(float)[j]
-        p, w = _closest(oa, da, ob, db)
+        p, w = _midpoints(oa, da, ob, db)
         ww = np.where(w > min_weight, w, 0.0)
         n = len(lp)
         return group_sums(lp, keys, {"w": per_left(i, ww, n), "px": per_left(i, p[:, 0] * ww, n),
@@ -357,33 +357,35 @@ def quat_to_matrix(w: Column, x: Column, y: Column, z: Column) -> list[list[Colu
 
 
 def align(a: Sequence[Column], b: Sequence[Column]) -> list[list[Column]]:
-    """Rotation taking direction a to direction b: I + K + K²(1-c)/(s²+1e-10)."""
-    a = _norm(list(a))
-    b = _norm(list(b))
-    v = _cross(a, b)
-    c = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    s2 = v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
-    k = [[F.lit(0.0), -v[2], v[1]], [v[2], F.lit(0.0), -v[0]], [-v[1], v[0], F.lit(0.0)]]
-    kk = [[sum(k[i][m] * k[m][j] for m in range(3)) for j in range(3)] for i in range(3)]
-    f = (1 - c) / (s2 + 1e-10)
-    return [[F.lit(1.0 if i == j else 0.0) + k[i][j] + kk[i][j] * f for j in range(3)] for i in range(3)]
+    """Rotation taking direction a to direction b (Rodrigues): with axis n = a x b
+    and g = (1 - a.b) / (|n|^2 + 1e-10), entry ij is delta_ij (1 - g |n|^2)
+    + g n_i n_j + (n x)_ij."""
+    p, q = _norm(list(a)), _norm(list(b))
+    n = _cross(p, q)
+    size = sum((x * x for x in n[1:]), n[0] * n[0])
+    g = (1 - sum((x * y for x, y in zip(p[1:], q[1:])), p[0] * q[0])) / (size + 1e-10)
+
+    def entry(i: int, j: int) -> Column:
+        if i == j:
+            return 1 - g * size + g * n[i] * n[i]
+        third, sign = 3 - i - j, 1 if (j - i) % 3 == 2 else -1
+        return g * n[i] * n[j] + sign * n[third]
+
+    return [[entry(i, j) for j in range(3)] for i in range(3)]
 
 
 def ndc(h: int, w: int, focal: float, near: float, o: Sequence[Column], d: Sequence[Column],
         blender: bool = False) -> tuple[list[Column], list[Column]]:
-    """Normalised device coordinates of rays (OpenCV or Blender sign form)."""
-    s = -1.0 if blender else 1.0
-    t = (-(F.lit(near) + o[2]) if blender else (F.lit(near) - o[2])) / d[2]
-    oo = [o[i] + t * d[i] for i in range(3)]
-    ax = s / (w / (2.0 * focal))
-    ay = s / (h / (2.0 * focal))
-    o0 = ax * oo[0] / oo[2]
-    o1 = ay * oo[1] / oo[2]
-    o2 = 1.0 + 2.0 * near / oo[2] if blender else 1.0 - 2.0 * near / oo[2]
-    d0 = ax * (d[0] / d[2] - oo[0] / oo[2])
-    d1 = ay * (d[1] / d[2] - oo[1] / oo[2])
-    d2 = (-2.0 if blender else 2.0) * near / oo[2]
-    return [o0, o1, F.lit(1.0) * o2], [d0, d1, d2]
+    """Normalised device coordinates of rays.  The camera looks along +z
+    (OpenCV form) or -z (Blender form); origins move to the near plane first."""
+    look = -1.0 if blender else 1.0
+    depth = (look * near - o[2]) / d[2]
+    at = [p + depth * q for p, q in zip(o, d)]
+    zoom = [look * 2.0 * focal / side for side in (w, h)]
+    ahead = look * 2.0 * near / at[2]
+    origin = [f * at[i] / at[2] for i, f in enumerate(zoom)] + [1.0 - ahead]
+    toward = [f * (d[i] / d[2] - at[i] / at[2]) for i, f in enumerate(zoom)] + [ahead]
+    return origin, toward
 
 
 def sample_points(rays: DataFrame, n: int, near: Column | float, far: Column | float, disparity: bool = False,

@@ -2,15 +2,15 @@
 pair tables, and SSIM per image pair.
 
 Plug-ins are the Python slow path by nature; each runs vectorised per
-batch (``mapInPandas``) or per bounded group (``applyInPandas``, one image
-per group), never per row through a row-at-a-time UDF.
+batch (``mapInPandas``), never per row through a row-at-a-time UDF.  SSIM needs
+no Python: it is grouped window sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,53 +55,45 @@ def binary_table(elements: DataFrame, col: str, p: int, op: Callable[[Column, Co
     return t.withColumn("c", op(F.col("a"), F.col("b")))
 
 
-def _gauss(filter_size: int, sigma: float) -> np.ndarray:
-    hw = filter_size // 2
-    shift = (2 * hw - filter_size + 1) / 2
-    f = np.exp(-0.5 * ((np.arange(filter_size) - hw + shift) / sigma) ** 2)
-    return f / f.sum()
+def _bell(size: int, sigma: float) -> list[float]:
+    """Normalised Gaussian weights of a window of ``size`` places."""
+    raw = [math.exp(-((i - (size - 1) / 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
+    return [v / sum(raw) for v in raw]
 
 
-def _blur(z: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Separable 'valid' convolution along rows then columns."""
-    rows = np.apply_along_axis(lambda v: np.convolve(v, f, mode="valid"), 0, z)
-    return np.apply_along_axis(lambda v: np.convolve(v, f, mode="valid"), 1, rows)
-
-
-def ssim_arrays(img0: np.ndarray, img1: np.ndarray, max_val: float, filter_size: int = 11,
-                filter_sigma: float = 1.5, k1: float = 0.01, k2: float = 0.03) -> float:
-    """Mean SSIM of two H×W×C arrays (Gaussian window, valid mode, clipped
-    variances and covariances)."""
-    f = _gauss(filter_size, filter_sigma)
-
-    def filt(z):
-        return np.stack([_blur(z[..., i], f) for i in range(z.shape[-1])], -1)
-
-    mu0, mu1 = filt(img0), filt(img1)
-    mu00, mu11, mu01 = mu0 * mu0, mu1 * mu1, mu0 * mu1
-    s00 = np.maximum(0.0, filt(img0 ** 2) - mu00)
-    s11 = np.maximum(0.0, filt(img1 ** 2) - mu11)
-    s01 = filt(img0 * img1) - mu01
-    s01 = np.sign(s01) * np.minimum(np.sqrt(s00 * s11), np.abs(s01))
-    c1, c2 = (k1 * max_val) ** 2, (k2 * max_val) ** 2
-    m = ((2 * mu01 + c1) * (2 * s01 + c2)) / ((mu00 + mu11 + c1) * (s00 + s11 + c2))
-    return float(np.mean(m))
+def _windowed(df: DataFrame, keys: list[str], axis: str, values: list[str], weights: list[float], last: int) -> DataFrame:
+    """Weighted sums over windows along ``axis``: every row is added to the
+    windows that cover it (start 0..last), then the windows are summed."""
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(weights)])
+    e = df.select(*keys, axis, *values, F.explode(taps).alias("_tap"))
+    e = e.withColumn(axis, F.col(axis) - F.col("_tap.i")).where(F.col(axis).between(0, last))
+    return e.groupBy(*keys, axis).agg(*[F.sum(F.col(c) * F.col("_tap.v")).alias(c) for c in values])
 
 
 def ssim(pixels: DataFrame, image: str, r: str, c: str, a: str, b: str, h: int, w: int, max_val: float,
-         channel: str | None = None) -> DataFrame:
-    """SSIM per image pair from long pixel rows (missing pixels are 0).
-    One image per ``applyInPandas`` group: bounded by the image size."""
-    itype = dict(pixels.dtypes)[image]
-    cols = [image, r, c, a, b] + ([channel] if channel else [])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        ch = pdf[channel].to_numpy().astype(int) if channel else np.zeros(len(pdf), dtype=int)
-        nc = int(ch.max()) + 1 if len(ch) else 1
-        x0 = np.zeros((h, w, nc))
-        x1 = np.zeros((h, w, nc))
-        x0[pdf[r].to_numpy().astype(int), pdf[c].to_numpy().astype(int), ch] = pdf[a].to_numpy(float)
-        x1[pdf[r].to_numpy().astype(int), pdf[c].to_numpy().astype(int), ch] = pdf[b].to_numpy(float)
-        return pd.DataFrame({image: [pdf[image].iloc[0]], "ssim": [ssim_arrays(x0, x1, max_val)]})
-
-    return pixels.select(*cols).groupBy(image).applyInPandas(fn, f"{image} {itype}, ssim double")
+         channel: str | None = None, size: int = 11, sigma: float = 1.5, k1: float = 0.01, k2: float = 0.03) -> DataFrame:
+    """Mean SSIM per image pair from long pixel rows (missing pixels are 0):
+    Gaussian windows that lie inside the image, variances not below 0, the
+    covariance not above the geometric mean of the variances.
+
+    The window sums are two grouped passes (along rows, then along columns), so
+    the work is spread over pixels; a window without any pixel counts as 1.
+    """
+    keys = [image] + ([channel] if channel else [])
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    m = pixels.select(*keys, F.col(r).cast("int").alias("_r"), F.col(c).cast("int").alias("_c"), x.alias("_x"), y.alias("_y"),
+                      (x * x).alias("_xx"), (y * y).alias("_yy"), (x * y).alias("_xy"))
+    names, bell = ["_x", "_y", "_xx", "_yy", "_xy"], _bell(size, sigma)
+    m = _windowed(m, [*keys, "_c"], "_r", names, bell, h - size)
+    m = _windowed(m, [*keys, "_r"], "_c", names, bell, w - size)
+    px, py = F.col("_x"), F.col("_y")
+    vx, vy = (F.greatest(F.col(q) - e * e, F.lit(0.0)) for q, e in (("_xx", px), ("_yy", py)))
+    cov = F.col("_xy") - px * py
+    cov = F.signum(cov) * F.least(F.abs(cov), F.sqrt(vx * vy))
+    f1, f2 = (k1 * max_val) ** 2, (k2 * max_val) ** 2
+    like = (2 * px * py + f1) * (2 * cov + f2) / ((px * px + py * py + f1) * (vx + vy + f2))
+    places = (h - size + 1) * (w - size + 1)
+    n = F.countDistinct(channel) if channel else F.lit(1)
+    per = m.groupBy(image).agg(F.sum(like).alias("_s"), F.count("*").alias("_n"), n.alias("_k"))
+    total = F.col("_k") * places
+    return per.select(image, ((F.col("_s") + total - F.col("_n")) / total).alias("ssim"))

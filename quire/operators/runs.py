@@ -120,7 +120,7 @@ def parse_key(c: Column) -> Column:
     return F.struct(
         parts.getItem(0).alias("dataset"),
         parts.getItem(1).alias("seed"),
-        F.array_join(F.slice(parts, 3, 1000), "_").alias("kind"),
+        F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1))), "_").alias("kind"),
     )
 
 

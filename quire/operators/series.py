@@ -194,144 +194,47 @@ def gaps(df: DataFrame, key: Sequence[str], order: str, x: str, pad: float = 1e1
 AFFINE = T.StructType([T.StructField("A", T.DoubleType()), T.StructField("C", T.DoubleType())])
 
 
-def ema_decay(step_after: Column, update_after: int, inv_gamma: float, power: float, min_value: float,
-              beta: float) -> Column:
-    """Decay used at 0-based update ``step_after``-th call (counter already +1)."""
-    epoch = F.greatest(step_after - update_after - 1, F.lit(0)).cast("double")
-    value = 1 - F.pow(1 + epoch / inv_gamma, F.lit(-power))
-    return F.when(epoch <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(value, F.lit(min_value)), F.lit(beta)))
-
-
-def _compose_block(pdf: pd.DataFrame, idx: str) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Exclusive prefix maps inside one block (sorted) and the block total."""
-    pdf = pdf.sort_values(idx)
-    a = pdf["A"].to_numpy(dtype=float)
-    c = pdf["C"].to_numpy(dtype=float)
-    pa = np.empty(len(a))
-    pc = np.empty(len(a))
-    A, C = 1.0, 0.0
-    for t in range(len(a)):
-        pa[t], pc[t] = A, C
-        A, C = a[t] * A, a[t] * C + c[t]
-    return pa, pc, A, C
-
-
-def affine_scan(df: DataFrame, key: str, idx: str, block: int = 4096) -> DataFrame:
-    """Exclusive prefix composition of affine maps e -> A*e + C, per key, in
-    ``idx`` order.  Blocks of at most ``block`` maps are folded in pandas
-    (``applyInPandas`` on bounded groups); block totals are scanned the same
-    way, recursively, so no group ever exceeds ``block`` rows.
-    Output: (key, idx, PA, PC)."""
-    ktype = dict(df.dtypes)[key]
-    schema = f"{key} {ktype}, {idx} long, PA double, PC double"
-    max_n = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if max_n <= block:
-        def fn(pdf):
-            pa, pc, _, _ = _compose_block(pdf, idx)
-            s = pdf.sort_values(idx)
-            return pd.DataFrame({key: s[key].to_numpy(), idx: s[idx].to_numpy(dtype="int64"), "PA": pa, "PC": pc})
-        return df.select(key, idx, "A", "C").groupBy(key).applyInPandas(fn, schema)
-    blk = df.select(key, idx, "A", "C").withColumn("_blk", F.floor(F.col(idx) / block).cast("long"))
-
-    def local(pdf):
-        pa, pc, A, C = _compose_block(pdf, idx)
-        s = pdf.sort_values(idx)
-        return pd.DataFrame({key: s[key].to_numpy(), idx: s[idx].to_numpy(dtype="int64"), "_blk": s["_blk"].to_numpy(),
-                             "LA": pa, "LC": pc, "TA": A, "TC": C})
-    loc = blk.groupBy(key, "_blk").applyInPandas(
-        local, f"{key} {ktype}, {idx} long, _blk long, LA double, LC double, TA double, TC double")
-    totals = loc.groupBy(key, "_blk").agg(F.first("TA").alias("A"), F.first("TC").alias("C"))
-    pre = affine_scan(totals.withColumnRenamed("_blk", "_bi"), key, "_bi", block) \
-        .withColumnRenamed("_bi", "_blk").withColumnRenamed("PA", "BA").withColumnRenamed("PC", "BC")
-    j = loc.join(pre, [key, "_blk"])
-    # prefix = local prefix applied after the block prefix
-    return j.select(key, idx, (F.col("LA") * F.col("BA")).alias("PA"),
-                    (F.col("LA") * F.col("BC") + F.col("LC")).alias("PC"))
-
-
-def _ema_step(k: int, x: float, e: float, initted: bool, beta: float, update_after: int, update_every: int,
-              inv_gamma: float, power: float, min_value: float) -> tuple[float, bool]:
-    """One call of the update schedule (call index k, 0-based)."""
-    if k % update_every != 0:
-        return e, initted
-    if k <= update_after:
-        return x, initted
-    if not initted:
-        e, initted = x, True
-    epoch = max(k + 1 - update_after - 1, 0)
-    d = 0.0 if epoch <= 0 else min(max(1 - (1 + epoch / inv_gamma) ** -power, min_value), beta)
-    return e + (x - e) * (1 - d), initted
-
-
-def _ema_loop(x: np.ndarray, beta: float, update_after: int, update_every: int, inv_gamma: float,
-              power: float, min_value: float) -> np.ndarray:
-    """The update schedule as a plain loop over one bounded, ordered series."""
-    out = np.empty(len(x))
-    e = x[0] if len(x) else 0.0
-    initted = False
-    for k in range(len(x)):
-        e, initted = _ema_step(k, float(x[k]), e, initted, beta, update_after, update_every, inv_gamma, power,
-                               min_value)
-        out[k] = e
-    return out
+def ema_gain(step: np.ndarray, beta: float, after: int, every: int, gamma: float, power: float, least: float) -> np.ndarray:
+    """How far the average moves to the value at each step (0-based): not at
+    all between updates, all the way up to ``after`` and at the first update
+    beyond it, then 1 - decay with decay = 1 - (1 + n / gamma) ** -power,
+    n = step - after, kept within [least, beta]."""
+    past = np.maximum(step - after, 0)
+    move = 1.0 - np.clip(1.0 - (1.0 + past / gamma) ** -power, least, beta)
+    whole = (step <= after) | (step < (after // every + 1) * every + 1)
+    return np.where(step % every != 0, 0.0, np.where(whole, 1.0, move))
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, beta: float = 0.9999, update_after: int = 100,
-        update_every: int = 10, inv_gamma: float = 1.0, power: float = 2 / 3, min_value: float = 0.0,
-        block: int = 4096) -> DataFrame:
-    """EMA of a series with the update schedule of the diffusion template:
-    call k (0-based) is skipped unless k % update_every == 0; while
-    k <= update_after the average copies the value; afterwards it moves by
-    1 - decay(k).  The starting average is the first value of the key.
-
-    Keys of at most ``block`` rows (checked with one aggregate) run the
-    recurrence in one sorted ``mapInPandas`` pass.  Larger keys use the
-    blocked associative scan of affine maps (``affine_scan``), so a hot key
-    is split over many bounded tasks."""
-    max_n = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        update_every: int = 10, inv_gamma: float = 1.0, power: float = 2 / 3, min_value: float = 0.0) -> DataFrame:
+    """EMA of a series with a warm-up schedule (see ``ema_gain``); the average
+    starts at the first value of the key.
+
+    One algorithm at every size: rows are hashed by key and sorted, and one
+    ``mapInPandas`` pass carries (key, step, average) across Arrow batches, so
+    memory does not grow with the length of a series."""
     ktype = dict(df.dtypes)[key]
-    if max_n <= block:
-        # bounded keys: hash-partition on the key, sort inside partitions and
-        # run the recurrence in one mapInPandas pass (one Python call per Arrow
-        # batch, state carried across batch boundaries of a partition)
-        params = (beta, update_after, update_every, inv_gamma, power, min_value)
-
-        def run(batches):
-            cur, k, e, initted = None, 0, 0.0, False
-            for pdf in batches:
-                keys = pdf[key].to_numpy()
-                x = pdf[value].to_numpy(dtype=float)
-                out = np.empty(len(x))
-                steps = np.empty(len(x), dtype="int64")
-                for i in range(len(x)):
-                    if cur is None or keys[i] != cur:
-                        cur, k, e, initted = keys[i], 0, x[i], False
-                    e, initted = _ema_step(k, x[i], e, initted, *params)
-                    out[i] = e
-                    steps[i] = k
-                    k += 1
-                yield pd.DataFrame({key: keys, "step": steps, value: x, "ema": out})
-
-        part = df.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
-        return part.mapInPandas(run, f"{key} {ktype}, step long, {value} double, ema double")
-    p = positions(df, [key], [order], "_k")
-    k = F.col("_k")
-    x = F.col(value)
-    d = ema_decay(k + 1, update_after, inv_gamma, power, min_value, beta)
-    skip = F.pmod(k, F.lit(update_every)) != 0
-    # first non-skipped call after the warm-up copies too (average not yet initialised)
-    k_first = (update_after // update_every + 1) * update_every if update_after >= 0 else 0
-    copy = (k <= update_after) | (k == k_first) | (d == 0.0)
-    maps = p.select(key, "_k", x.alias("_x"),
-                    F.when(skip, F.lit(1.0)).when(copy, F.lit(0.0)).otherwise(d).alias("A"),
-                    F.when(skip, F.lit(0.0)).when(copy, x).otherwise((1 - d) * x).alias("C"))
-    pre = affine_scan(maps, key, "_k", block)
-    first = maps.groupBy(key).agg(F.min_by("_x", "_k").alias("_e0"))
-    j = maps.join(pre, [key, "_k"]).join(first, key)
-    # inclusive value = this row's map applied to the exclusive prefix value
-    before = F.col("PA") * F.col("_e0") + F.col("PC")
-    return j.select(key, F.col("_k").alias("step"), F.col("_x").alias(value),
-                    (F.col("A") * before + F.col("C")).alias("ema"))
+
+    def run(batches):
+        last, done, avg = None, 0, 0.0
+        for pdf in batches:
+            keys, x = pdf[key].to_numpy(), pdf[value].to_numpy(dtype=float)
+            if not len(x):
+                continue
+            fresh = np.concatenate(([last is None or keys[0] != last], keys[1:] != keys[:-1]))
+            place = np.arange(len(x))
+            since = np.maximum.accumulate(np.where(fresh, place, -1))
+            step = np.where(since >= 0, place - since, done + place)
+            gain = np.where(step == 0, 1.0, ema_gain(step, beta, update_after, update_every, inv_gamma, power, min_value))
+            out = np.empty(len(x))
+            for i in range(len(x)):  # a recurrence: each average needs the one before
+                avg = x[i] if step[i] == 0 else avg + (x[i] - avg) * gain[i]
+                out[i] = avg
+            last, done = keys[-1], int(step[-1]) + 1
+            yield pd.DataFrame({key: keys, "step": step.astype("int64"), value: x, "ema": out})
+
+    part = df.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
+    return part.mapInPandas(run, f"{key} {ktype}, step long, {value} double, ema double")
 
 
 # ------------------------------------------------------------- top-k softmax
@@ -421,18 +324,19 @@ def pair_from_index(idx: Column, n: int) -> tuple[Column, Column]:
 # --------------------------------------------------------- noise schedules
 
 
+# power of the value that grows evenly from start to end, per kind
+SCHEDULE_POWER = {"linear": 1, "quadratic": 2}
+
+
 def noise_schedule(spark, n: int, kind: str = "linear", beta_start: float = 0.0001,
                    beta_end: float = 0.02) -> DataFrame:
     """Per timestep: beta, alpha, alphas_cumprod (and shifted), sqrt factors.
     ``n`` rows: a bounded table (one row per timestep)."""
+    power = SCHEDULE_POWER[kind]
+    low, high = beta_start ** (1 / power), beta_end ** (1 / power)
     t = spark.range(n).select(F.col("id").cast("int").alias("t"))
-    frac = F.col("t") / F.lit(max(n - 1, 1))
-    if kind == "linear":
-        beta = F.lit(beta_start) + (beta_end - beta_start) * frac
-    elif kind == "quadratic":
-        beta = F.pow(F.lit(math.sqrt(beta_start)) + (math.sqrt(beta_end) - math.sqrt(beta_start)) * frac, 2)
-    else:
-        raise ValueError(f"Unknown beta schedule: {kind}")
+    even = F.lit(low) + (high - low) * F.col("t") / max(n - 1, 1)
+    beta = even if power == 1 else F.pow(even, power)
     s = t.select("t", beta.alias("beta"), (1 - beta).alias("alpha"), F.lit(0).alias("_g"))
     s = cumulative_product(s, ["_g"], "t", "alpha", name="alphas_cumprod")
     s = cumulative_product(s, ["_g"], "t", "alpha", shift=True, name="alphas_cumprod_prev")

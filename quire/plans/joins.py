@@ -39,27 +39,24 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
 BNLJ_MAX_ROWS = 1000
 
 
-def contains_join(left: DataFrame, text: str, right: DataFrame, pattern: str,
-                  how: str = "inner", max_rows: int = BNLJ_MAX_ROWS) -> DataFrame:
+def contains_join(left: DataFrame, text: str, right: DataFrame, pattern: str) -> DataFrame:
     """Rows where ``left[text]`` contains ``right[pattern]`` as a substring.
 
-    Tiny pattern side (at most ``max_rows``, checked): broadcast nested loop
-    with ``contains`` (cost |left| x |patterns|).  Otherwise: exact
-    equi-join on every distinct substring of the left text no longer than
-    the longest pattern (a scalar aggregate), so the cost grows with
-    |left| x text length instead of with the product of the two tables.
+    One path at every size: patterns are joined by their first g characters (g:
+    length of the shortest non-empty pattern) to the distinct g-character pieces
+    of each text, then verified whole.  Empty patterns are in every text.  Null
+    texts and patterns match nothing.
     """
-    if is_bounded(right, max_rows):
-        return left.join(F.broadcast(right), F.contains(F.col(text), F.col(pattern)), how)
-    pmax = right.agg(F.max(F.length(F.col(pattern)))).first()[0] or 1
-    n = F.length(F.col(text))
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    subs = F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.least(n - i + 1, F.lit(pmax)), F.lit(1))),
-            lambda ln: F.substring(F.col(text), i, ln)))))
-    exploded = left.withColumn("_sub", F.explode(subs))
-    joined = exploded.join(right, exploded["_sub"] == right[pattern], "inner").drop("_sub")
-    if how == "inner":
-        return joined
-    raise ValueError("large-side contains_join supports inner only")
+    full = right.where(F.length(pattern) > 0)
+    short = full.agg(F.coalesce(F.min(F.length(pattern)), F.lit(1)).alias("_g"))  # one row
+    pieces = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_g") + 1, F.lit(1))),
+        lambda i: F.substring(F.col(text), i, F.col("_g"))))
+    texts = left.crossJoin(F.broadcast(short)).withColumn("_piece", F.explode(pieces)).drop("_g")
+    heads = full.crossJoin(F.broadcast(short)).withColumn("_head", F.substring(F.col(pattern), F.lit(1), F.col("_g"))).drop("_g")
+    found = texts.join(heads, (F.col("_piece") == F.col("_head")) & F.contains(F.col(text), F.col(pattern))) \
+        .drop("_piece", "_head")
+    # empty patterns meet every text over a constant key (a row each, by definition)
+    blank = right.where(F.length(pattern) == 0).withColumn("_one", F.lit(1))
+    every = left.where(F.col(text).isNotNull()).withColumn("_one", F.lit(1)).join(blank, "_one").drop("_one")
+    return found.unionByName(every)

@@ -207,7 +207,7 @@ def read_image_poses(spark: SparkSession, path: str, skip_early: int = 0) -> Dat
                       *[e.getItem(k).cast("double").alias(n) for k, n in
                         enumerate(["qw", "qx", "qy", "qz", "tx", "ty", "tz"], start=1)],
                       e.getItem(8).cast("long").alias("camera_id"),
-                      F.array_join(F.slice(e, 10, 1000), "_").alias("name"))
+                      F.array_join(F.slice(e, F.lit(10), F.greatest(F.size(e), F.lit(1))), "_").alias("name"))
 
 
 FRAMES_SCHEMA = ("camera_angle_x double, frames array<struct<file_path: string, "

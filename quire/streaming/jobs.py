@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,31 +77,34 @@ def gate(spark: SparkSession, docs: DataFrame, by: str) -> DataFrame:
 
 # ---------------------------------------------------------------- SS-3
 
-ATTEMPT_STATE = "run int, it int, state string, stop_seq long, last_seq long"
+ATTEMPT_STATE = "wins int, losses int, state string, stop_seq long, last_seq long"
 ATTEMPT_OUT = "idea_id long, outcome string, stop_seq long"
 
 
 def _attempt_fn(max_runs: int, max_iters: int):
+    """State per idea: successes so far, failures since the last one.  It fails
+    at ``max_iters`` failures before the first success, one fewer after it."""
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            run, it, st, stop, last = state.get
-        else:
-            run, it, st, stop, last = 1, 0, "open", None, -1
+        wins, losses, verdict, stop, last = state.get if state.exists else (0, 0, "open", None, -1)
         rows = pd.concat(list(pdfs)).sort_values("seq")
-        for seq, ok in zip(rows["seq"].to_numpy(), rows["ok"].to_numpy()):
-            if st != "open" or seq <= last:  # finished, or an id already seen
-                continue
-            last = int(seq)
-            if ok == 1:
-                run, it = run + 1, 1
-                if run == max_runs + 1:
-                    st, stop = "success", int(seq)
-            else:
-                it += 1
-                if it >= max_iters:
-                    st, stop = "fail", int(seq)
-        state.update((run, it, st, stop, last))
-        yield pd.DataFrame({"idea_id": [key[0]], "outcome": [st], "stop_seq": [stop]})
+        rows = rows[rows["seq"] > last]  # ids seen before are copies
+        if verdict == "open" and len(rows):
+            good = rows["ok"].to_numpy() == 1
+            won = wins + np.cumsum(good)
+            lost = np.cumsum(~good)
+            at_win = np.maximum.accumulate(np.where(good, lost, -losses))
+            bad = lost - at_win
+            fails = (bad >= np.where(won > 0, max_iters - 1, max_iters)) & (~good | (max_iters <= 1))
+            ends = np.flatnonzero(fails | (won >= max_runs))
+            if len(ends):
+                verdict = "fail" if fails[ends[0]] else "success"
+                stop = int(rows["seq"].iloc[ends[0]])
+            wins, losses = int(won[-1]), int(bad[-1])
+        if len(rows):
+            last = int(rows["seq"].iloc[-1])
+        state.update((wins, losses, verdict, stop, last))
+        yield pd.DataFrame({"idea_id": [key[0]], "outcome": [verdict], "stop_seq": [stop]})
     return fn
 
 
