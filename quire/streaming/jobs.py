@@ -1,8 +1,8 @@
 """Structured Streaming twins of the stateful batch operators.
 
 Every job reads a file stream with an explicit schema, runs to completion
-with ``trigger(availableNow=True)`` (``maxFilesPerTrigger`` forces several
-micro-batches) and writes through ``foreachBatch`` into epoch folders
+with ``trigger(availableNow=True)`` (``files_per_trigger`` bounds a
+micro-batch) and writes through ``foreachBatch`` into epoch folders
 ("upsert by replace": the newest epoch of a key wins when read back).
 Checkpoints and outputs live under the shared checkpoint folder.
 
@@ -27,52 +27,63 @@ from quire.sources.io import scratch_dir
 EOT = "<|eot_id|>"
 
 
-def stage_files(df: DataFrame, path: str, by: str, files: int = 4) -> str:
-    """Write ``df`` as ``files`` parquet files hash-partitioned on ``by`` (the
-    stream's input: every key's rows land in one file)."""
-    df.repartition(files, by).write.mode("overwrite").parquet(path)
+FILES_PER_TRIGGER = 1000  # files of one micro-batch
+
+
+def stage_files(df: DataFrame, path: str, by: str | None = None) -> str:
+    """Write ``df`` as the stream's input.  Without ``by`` every task writes its
+    own file; with it rows are spread by key hash over the shuffle partitions,
+    so all rows of a key arrive in one file."""
+    (df.repartition(by) if by else df).write.mode("overwrite").parquet(path)
     return path
 
 
-def run_to_completion(sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> str:
-    """Drain a streaming DataFrame into epoch folders; return the output root."""
-    out = scratch_dir(spark, f"stream-{name}-out")
-    ckpt = scratch_dir(spark, f"stream-{name}-ckpt")
+def epoch_sink(out: str):
+    """``foreachBatch`` function that writes a folder per epoch; a batch
+    replayed after a failure overwrites its own folder."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    return sink
+
 
+def run_to_completion(sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> str:
+    """Drain a streaming DataFrame into epoch folders; return the output root.
+
+    An empty epoch -1 carries the schema, so a stream without rows reads back
+    as an empty table.
+    """
+    out = scratch_dir(spark, f"stream-{name}-out")
+    ckpt = scratch_dir(spark, f"stream-{name}-ckpt")
+    sink = epoch_sink(out)
+    sink(spark.createDataFrame([], sdf.schema), -1)
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
-def latest_per_key(spark: SparkSession, out: str, keys: list[str], schema: str | None = None) -> DataFrame:
+def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """Read epoch folders back: newest row per key (upsert by replace)."""
-    try:
-        df = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced rows
-        return spark.createDataFrame([], schema) if schema else spark.createDataFrame([], "_empty int")
-    cols = [c for c in df.columns if c not in (*keys, "_epoch")]
-    rec = F.struct(*cols)
-    return df.groupBy(*keys).agg(F.max_by(rec, "_epoch").alias("_r")).select(*keys, "_r.*")
+    df = spark.read.parquet(out)
+    rec = F.struct(*[c for c in df.columns if c not in (*keys, "epoch")])
+    return df.groupBy(*keys).agg(F.max_by(rec, "epoch").alias("_r")).select(*keys, "_r.*")
 
 
-def _source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def _source(spark: SparkSession, path: str, schema, files_per_trigger: int) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 # ---------------------------------------------------------------- SS-2
 
 
-def gate(spark: SparkSession, docs: DataFrame, by: str) -> DataFrame:
+def gate(spark: SparkSession, docs: DataFrame, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Stateless gate on arriving documents (same Column rules as the batch gate)."""
-    src = stage_files(docs, scratch_dir(spark, "stream-gate-src"), by)
-    stream = _source(spark, src, docs.schema)
+    src = stage_files(docs, scratch_dir(spark, "stream-gate-src"))
+    stream = _source(spark, src, docs.schema, files_per_trigger)
     verdicts = G.verdict(stream).select("doc_id", "is_paper", "confidence", "reason")
     out = run_to_completion(verdicts, spark, "gate")
-    return spark.read.parquet(out).drop("_epoch")
+    return spark.read.parquet(out).drop("epoch")
 
 
 # ---------------------------------------------------------------- SS-3
@@ -108,23 +119,25 @@ def _attempt_fn(max_runs: int, max_iters: int):
     return fn
 
 
-def attempts(spark: SparkSession, events: DataFrame, by: str, max_runs: int = 2, max_iters: int = 4) -> DataFrame:
-    """Attempt tracker (batch twin: ``attempts.outcome``)."""
-    src = stage_files(events, scratch_dir(spark, "stream-attempts-src"), by)
-    stream = _source(spark, src, events.schema)
+def attempts(spark: SparkSession, events: DataFrame, max_runs: int = 2, max_iters: int = 4,
+             files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Attempt tracker (batch twin: ``attempts.outcome``).  Staged by key, so
+    the events of an idea arrive in order."""
+    src = stage_files(events, scratch_dir(spark, "stream-attempts-src"), "idea_id")
+    stream = _source(spark, src, events.schema, files_per_trigger)
     res = stream.groupBy("idea_id").applyInPandasWithState(
         _attempt_fn(max_runs, max_iters), ATTEMPT_OUT, ATTEMPT_STATE, "update", GroupStateTimeout.NoTimeout)
     out = run_to_completion(res, spark, "attempts", mode="update")
-    return latest_per_key(spark, out, ["idea_id"], ATTEMPT_OUT)
+    return latest_per_key(spark, out, ["idea_id"])
 
 
 # ---------------------------------------------------------------- SS-4
 
 
-def run_stats(spark: SparkSession, summaries: DataFrame, by: str) -> DataFrame:
+def run_stats(spark: SparkSession, summaries: DataFrame, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Running mean / stderr (population std / n) per (run, dataset, step)."""
-    src = stage_files(summaries, scratch_dir(spark, "stream-runstats-src"), by)
-    stream = _source(spark, src, summaries.schema)
+    src = stage_files(summaries, scratch_dir(spark, "stream-runstats-src"))
+    stream = _source(spark, src, summaries.schema, files_per_trigger)
     agg = stream.groupBy("run", "dataset", "step").agg(
         F.avg("val_loss").alias("mean"), (F.stddev_pop("val_loss") / F.count("val_loss")).alias("stderr"),
         F.count("val_loss").alias("n"))
@@ -135,17 +148,23 @@ def run_stats(spark: SparkSession, summaries: DataFrame, by: str) -> DataFrame:
 # ---------------------------------------------------------------- SS-5
 
 
-def first_decision(spark: SparkSession, responses: DataFrame, by: str, max_rounds: int = 10) -> DataFrame:
-    """First novelty decision per item.  Replies carry an event time; the
-    watermark bounds the de-duplication state of (item, round)."""
-    src = stage_files(responses, scratch_dir(spark, "stream-novelty-src"), by)
-    stream = _source(spark, src, responses.schema)
+def first_decision(spark: SparkSession, responses: DataFrame, watermark: str, max_rounds: int = 10,
+                   files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """(item_id, novel, round) of every item: its first novelty decision within
+    ``max_rounds``; undecided items are not novel and have a null round.
+
+    Replies carry an event time ``ts``; ``watermark`` is how late one may come
+    and bounds the de-duplication state of (item, round).
+    """
+    src = stage_files(responses, scratch_dir(spark, "stream-novelty-src"), "item_id")
+    stream = _source(spark, src, responses.schema, files_per_trigger)
     low = F.lower("text")
-    dec = F.when(F.contains(low, F.lit("decision made: novel")), True).when(
-        F.contains(low, F.lit("decision made: not novel")), False)
-    d = (stream.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["item_id", "round"])
-         .where(F.col("round") <= max_rounds).withColumn("dec", dec).where(F.col("dec").isNotNull()))
-    agg = d.groupBy("item_id").agg(F.min_by("dec", "round").alias("novel"), F.min("round").alias("round"))
+    dec = F.when(F.col("round") <= max_rounds,
+                 F.when(F.contains(low, F.lit("decision made: novel")), True).when(
+                     F.contains(low, F.lit("decision made: not novel")), False))
+    d = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["item_id", "round"]).withColumn("dec", dec)
+    at = F.when(F.col("dec").isNotNull(), F.col("round"))
+    agg = d.groupBy("item_id").agg(F.coalesce(F.min_by("dec", at), F.lit(False)).alias("novel"), F.min(at).alias("round"))
     out = run_to_completion(agg, spark, "novelty", mode="update")
     return latest_per_key(spark, out, ["item_id"])
 
@@ -176,12 +195,12 @@ def _assemble_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     yield pd.DataFrame(out, columns=["resp_id", "text", "last_pos"])
 
 
-def assemble(spark: SparkSession, chunks: DataFrame, by: str) -> DataFrame:
+def assemble(spark: SparkSession, chunks: DataFrame, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Assemble chunks per response; emit the text up to the latest end marker
     (marker removed).  Batch twin: ``replies.assemble`` cut at that marker."""
-    src = stage_files(chunks, scratch_dir(spark, "stream-chunks-src"), by)
-    stream = _source(spark, src, chunks.schema)
+    src = stage_files(chunks, scratch_dir(spark, "stream-chunks-src"))
+    stream = _source(spark, src, chunks.schema, files_per_trigger)
     res = stream.groupBy("resp_id").applyInPandasWithState(
         _assemble_fn, CHUNK_OUT, CHUNK_STATE, "update", GroupStateTimeout.NoTimeout)
     out = run_to_completion(res, spark, "chunks", mode="update")
-    return latest_per_key(spark, out, ["resp_id"], CHUNK_OUT)
+    return latest_per_key(spark, out, ["resp_id"])
