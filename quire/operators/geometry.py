@@ -242,14 +242,14 @@ def _cross(a, b):
 
 def mean_pose(poses: DataFrame, group: Sequence[str], rot: Sequence[Sequence[str]], trans: Sequence[str]) -> DataFrame:
     """Average pose: centre = mean t; z = normalize(mean of column 2); y' = mean
-    of column 1; x = normalize(y' x z); y = z x x."""
+    of column 1; x = normalize(z x y'); y = x x z."""
     aggs = [F.avg(t).alias(f"c{a}") for t, a in zip(trans, AX)]
     aggs += [F.avg(rot[r][2]).alias(f"z{r}") for r in range(3)] + [F.avg(rot[r][1]).alias(f"y{r}") for r in range(3)]
     m = poses.groupBy(*group).agg(*aggs)
     z = _norm([F.col(f"z{r}") for r in range(3)])
     yp = [F.col(f"y{r}") for r in range(3)]
-    x = _norm(_cross(yp, z))
-    y = _cross(z, x)
+    x = _norm(_cross(z, yp))
+    y = _cross(x, z)
     cols = [*group, *[F.col(f"c{a}") for a in AX]]
     names = [*[f"x{r}" for r in range(3)], *[f"y{r}" for r in range(3)], *[f"z{r}" for r in range(3)]]
     vals = [*x, *y, *z]

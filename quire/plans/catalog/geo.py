@@ -275,10 +275,10 @@ def ag21(t):
 WITH m AS (select frame % 5 as grp, avg(tx) as cx, avg(ty) as cy, avg(0.0) as cz, avg(0.0) as z0, avg(0.0) as z1, avg(1.0) as z2,
                   avg(r01) as y0, avg(r11) as y1, avg(0.0) as y2 from d_poses group by frame % 5),
 z AS (select *, z0 / sqrt(z0 * z0 + z1 * z1 + z2 * z2) as zx, z1 / sqrt(z0 * z0 + z1 * z1 + z2 * z2) as zy, z2 / sqrt(z0 * z0 + z1 * z1 + z2 * z2) as zz from m),
-x AS (select *, y1 * zz - y2 * zy as ax, y2 * zx - y0 * zz as ay, y0 * zy - y1 * zx as az from z),
+x AS (select *, zy * y2 - zz * y1 as ax, zz * y0 - zx * y2 as ay, zx * y1 - zy * y0 as az from z),
 xn AS (select *, ax / sqrt(ax * ax + ay * ay + az * az) as xx, ay / sqrt(ax * ax + ay * ay + az * az) as xy, az / sqrt(ax * ax + ay * ay + az * az) as xz from x)
 select grp, round(cx, 9) as cx, round(cy, 9) as cy, round(xx, 9) as x0, round(xy, 9) as x1, round(xz, 9) as x2,
-       round(zy * xz - zz * xy, 9) as y0, round(zz * xx - zx * xz, 9) as y1, round(zx * xy - zy * xx, 9) as y2,
+       round(xy * zz - xz * zy, 9) as y0, round(xz * zx - xx * zz, 9) as y1, round(xx * zy - xy * zx, 9) as y2,
        round(zx, 9) as z0, round(zy, 9) as z1, round(zz, 9) as z2 from xn""", ("d_poses",))
 def ag27(t):
     p = _poses3(t).withColumn("grp", F.col("frame") % 5)

@@ -69,9 +69,9 @@ def test_mean_pose_matches_numpy(spark):
     z = poses[:, :, 2].mean(0)
     z = z / np.linalg.norm(z)
     y_ = poses[:, :, 1].mean(0)
-    x = np.cross(y_, z)
+    x = np.cross(z, y_)
     x = x / np.linalg.norm(x)
-    y = np.cross(z, x)
+    y = np.cross(x, z)
     rot = [[f"m{r}{c}" for c in range(3)] for r in range(3)]
     rows = [(1, *[float(p[r, c]) for r in range(3) for c in range(3)], *map(float, p[:, 3])) for p in poses]
     cols = "g int, " + ", ".join(f"m{r}{c} double" for r in range(3) for c in range(3)) + ", tx double, ty double, tz double"
@@ -82,6 +82,16 @@ def test_mean_pose_matches_numpy(spark):
     assert np.allclose([out[f"z{i}"] for i in range(3)], z)
 
 
+def test_mean_pose_of_a_single_identity(spark):
+    rot = [[f"m{r}{c}" for c in range(3)] for r in range(3)]
+    row = (1, *[float(r == c) for r in range(3) for c in range(3)], 1.0, 2.0, 3.0)
+    cols = "g int, " + ", ".join(f"m{r}{c} double" for r in range(3) for c in range(3)) + ", tx double, ty double, tz double"
+    out = GE.mean_pose(spark.createDataFrame([row], cols), ["g"], rot, ["tx", "ty", "tz"]).collect()[0]
+    assert [out[f"x{i}"] for i in range(3)] == [-1.0, 0.0, 0.0]  # the x axis points to z x y'
+    assert [out[f"y{i}"] for i in range(3)] == [0.0, 1.0, 0.0]
+    assert [out[f"z{i}"] for i in range(3)] == [0.0, 0.0, 1.0]
+
+
 def test_rays_in_box_matches_numpy(spark):
     rng = np.random.default_rng(9)
     o = rng.normal(scale=2, size=(200, 3))
