@@ -13,15 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.joins import is_bounded
 from quire.plans.ordering import global_row_number, hash_int, hash_row_number
 
 
-def _count(df: DataFrame) -> Column:
-    """Total row count as a scalar column (one aggregate, broadcast back)."""
-    return F.lit(df.count())
-
-
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Shuffled k-fold assignment (``fold`` 0..k-1): first ``n mod k`` folds
     get one more row, as in a shuffled KFold."""
@@ -104,8 +98,9 @@ def segments(df: DataFrame, day: str, length: int, cycles: int, seed: int = 42)
         F.col("id").cast("int").alias("cycle"),
         (lo + F.pmod(hash_int(F.concat(F.col("id").cast("string"), F.lit("_"), F.lit(str(seed)))),
                      span)).cast("int").alias("_start"))
-    cond = (F.col(day) >= F.col("_start")) & (F.col(day) < F.col("_start") + length)
-    return df.join(F.broadcast(starts), cond).drop("_start")
+    # one row per (cycle, day): rows find their cycles by an equi-join
+    days = starts.select("cycle", F.explode(F.sequence(F.col("_start"), F.col("_start") + (length - 1))).alias("_day"))
+    return df.join(days, F.col(day) == F.col("_day")).select(*df.columns, "cycle")
 
 
 def draw(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -123,15 +118,16 @@ def draw(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return draws.join(numbered, "rn").drop("rn")
 
 
-def zip_rows(a: DataFrame, b: DataFrame, order_a: str, order_b: str, n: int | None = None,
-             strict: bool = False) -> DataFrame:
-    """Positional zip: i-th row of ``a`` with i-th row of ``b`` in their orders."""
+def zip_rows(a: DataFrame, b: DataFrame, order_a: str | Sequence[str], order_b: str | Sequence[str],
+             n: int | None = None, strict: bool = False) -> DataFrame:
+    """Positional zip: i-th row of ``a`` with i-th row of ``b`` in their orders
+    (one or more columns of any sortable type, file names for instance)."""
     if strict:
         ca, cb = a.count(), b.count()
         if ca != cb:
             raise ValueError(f"zip_rows(strict=True): lengths differ ({ca} != {cb})")
-    za = global_row_number(a, [order_a], name="_pos")
-    zb = global_row_number(b, [order_b], name="_pos")
+    za = global_row_number(a, [order_a] if isinstance(order_a, str) else order_a, name="_pos")
+    zb = global_row_number(b, [order_b] if isinstance(order_b, str) else order_b, name="_pos")
     out = za.join(zb, "_pos")
     if n is not None:
         out = out.where(F.col("_pos") <= n)
@@ -151,52 +147,54 @@ def chars(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)."), 0)
 
 
-def build_vocab(texts: DataFrame, text: str, reserved: Sequence[str] = ("<pad>", "<unk>"),
-                max_size: int = 1_000_000) -> DataFrame:
+def build_vocab(texts: DataFrame, text: str, reserved: Sequence[str] = ("<pad>", "<unk>")) -> DataFrame:
     """Vocabulary (symbol, id): reserved symbols first, then distinct
     characters in code-point order.  Per-document distinct first, so the
     shuffle carries at most one row per (document, character)."""
-    per_doc = texts.select(F.explode(F.array_distinct(chars(F.col(text)))).alias("symbol"))
-    distinct = per_doc.distinct()
-    if not is_bounded(distinct, max_size):
-        raise ValueError("vocabulary larger than max_size")
-    w = Window.orderBy("symbol")  # bounded: at most max_size rows
+    distinct = texts.select(F.explode(F.array_distinct(chars(F.col(text)))).alias("symbol")).distinct()
+    numbered = global_row_number(distinct, ["symbol"])
     spark = texts.sparkSession
     res = spark.createDataFrame([(s, i) for i, s in enumerate(reserved)], "symbol string, id int")
-    return res.unionByName(distinct.select("symbol", (F.row_number().over(w) - 1 + len(reserved))
-                                           .cast("int").alias("id")))
+    return res.unionByName(numbered.select("symbol", (F.col("rn") - 1 + len(reserved)).cast("int").alias("id")))
+
 
+def encode(text: Column, by_point: Column, unk: int = 1) -> Column:
+    """Ids of the characters; ``by_point`` is the array of ids by code point."""
+    return F.transform(chars(text), lambda c: F.coalesce(F.get(by_point, F.ascii(c)), F.lit(unk)))
 
-def vocab_map(vocab: DataFrame) -> Column:
-    """symbol -> id map literal (vocab is size-checked in ``build_vocab``)."""
-    rows = vocab.collect()
-    return F.create_map(*[x for r in rows for x in (F.lit(r["symbol"]), F.lit(r["id"]))])
 
+def decode(ids: Column, symbols: Column) -> Column:
+    """Text of ids; ``symbols`` is the array of symbols by id."""
+    return F.array_join(F.transform(ids, lambda i: F.get(symbols, i)), "")
 
-def encode(text: Column, symbol_to_id: Column, unk: int = 1) -> Column:
-    return F.transform(chars(text), lambda c: F.coalesce(F.element_at(symbol_to_id, c), F.lit(unk)))
 
+def _in_order(pairs: DataFrame, at: str, value: str, name: str) -> DataFrame:
+    """One row: the values in the order of ``at``."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
+    return pairs.agg(F.transform(rows, lambda x: x["value"]).alias(name))
 
-def encode_table(docs: DataFrame, key: str, text: str, vocab: DataFrame, unk: int = 1,
-                 max_literal: int = 20_000) -> DataFrame:
-    """(key, ids) per document.  A small vocabulary (checked) is inlined as a
-    map literal and applied in-row; a large one is joined (size-checked
-    broadcast, else shuffle) character by character and the ids are put back
-    in order per document."""
-    if is_bounded(vocab, max_literal):
-        return docs.select(key, encode(F.col(text), vocab_map(vocab)).alias("ids"))
-    from quire.plans.joins import small_join
 
-    ex = docs.select(key, F.posexplode(chars(F.col(text))).alias("pos", "symbol"))
-    ids = small_join(ex, vocab, "symbol", "left").select(key, "pos", F.coalesce("id", F.lit(unk)).alias("id"))
-    per_doc = ids.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    return (docs.select(key).join(per_doc, key, "left")
-            .select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")))
+def encode_table(docs: DataFrame, key: str, text: str, vocab: DataFrame, unk: int = 1) -> DataFrame:
+    """(key, ids) per document; null texts have null ids.
 
+    One path at every size: the single-character symbols become one array
+    indexed by code point (so at most 1,114,112 ids, the size of Unicode),
+    handed to every row by a broadcast of that one row."""
+    points = vocab.where(F.char_length("symbol") == 1).select(F.ascii("symbol").alias("point"), "id")
+    last = points.agg(F.coalesce(F.max("point"), F.lit(0))).scalar()
+    slots = docs.sparkSession.range(0x110000).where(F.col("id") <= last).select(F.col("id").cast("int").alias("point"))
+    by_point = _in_order(slots.join(points, "point", "left"), "point", "id", "_ids")
+    return docs.select(key, text).crossJoin(F.broadcast(by_point)) \
+        .select(key, encode(F.col(text), F.col("_ids"), unk).alias("ids"))
 
-def decode(ids: Column, id_to_symbol: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.element_at(id_to_symbol, i)), "")
+
+def decode_table(coded: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+    """(key, text) per document from ids of ``build_vocab``'s numbering; ids
+    outside of the vocabulary give nothing.  The symbols are one row, bounded
+    like the table of ``encode_table``."""
+    symbols_by_id = _in_order(vocab, "id", "symbol", "_symbols")
+    return coded.select(key, ids).crossJoin(F.broadcast(symbols_by_id)) \
+        .select(key, decode(F.col(ids), F.col("_symbols")).alias("text"))
 
 
 def vocab_size(a: DataFrame, b: DataFrame, col: str, approx: bool = False) -> DataFrame:
@@ -245,18 +243,16 @@ def even_picks(df: DataFrame, group: str, order: str, total: int = 20, span: int
     """Quota of ``total`` picks spread over groups (remainder to the first
     groups in name order); in each group the rows at positions
     floor(linspace(0, span, quota)) of its order.  Only the first span+1
-    rows per group are ever needed, so the window is a per-group top-k."""
-    groups = df.select(group).distinct()
-    g_rows = groups.collect() if is_bounded(groups, 100_000) else None
-    if g_rows is None:
-        raise ValueError("too many groups for even_picks")
-    names = sorted(r[0] for r in g_rows)
-    base, rem = divmod(total, len(names))
-    quota = {nm: base + (1 if i < rem else 0) for i, nm in enumerate(names)}
-    picks = [(nm, (j * span) // (q - 1) if q > 1 else 0) for nm, q in quota.items() for j in range(q)]
-    spark = df.sparkSession
-    pick_df = spark.createDataFrame(picks, f"{group} {dict(df.dtypes)[group]}, idx long").distinct()
+    rows per group are ever needed, so the window is a per-group top-k; the
+    picks are at most ``total`` rows, whatever the number of groups."""
+    groups = df.select(F.col(group).alias("_g")).distinct()
+    n = groups.agg(F.count("*")).scalar()
+    base = F.floor(F.lit(total) / n)
+    more = (F.col("rn") <= F.lit(total) - base * n).cast("long")
+    quota = global_row_number(groups, ["_g"]).select("_g", (base + more).alias("_quota")).where(F.col("_quota") > 0)
+    picks = quota.select("_g", "_quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_quota") - 1)).alias("_j")) \
+        .select("_g", F.floor(F.col("_j") * span / F.greatest(F.col("_quota") - 1, F.lit(1))).alias("_idx")).distinct()
     w = Window.partitionBy(group).orderBy(order)
     head = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= span + 1)
-    return (head.join(F.broadcast(pick_df), (head[group] == pick_df[group]) & (F.col("_rn") - 1 == pick_df["idx"]))
-            .drop(pick_df[group]).drop("_rn"))
+    return head.join(F.broadcast(picks), head[group].eqNullSafe(picks["_g"]) & (F.col("_rn") - 1 == F.col("_idx"))) \
+        .select(*df.columns)

@@ -103,6 +103,16 @@ def jn9(t):
     return z.select("pos", "item_id", "doc_id")
 
 
+@query("jn9_zip_by_name", """
+select a.pos, a.s_name, b.p_name, b.p_partkey from
+  (select s_name, row_number() over (order by s_name, s_suppkey) as pos from supplier) a
+  join (select p_name, p_partkey, row_number() over (order by p_name, p_partkey) as pos from part) b on a.pos = b.pos""")
+def jn9_names(t):
+    z = SP.zip_rows(t.supplier.select("s_name", "s_suppkey"), t.part.select("p_name", "p_partkey"),
+                    ["s_name", "s_suppkey"], ["p_name", "p_partkey"])
+    return z.select("pos", "s_name", "p_name", "p_partkey")
+
+
 @query("jn10_parameter_grid", """
 WITH g AS (select * from (values (0), (1), (2)) s(split), (select unnest(range(10)) as layer) l, (values (1), (5)) b(beta))
 select g.split, cast(g.layer as integer) as layer, g.beta, count(*) as n, round(avg(v.x * g.beta), 6) as score
@@ -117,19 +127,23 @@ def jn10(t):
         F.count("*").alias("n"), r6(F.avg(v["x"] * grid["beta"])).alias("score"))
 
 
-VOCAB_SQL = """chars AS (select doc_id, unnest(regexp_extract_all(text, '(?s).', 0)) as ch from documents),
+VOCAB_SQL = """lists AS (select doc_id, regexp_extract_all(text, '(?s).', 0) as l from documents),
+chars AS (select doc_id, unnest(l) as ch, unnest(range(1, len(l) + 1)) as pos from lists),
 vocab AS (select ch, cast(row_number() over (order by ch) - 1 + 2 as int) as id from (select distinct ch from chars))"""
 
 
 @query("jn16_vocab_encode", f"""
 WITH {VOCAB_SQL}
-select c.doc_id, count(*) as n_ids, cast(sum(v.id) as bigint) as id_sum from chars c join vocab v on c.ch = v.ch group by c.doc_id""")
+select c.doc_id, count(*) as n_ids, cast(sum(v.id) as bigint) as id_sum,
+  cast(sum(v.id * pos) as bigint) as id_order_sum from chars c join vocab v on c.ch = v.ch group by c.doc_id""")
 def jn16(t):
     docs = t.documents.select("doc_id", "text")
     vocab = SP.build_vocab(docs, "text")
     enc = SP.encode_table(docs, "doc_id", "text", vocab)
     return enc.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
-                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+                      F.aggregate(F.transform("ids", lambda x, i: x * (i + 1).cast("long")), F.lit(0).cast("long"),
+                                  lambda a, x: a + x).alias("id_order_sum"))
 
 
 @query("jn16_vocab_roundtrip", """
@@ -137,9 +151,9 @@ select doc_id, true as roundtrip_ok from documents""")
 def jn16r(t):
     docs = t.documents.select("doc_id", "text")
     vocab = SP.build_vocab(docs, "text")
-    inv = F.create_map(*[x for r in vocab.collect() for x in (F.lit(r["id"]), F.lit(r["symbol"]))])
-    back = SP.decode(SP.encode(F.col("text"), SP.vocab_map(vocab)), inv)
-    return docs.select("doc_id", (back == F.col("text")).alias("roundtrip_ok"))
+    back = SP.decode_table(SP.encode_table(docs, "doc_id", "text", vocab), "doc_id", "ids", vocab)
+    return docs.join(back.withColumnRenamed("text", "_back"), "doc_id") \
+        .select("doc_id", (F.col("_back") == F.col("text")).alias("roundtrip_ok"))
 
 
 @query("ag35_vocab_size", """

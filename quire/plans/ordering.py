@@ -5,8 +5,8 @@ helpers number rows (or accumulate sums) across a total order in two
 distributed steps:
 
 1. rows are split into *buckets* that are monotone in the order (a prefix of
-   a uniform hash, or approximate-quantile ranges of the order value), and a
-   window runs inside each bucket;
+   a uniform hash, or ranges of all order columns between sample quantiles),
+   and a window runs inside each bucket;
 2. per-bucket totals form a table with one row per bucket (bounded by the
    bucket count, not by the data); their exclusive prefix sums are
    broadcast back as offsets.
@@ -44,27 +44,47 @@ SQL_HASH_INT = ("list_reduce(list_transform(string_split(substr(md5(cast({} as v
                 "lambda c: cast(position(c in '0123456789abcdef') - 1 as bigint)), lambda a, b: a * 16 + b)")
 
 
-def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, rel_err: float = 0.001) -> Column:
-    """Bucket id monotone in ``col``: the number of approximate-quantile
-    boundaries <= value.  Boundaries come from one aggregation pass and form a
-    short literal list (``buckets - 1`` values), so the bucket of a row is a
-    pure function of its value: the same on every recomputation and in every
-    branch of a plan (unlike a physical partition id)."""
+SAMPLES_PER_BUCKET = 32
+FAN = 64  # boundaries under one head of the two-step search
+
+
+def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, name: str = "_bucket") -> DataFrame:
+    """``df`` with a bucket id that is monotone in the whole ``order``.
+
+    Boundaries are quantiles of a sample: the rows with the smallest hashes of
+    the order columns, at most ``SAMPLES_PER_BUCKET`` per bucket whatever the
+    table's size.  They form one row, computed when the query runs (no job while
+    the plan is built) and are a pure function of the data, so every branch
+    of a plan and every recomputation sees the same buckets (unlike physical
+    partition ids).  Any sortable types will do, and rows tied in the first
+    column are parted by the next ones.  Nulls sort first.
+    """
     n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
-    probs = [i / n for i in range(1, n)]
-    dtype = dict(df.dtypes)[col]
-    bounds = sorted({b for b in df.approxQuantile(col, probs, rel_err) if b is not None})
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b).cast(dtype) for b in bounds])
-    v = F.col(col)
-    return F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(arr, lambda x: x <= v)))
+    size = n * SAMPLES_PER_BUCKET
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    sample = df.select(key.alias("k")).select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(size)
+    ends = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))  # one row
+    # every ``step``-th sample value ends a bucket; every FAN-th end is a head
+    step = F.greatest(F.floor(F.size("s") / n), F.lit(1)).cast("int")
+    picks = ends.select(F.array_distinct(F.filter("s", lambda x, i: (i > 0) & (i % step == 0))).alias("ends"))
+    # scalar subqueries: computed once when the query runs, not carried by the rows
+    all_ends = picks.scalar()
+    heads = picks.select(F.filter("ends", lambda x, i: i % FAN == 0)).scalar()
+
+    def below(bounds: Column) -> Column:
+        """How many of the sorted bounds the row is above (higher-order functions take no subquery)."""
+        return (F.array_position(F.sort_array(F.array_append(bounds, F.col("_at"))), F.col("_at")) - 1).cast("int")
+
+    rows = df.withColumn("_at", key)
+    rows = rows.withColumn("_head", F.greatest(below(heads) - 1, F.lit(0)) * FAN)
+    return rows.withColumn(name, F.col("_head") + below(F.slice(all_ends, F.col("_head") + 1, F.lit(FAN)))) \
+        .drop("_at", "_head")
 
 
 def _with_bucket(df: DataFrame, order: Sequence[str], bucket: Column | None, partitions: int | None):
     if bucket is not None:
         return df.withColumn("_bucket", bucket)
-    return df.withColumn("_bucket", quantile_bucket(df, order[0], partitions))
+    return range_bucket(df, order, partitions)
 
 
 _COMBINE = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
@@ -76,9 +96,9 @@ def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, s
     """Running aggregates (``sum``/``min``/``max``) over ``order`` (a total
     order), restarting per ``partition_by`` group.
 
-    ``bucket`` must be monotone in ``order``; when omitted, quantile buckets of
-    the first order column are used, so a hot group is spread over many
-    buckets instead of one window task.
+    ``bucket`` must be monotone in ``order``; when omitted, ranges of all order
+    columns are used, so a hot group, or a value that many rows share, is
+    spread over many buckets instead of one window task.
     """
     keys = list(partition_by)
     b = _with_bucket(df, list(order), bucket, partitions)
