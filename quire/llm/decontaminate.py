@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman scores.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman scores.
 
 1. Every benchmark item is cut into word n-grams (lower-cased letters and
    digits).  A fixed-size bit table of their hashes (``BITS`` bits, whatever
    the number of items) goes to the tasks, which scan whole documents and
    write only n-grams that may be in a benchmark; the join with the item
    n-grams drops the chance hits of the bit table.
-2. Document frequencies are counted over all documents; of each item's n-grams
-   that occur at all, the rarest ``share`` are its seeds (at least ``least``).  The rank is inside the item, so an item copied into a third of the
-   corpus keeps its seeds.
+2. Every n-gram of an item is a seed: a passage that shares any of them with
+   the item is aligned.  Ranking them by document frequency would count the
+   leaked copies, so that copies of an item hide its edited copies.
 3. Seed hits of one document and item that lie near each other make one
-   passage (two item lengths to both sides); passages and items are aligned
-   by Smith-Waterman over words (match 2, mismatch -1, gap -1).  The score is
+   passage (two item lengths to both sides).  Passages that share too few words
+   with the item to reach ``min_score`` at all are left out (``may_reach``);
+   the others are aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1).  The score is
    the best alignment over that of an exact copy: 1 for a copy, about 0.7 with
    every fifth word changed, 0.5 for half of the item.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import table
@@ -136,8 +137,18 @@ def _sweep(items, passages, want=None):
     return best, end
 
 
+def may_reach(item: np.ndarray, passage: np.ndarray, min_score: float) -> bool:
+    """Whether the words that both have, each as often as the rarer side, would
+    score ``min_score`` if all of them matched: no alignment scores more."""
+    words, count = np.unique(item, return_counts=True)
+    there, often = np.unique(passage, return_counts=True)
+    at = np.minimum(np.searchsorted(there, words), len(there) - 1)
+    same = np.minimum(count, often[at])[there[at] == words].sum() if len(there) else 0
+    return bool(same >= min_score * len(item))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
-          share: float = 0.5, least: int = 8, min_score: float = 0.5) -> DataFrame:
+          min_score: float = 0.5) -> DataFrame:
     """(id, key, item_id, score, first_word, last_word): the best passage of
     every document and item with a score of ``min_score`` or more; word places
     count from 0, ``last_word`` included."""
@@ -145,15 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                   .where("text is not null").distinct(), "bench-items")
     item = table(item_grams(items, n).groupBy("item_id", "g").agg(F.max("words").alias("words")), "bench-grams")
     every = table(hits(docs, item.select("g").distinct(), n, id_col, text_col), "bench-hits")
-    df = every.groupBy("g", "id", "key").agg(F.lit(1)).groupBy("g").agg(F.count("*").alias("df"))
-    rank = Window.partitionBy("item_id").orderBy("df", "g")
-    seeds = item.join(df, "g") \
-        .withColumn("r", F.row_number().over(rank)) \
-        .withColumn("of", F.count("*").over(Window.partitionBy("item_id"))) \
-        .where(F.col("r") <= F.greatest(F.lit(least), F.ceil(F.col("of") * share))) \
-        .select("g", "item_id", "words")
     cell = F.floor(F.col("at") / (2 * F.col("words")))
-    spots = every.join(table(seeds, "bench-seeds"), "g").groupBy("id", "key", "item_id", "words", cell.alias("cell")) \
+    spots = every.join(item, "g").groupBy("id", "key", "item_id", "words", cell.alias("cell")) \
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     spots = spots.select("id", "key", "item_id", F.greatest(F.lit(0), F.col("lo") - 2 * F.col("words")).alias("lo"),
                          (F.col("hi") + 2 * F.col("words") + n).alias("hi"))
@@ -187,7 +191,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 part = pdf.iloc[lo:lo + 256]
                 q = [_hashes(t) for t in part["text"]]
                 p = [_hashes(t) for t in part["passage"]]
-                for s in _by_size(q, p):
+                on = [i for i in range(len(q)) if may_reach(q[i], p[i], min_score)]
+                for s in _by_size(p, on):
                     found = align([q[i] for i in s], [p[i] for i in s])
                     rows = part.iloc[s]
                     yield pd.DataFrame({
@@ -207,9 +212,9 @@ def _hashes(text: str) -> np.ndarray:
     return np.concatenate([h for _, h, _, _, _ in blocks([text], BY_LETTER)])
 
 
-def _by_size(q, p, cells: int = 1 << 20):
-    """Index lists of pairs of like size whose padded tables stay small."""
-    order = sorted(range(len(q)), key=lambda i: len(p[i]))
+def _by_size(p, on, cells: int = 1 << 20):
+    """Lists of the indices ``on``, pairs of like size whose padded tables stay small."""
+    order = sorted(on, key=lambda i: len(p[i]))
     part: list[int] = []
     for i in order:
         if part and (len(part) + 1) * len(p[i]) > cells:

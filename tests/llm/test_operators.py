@@ -213,6 +213,24 @@ def test_leaks_finds_copies_and_edits_only(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies,gone", [(1, range(0, 40, 5)), (5, range(0, 40, 5)), (1, range(0, 40, 4)), (30, range(18))])
+def test_copies_do_not_hide_an_edited_copy(spark, copies, gone):
+    words = [f"w{k}" for k in range(40)]
+    edited = [f"x{k}" if k in gone else w for k, w in enumerate(words)]
+    texts = [(i, " ".join(words)) for i in range(copies)] + [(100, " ".join(edited)), (101, "only w3 w4 w5 of it")]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["id"]: r["score"] for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {*range(copies), 100} and got[0] == 1 and 0.5 < got[100] < 0.8
+
+
+def test_pairs_left_out_cannot_reach_the_score():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        item, passage = (rng.integers(0, 12, n).astype(np.uint64) for n in rng.integers(1, 30, 2))
+        score = decontaminate.align([item], [passage])[0][0] / (decontaminate.MATCH * len(item))
+        assert decontaminate.may_reach(item, passage, score)
+
+
 # ---------------------------------------------------------------- 6 license
 
 def test_license_places_and_fuzzy_notice(spark):
