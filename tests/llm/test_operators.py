@@ -280,6 +280,25 @@ def test_kneser_ney_sums_to_one_and_judges(spark):
     assert kn_quality.judge(df.limit(0), labels).count() == 0
 
 
+def test_limits_of_null_unseen_small_and_many_languages(spark):
+    rng = random.Random(17)
+    text = lambda: ". ".join(some_text(rng, 12).capitalize() for _ in range(4))
+    many = [f"l{k:02d}" for k in range(34)]
+    good = [(i, text(), many[i % 34]) for i in range(34 * 20)] + [(5000, text(), "one")]
+    clean = [(6000 + i, text(), lang) for i, lang in enumerate([None, "none", "one", "one", "l00", "l33"])]
+    noise = [(7000 + i, (some_text(rng, 40) + "###").upper(), lang) for i, lang in enumerate([None, "none", "one", "l00", "l33"])]
+    df = spark.createDataFrame(good + clean + noise, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in good], "doc_id long, quality int, toxic int")
+    shards, limits, scored = kn_quality.fit(df, labels, tail=0.05, slack=3.0)
+    assert set(limits) == {*many, "*"} and len(set(limits.values())) == 35 and len(list(shards.values())) == 35
+    used = {r["id"]: r["model_lang"] for r in scored.collect()}
+    assert [used[6000 + i] for i in range(6)] == ["*", "*", "*", "*", "l00", "l33"] and len(used) == len(good + clean + noise)
+    got = {r["doc_id"]: r["keep"] for r in kn_quality.judge(df, labels, tail=0.05, slack=3.0).collect()}
+    assert all(got[6000 + i] for i in range(6)) and not any(got[7000 + i] for i in range(5))
+    kept = kn_quality.keep_good(df, labels, tail=0.05, slack=3.0)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, k in got.items() if k}
+
+
 def test_long_text_in_pieces():
     text = "Ab é" * 1000
     assert np.array_equal(np.concatenate(list(kn_quality._pieces(text, 97))), kn_quality._codes(text))
