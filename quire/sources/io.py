@@ -72,6 +72,19 @@ def write_array_files(df: DataFrame, path: str, group: str) -> str:
 # ------------------------------------------------------------------- runs
 
 
+def _nesting(text: Column) -> Column:
+    """How deep the objects of a JSON text are nested (braces outside strings)."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a, x):
+        now = a["now"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(braces, start, step, lambda a: a["most"])
+
+
 def read_runs(spark: SparkSession, root: str, pattern: str = "run*/*") -> DataFrame:
     """Discover run folders (name starting with ``run``) and flatten their
     summaries to (run, dataset, metric, mean, stderr).
@@ -79,7 +92,7 @@ def read_runs(spark: SparkSession, root: str, pattern: str = "run*/*") -> DataFr
     Tolerated shapes: {dataset: {means: {metric: v}, stderrs: {...}}};
     {metric: {means: v}} and {metric: {means: v, stds: s}} (dataset NULL);
     nested objects inside ``means`` (metric = dotted path of numeric leaves,
-    three levels); extra non-object members (e.g. ``solution``) ignored."""
+    as many levels as the deepest file has, found by one pass); extra non-object members (e.g. ``solution``) ignored."""
     raw = spark.read.text(f"{root.rstrip('/')}/{pattern}", wholetext=True)
     run = F.regexp_extract(file_path(), r"/(run[^/]*)/[^/]+$", 1)
     run = F.regexp_replace(run, r"^run=", "")
@@ -96,17 +109,16 @@ def read_runs(spark: SparkSession, root: str, pattern: str = "run*/*") -> DataFr
     leaf1 = lvl1.select("run", "dataset", F.col("m1").alias("metric"),
                         F.try_variant_get("v1", "$", "double").alias("mean"),
                         F.element_at("_se", F.col("m1")).alias("stderr")).where(F.col("mean").isNotNull())
-    lvl2 = lvl1.select("run", "dataset", "m1",
-                       F.explode(F.try_variant_get("v1", "$", "map<string,variant>")).alias("m2", "v2"))
-    leaf2 = lvl2.select("run", "dataset", F.concat_ws(".", "m1", "m2").alias("metric"),
-                        F.try_variant_get("v2", "$", "double").alias("mean"),
-                        F.lit(None).cast("double").alias("stderr")).where(F.col("mean").isNotNull())
-    lvl3 = lvl2.select("run", "dataset", "m1", "m2",
-                       F.explode(F.try_variant_get("v2", "$", "map<string,variant>")).alias("m3", "v3"))
-    leaf3 = lvl3.select("run", "dataset", F.concat_ws(".", "m1", "m2", "m3").alias("metric"),
-                        F.try_variant_get("v3", "$", "double").alias("mean"),
-                        F.lit(None).cast("double").alias("stderr")).where(F.col("mean").isNotNull())
-    return num.unionByName(leaf1).unionByName(leaf2).unionByName(leaf3)
+    out = num.unionByName(leaf1)
+    deepest = raw.agg(F.max(_nesting(F.col("value")))).first()[0] or 0
+    level = lvl1.select("run", "dataset", F.col("m1").alias("metric"), F.col("v1").alias("v"))
+    for _ in range(deepest - 3):  # the file, the dataset and means are objects too
+        level = level.select("run", "dataset", "metric",
+                             F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("m", "v")) \
+            .select("run", "dataset", F.concat_ws(".", "metric", "m").alias("metric"), "v")
+        out = out.unionByName(level.select("run", "dataset", "metric", F.try_variant_get("v", "$", "double").alias("mean"),
+                                           F.lit(None).cast("double").alias("stderr")).where(F.col("mean").isNotNull()))
+    return out
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -23,6 +23,16 @@ def scratch():
     return tempfile.mkdtemp(prefix="quire-test-src-", dir="/tmp")
 
 
+def test_read_runs_keeps_leaves_of_every_level(spark, scratch):
+    root = os.path.join(scratch, "deep")
+    _write(root, "run_0/final_info.json", json.dumps(
+        {"a": {"means": {"l1": {"l2": {"l3": {"l4": {"l5": 5.0, "t}{": "x"}, "n": 4.0}, "n": 3.0}, "n": 2.0}, "n{\\\"": 1.0}}}))
+    _write(root, "run_1/final_info.json", json.dumps({"b": {"means": 7.0, "note": "{{{{"}}))
+    rows = {(r["run"], r["dataset"], r["metric"], r["mean"]) for r in IO.read_runs(spark, root).collect()}
+    assert rows == {("run_0", "a", "l1.l2.l3.l4.l5", 5.0), ("run_0", "a", "l1.l2.l3.n", 4.0), ("run_0", "a", "l1.l2.n", 3.0),
+                    ("run_0", "a", "l1.n", 2.0), ("run_0", "a", "n{\\\"", 1.0), ("run_1", None, "b", 7.0)}
+
+
 def test_read_runs_tolerates_drifted_shapes(spark, scratch):
     root = os.path.join(scratch, "runs")
     _write(root, "run_0/final_info.json", json.dumps(
