@@ -18,9 +18,10 @@ from quire.llm import (
     line_runs,
     simhash_trie,
     site_style,
+    token_files,
 )
 from quire.session import ensure_checkpoint_dir, ship_package
-from quire.sources.tables import read_table
+from quire.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +159,13 @@ def op8_ef_trie_lm(spark, sf_dir):
 def op10_site_style(spark, sf_dir):
     """Main text of all pages."""
     return site_style.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    """All documents as range-coded token blocks, digests read back from them."""
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    ids = token_files.encode_texts(docs, token_files.TOKENIZER, end_id=0)
+    vocab = token_files.vocabulary(token_files.TOKENIZER)
+    got = token_files.digests(token_files.write(ids, vocab), vocab)
+    return got.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
