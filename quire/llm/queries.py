@@ -18,6 +18,7 @@ from quire.llm import (
     line_runs,
     simhash_trie,
     site_style,
+    spelling,
     token_files,
 )
 from quire.session import ensure_checkpoint_dir, ship_package
@@ -169,3 +170,10 @@ def op11_token_files(spark, sf_dir):
     vocab = token_files.vocabulary(token_files.TOKENIZER)
     got = token_files.digests(token_files.write(ids, vocab), vocab)
     return got.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+@query
+def op12_trie_frontier(spark, sf_dir):
+    """Words of all documents, with the words one edit apart and their forms."""
+    counts = spelling.word_counts(read_table(spark, sf_dir, "documents"), least_length=7, least_count=2, damage_every=31)
+    return spelling.variants(counts, least_length=7, ratio=10)
