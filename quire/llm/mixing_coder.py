@@ -33,7 +33,8 @@ GROUP = 32                    # ranks under one partial sum
 PAIR_BITS = 11                # slots for two ids before, a lane
 SURE = 7                      # highest confidence
 KEEP, REST = np.float32(0.98), np.float32(0.02 / 3)
-HEAD = np.dtype([("n", "<u4"), ("known", "<u4"), ("words", "<u4"), ("crc", "<u4")])
+HEAD = np.dtype([("n", "<u4"), ("known", "<u4"), ("words", "<u4"), ("crc", "<u4")])  # crc: of the ids
+SEAL = np.dtype("<u4")        # CRC-32 of all that follows it
 _FIRST_GUESS = np.array([0, 8, 14, 18, 21, 24, 26, 28]) * ONE // 32  # chance by confidence, to begin with
 # change of an entry by confidence and whether its prediction came
 _MOVE = np.array([v for c in range(SURE + 1) for v in ((c >> 1) - c, int(c < SURE))], np.int64)
@@ -292,7 +293,8 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     for lane, k in enumerate(order):
         at = at_name[lane]
         head = np.array([(size[k], known[lane], names_sent[at], checksum(blocks[k]))], HEAD)
-        result[k] = head.tobytes() + names_words[at, :names_sent[at]].tobytes() + words[lane, :sent[lane]].tobytes()
+        body = head.tobytes() + names_words[at, :names_sent[at]].tobytes() + words[lane, :sent[lane]].tobytes()
+        result[k] = np.array([zlib.crc32(body)], SEAL).tobytes() + body
     return result
 
 
@@ -313,16 +315,16 @@ def _matrix(parts: list[np.ndarray]) -> np.ndarray:
 
 def _decode(blocks: list[bytes], bits: int) -> list[np.ndarray]:
     n = len(blocks)
-    if any(len(b) < HEAD.itemsize for b in blocks):
-        raise ValueError("block is cut short")
+    sealed, blocks = blocks, [b[SEAL.itemsize:] for b in blocks]
+    for seal, b in zip(sealed, blocks):
+        if len(b) < HEAD.itemsize or zlib.crc32(b) != int(np.frombuffer(seal, SEAL, 1)[0]):
+            raise ValueError("block is damaged or cut short")
     heads = [np.frombuffer(b, HEAD, 1)[0] for b in blocks]
     body = [np.frombuffer(b, "<u2", offset=HEAD.itemsize) for b in blocks]
     size = np.array([int(h["n"]) for h in heads], np.int64)
     order, active = _lengths(size)
     longest = len(active)
     known = np.array([int(heads[k]["known"]) for k in order], np.int64)
-    if (known > size[order]).any():
-        raise ValueError("block does not fit its checksum")
 
     by_known, some = _lengths(known)
     first = Reader(_matrix([body[order[lane]][:heads[order[lane]]["words"]] for lane in by_known]))

@@ -13,6 +13,7 @@ from quire.llm import (
     chat_masks,
     decontaminate,
     ef_trie_lm,
+    hard_negatives,
     kn_quality,
     license_scan,
     line_runs,
@@ -177,3 +178,28 @@ def op12_trie_frontier(spark, sf_dir):
     """Words of all documents, with the words one edit apart and their forms."""
     counts = spelling.word_counts(read_table(spark, sf_dir, "documents"), least_length=7, least_count=2, damage_every=31)
     return spelling.variants(counts, least_length=7, ratio=10)
+
+
+@query
+def op13_bond_negatives(spark, sf_dir):
+    """Hard negatives of every vector whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepare(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, k_positive=5, k_negative=10, least_percent=30, most_percent=90)
+
+
+ORACLES["op13_bond_negatives"] = """with e as (
+  select vec_id as id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+     list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+     and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+  s as (select a.id as anchor_id, b.id, a.label = b.label as same,
+     list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as score
+     from e a join e b on a.id <> b.id and len(a.v) = len(b.v) where a.id % 100 = 0),
+  p as (select anchor_id, id as positive_id, score as positive_score from s where same
+     qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over w as rank, s.id as negative_id, positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)
+qualify row_number() over w <= 10"""
