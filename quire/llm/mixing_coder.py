@@ -29,7 +29,7 @@ import numpy as np
 BITS = 15
 ONE = 1 << BITS
 LANES = 2048                  # blocks side by side
-GROUP = 32                    # ranks under one partial sum
+GROUP, SHIFT = 16, 4          # ranks under one partial sum
 PAIR_BITS = 11                # slots for two ids before, a lane
 SURE = 7                      # highest confidence
 KEEP, REST = np.float32(0.98), np.float32(0.02 / 3)
@@ -60,6 +60,12 @@ class Writer:
         self.span[:m] = unit * count.astype(np.uint64)
         self.send(m)
 
+    def room(self, most: int) -> None:
+        """Make sure that ``most`` more words fit."""
+        if (short := int(self.sent.max(initial=0)) + most - self.words.shape[1]) > 0:
+            more = max(short, self.words.shape[1] // 4)
+            self.words = np.concatenate((self.words, np.zeros((len(self.words), more), np.uint32)), axis=1)
+
     def send(self, m: int) -> None:
         low, span = self.low[:m], self.span[:m]
         over = (low > _MASK48).nonzero()[0]
@@ -140,10 +146,10 @@ class _Ranks:
         self.width = self.groups * GROUP
         self.count = np.zeros((n * self.groups, GROUP), np.int32)     # [lane, group][rank in it]
         self.flat = self.count.reshape(-1)
-        self.sums = np.zeros((n, self.groups), np.int32)
-        self.flat_sums = self.sums.reshape(-1)
+        self.sums = np.zeros((n, self.groups), np.int32)              # of all groups up to each
+        self.number = np.arange(self.groups, dtype=np.int16)
         slots = self.width + (1 << PAIR_BITS)
-        self.pred = np.zeros(n * slots, np.int64)                     # prediction << 3 | confidence
+        self.pred = np.zeros(n * slots, np.int32)                     # prediction << 3 | confidence
         self.true = np.tile(_FIRST_GUESS, 2 * n)                      # [lane][order][confidence]
         self.weight = np.full((3, n * 4), 1.0 / 3.0, np.float32)
         self.lane = np.arange(n, dtype=np.int64)
@@ -177,10 +183,6 @@ class _Ranks:
         np.minimum(mixed, np.float32(ONE - 24), out=mixed)
         return self.cand, mixed.astype(np.uint64)
 
-    def upto(self, m: int) -> np.ndarray:
-        """Running counts of the groups of each lane."""
-        return np.cumsum(self.sums[:m], axis=1, dtype=np.int32)
-
     def inner(self, g: np.ndarray) -> np.ndarray:
         """Running counts inside group ``g`` of each lane."""
         return np.cumsum(self.count.take(self.lane[:len(g)] * self.groups + g, axis=0), axis=1, dtype=np.int32)
@@ -199,7 +201,7 @@ class _Ranks:
         self.true[self.at_true] = self.q + ((came * np.int64(ONE) - self.q) >> 5)
         self.pred[self.at] = np.where((self.c < 2) & ~came, (s << 3) + 1, self.entry + _MOVE.take(self.c * 2 + came))
         self.flat[lane * self.width + s] += 1
-        self.flat_sums[lane * self.groups + (s >> 5)] += 1
+        self.sums[:m] += self.number >= (s >> SHIFT).astype(np.int16)[:, None]
         a = self.ctx[0, :m]
         self.ctx[1, :m] = ((s * 40503 + a * 60493) >> 3) & ((1 << PAIR_BITS) - 1)
         self.ctx[0, :m] = s
@@ -233,7 +235,7 @@ def _ranks_of(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(first, kind="stable")
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
-    return ids[order].astype(np.int64), rank[back]
+    return ids[order].astype(np.int64), rank[back].astype(np.int32)
 
 
 def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
@@ -243,10 +245,10 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     longest = len(active)
     split = [_ranks_of(blocks[k]) for k in order]
     known = np.array([len(ids) for ids, _ in split], np.int64)
-    ranks = np.zeros((longest, n), np.int64)
+    ranks = np.zeros((longest, n), np.int32)
     for lane, (_, r) in enumerate(split):
         ranks[:len(r), lane] = r
-    out = Writer(n, 3 * longest + 16)
+    out = Writer(n, longest * 5 // 8 + 64)
 
     by_known, some = _lengths(known)  # the distinct ids, most first
     names = np.zeros((len(some), n), np.int64)
@@ -271,15 +273,17 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     model = _Ranks(n, int(known.max(initial=0)))
     for t in range(longest):
         m = int(active[t])
-        s, lane = ranks[t, :m], model.lane[:m]
+        if t % 16 == 0:
+            out.room(64)  # an id takes three words at most
+        s, lane = ranks[t, :m].astype(np.int64), model.lane[:m]
         low, span = out.low[:m], out.span[:m]
         cand, chance = model.guess(t, m)
         hit = cand == s
         first_part = (span >> _UBITS) * chance
         seen = model.known[:m]
         room = np.where(seen < known[:m], seen + 1, 0)
-        g, r = s >> 5, s & 31
-        start = np.where(g > 0, model.upto(m)[lane, g - 1], 0) + np.where(r > 0, model.inner(g)[lane, r - 1], 0)
+        g, r = s >> SHIFT, s & (GROUP - 1)
+        start = np.where(g > 0, model.sums[lane, g - 1], 0) + np.where(r > 0, model.inner(g)[lane, r - 1], 0)
         fresh = s == seen
         start = np.where(fresh, t, start)
         count = np.where(fresh, room, model.flat.take(lane * model.width + s))
@@ -288,6 +292,7 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         span[:] = np.where(hit, first_part, count.astype(np.uint64) * unit)
         out.send(m)
         model.learn(s, hit)
+    out.room(8)
     words, sent = out.close()
     result: list[bytes] = [b""] * n
     for lane, k in enumerate(order):
@@ -346,7 +351,7 @@ def _decode(blocks: list[bytes], bits: int) -> list[np.ndarray]:
 
     src = Reader(_matrix([body[k][heads[k]["words"]:] for k in order]))
     model = _Ranks(n, int(known.max(initial=0)))
-    ranks = np.zeros((longest, n), np.int64)
+    ranks = np.zeros((longest, n), np.int32)
     for t in range(longest):
         m = int(active[t])
         lane = model.lane[:m]
@@ -359,7 +364,7 @@ def _decode(blocks: list[bytes], bits: int) -> list[np.ndarray]:
         total = np.maximum(t + room, 1)
         unit = (span - first_part) // total.astype(np.uint64)
         at = np.minimum(((code - first_part) // unit).astype(np.int64), total - 1)
-        upto = model.upto(m)
+        upto = model.sums[:m]
         g = np.minimum(_above(upto, at), model.groups - 1)
         below = np.where(g > 0, upto[lane, g - 1], 0)
         inner = model.inner(g)

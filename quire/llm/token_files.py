@@ -39,7 +39,7 @@ from quire.llm.store import table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_IDS = 2048
 SHARD_IDS = 1 << 22
-WORDS_HELD = 400_000  # pieces of text whose ids a task remembers
+PIECES_HELD = 300_000  # pieces of text whose ids a task remembers
 # Fixed value: how a byte-level tokenizer of this kind divides a text before it merges bytes.
 BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters on which the regex library and the tokenizer's own engine surely agree; a text with any other goes to the
@@ -51,10 +51,15 @@ class Encoder:
     """Texts to ids with one tokenizer file."""
 
     def __init__(self, path: str):
+        import os
+
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.kind = ids_type(self.tok.get_vocab_size(with_added_tokens=True))
         self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,32 +71,53 @@ class Encoder:
         self.held: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, new: list[str]):
+        """(piece, ids) of pieces, those of letters in one text: a line break
+        is a piece and an id of its own, so it parts their ids again."""
+        plain = [p for p in new if p[-1].isalpha()]
+        rest = [p for p in new if not p[-1].isalpha()]
+        yield from zip(rest, self.whole(rest))
+        cut = self.tok.encode("\n", add_special_tokens=False).ids
+        if len(cut) != 1:
+            yield from zip(plain, self.whole(plain))
+            return
+        for lo in range(0, len(plain), 2048):
+            part = plain[lo:lo + 2048]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            yield from zip(part, (x.tobytes() for x in _between(ids, cut[0])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers (``ids_type``)."""
         if not self.by_pieces:
             return self.whole(texts)
-        odd = [i for i, t in enumerate(texts) if self.other(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
+        odd = {i for i, t in enumerate(texts) if self.other(t)}
+        pieces = [[] if i in odd else self.split(t) for i, t in enumerate(texts)]
+        if len(self.held) > PIECES_HELD:
+            self.held.clear()
+        held = self.held
+        new = list({p for ps in pieces for p in ps}.difference(held))
+        held.update(self.pieces(new))
+        out = [b"".join([held[p] for p in ps]) for ps in pieces]
+        for i, ids in zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])):
             out[i] = ids
-        odd_set, held = set(odd), self.held
-        for i, t in enumerate(texts):
-            if i in odd_set:
-                continue
-            pieces = self.split(t)
-            try:
-                out[i] = b"".join(map(held.__getitem__, pieces))
-            except KeyError:
-                if len(held) > WORDS_HELD:
-                    held.clear()
-                new = list({p for p in pieces if p not in held})
-                held.update(zip(new, self.whole(new)))
-                out[i] = b"".join(map(held.__getitem__, pieces))
         return out
 
 
+def _between(ids: np.ndarray, cut: int):
+    """The parts of ``ids`` between the places of ``cut``."""
+    ends = np.append(np.flatnonzero(ids == cut), len(ids))
+    lo = 0
+    for hi in ends:
+        yield ids[lo:hi]
+        lo = hi + 1
+
+
+def ids_type(vocab: int) -> str:
+    return "<u2" if vocab <= 1 << 16 else "<u4"
+
+
 def vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -100,16 +126,18 @@ def vocabulary(path: str) -> int:
 
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 0, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(id, tie, n, ids): the ids of each row with the end id, as bytes."""
+    """(id, tie, n, ids): the ids of each row with the end id, as bytes
+    (``ids_type`` of the vocabulary)."""
 
     def run(batches):
         encode = Encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], encode.kind).tobytes()
+        wide = len(end)
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo:lo + 512]
                 ids = [x + end for x in encode([t or "" for t in part["text"]])]
-                yield pd.DataFrame({"id": part["id"], "tie": part["tie"], "n": [len(x) // 4 for x in ids], "ids": ids})
+                yield pd.DataFrame({"id": part["id"], "tie": part["tie"], "n": [len(x) // wide for x in ids], "ids": ids})
 
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([src.schema["id"], T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()),
@@ -123,7 +151,7 @@ def write(encoded: DataFrame, vocab: int, name: str = "token-blocks") -> DataFra
     total = encoded.agg(F.sum("n")).first()[0] or 0
     cores = encoded.sparkSession.sparkContext.defaultParallelism
     shard_ids = max(min(SHARD_IDS, total // cores), 128 * BLOCK_IDS)
-    id_type = encoded.schema["id"].dataType
+    id_type, kind = encoded.schema["id"].dataType, ids_type(vocab)
 
     def run(batches):
         from pyspark import TaskContext
@@ -151,7 +179,7 @@ def write(encoded: DataFrame, vocab: int, name: str = "token-blocks") -> DataFra
 
         for pdf in batches:
             for id_, data in zip(pdf["id"], pdf["ids"]):
-                ids, at = np.frombuffer(data, "<u4"), 0
+                ids, at = np.frombuffer(data, kind), 0
                 while at < len(ids):
                     part = ids[at:at + BLOCK_IDS - held]
                     at += len(part)
