@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.ordering import running_totals
+from quire.plans.ordering import neighbour, running, running_totals
 from quire.plans.pairs import block_cogroup, group_sums, pair_index, per_left
 
 AX = ("x", "y", "z")
@@ -159,38 +159,54 @@ def pixel_rays(poses: DataFrame, frame: str, h: int, w: int, focal: float, rot:
 # ------------------------------------------------------ inverse-CDF sampling
 
 
-def sample_cdf(weights: DataFrame, bins: DataFrame, key: str, idx: str, w: str, b: str, n_samples: int,
-               digits: int = 12) -> DataFrame:
-    """Deterministic inverse-CDF sampling (u = linspace(0, 1, n_samples)).
+def even_draws(weights: DataFrame, key: Sequence[str], n_samples: int) -> DataFrame:
+    """Draw table (key, s, u) with the even grid u = linspace(0, 1, n_samples)
+    for every key of ``weights``."""
+    u = F.col("s") / F.lit(float(max(n_samples - 1, 1)))
+    return weights.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s")) \
+        .select(*key, "s", u.alias("u"))
+
+
+def sample_cdf(weights: DataFrame, bins: DataFrame, draws: DataFrame, key: Sequence[str], idx: str = "idx",
+               w: str = "w", b: str = "b", u: str = "u", digits: int = 12) -> DataFrame:
+    """Inverse-CDF samples at the points of a draw table.
 
     weights (key, idx 0..n-1, w) and bins (key, idx 0..n, b): pdf from
-    w + 1e-5, cdf with a leading 0, then for each u the bracketing segment
-    cdf_i <= u < cdf_{i+1} (right-side search) by a range join on the key,
-    linear interpolation, tiny denominators replaced by 1.  The cdf is
-    rounded to ``digits`` so the last edge is exactly 1."""
-    wp = weights.withColumn("_w", F.col(w) + 1e-5)
-    tot = wp.groupBy(key).agg(F.sum("_w").alias("_tot"))
-    cum = running_totals(wp.join(tot, key), [idx], {"_c": F.col("_w")}, partition_by=[key])
-    # cdf index i+1 = inclusive cumulative pdf of weight i
-    cdf = cum.select(key, (F.col(idx) + 1).alias("i"), F.round(F.col("_c") / F.col("_tot"), digits).alias("cdf"))
-    zero = weights.select(key).distinct().select(key, F.lit(0).cast(cdf.schema["i"].dataType).alias("i"),
-                                                 F.lit(0.0).alias("cdf"))
-    cdf = cdf.unionByName(zero)
-    bb = bins.select(key, F.col(idx).alias("i"), F.col(b).alias("bin"))
-    pts = cdf.join(bb, [key, "i"])
-    nxt = pts.select(key, (F.col("i") - 1).alias("i"), F.col("cdf").alias("cdf_hi"), F.col("bin").alias("bin_hi"))
-    seg = pts.join(nxt, [key, "i"], "left").select(
-        key, "i", F.col("cdf").alias("cdf_lo"), F.col("bin").alias("bin_lo"),
-        F.coalesce("cdf_hi", F.lit(float("inf"))).alias("_edge"),
-        F.coalesce("cdf_hi", F.col("cdf")).alias("cdf_hi"), F.coalesce("bin_hi", F.col("bin")).alias("bin_hi"))
-    us = weights.select(key).distinct().select(
-        key, F.posexplode(F.array(*[F.lit(s / (n_samples - 1) if n_samples > 1 else 0.0)
-                                    for s in range(n_samples)])).alias("s", "u"))
-    j = us.join(seg, (us[key] == seg[key]) & (F.col("u") >= F.col("cdf_lo")) & (F.col("u") < F.col("_edge")))
-    denom = F.col("cdf_hi") - F.col("cdf_lo")
-    denom = F.when(denom < 1e-5, F.lit(1.0)).otherwise(denom)
-    tt = (F.col("u") - F.col("cdf_lo")) / denom
-    return j.select(us[key].alias(key), "s", "u", (F.col("bin_lo") + tt * (F.col("bin_hi") - F.col("bin_lo"))).alias("sample"))
+    w + 1e-5, cdf with a leading 0 (rounded to ``digits`` so that the last edge
+    is exactly 1); for every row of ``draws`` (key, u and any other columns) the
+    segment with cdf_i <= u < cdf_{i+1} (right-side search), linear
+    interpolation, widths under 1e-5 replaced by 1.
+
+    As-of merge: segments and draws of a key are one ordered sequence in which
+    the last segment is carried forward (a running maximum by its number), so a
+    draw meets one segment, not all of its key, and a hot key is split
+    (``plans.ordering``).  u below 0 gives the first edge and u from 1 on the
+    last one; draws of a key without weights give none; null u gives null.
+    """
+    key = list(key)
+    wp = weights.select(*key, F.col(idx).cast("long").alias("_i"), (F.col(w) + 1e-5).alias("_w"))
+    total = wp.groupBy(*key).agg(F.sum("_w").alias("_t"))
+    cum = running_totals(wp, ["_i"], {"_c": F.col("_w")}, partition_by=key)
+    edges = neighbour(bins.select(*key, F.col(idx).cast("long").alias("_i"), F.col(b).alias("_b")), key, ["_i"], ["_b"],
+                      ahead=True, prefix="_next")
+    seg = cum.join(total, key).join(edges, [*key, "_i"])
+    hi = F.round(F.col("_c") / F.col("_t"), digits)
+    lo = F.when(F.col("_i") == 0, F.lit(0.0)).otherwise(F.round((F.col("_c") - F.col("_w")) / F.col("_t"), digits))
+    seg = seg.select(*key, "_i", lo.alias("_lo"), hi.alias("_hi"), "_b", F.col("_next_b").alias("_e"))
+    # one sequence: a segment stands where it begins (the first before every draw)
+    start = F.when(F.col("_i") == 0, F.lit(float("-inf"))).otherwise(F.col("_lo"))
+    extra = [c for c in draws.columns if c not in key]
+    row_of = F.struct(*[F.col(c) for c in extra])
+    items = seg.select(*key, start.alias("_at"), F.lit(0).alias("_kind"), F.col("_i").alias("_tie"),
+                       F.struct("_i", "_lo", "_hi", "_b", "_e").alias("_seg"), F.lit(None).cast(draws.select(row_of.alias("r")).schema["r"].dataType).alias("_row"))
+    asks = draws.select(*key, F.col(u).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(row_of).alias("_tie"),
+                        F.lit(None).cast(items.schema["_seg"].dataType).alias("_seg"), row_of.alias("_row"))
+    merged = running(items.unionByName(asks), ["_at", "_kind", "_tie"], {"_near": (F.col("_seg"), "max")}, partition_by=key)
+    at, near = F.col("_at"), F.col("_near")
+    width = F.when(near["_hi"] - near["_lo"] < 1e-5, F.lit(1.0)).otherwise(near["_hi"] - near["_lo"])
+    inside = near["_b"] + (at - near["_lo"]) / width * (near["_e"] - near["_b"])
+    sample = F.when(at < near["_lo"], near["_b"].cast("double")).when(at >= near["_hi"], near["_e"].cast("double")).otherwise(inside)
+    return merged.where((F.col("_kind") == 1) & near.isNotNull()).select(*key, "_row.*", F.when(at.isNotNull(), sample).alias("sample"))
 
 
 # ------------------------------------------------------------------ grids

@@ -207,28 +207,49 @@ def jn14(t):
                       r9("dy").alias("dy"), F.round("dz", 9).alias("dz"))
 
 
-@query("jn15_inverse_cdf_sampling", """
-WITH w AS (select paper_id, row_number() over (partition by paper_id order by reviewer) - 1 as idx, score + 1e-5 as w from d_scores where field = 'Overall'),
-c AS (select paper_id, idx + 1 as i, round(sum(w) over (partition by paper_id order by idx rows between unbounded preceding and current row) / sum(w) over (partition by paper_id), 12) as cdf from w
-      union all select distinct paper_id, 0, 0.0 from w),
-b AS (select paper_id, unnest(range(n + 1)) as i from (select paper_id, count(*) as n from w group by paper_id)),
-pts AS (select c.paper_id, c.i, c.cdf, b.i * 0.5 as bin from c join b on c.paper_id = b.paper_id and c.i = b.i),
-seg AS (select paper_id, i, cdf as cdf_lo, bin as bin_lo,
-          coalesce(lead(cdf) over (partition by paper_id order by i), 'inf'::double) as edge,
-          coalesce(lead(cdf) over (partition by paper_id order by i), cdf) as cdf_hi,
-          coalesce(lead(bin) over (partition by paper_id order by i), bin) as bin_hi from pts),
-u AS (select distinct paper_id, s, s / 4.0 as u from w, (select unnest(range(5)) as s))
-select u.paper_id, cast(u.s as int) as s, round(bin_lo + (u.u - cdf_lo) / (case when cdf_hi - cdf_lo < 1e-5 then 1.0 else cdf_hi - cdf_lo end) * (bin_hi - bin_lo), 9) as sample
-from u join seg on u.paper_id = seg.paper_id and u.u >= seg.cdf_lo and u.u < seg.edge""", ("d_scores",))
+JN15_SQL = """
+WITH w AS (select paper_id, field, row_number() over (partition by paper_id, field order by reviewer) - 1 as idx, score + 1e-5 as w from d_scores),
+c AS (select paper_id, field, idx + 1 as i, round(sum(w) over (partition by paper_id, field order by idx rows between unbounded preceding and current row) / sum(w) over (partition by paper_id, field), 12) as cdf from w
+      union all select distinct paper_id, field, 0, 0.0 from w),
+pts AS (select paper_id, field, i, cdf, i * 0.5 as bin from c),
+seg AS (select paper_id, field, i, cdf as cdf_lo, bin as bin_lo,
+          coalesce(lead(cdf) over (partition by paper_id, field order by i), 'inf'::double) as edge,
+          coalesce(lead(cdf) over (partition by paper_id, field order by i), cdf) as cdf_hi,
+          coalesce(lead(bin) over (partition by paper_id, field order by i), bin) as bin_hi from pts),
+u AS ({draws})
+select u.paper_id, u.field, cast(u.s as int) as s, round(bin_lo + (u.u - cdf_lo) / (case when cdf_hi - cdf_lo < 1e-5 then 1.0 else cdf_hi - cdf_lo end) * (bin_hi - bin_lo), 9) as sample
+from u join seg on u.paper_id = seg.paper_id and u.field = seg.field and u.u >= seg.cdf_lo and u.u < seg.edge"""
+
+
+def _cdf_inputs(t):
+    s = D.d_scores(t)
+    key = ["paper_id", "field"]
+    weights = positions(s, key, ["reviewer"], "idx").select(*key, "idx", F.col("score").cast("double").alias("w"))
+    n = weights.groupBy(*key).agg(F.count("*").alias("_n"))
+    bins = n.select(*key, F.explode(F.sequence(F.lit(0), F.col("_n").cast("int"))).alias("idx")).select(
+        *key, "idx", (F.col("idx") * 0.5).alias("b"))
+    return key, weights, bins
+
+
+@query("jn15_inverse_cdf_sampling", JN15_SQL.format(
+    draws="select distinct paper_id, field, s, s / 4.0 as u from w, (select unnest(range(5)) as s)"), ("d_scores",))
 def jn15(t):
-    s = D.d_scores(t).where(F.col("field") == "Overall")
-    weights = positions(s, ["paper_id"], ["reviewer"], "idx").select(
-        "paper_id", "idx", F.col("score").cast("double").alias("w"))
-    n = weights.groupBy("paper_id").agg(F.count("*").alias("_n"))
-    bins = n.select("paper_id", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int"))).alias("idx")).select(
-        "paper_id", "idx", (F.col("idx") * 0.5).alias("b"))
-    out = G.sample_cdf(weights, bins, "paper_id", "idx", "w", "b", 5)
-    return out.select("paper_id", F.col("s").cast("int").alias("s"), r9("sample").alias("sample"))
+    key, weights, bins = _cdf_inputs(t)
+    out = G.sample_cdf(weights, bins, G.even_draws(weights, key, 5), key)
+    return out.select(*key, F.col("s").cast("int").alias("s"), r9("sample").alias("sample"))
+
+
+@query("jn15_cdf_of_drawn_points", JN15_SQL.format(draws="""
+   select l_orderkey as paper_id, field, l_linenumber as s, min((l_partkey * 31 + l_suppkey * 7) % 1000) / 1000.0e0 as u
+   from lineitem, (select unnest(['Overall', 'Confidence', 'Soundness']) as field) group by all"""), ("d_scores",))
+def jn15u(t):
+    """Samples at the drawn points of a table: one per review and field."""
+    key, weights, bins = _cdf_inputs(t)
+    u = F.min((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7) % 1000) / F.lit(1000.0)
+    draws = t.lineitem.groupBy(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("s")).agg(u.alias("u"))
+    fields = F.array(*[F.lit(f) for f in ("Overall", "Confidence", "Soundness")])
+    out = G.sample_cdf(weights, bins, draws.select("paper_id", F.explode(fields).alias("field"), "s", "u"), key)
+    return out.select(*key, F.col("s").cast("int").alias("s"), r9("sample").alias("sample"))
 
 
 @query("jn21_dense_grid", """

@@ -1,16 +1,22 @@
 """Exact global ordering without a single-task window.
 
-A window with ``orderBy`` and no ``partitionBy`` runs in one task.  These
-helpers number rows (or accumulate sums) across a total order in two
-distributed steps:
+A window with ``orderBy`` and no ``partitionBy`` runs in one task, and so does
+the part of a window that belongs to one key.  These helpers number rows (or
+accumulate) over a total order in two distributed steps:
 
 1. rows are split into *buckets* that are monotone in the order (a prefix of
-   a uniform hash, or ranges of all order columns between sample quantiles),
-   and a window runs inside each bucket;
+   a uniform hash, or ranges between sample quantiles), and a window runs
+   inside each bucket;
 2. per-bucket totals form a table with one row per bucket (bounded by the
    bucket count, not by the data); their exclusive prefix sums are
    broadcast back as offsets.
 
+With a key, only hot keys are split: the ``MOST_HOT`` largest with more than
+``HOT_ROWS`` rows.  Any other key has at most ``HOT_ROWS`` rows or a share of
+1 / ``MOST_HOT`` of the table, and is one part of a plain window.  Where no key
+is hot, the branches of the hot ones are empty and adaptive execution drops
+them after the count by key.
+
 Everything is deterministic: recomputation after an executor loss gives
 the same numbers.
 """
@@ -48,21 +54,27 @@ SAMPLES_PER_BUCKET = 32
 FAN = 64  # boundaries under one head of the two-step search
 
 
+def _sortable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed (maps cannot)."""
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+
+
 def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, name: str = "_bucket") -> DataFrame:
     """``df`` with a bucket id that is monotone in the whole ``order``.
 
-    Boundaries are quantiles of a sample: the rows with the smallest hashes of
-    the order columns, at most ``SAMPLES_PER_BUCKET`` per bucket whatever the
-    table's size.  They form one row, computed when the query runs (no job while
-    the plan is built) and are a pure function of the data, so every branch
+    Boundaries are quantiles of a sample of rows, those with the smallest
+    hashes over all their columns (so rows that share an order value are
+    sampled each for itself), at most ``SAMPLES_PER_BUCKET`` per bucket
+    whatever the table's size.  They form one row, computed when the query runs
+    (no job while the plan is built) and are a pure function of the data, so every branch
     of a plan and every recomputation sees the same buckets (unlike physical
-    partition ids).  Any sortable types will do, and rows tied in the first
-    column are parted by the next ones.  Nulls sort first.
+    partition ids).  Any sortable types will do; rows with one order value are in
+    one bucket.  Nulls sort first.
     """
     n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
     size = n * SAMPLES_PER_BUCKET
     key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    sample = df.select(key.alias("k")).select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(size)
+    sample = df.select(key.alias("k"), F.xxhash64(*_sortable(df)).alias("h")).orderBy("h", "k").limit(size)
     ends = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))  # one row
     # every ``step``-th sample value ends a bucket; every FAN-th end is a head
     step = F.greatest(F.floor(F.size("s") / n), F.lit(1)).cast("int")
@@ -81,10 +93,36 @@ def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None
         .drop("_at", "_head")
 
 
-def _with_bucket(df: DataFrame, order: Sequence[str], bucket: Column | None, partitions: int | None):
-    if bucket is not None:
-        return df.withColumn("_bucket", bucket)
-    return range_bucket(df, order, partitions)
+HOT_ROWS = 1 << 20   # rows of a key that one task may sort
+MOST_HOT = 512       # hot keys that are split
+HOT_BUCKETS = 1024   # most buckets of one hot key
+
+
+def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_bucket``: -1 for the rows of ordinary keys, ranges of the
+    order for those of hot keys (see the module's text)."""
+    same = [F.struct(F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]  # a struct: null keys meet
+    names = [f"_k{i}" for i in range(len(keys))]
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    rows = df.select("*", *same)
+    counts = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(MOST_HOT)  # so many rows at most
+    parts = F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(HOT_BUCKETS))
+    few = F.greatest(F.floor(F.col("_n") / (parts * SAMPLES_PER_BUCKET)), F.lit(1))
+    sample = rows.join(F.broadcast(hot), names).where(F.pmod(F.xxhash64(*_sortable(df)), few) == 0)
+    ends = sample.groupBy(*names).agg(F.max(parts).alias("_parts"), F.sort_array(F.collect_list(at)).alias("_s"))
+    step = F.greatest(F.floor(F.size("_s") / F.col("_parts")), F.lit(1))
+    ends = ends.select(*names, F.array_distinct(F.filter("_s", lambda x, i: (i > 0) & (i % step == 0))).alias("_ends"))
+    heads = F.filter("_ends", lambda x, i: i % FAN == 0)
+    ends = ends.select(*names, "_ends", heads.alias("_heads"))  # MOST_HOT rows of HOT_BUCKETS ends
+    out = rows.join(F.broadcast(ends), names, "left")
+
+    def below(bounds: Column) -> Column:
+        return F.aggregate(bounds, F.lit(0), lambda acc, e: acc + F.when(e < at, 1).otherwise(0))
+
+    head = F.greatest(below(F.col("_heads")) - 1, F.lit(0)) * FAN
+    bucket = F.when(F.col("_ends").isNull(), F.lit(-1)).otherwise(head + below(F.slice("_ends", head + 1, F.lit(FAN))))
+    return out.withColumn("_bucket", bucket.cast("int")).drop(*names, "_ends", "_heads")
 
 
 _COMBINE = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
@@ -96,29 +134,29 @@ def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, s
     """Running aggregates (``sum``/``min``/``max``) over ``order`` (a total
     order), restarting per ``partition_by`` group.
 
-    ``bucket`` must be monotone in ``order``; when omitted, ranges of all order
-    columns are used, so a hot group, or a value that many rows share, is
-    spread over many buckets instead of one window task.
+    ``bucket`` must be monotone in ``order``; when omitted, hot keys (without
+    keys: the whole table) are split by ranges of all order columns.
     """
     keys = list(partition_by)
-    b = _with_bucket(df, list(order), bucket, partitions)
+    if bucket is not None:
+        b = df.withColumn("_bucket", bucket)
+    else:
+        b = _split_hot(df, keys, list(order)) if keys else range_bucket(df, list(order), partitions)
+    only_hot = bool(keys) and bucket is None
     frame_end = 0 if inclusive else -1
-    part = Window.partitionBy("_bucket", *keys)
+    part = Window.partitionBy(*keys, "_bucket")
     w = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    # running value and the (bucket, key) total come from the same window
-    # pass, so the offsets branch reuses its shuffle instead of re-reading
-    # the input
-    local = b.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_loc_{n}") for n, (c, k) in aggs.items()],
-                     *[_COMBINE[k][0](c).over(part).alias(f"_tot_{n}") for n, (c, k) in aggs.items()])
-    totals = local.groupBy("_bucket", *keys).agg(*[F.first(f"_tot_{n}").alias(f"_tot_{n}") for n in aggs])
-    # One row per (bucket, group) present: bounded by the bucket count times
-    # the groups that straddle buckets, never by the row count of a group.
+    # running value and the (key, bucket) total come from the same window pass
+    local = b.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_loc_{n}") for n, (c, k) in aggs.items()])
+    split = b.where(F.col("_bucket") >= 0) if only_hot else b
+    totals = split.groupBy(*keys, "_bucket").agg(*[_COMBINE[k][0](c).alias(f"_tot_{n}") for n, (c, k) in aggs.items()])
+    # One row per (bucket, key) that is split: MOST_HOT x HOT_BUCKETS, or one per bucket.
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *keys, *[_COMBINE[k][0](f"_tot_{n}").over(wb).alias(f"_off_{n}")
+    same = [F.struct(F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    offsets = totals.select("_bucket", *same, *[_COMBINE[k][0](f"_tot_{n}").over(wb).alias(f"_off_{n}")
                                                 for n, (_, k) in aggs.items()])
-    if not keys:
-        offsets = F.broadcast(offsets)  # one row per bucket
-    out = local.join(offsets, ["_bucket", *keys])
+    out = local.select("*", *same).join(F.broadcast(offsets) if only_hot or not keys else offsets, ["_bucket", *names], "left")
     for n, (_, k) in aggs.items():
         loc, off = F.col(f"_loc_{n}"), F.col(f"_off_{n}")
         if k == "sum":
@@ -126,8 +164,7 @@ def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, s
         else:
             val = _COMBINE[k][1](loc, off)
         out = out.withColumn(n, val)
-    return out.drop("_bucket", *[f"_loc_{n}" for n in aggs], *[f"_off_{n}" for n in aggs],
-                    *[f"_tot_{n}" for n in aggs])
+    return out.drop("_bucket", *names, *[f"_loc_{n}" for n in aggs], *[f"_off_{n}" for n in aggs])
 
 
 def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, Column],
@@ -144,12 +181,26 @@ def positions(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, F.col(name) - 1)
 
 
-def shifted(df: DataFrame, key: Sequence[str], pos: str, cols: Sequence[str], offset: int = 1,
-            prefix: str = "prev_") -> DataFrame:
-    """lag (offset > 0) / lead (offset < 0) by an equi-join on (key, pos):
-    skew is handled by AQE's skew join instead of one window task per key."""
-    other = df.select(*key, (F.col(pos) + offset).alias(pos), *[F.col(c).alias(prefix + c) for c in cols])
-    return df.join(other, [*key, pos], "left")
+def neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], cols: Sequence[str], ahead: bool = False,
+              prefix: str = "prev_") -> DataFrame:
+    """Values of the row before (or ``ahead``: after) inside its key, null at
+    the ends.  A plain ``lag`` per (key, bucket); the first row of a bucket of
+    a hot key takes them from the edge row of the nearest bucket with rows."""
+    keys = list(key)
+    b = _split_hot(df, keys, list(order))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*[F.desc(c) if ahead else F.asc(c) for c in order])
+    vals = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    local = b.select("*", F.lag(vals).over(w).alias("_near"))
+    at = F.struct(*[F.col(c) for c in order])
+    edges = b.where(F.col("_bucket") >= 0).groupBy(*keys, "_bucket").agg(
+        (F.min_by if ahead else F.max_by)(vals, at).alias("_edge"))  # a row per bucket of a hot key
+    wb = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if ahead else F.asc("_bucket"))
+    same = [F.struct(F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    before = edges.select(*same, "_bucket", F.lag("_edge").over(wb).alias("_far"))
+    out = local.select("*", *same).join(F.broadcast(before), [*names, "_bucket"], "left")
+    got = F.coalesce("_near", "_far")
+    return out.select(*df.columns, *[got[f"v{i}"].alias(prefix + c) for i, c in enumerate(cols)])
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], bucket: Column | None = None,
