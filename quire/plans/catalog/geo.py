@@ -308,6 +308,67 @@ def ag27(t):
                       *[r9(f"{a}{i}").alias(f"{a}{i}") for a in ("x", "y", "z") for i in range(3)])
 
 
+def _poses_3d(t):
+    """Poses turned about two axes, in four groups."""
+    a, b = F.col("s_suppkey") / 7.0, F.col("s_nationkey") / 5.0 + 0.3
+    ca, sa, cb, sb = F.cos(a), F.sin(a), F.cos(b), F.sin(b)
+    rows = [[ca, -sa * cb, sa * sb], [sa, ca * cb, -ca * sb], [F.lit(0.0), sb, cb]]
+    shift = [F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 10).cast("double")]
+    return t.supplier.select(F.col("s_suppkey").alias("frame"), (F.col("s_suppkey") % 4).alias("grp"),
+                             *[c.alias(f"r{i}{j}") for i, r in enumerate(rows) for j, c in enumerate(r)],
+                             *[c.alias(f"t{i}") for i, c in enumerate(shift)])
+
+
+POSES_3D_SQL = """p0 AS (select s_suppkey as frame, s_suppkey % 4 as grp, cos(s_suppkey / 7.0e0) as ca, sin(s_suppkey / 7.0e0) as sa,
+     cos(s_nationkey / 5.0e0 + 0.3e0) as cb, sin(s_nationkey / 5.0e0 + 0.3e0) as sb,
+     s_acctbal / 1000 as t0, s_nationkey::double as t1, (s_suppkey % 10)::double as t2 from supplier),
+p AS (select frame, grp, ca as r00, {s} * -sa * cb as r01, {s} * sa * sb as r02, sa as r10, {s} * ca * cb as r11, {s} * -ca * sb as r12,
+     0.0::double as r20, {s} * sb as r21, {s} * cb as r22, t0, t1, t2 from p0)"""
+ROT_3D = [[f"r{i}{j}" for j in range(3)] for i in range(3)]
+SHIFT_3D = ["t0", "t1", "t2"]
+ENTRIES = [f"m{i}{j}" for i in range(3) for j in range(4)]
+
+
+def _product_sql(left: str, shift: list[str] | None = None) -> str:
+    """The 12 entries of a product with the pose; ``left`` names the rows."""
+    cells = []
+    for i in range(3):
+        row = [left.format(i=i, j=j) for j in range(3)]
+        for j in range(4):
+            col = [f"r{k}{j}" for k in range(3)] if j < 3 else [f"(t{k} - {shift[k]})" if shift else f"t{k}" for k in range(3)]
+            cells.append(f"round({' + '.join(f'{x} * {y}' for x, y in zip(row, col))}, 7) + 0.0 as m{i}{j}")
+    return ", ".join(cells)
+
+
+@query("ag27_center_poses", f"""
+WITH {POSES_3D_SQL.format(s="-1")},
+m AS (select grp, avg(t0) as c0, avg(t1) as c1, avg(t2) as c2, avg(r02) as za, avg(r12) as zb, avg(r22) as zc, avg(r01) as ya, avg(r11) as yb, avg(r21) as yc from p group by grp),
+z AS (select *, za / sqrt(za * za + zb * zb + zc * zc) as z0, zb / sqrt(za * za + zb * zb + zc * zc) as z1, zc / sqrt(za * za + zb * zb + zc * zc) as z2 from m),
+x AS (select *, z1 * yc - z2 * yb as xa, z2 * ya - z0 * yc as xb, z0 * yb - z1 * ya as xc from z),
+n AS (select *, xa / sqrt(xa * xa + xb * xb + xc * xc) as x0, xb / sqrt(xa * xa + xb * xb + xc * xc) as x1, xc / sqrt(xa * xa + xb * xb + xc * xc) as x2 from x),
+q AS (select *, x1 * z2 - x2 * z1 as y0, x2 * z0 - x0 * z2 as y1, x0 * z1 - x1 * z0 as y2 from n),
+w AS (select grp, c0, c1, c2, x0 as w00, x1 as w01, x2 as w02, y0 as w10, y1 as w11, y2 as w12, z0 as w20, z1 as w21, z2 as w22 from q)
+select frame, p.grp, {_product_sql("w{i}{j}", ["c0", "c1", "c2"])} from p join w on p.grp = w.grp""")
+def ag27c(t):
+    """Poses seen from the average pose of their group, all 12 entries."""
+    out = G.center_poses(_poses_3d(t), ["grp"], ROT_3D, SHIFT_3D)
+    return out.select("frame", "grp", *[(F.round(c, 7) + 0.0).alias(c) for c in ENTRIES])
+
+
+@query("ag27_stand_up", f"""
+WITH {POSES_3D_SQL.format(s="1")},
+u AS (select grp, sum(r01) as a, sum(r11) as b, sum(r21) as c from p group by grp),
+v AS (select grp, a / sqrt(a * a + b * b + c * c) as a, b / sqrt(a * a + b * b + c * c) as b, c / sqrt(a * a + b * b + c * c) as c from u),
+k AS (select grp, b as k0, -a as k1, (1 - c) / (a * a + b * b + 1e-10) as g from v),
+w AS (select grp, 1 - g * k1 * k1 as w00, g * k0 * k1 as w01, k1 as w02, g * k0 * k1 as w10, 1 - g * k0 * k0 as w11, -k0 as w12,
+             -k1 as w20, k0 as w21, 1 - g * (k0 * k0 + k1 * k1) as w22 from k)
+select frame, p.grp, {_product_sql("w{i}{j}")} from p join w on p.grp = w.grp""")
+def ag27u(t):
+    """Poses turned so that the up vector of their group is the z axis, all 12 entries."""
+    out = G.stand_up(_poses_3d(t), ["grp"], ROT_3D, SHIFT_3D)
+    return out.select("frame", "grp", *[(F.round(c, 7) + 0.0).alias(c) for c in ENTRIES])
+
+
 @query("ag28_depth_stats", """
 WITH p AS (select quantile_cont(abs(tx), 0.9) as rad_x, quantile_cont(abs(ty), 0.9) as rad_y, quantile_cont(abs(0.0::double), 0.9) as rad_z from d_poses),
 b AS (select min(l_discount + 0.1) as nmin, max(l_tax + 1.0) as fmax from lineitem)
@@ -344,12 +405,32 @@ def ag31(t):
 WITH s AS (select img, r + a as r, c + b as c, v from d_gridpix, (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b)),
 p AS (select img, r, c, max(v) as pooled from s where r >= 0 and r < 16 and c >= 0 and c < 16 group by img, r, c)
 select img, min(r) as r_min, max(r) as r_max, min(c) as c_min, max(c) as c_max, round(count(*) / 256.0, 9) as occupied_share
-from p where pooled >= 45 group by img""", ("d_gridpix",))
+from p where pooled >= 2 group by img""", ("d_gridpix",))
 def ag33(t):
-    out = G.occupancy(D.d_gridpix(t), "img", "r", "c", "v", 45.0, 16, 16)
+    out = G.occupancy(D.d_gridpix(t), "img", "r", "c", "v", 2.0, 16, 16)
     return out.withColumn("occupied_share", r9("occupied_share"))
 
 
+@query("ag33_occupancy_3d", """
+WITH g AS (select l_suppkey as scene, cast(l_orderkey % 16 as int) as i, cast(l_partkey % 12 as int) as j, cast(l_linenumber - 1 as int) as k, max(l_discount * 10) as v from lineitem group by all),
+o AS (select a, b, c from (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c)),
+s AS (select scene, i + a as i, j + b as j, k + c as k, max(least(greatest(v, 0.0), 1.0)) as v from g, o
+      where i + a between 0 and 15 and j + b between 0 and 11 and k + c between 0 and 7 group by all)
+select scene, round(min(i) / 15.0 * 3.0 - 1.5, 9) as x_min, round(max(i) / 15.0 * 3.0 - 1.5, 9) as x_max,
+       round(min(j) / 11.0 * 2.0, 9) as y_min, round(max(j) / 11.0 * 2.0, 9) as y_max,
+       round(min(k) / 7.0 * 1.0 - 0.5, 9) as z_min, round(max(k) / 7.0 * 1.0 - 0.5, 9) as z_max,
+       count(*) as n_occupied, round(count(*) / 1536.0, 9) as occupied_share
+from s where v >= 0.95 group by scene""")
+def ag33v(t):
+    """Occupied box of a sparse 3-D grid per scene (a grid per supplier)."""
+    grid = t.lineitem.groupBy(F.col("l_suppkey").alias("scene"), (F.col("l_orderkey") % 16).cast("int").alias("i"),
+                              (F.col("l_partkey") % 12).cast("int").alias("j"), (F.col("l_linenumber") - 1).cast("int").alias("k")) \
+        .agg(F.max(F.col("l_discount") * 10).alias("v"))
+    out = G.occupancy_3d(grid, ["scene"], ["i", "j", "k"], "v", 0.95, (16, 12, 8), (-1.5, 0.0, -0.5), (1.5, 2.0, 0.5))
+    return out.select("scene", *[r9(f"{a}_{m}").alias(f"{a}_{m}") for a in "xyz" for m in ("min", "max")], "n_occupied",
+                      r9("occupied_share").alias("occupied_share"))
+
+
 @query("sc30_scaling_helpers", """
 select l_returnflag, round(sum(l_discount * 2.5 + -0.1), 9) as affine, round(sum((l_tax - 0.0) / 0.08 * 2 - 1), 9) as unit_box,
        round(sum(l_discount / (sqrt(l_discount * l_discount + l_tax * l_tax) + 1e-10)), 9) as circle_x

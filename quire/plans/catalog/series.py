@@ -218,6 +218,55 @@ def jn11d(t):
     return out.select("a", F.col("b").cast("long").alias("b"), F.col("c").cast("long").alias("c"))
 
 
+@query("jn11_two_sets_div", f"""
+WITH a AS (select row_number() over (order by p_size) - 1 as i, p_size as a from (select distinct p_size from part)),
+b AS (select row_number() over (order by n_nationkey) - 1 as j, n_nationkey as b from (select distinct n_nationkey from nation where n_nationkey <> 0))
+select i * (select count(*) from b) + j as idx, a::bigint as a, b::bigint as b, (a * {_pow_sql("b", 95, 97)}) % 97 as c from a, b""")
+def jn11two(t):
+    """Division table of two different element sets, zero left out of the second."""
+    first = S.ordered_set(t.part.select(F.col("p_size").cast("long").alias("x")), "x")
+    second = S.ordered_set(t.nation.select(F.col("n_nationkey").cast("long").alias("x")), "x")
+    return S.pair_table(first, second, lambda a, b: S.mod_div(a, b, 97), allowed=lambda x: x != 0)
+
+
+PERMS_SQL = """perms AS (select row_number() over (order by a, b, c, d, e) - 1 as r, [a, b, c, d, e] as p from
+  (select unnest(range(5)) as a), (select unnest(range(5)) as b), (select unnest(range(5)) as c), (select unnest(range(5)) as d), (select unnest(range(5)) as e)
+  where len(list_distinct([a, b, c, d, e])) = 5)"""
+
+
+@query("jn11_permutation_table", f"""
+WITH {PERMS_SQL},
+one AS (select distinct p_partkey % 120 as r from part), two AS (select distinct l_suppkey % 120 as r from lineitem),
+a AS (select row_number() over (order by r) - 1 as i, perms.* from one join perms using (r)),
+b AS (select row_number() over (order by r) - 1 as j, perms.* from two join perms using (r)),
+t AS (select i * (select count(*) from b) + j as idx, a.p as a, b.p as b, list_transform(b.p, lambda x: a.p[x + 1]) as c from a, b)
+select idx, array_to_string(a, ',') as a, array_to_string(b, ',') as b, array_to_string(t.c, ',') as c, cast(z.r as bigint) as c_rank
+from t join perms z on z.p = t.c""")
+def jn11perm(t):
+    """Composition table of two sets of permutations of five, each given by numbers."""
+    first = S.ordered_set(t.part.select((F.col("p_partkey") % 120).alias("x")), "x")
+    second = S.ordered_set(t.lineitem.select((F.col("l_suppkey") % 120).alias("x")), "x")
+    out = S.pair_table(first, second, lambda a, b: S.compose(S.unrank(a, 5), S.unrank(b, 5)))
+    text = {"a": S.unrank(F.col("a"), 5), "b": S.unrank(F.col("b"), 5), "c": F.col("c")}
+    return out.withColumn("c_rank", S.rank_of(F.col("c"), 5)).select("idx", *[F.array_join(x, ",").alias(n) for n, x in text.items()], "c_rank")
+
+
+@query("jn11_fetch_example", f"""
+WITH {PERMS_SQL},
+i AS (select l_orderkey, l_linenumber, (l_orderkey * 131 + l_partkey * 7 + l_suppkey) % 14400 as idx from lineitem),
+e AS (select l_orderkey, l_linenumber, idx, a.p as a, b.p as b, list_transform(b.p, lambda x: a.p[x + 1]) as c
+      from i join perms a on a.r = idx // 120 join perms b on b.r = idx % 120)
+select l_orderkey, l_linenumber, idx, array_to_string(a, ',') as a, array_to_string(b, ',') as b, array_to_string(e.c, ',') as c, cast(z.r as bigint) as c_rank
+from e join perms z on z.p = e.c""")
+def jn11fetch(t):
+    """Training pairs by index: one equation of the table of five per line item."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber",
+                           ((F.col("l_orderkey") * 131 + F.col("l_partkey") * 7 + F.col("l_suppkey")) % 14400).alias("idx"))
+    a, b, c = S.permutation_example(F.col("idx"), 5)
+    e = li.select("*", a.alias("a"), b.alias("b"), c.alias("c")).withColumn("c_rank", S.rank_of(F.col("c"), 5))
+    return e.select("l_orderkey", "l_linenumber", "idx", *[F.array_join(x, ",").alias(x) for x in ("a", "b", "c")], "c_rank")
+
+
 @query("sc20_permutation_compose", """
 select p_partkey, array_to_string(list_transform(b, lambda i: a[i + 1]), ',') as composed from (
   select p_partkey, list_transform(range(5), lambda i: (i + p_partkey) % 5) as a,

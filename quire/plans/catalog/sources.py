@@ -238,6 +238,40 @@ def tk5(t):
     return f.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("file")), "|").alias("listing"))
 
 
+FOLDER_SQL = """f AS (select s_nationkey as scene, concat(case when s_nationkey % 3 = 0 and s_suppkey % 3 = 2 then 0 else s_suppkey % 3 end, '_', s_suppkey,
+     case when s_suppkey % 4 = 0 then ' a+b.txt' else '.txt' end) as name, s_name as body from supplier)"""
+
+
+def _pose_folder(t):
+    """A real folder: one file per supplier, named by its folder level."""
+    path = IO.scratch_dir(t.spark, "pose-folder")
+    k = F.col("s_suppkey")
+    split = F.when((F.col("s_nationkey") % 3 == 0) & (k % 3 == 2), F.lit(0)).otherwise(k % 3)
+    name = F.concat(split.cast("string"), F.lit("_"), k.cast("string"), F.when(k % 4 == 0, F.lit(" a+b.txt")).otherwise(F.lit(".txt")))
+    t.supplier.select(F.col("s_nationkey").alias("scene"), name.alias("file"), F.col("s_name").alias("value")) \
+        .write.mode("overwrite").partitionBy("scene", "file").text(path)
+    files = IO.listing(t.spark, path, ".txt")
+    return files.select(IO.folder_value("path", "scene").cast("long").alias("scene"), IO.folder_value("path", "file").alias("name"), "size")
+
+
+@query("src11_inventory_split", f"""
+WITH {FOLDER_SQL}
+select scene, name, octet_length(encode(body)) + 1 as size from f where starts_with(name, '2_')
+union all select scene, name, octet_length(encode(body)) + 1 from f where starts_with(name, '1_')
+  and not exists (select 1 from f g where g.scene = f.scene and starts_with(g.name, '2_'))""")
+def src11i(t):
+    """Test files of every scene in a real folder, from paths alone."""
+    return IO.pick_split_files(_pose_folder(t), "scene", "name", "test").select("scene", "name", "size")
+
+
+@query("tk5_folder_listing", f"""
+WITH {FOLDER_SQL}
+select scene, row_number() over (partition by scene order by name) - 1 as place, name from f""")
+def tk5f(t):
+    """Sorted listing of every scene of a real folder."""
+    return IO.sorted_listing(_pose_folder(t), ["scene"]).select("scene", "place", "name")
+
+
 @query("src12_json_sink_roundtrip", "select run, dataset, seed, step, val_loss from d_runs", ("d_runs",))
 def src12(t):
     path = IO.scratch_dir(t.spark, "json-sink")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.plans.ordering import running_totals
+from quire.plans.ordering import positions, running_totals
 from quire.session import ensure_checkpoint_dir
 
 
@@ -255,8 +255,23 @@ def pick_split_files(files: DataFrame, key: str, file: str, split: str,
 
 
 def listing(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """File inventory (paths only, no contents read), sorted only at the boundary."""
-    df = spark.read.format("binaryFile").load(path).select("path")
-    if suffix:
-        df = df.where(F.col("path").endswith(suffix))
-    return df.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    """File inventory of a folder and all below it: path, name, size.
+
+    Only paths and file status are read (the contents column is pruned), and
+    the folder is listed by Spark's file index, so any store that it reads
+    will do.  Order is left to the caller; an empty folder gives no row."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    df = df.select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size").toDF("path", "name", "size")
+    return df.where(F.col("name").endswith(suffix)) if suffix else df
+
+
+def folder_value(path: Column | str, key: str) -> Column:
+    """Value of the folder level ``key=value`` in a path (null without one)."""
+    got = F.regexp_extract(path, f"/{key}=([^/]+)/", 1)
+    return F.when(got != "", F.call_function("url_decode", F.replace(got, F.lit("+"), F.lit("%2B"))))
+
+
+def sorted_listing(files: DataFrame, folder: list[str], name: str = "name") -> DataFrame:
+    """``files`` with ``place``, the 0-based place of the name in its folder's
+    sorted listing (code-point order; a folder of any size, see ``plans.ordering``)."""
+    return positions(files, folder, [name], "place")
