@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.ordering import neighbour
+
 # Marker phrases.
 DONE = "I am done"
 ALL_COMPLETED = "ALL_COMPLETED"
@@ -172,6 +174,60 @@ def history(conv: DataFrame, key: str = "conv_id", order: str = "turn", role: st
         .alias("messages"))
 
 
+MOST_TURNS = 10_000  # turns of one history
+
+
+def turn_tree(conv: DataFrame, samples: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
+              text: str = "text", sample: str = "sample") -> DataFrame:
+    """Turns as a tree (node, parent, key, sample, role, content).
+
+    The turns of ``conv`` are a chain; every row of ``samples`` (key, sample,
+    text) is a reply of the assistant to the last of them, so n replies are n
+    leaves of one history.  Contents have the nested form ``[{type, text}]``.
+    A conversation without samples ends without a leaf; a sample of an unknown
+    key is a history of its own."""
+    name = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
+    nested = F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"))).alias("content")
+    turns = neighbour(conv.select(key, order, role, text), [key], [order], [order])
+    parent = F.when(F.col("prev_" + order).isNotNull(), name(key, "prev_" + order))
+    chain = turns.select(name(key, order).alias("node"), parent.alias("parent"), key, F.lit(None).cast(samples.schema[sample].dataType).alias(sample),
+                         F.col(role).alias("role"), nested)
+    last = conv.groupBy(key).agg(F.max(order).alias("_last"))
+    leaf = samples.join(last, key, "left").select(
+        F.concat(name(key), F.lit(":sample:"), name(sample)).alias("node"), F.when(F.col("_last").isNotNull(), name(key, "_last")).alias("parent"),
+        key, sample, F.lit("assistant").alias("role"), nested)
+    return chain.unionByName(leaf)
+
+
+def histories(tree: DataFrame, leaves: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
+    """(node, messages): the whole history of every leaf (column node) of a
+    turn tree, from its root, with plain contents.
+
+    A recursive query walks from all leaves to their parents at once and keeps
+    (leaf, node, height), so no text moves before the histories are known;
+    each turn is then looked up once per history that it is part of.  Paths
+    longer than ``most_turns`` are an error, so a circle cannot go unnoticed."""
+    spark = tree.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the rows are those of the result
+    walk = spark.sql(f"""
+        WITH RECURSIVE up(leaf, node, height) MAX RECURSION LEVEL {int(most_turns)} AS (
+          SELECT node, node, 0 FROM {{leaves}}
+          UNION ALL
+          SELECT up.leaf, t.parent, up.height + 1 FROM up JOIN {{tree}} t ON t.node = up.node WHERE t.parent IS NOT NULL)
+        SELECT leaf, node, height FROM up""", leaves=leaves.select("node"), tree=tree.select("node", "parent"))
+    turn = F.struct((-F.col("height")).alias("o"), F.col("role"), flatten_content(F.col("content")).alias("content"))
+    rows = walk.join(tree.select("node", "role", "content"), "node").groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    return rows.select(F.col("leaf").alias("node"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+                       .alias("messages"))
+
+
+def sampled_histories(conv: DataFrame, samples: DataFrame, key: str = "conv_id", sample: str = "sample", **columns: str) -> DataFrame:
+    """(key, sample, messages): one history per sampled reply."""
+    tree = turn_tree(conv, samples, key=key, sample=sample, **columns)
+    leaves = tree.where(F.col(sample).isNotNull()).select("node", key, sample)
+    return leaves.join(histories(tree, leaves), "node").select(key, sample, "messages")
+
+
 def append_turn(msgs: Column, role: str, content: Column, drop_last: bool = False) -> Column:
     base = F.slice(msgs, 1, F.greatest(F.size(msgs) - 1, F.lit(0))) if drop_last else msgs
     return F.concat(base, F.array(F.struct(F.lit(role).alias("role"), content.alias("content"))))

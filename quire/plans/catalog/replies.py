@@ -143,6 +143,44 @@ def sc15(t):
     return h.select("conv_id", F.size(m).alias("n_messages"), F.md5(flat).alias("history_md5"))
 
 
+SAMPLES_SQL = """last AS (select conv_id, arg_max(coalesce(text, ''), turn) as text from conversations group by conv_id),
+s AS (select conv_id, unnest(range(conv_id % 3 + 1)) as sample, text from last),
+h AS (select conv_id, list(concat(role, ': ', coalesce(text, '')) order by turn) as m, count(*) as n from conversations group by conv_id)"""
+
+
+def _samples(t):
+    """One to three replies to each conversation, made from its last turn."""
+    last = t.conversations.groupBy("conv_id").agg(F.max_by(F.coalesce("text", F.lit("")), "turn").alias("text"))
+    s = last.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("conv_id") % 3)).alias("sample"), "text")
+    return s.select("conv_id", "sample", F.concat(F.lit("sample "), F.col("sample").cast("string"), F.lit(" for "), F.col("text")).alias("text"))
+
+
+@query("sc15_sampled_histories", f"""
+WITH {SAMPLES_SQL}
+select conv_id, sample, cast(n + 1 as int) as n_messages,
+       md5(array_to_string(list_append(m, concat('assistant: sample ', sample, ' for ', text)), chr(10))) as history_md5
+from s join h using (conv_id)""")
+def sc15s(t):
+    """One history per sampled reply."""
+    h = RP.sampled_histories(t.conversations, _samples(t))
+    flat = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+    return h.select("conv_id", "sample", F.size("messages").alias("n_messages"), F.md5(flat).alias("history_md5"))
+
+
+@query("sc15_ensemble_history", f"""
+WITH {SAMPLES_SQL}
+select conv_id, cast(n + 1 as int) as n_messages, md5(array_to_string(list_append(m, concat('assistant: joint view of ', conv_id % 3 + 1, ' replies')), chr(10))) as history_md5
+from last join h using (conv_id)""")
+def sc15e(t):
+    """The first reply's history with that reply replaced by one joint reply."""
+    h = RP.sampled_histories(t.conversations, _samples(t))
+    per = h.groupBy("conv_id").agg(F.min_by("messages", "sample").alias("messages"), F.count("*").alias("n"))
+    joint = F.concat(F.lit("joint view of "), F.col("n").cast("string"), F.lit(" replies"))
+    m = RP.append_turn(F.col("messages"), "assistant", joint, drop_last=True)
+    flat = F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+    return per.select("conv_id", F.size(m).alias("n_messages"), F.md5(flat).alias("history_md5"))
+
+
 @query("sc28_strip_prompt", """
 select doc_id, md5(substring(text, length(substring(text, 1, 50)) + 1)) as out_md5 from documents""")
 def sc28(t):
