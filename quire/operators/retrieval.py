@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.joins import small_join
+from quire.session import cut_lineage
 
 TERM = r"[\p{L}\p{N}]+"
 
@@ -22,24 +22,83 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
             .groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 
+BLOCK_DOCS = 32       # documents of a posting block
+SEED_BLOCKS = 16      # blocks scored first for a query, the best-bounded ones
+HOT_BLOCKS = 4096     # blocks of a term under one salt
+
+
+class BlockIndex:
+    """Posting table in blocks of documents of similar length, with the
+    greatest count of each term in each block.
+
+    A document's class is its length on a log scale; a class is cut into
+    blocks of about ``BLOCK_DOCS`` documents by a hash of the key.  Scores grow
+    with length, so blocks of short documents have low bounds."""
+
+    def __init__(self, docs: DataFrame, dkey: str, dtext: str, vocabulary: DataFrame):
+        words = docs.select(dkey, F.explode(terms(F.col(dtext))).alias("term")).groupBy(dkey, "term").agg(F.count("*").alias("tf"))
+        words = words.join(vocabulary, "term", "left_semi")
+        sizes = words.groupBy(dkey).agg(F.floor(F.log2(F.sum("tf") + 1) * 6).cast("int").alias("_class"))
+        classes = sizes.groupBy("_class").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("_n"))  # some 6 rows per doubling of length
+        block = F.struct("_class", F.pmod(F.xxhash64(dkey), F.col("_n")).alias("_part"))
+        member = sizes.join(F.broadcast(classes), "_class").select(dkey, block.alias("block"))
+        self.dkey = dkey
+        self.postings = cut_lineage(words.join(member, dkey).select("block", "term", dkey, "tf"))
+        self.tops = cut_lineage(self.postings.groupBy("term", "block").agg(F.max("tf").alias("top"), F.count("*").alias("n")))
+        self.terms = self.tops.groupBy("term").agg(F.sum("n").alias("df"), F.ceil(F.count("*") / HOT_BLOCKS).alias("salts"))
+
+    def bounds(self, weights: DataFrame, qkey: str) -> DataFrame:
+        """(query, block, bound): no document of the block scores more.  A term
+        in very many blocks meets the queries in several salts."""
+        tops = self.tops.join(self.terms.select("term", "salts"), "term") \
+            .withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")))
+        salted = weights.join(self.terms.select("term", "salts"), "term") \
+            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        met = salted.select(qkey, "term", "salt", "w").join(tops, ["term", "salt"])
+        return met.groupBy(qkey, "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+
+    def scores(self, chosen: DataFrame, weights: DataFrame, qkey: str) -> DataFrame:
+        """(query, document, score) for all documents with a shared term in
+        the chosen (query, block) pairs."""
+        asked = chosen.select(qkey, "block").join(weights, qkey)
+        met = asked.join(self.postings, ["block", "term"])
+        return met.groupBy(qkey, self.dkey).agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+
+
+def survivors(index: BlockIndex, weights: DataFrame, qkey: str, n: int, slack: float) -> DataFrame:
+    """(query, block) pairs that may hold one of the query's best ``n``.
+
+    The ``n``-th best score over the best-bounded blocks is a lower limit for
+    the final ``n``-th score, so a block whose bound stays below it has no part
+    in the result.  Queries with fewer than ``n`` scores so far keep all."""
+    bounds = cut_lineage(index.bounds(weights, qkey))
+    best = Window.partitionBy(qkey).orderBy(F.desc("bound"), "block")
+    seeds = bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= SEED_BLOCKS)
+    nth = Window.partitionBy(qkey).orderBy(F.desc("score"))
+    limit = index.scores(seeds, weights, qkey).withColumn("_r", F.row_number().over(nth)).where(F.col("_r") == n) \
+        .select(qkey, F.col("score").alias("_least"))
+    least = F.coalesce(F.col("_least") - F.abs("_least") * 1e-9 - slack, F.lit(float("-inf")))
+    return bounds.join(limit, qkey, "left").where(F.col("bound") >= least).select(qkey, "block")
+
+
 def top_documents(queries: DataFrame, qkey: str, qtext: str, docs: DataFrame, dkey: str, dtext: str,
                   n: int = 10, rounding: int | None = None) -> DataFrame:
     """Top ``n`` documents per query by Σ tf_q · tf_d · idf over shared terms,
     idf = ln(N / df); ties by document key (scores compared after rounding to
     ``rounding`` digits when given, so summation order cannot reorder
     near-ties).  Queries with no terms or no hit produce no rows (NULL result
-    in the reference)."""
+    in the reference).
+
+    Exact block-max pruning: every (query, block of documents) gets an upper
+    bound from the block's greatest counts, and only blocks that can reach the
+    ``n`` best are scored (``survivors``)."""
     n_docs = docs.agg(F.count("*")).scalar()  # lazy scalar subquery
-    qt = term_counts(queries, qkey, qtext).withColumnRenamed("tf", "qtf")
-    # only query terms can score: keep those before counting document terms
-    vocab = qt.select("term").distinct()
-    doc_terms = docs.select(dkey, F.explode(terms(F.col(dtext))).alias("term"))
-    dt = (small_join(doc_terms, vocab, "term", "left_semi")
-          .groupBy(dkey, "term").agg(F.count("*").alias("tf")))
-    df_t = dt.groupBy("term").agg(F.count("*").alias("df"))
-    q_idf = qt.join(df_t, "term").withColumn("idf", F.log(n_docs.cast("double") / F.col("df")))
-    pairs = q_idf.join(dt, "term")
-    scored = pairs.groupBy(qkey, dkey).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"))
+    qt = cut_lineage(term_counts(queries, qkey, qtext).withColumnRenamed("tf", "qtf"))
+    index = BlockIndex(docs, dkey, dtext, qt.select("term").distinct())  # only query terms can score
+    weights = cut_lineage(qt.join(index.terms, "term").select(
+        qkey, "term", (F.col("qtf") * F.log(n_docs.cast("double") / F.col("df"))).alias("w")))
+    chosen = survivors(index, weights, qkey, n, 0.0 if rounding is None else 10.0 ** -rounding)
+    scored = index.scores(chosen, weights, qkey)
     rank_score = F.round("score", rounding) if rounding is not None else F.col("score")
     w = Window.partitionBy(qkey).orderBy(rank_score.desc(), F.col(dkey))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
