@@ -131,8 +131,9 @@ def _in_slices(pdf: pd.DataFrame, size: int = 20_000):
 
 def edges(words: DataFrame, least_depth: int) -> DataFrame:
     """(node, depth, kids): the tries of ``words`` in both directions, from
-    ``least_depth`` on; a kid has its character ``ch``, node ``to``, whether a
-    word ``ends`` there and the characters that follow it (``then``)."""
+    ``least_depth`` on; a kid has its character ``ch``, node ``to``, the
+    characters that follow it (``then``) and, as bits, how many characters
+    below it words end (``heights``)."""
 
     def run(batches):
         for pdf in batches:
@@ -143,12 +144,14 @@ def edges(words: DataFrame, least_depth: int) -> DataFrame:
                     at = np.flatnonzero(place >= least_depth)
                     ends = place[at] == size[owner[at]] - 1
                     then = np.where(ends, 0, np.append(chars, 0)[at + 1])
+                    below = np.int64(1) << (size[owner[at]] - 1 - place[at])
                     yield pd.DataFrame({"node": node[at - 1], "depth": place[at].astype(np.int32), "ch": _letters(chars[at]),
-                                        "to": node[at], "ends": ends, "then": _letters(then)})
+                                        "to": node[at], "heights": below, "then": _letters(then)})
 
-    rows = words.select("word").mapInPandas(run, "node long, depth int, ch string, to long, ends boolean, then string")
-    kids = rows.groupBy("node", "depth", "ch", "to").agg(F.max("ends").alias("ends"), F.collect_set("then").alias("then"))
-    return kids.groupBy("node", "depth").agg(F.collect_list(F.struct("ch", "to", "ends", "then")).alias("kids"))
+    rows = words.select("word").mapInPandas(run, "node long, depth int, ch string, to long, heights long, then string")
+    kids = rows.groupBy("node", "depth", "ch", "to").agg(F.bit_or("heights").alias("heights"),
+                                                         F.array_join(F.collect_set("then"), "").alias("then"))
+    return kids.groupBy("node", "depth").agg(F.collect_list(F.struct("ch", "to", "heights", "then")).alias("kids"))
 
 
 def _starts(words: DataFrame) -> DataFrame:
@@ -181,23 +184,24 @@ def _ends(words: DataFrame) -> DataFrame:
 
 
 def _step(frontier: DataFrame, trie: DataFrame) -> DataFrame:
-    """The states one level deeper; those without a chance are left out."""
-    nxt, tail = F.left("rest", F.lit(1)), F.substring("rest", 2, LONG + 1)
-
-    def state(k, rest, edits):
-        alive = F.when(F.length(rest) == 0, k["ends"]).otherwise(F.array_contains(k["then"], F.left(rest, F.lit(1))))
-        return F.when(alive if edits else F.lit(True), F.struct(rest.alias("rest"), k["to"].alias("node"), F.lit(edits).alias("edits")))
-
-    def moves(k):
-        same = k["ch"] == nxt
-        with_edit = F.array(F.when(same, state(k, tail, 1)))
-        follow = F.array(F.when(same, state(k, tail, 0)))
-        branch = F.array(F.when(~same & (F.length("rest") > 0), state(k, tail, 1)), F.when(~same, state(k, F.col("rest"), 1)))
-        return F.when(F.col("edits") == 1, with_edit).when(same, follow).otherwise(branch)
-
-    joined = frontier.join(trie.select("node", "kids"), "node")
-    out = joined.select("word", F.explode(F.filter(F.flatten(F.transform("kids", moves)), lambda x: x.isNotNull())).alias("s"))
-    return out.select("word", "s.*")
+    """The states one level deeper; those without a chance are left out: words
+    must end as far below the node as the rest is long, and go on with its next
+    character."""
+    size, nxt = F.length("rest"), F.left("rest", F.lit(1))
+    met = frontier.join(trie.select("node", "kids"), "node").select(
+        "word", "rest", "edits", size.alias("size"), nxt.alias("nxt"), F.substring("rest", 2, LONG + 1).alias("tail"),
+        F.substring("rest", 2, 1).alias("nxt2"), F.inline("kids"))
+
+    def alive(length, first):
+        end = F.call_function("shiftright", F.col("heights"), length).bitwiseAND(F.lit(1)) == 1
+        return end & ((length == 0) | F.contains("then", first))
+
+    same, edited = F.col("ch") == F.col("nxt"), F.col("edits") == 1
+    on = (F.col("size") > 0) & ((same & ~edited) | ((same | ~edited) & alive(F.col("size") - 1, F.col("nxt2"))))
+    insert = ~same & ~edited & alive(F.col("size"), F.col("nxt"))
+    moved = F.when(on, F.struct(F.col("tail").alias("rest"), F.col("to").alias("node"), F.when(same & ~edited, 0).otherwise(1).alias("edits")))
+    stayed = F.when(insert, F.struct(F.col("rest").alias("rest"), F.col("to").alias("node"), F.lit(1).alias("edits")))
+    return met.where(on | insert).select("word", F.explode(F.array(moved, stayed)).alias("s")).where("s is not null").select("word", "s.*")
 
 
 def _short_pairs(words: DataFrame, least_length: int) -> DataFrame:
