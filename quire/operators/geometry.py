@@ -199,14 +199,14 @@ def sample_cdf(weights: DataFrame, bins: DataFrame, draws: DataFrame, key: Seque
     row_of = F.struct(*[F.col(c) for c in extra])
     items = seg.select(*key, start.alias("_at"), F.lit(0).alias("_kind"), F.col("_i").alias("_tie"),
                        F.struct("_i", "_lo", "_hi", "_b", "_e").alias("_seg"), F.lit(None).cast(draws.select(row_of.alias("r")).schema["r"].dataType).alias("_row"))
-    asks = draws.select(*key, F.col(u).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(row_of).alias("_tie"),
+    asks = draws.select(*key, F.coalesce(F.col(u).cast("double"), F.lit(float("inf"))).alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(row_of).alias("_tie"),
                         F.lit(None).cast(items.schema["_seg"].dataType).alias("_seg"), row_of.alias("_row"))
     merged = running(items.unionByName(asks), ["_at", "_kind", "_tie"], {"_near": (F.col("_seg"), "max")}, partition_by=key)
     at, near = F.col("_at"), F.col("_near")
     width = F.when(near["_hi"] - near["_lo"] < 1e-5, F.lit(1.0)).otherwise(near["_hi"] - near["_lo"])
     inside = near["_b"] + (at - near["_lo"]) / width * (near["_e"] - near["_b"])
     sample = F.when(at < near["_lo"], near["_b"].cast("double")).when(at >= near["_hi"], near["_e"].cast("double")).otherwise(inside)
-    return merged.where((F.col("_kind") == 1) & near.isNotNull()).select(*key, "_row.*", F.when(at.isNotNull(), sample).alias("sample"))
+    return merged.where((F.col("_kind") == 1) & near.isNotNull()).select(*key, "_row.*", F.when(F.col("_row")[u].isNotNull(), sample).alias("sample"))
 
 
 # ------------------------------------------------------------------ grids

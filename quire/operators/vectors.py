@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans.pairs import DEFAULT_BLOCK, block_cogroup, group_sums, pair_index, per_left
+from quire.session import cut_lineage
 
 
 def mean_vector(df: DataFrame, by: Sequence[str], pos: str, x: str) -> DataFrame:
@@ -59,19 +60,18 @@ def positional_encoding(x: Column, n_freqs: int) -> Column:
 
 
 def _dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "chebyshev":
-        out = np.zeros((a.shape[0], b.shape[0]))
-        for j in range(a.shape[1]):
-            np.maximum(out, np.abs(a[:, j][:, None] - b[:, j][None, :]), out=out)
-        return out
-    if metric == "euclidean":
+    """Distances of all rows of ``a`` to all rows of ``b``."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
         # direct differences (not the |a|²+|b|²-2ab shortcut) keep distances exact
-        sq = np.zeros((a.shape[0], b.shape[0]))
-        for j in range(a.shape[1]):
-            diff = a[:, j][:, None] - b[:, j][None, :]
-            sq += diff * diff
-        return np.sqrt(sq)
-    raise ValueError(metric)
+        diff = a[:, j][:, None] - b[:, j][None, :]
+        if metric == "chebyshev":
+            np.maximum(out, np.abs(diff), out=out)
+        elif metric == "euclidean":
+            out += diff * diff
+        else:
+            raise ValueError(metric)
+    return np.sqrt(out) if metric == "euclidean" else out
 
 
 def _pair_dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -124,28 +124,185 @@ def knn(left: DataFrame, right: DataFrame, lid: str, rid: str, coords: Sequence[
             .withColumnRenamed("_rid", rid if lid != rid else "right_id"))
 
 
+MOST_PIVOTS = 1024   # pivots that are handed to the tasks
+PIVOT_BLOCK = 2048   # vectors of a packed block
+
+
+def _usable(df: DataFrame, id_col: str, vec: str, width: int) -> DataFrame:
+    v = F.col(vec)
+    good = (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    return df.where(F.col(id_col).isNotNull() & v.isNotNull() & good) \
+        .select(F.col(id_col).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+
+
+class PivotBlocks:
+    """Vectors in packed blocks around pivots.
+
+    The pivots are rows with the smallest hashes, about half the root of the
+    table and ``MOST_PIVOTS`` at most.  A vector belongs to its nearest pivot;
+    pivots with more than ``PIVOT_BLOCK`` vectors are cut by a hash of the id.
+    A block is one row: ids, vectors as bytes, radius around its pivot."""
+
+    def __init__(self, base: DataFrame, metric: str):
+        self.metric = metric
+        base = cut_lineage(base)
+        n = min(MOST_PIVOTS, max(1, math.isqrt(base.count()) // 2))
+        rows = base.select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()  # bounded
+        self.pivots = np.array(sorted({tuple(r["v"]) for r in rows}), float).reshape(len({tuple(r["v"]) for r in rows}), -1)
+        self.blocks = self.pack(base) if rows else None
+
+    def pack(self, vectors: DataFrame) -> DataFrame:
+        """(pivot, part, ids, data, radius) of ``vectors`` (id, v)."""
+        pivots, metric = self.pivots, self.metric
+        id_type = vectors.schema["id"].dataType.simpleString()
+
+        def assign(batches):
+            for pdf in batches:
+                d = _dist(np.stack(pdf["v"].to_numpy()), pivots, metric)
+                best = d.argmin(axis=1)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": best.astype(np.int32), "away": d[np.arange(len(d)), best]})
+
+        near = vectors.mapInPandas(assign, f"id {id_type}, v array<double>, pivot int, away double")
+        sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_BLOCK).alias("parts"))  # a row per pivot
+        cut = near.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id", kind="stable")
+            return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1].to_numpy(), "part": pdf["part"].iloc[0], "ids": [pdf["id"].to_numpy()],
+                                 "data": [np.stack(pdf["v"].to_numpy()).tobytes()], "radius": pdf["away"].max()})
+
+        return cut_lineage(cut.groupBy("pivot", "part").applyInPandas(
+            packed, f"pivot int, part int, ids array<{id_type}>, data binary, radius double"))
+
+
+def _k_best(dist: np.ndarray, rids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest distances of each row, ties by id; infinite ones are left out."""
+    n = min(k, dist.shape[1])
+    edge = np.partition(dist, n - 1, axis=1)[:, n - 1]
+    i, j = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
+    order = np.lexsort((rids[j], dist[i, j], i))
+    i, j = i[order], j[order]
+    keep = pd.Series(i).groupby(i).cumcount().to_numpy() < k if len(i) else np.zeros(0, bool)
+    return i[keep], j[keep]
+
+
+def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, k: int, metric: str = "euclidean",
+                exclude_self: bool = False, skipped: list | None = None) -> DataFrame:
+    """(left_id, right_id, dist, rank): the exact k nearest right vectors of
+    every left vector over all components (ties by right id).
+
+    Right vectors are packed into ``PivotBlocks``, left ones into blocks around
+    the same pivots.  One block near each left block gives an upper limit for
+    the k-th distance of its rows; then a block pair is met only if the
+    triangle inequality leaves room for a distance within the largest limit,
+    a row only if it does for its own limit, and only distances within that
+    are returned.  Vectors move in packed blocks, as often as their block is
+    met.  ``skipped`` (a list) receives (pairs met, all pairs).
+
+    Rows with a null id or vector, a null or NaN component or another number
+    of components than the first right vector take no part."""
+    first = right.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).first()
+    width = first["n"] if first else 0
+    lt, rt = (df.schema[c].dataType.simpleString() for df, c in ((left, lid), (right, rid)))
+    schema = f"left_id {lt}, right_id {rt}, dist double"
+    index = PivotBlocks(_usable(right, rid, vec, width), metric)
+    if index.blocks is None:
+        return left.sparkSession.createDataFrame([], schema + ", rank int")
+    asked = index.pack(_usable(left, lid, vec, width)).withColumnsRenamed({"ids": "qids", "data": "qdata", "radius": "qradius", "part": "qpart"})
+    pivots = index.pivots
+
+    def matrix(data) -> np.ndarray:
+        return np.frombuffer(data, float).reshape(-1, width)
+
+    def distances(q, b, qids, bids):
+        d = _dist(q, b, metric)
+        if exclude_self:
+            d[np.asarray(qids)[:, None] == np.asarray(bids)[None, :]] = np.inf
+        return d
+
+    def limits(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                d = distances(matrix(r.qdata), matrix(r.data), r.qids, r.ids) if r.data is not None else np.full((len(r.qids), 1), np.inf)
+                n = d.shape[1]
+                out.append((np.partition(d, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(d), np.inf)))
+            keep = pdf[["pivot", "qpart", "qids", "qdata", "qradius"]].copy()
+            keep["within"] = [x.tobytes() for x in out]
+            keep["most"] = [x.max() for x in out]
+            yield keep
+
+    bounded = asked.join(index.blocks.where("part = 0").select("pivot", "ids", "data"), "pivot", "left").mapInPandas(
+        limits, f"pivot int, qpart int, qids array<{lt}>, qdata binary, qradius double, within binary, most double")
+    bounded = cut_lineage(bounded)
+
+    reach = np.zeros(len(pivots))
+    for r in index.blocks.groupBy("pivot").agg(F.max("radius").alias("r")).collect():  # a row per pivot
+        reach[r["pivot"]] = r["r"]
+
+    def candidates(batches):
+        apart = _dist(pivots, pivots, metric)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                least = apart[r.pivot] - r.qradius - reach
+                b = np.flatnonzero(least <= r.most * (1 + 1e-9) + 1e-12)
+                yield pd.DataFrame({"qpivot": r.pivot, "qpart": r.qpart, "pivot": b.astype(np.int32)})
+
+    pairs = bounded.select("pivot", "qpart", "qradius", "most").mapInPandas(candidates, "qpivot int, qpart int, pivot int")
+    pairs = pairs.join(index.blocks.select("pivot", "part"), "pivot")
+    if skipped is not None:
+        skipped.append((pairs.count(), bounded.count() * index.blocks.count()))
+
+    def meet(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                q, limit, qids, bids = matrix(r.qdata), np.frombuffer(r.within, float), np.asarray(r.qids), np.asarray(r.ids)
+                away = _dist(q, pivots[r.pivot][None, :], metric)[:, 0]
+                rows = np.flatnonzero(away - r.radius <= limit * (1 + 1e-9) + 1e-12)
+                if not len(rows):
+                    continue
+                d = distances(q[rows], matrix(r.data), qids[rows], bids)
+                d[d > limit[rows][:, None]] = np.inf
+                i, j = _k_best(d, bids, k)
+                yield pd.DataFrame({"left_id": qids[rows[i]], "right_id": bids[j], "dist": d[i, j]})
+
+    q = bounded.select(F.col("pivot").alias("qpivot"), "qpart", "qids", "qdata", "within")
+    met = pairs.join(q, ["qpivot", "qpart"]).join(index.blocks, ["pivot", "part"])
+    found = met.select("pivot", "qids", "qdata", "within", "ids", "data", "radius").mapInPandas(meet, schema)
+    w = Window.partitionBy("left_id").orderBy("dist", "right_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def kth_distance(neigh: DataFrame, id_col: str, k: int) -> DataFrame:
     return neigh.where(F.col("rank") == k).select(id_col, F.col("dist").alias("kdist"))
 
 
+def kl_estimate(rho: DataFrame, nu: DataFrame, n: Column, m: Column, d: int | Column, base: float) -> DataFrame:
+    """KL divergence from k-th neighbour distances (id, kdist) inside the first
+    sample (rho) and from it to the second (nu):
+    (ln m - ln(n-1) + d·(mean ln nu - mean ln rho)) / ln(base)."""
+    key = rho.columns[0]
+    j = rho.withColumnRenamed("kdist", "rho").join(nu.withColumnRenamed("kdist", "nu"), key)
+    const = F.log(m.cast("double")) - F.log((n - 1).cast("double"))
+    width = F.lit(float(d)) if not isinstance(d, Column) else d
+    return j.agg(((const + width * (F.avg(F.log("nu")) - F.avg(F.log("rho")))) / F.lit(math.log(base))).alias("kl"))
+
+
+def kl_knn_vectors(p: DataFrame, q: DataFrame, pid: str, qid: str, vec: str, d: int, k: int = 5, metric: str = "chebyshev",
+                   base: float = 2.0) -> DataFrame:
+    """k-NN estimate of KL(p || q) over all ``d`` components (see ``kl_estimate``)."""
+    rho = kth_distance(knn_vectors(p, p, pid, pid, vec, k, metric, exclude_self=True), "left_id", k)
+    nu = kth_distance(knn_vectors(p, q, pid, qid, vec, k, metric), "left_id", k)
+    return kl_estimate(rho, nu, p.agg(F.count("*")).scalar(), q.agg(F.count("*")).scalar(), d, base)
+
+
 def kl_knn(p: DataFrame, q: DataFrame, pid: str, qid: str, coords: Sequence[str], k: int = 5,
            metric: str = "chebyshev", base: float = 2.0) -> DataFrame:
-    """k-NN estimate of KL(p || q) from samples (published estimator):
-    (ln m - ln(n-1) + d·(mean ln nu_k - mean ln rho_k)) / ln(base), where
-    rho_k is the k-th neighbour distance inside p (self excluded) and nu_k
-    the k-th neighbour distance from p to q."""
-    n = p.agg(F.count("*")).scalar()  # lazy scalar subqueries
-    m = q.agg(F.count("*")).scalar()
-    d = len(coords)
+    """k-NN estimate of KL(p || q) for samples with few coordinate columns (see ``kl_estimate``)."""
     q2 = q.withColumnRenamed(qid, "_qid")
-    rho = knn_self(p, pid, coords, k, metric)
-    nu = knn(p, q2, pid, "_qid", coords, k, metric)
-    r = kth_distance(rho, pid, k).withColumnRenamed("kdist", "rho")
-    v = kth_distance(nu, pid, k).withColumnRenamed("kdist", "nu")
-    j = r.join(v, pid)
-    const = F.log(m.cast("double")) - F.log((n - 1).cast("double"))
-    return j.agg(((const + F.lit(float(d)) * (F.avg(F.log("nu")) - F.avg(F.log("rho"))))
-                  / F.lit(math.log(base))).alias("kl"))
+    rho = kth_distance(knn_self(p, pid, coords, k, metric), pid, k)
+    nu = kth_distance(knn(p, q2, pid, "_qid", coords, k, metric), pid, k)
+    return kl_estimate(rho, nu, p.agg(F.count("*")).scalar(), q.agg(F.count("*")).scalar(), len(coords), base)
 
 
 def knn_self(points: DataFrame, pid: str, coords: Sequence[str], k: int, metric: str = "euclidean",

@@ -63,57 +63,44 @@ def sc31p(t):
     return t.part.select("p_partkey", r9(F.aggregate(e, F.lit(0.0), lambda a, x: a + x)).alias("pe_sum"))
 
 
-PTS_SQL = """pts AS (select vec_id, label, cast(embedding[1] as double) as x0, cast(embedding[2] as double) as x1 from embeddings)"""
-
-
-def _pts(t):
-    return t.embeddings.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x0"),
-                               F.col("embedding")[1].cast("double").alias("x1"))
+PTS_SQL = """pts AS (select vec_id, label, cast(embedding as double[]) as v from embeddings),
+p AS (select * from pts where label % 2 = 0), q AS (select * from pts where label % 2 = 1)"""
+CHEBYSHEV = "list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"
 
 
 @query("jn18_knn_across_sets", f"""
 WITH {PTS_SQL},
-p AS (select * from pts where label % 2 = 0), q AS (select * from pts where label % 2 = 1),
-d AS (select p.vec_id, q.vec_id as nn_id, sqrt((p.x0 - q.x0) * (p.x0 - q.x0) + (p.x1 - q.x1) * (p.x1 - q.x1)) as dist from p join q on true)
+d AS (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from p a join q b on true)
 select vec_id, nn_id, cast(rank as int) as rank, round(dist, 9) as dist from (
   select *, row_number() over (partition by vec_id order by dist, nn_id) as rank from d) where rank <= 5""")
 def jn18(t):
-    pts = _pts(t)
-    p = pts.where(F.col("label") % 2 == 0)
-    q = pts.where(F.col("label") % 2 == 1).withColumnRenamed("vec_id", "nn_id")
-    out = V.knn(p, q, "vec_id", "nn_id", ["x0", "x1"], 5, "euclidean")
-    return out.select("vec_id", "nn_id", F.col("rank").cast("int").alias("rank"), r9("dist").alias("dist"))
+    e = t.embeddings
+    out = V.knn_vectors(e.where(F.col("label") % 2 == 0), e.where(F.col("label") % 2 == 1), "vec_id", "vec_id", "embedding", 5)
+    return out.select(F.col("left_id").alias("vec_id"), F.col("right_id").alias("nn_id"), F.col("rank").cast("int").alias("rank"), r9("dist").alias("dist"))
 
 
 @query("jn18_knn_within_set", f"""
 WITH {PTS_SQL},
-d AS (select a.vec_id, b.vec_id as nn_id, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) as dist
-      from pts a join pts b on a.vec_id <> b.vec_id)
+d AS (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from pts a join pts b on a.vec_id <> b.vec_id)
 select vec_id, nn_id, cast(rank as int) as rank, round(dist, 9) as dist from (
   select *, row_number() over (partition by vec_id order by dist, nn_id) as rank from d) where rank <= 3""")
 def jn18s(t):
-    out = V.knn_self(_pts(t), "vec_id", ["x0", "x1"], 3, "euclidean")
-    return out.select("vec_id", F.col("_other").alias("nn_id"), F.col("rank").cast("int").alias("rank"),
-                      r9("dist").alias("dist"))
+    out = V.knn_vectors(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 3, exclude_self=True)
+    return out.select(F.col("left_id").alias("vec_id"), F.col("right_id").alias("nn_id"), F.col("rank").cast("int").alias("rank"), r9("dist").alias("dist"))
 
 
 @query("ag24_knn_kl_divergence", f"""
 WITH {PTS_SQL},
-p AS (select * from pts where label % 2 = 0), q AS (select * from pts where label % 2 = 1),
-rho AS (select vec_id, dist from (select a.vec_id, greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)) as dist,
-          row_number() over (partition by a.vec_id order by greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)), b.vec_id) as rn
+rho AS (select vec_id, dist from (select a.vec_id, {CHEBYSHEV} as dist, row_number() over (partition by a.vec_id order by {CHEBYSHEV}, b.vec_id) as rn
         from p a join p b on a.vec_id <> b.vec_id) where rn = 5),
-nu AS (select vec_id, dist from (select a.vec_id, greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)) as dist,
-          row_number() over (partition by a.vec_id order by greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)), b.vec_id) as rn
+nu AS (select vec_id, dist from (select a.vec_id, {CHEBYSHEV} as dist, row_number() over (partition by a.vec_id order by {CHEBYSHEV}, b.vec_id) as rn
         from p a join q b on true) where rn = 5)
-select round((ln((select count(*) from q)) - ln((select count(*) from p) - 1) + 2 * (avg(ln(nu.dist)) - avg(ln(rho.dist)))) / ln(2), 9) as kl
+select round((ln((select count(*) from q)) - ln((select count(*) from p) - 1) + 64 * (avg(ln(nu.dist)) - avg(ln(rho.dist)))) / ln(2), 9) as kl
 from rho join nu on rho.vec_id = nu.vec_id""")
 def ag24(t):
-    pts = _pts(t)
-    p = pts.where(F.col("label") % 2 == 0).select("vec_id", "x0", "x1")
-    q = pts.where(F.col("label") % 2 == 1).select("vec_id", "x0", "x1")
-    return V.kl_knn(p, q, "vec_id", "vec_id", ["x0", "x1"], k=5, metric="chebyshev", base=2.0).select(
-        r9("kl").alias("kl"))
+    e = t.embeddings
+    p, q = (e.where(F.col("label") % 2 == x) for x in (0, 1))
+    return V.kl_knn_vectors(p, q, "vec_id", "vec_id", "embedding", 64, k=5, metric="chebyshev", base=2.0).select(r9("kl").alias("kl"))
 
 
 @query("jn19_gram_offdiagonal", """
