@@ -13,6 +13,11 @@ from quire.plans.registry import query
 from quire.streaming import jobs as J
 
 
+def _at(number: str):
+    """Event time: so many seconds after the start."""
+    return (F.lit(1704067200) + F.col(number)).cast("timestamp")
+
+
 @query("ss2_streaming_gate", f"WITH {_verdict_sql('d_papers')}\nselect doc_id, is_paper, confidence, reason from v",
        ("d_papers",))
 def ss2(t):
@@ -21,7 +26,8 @@ def ss2(t):
 
 @query("ss3_streaming_attempts", ATTEMPT_SQL, ("d_attempts",))
 def ss3(t):
-    return J.attempts(t.spark, D.d_attempts(t)).select("idea_id", "outcome", "stop_seq")
+    out = J.attempts(t.spark, D.d_attempts(t).withColumn("ts", _at("seq")))
+    return out.results.select("idea_id", "outcome", "stop_seq")
 
 
 @query("ss4_streaming_run_stats", """
@@ -42,10 +48,10 @@ f AS (select item_id, dec from d where dec is not null
 select i.item_id, coalesce(f.dec, false) as novel
 from (select distinct item_id from d_responses) i left join f on i.item_id = f.item_id""", ("d_responses",))
 def ss5(t):
-    r = D.d_responses(t).withColumn("ts", (F.lit(1704067200) + F.col("round")).cast("timestamp"))
+    r = D.d_responses(t).withColumn("ts", _at("round"))
     dup = r.where(F.col("round") == 1)  # re-delivered replies: must be dropped
     out = J.first_decision(t.spark, r.unionByName(dup), watermark="1 hour")
-    return out.select("item_id", "novel")
+    return out.results.select("item_id", "novel")
 
 
 @query("ss1_streaming_assemble", """
@@ -53,5 +59,5 @@ WITH last AS (select resp_id, max(pos) as last_pos from d_chunks where ends_with
 select c.resp_id, md5(replace(string_agg(c.chunk, '' order by c.pos), '<|eot_id|>', '')) as text_md5, l.last_pos
 from d_chunks c join last l on c.resp_id = l.resp_id and c.pos <= l.last_pos group by c.resp_id, l.last_pos""", ("d_chunks",))
 def ss1(t):
-    out = J.assemble(t.spark, D.d_chunks(t))
-    return out.select("resp_id", F.md5("text").alias("text_md5"), "last_pos")
+    out = J.assemble(t.spark, D.d_chunks(t).withColumn("ts", _at("pos")))
+    return out.results.select("resp_id", F.md5("text").alias("text_md5"), "last_pos")

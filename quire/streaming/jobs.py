@@ -6,9 +6,12 @@ micro-batch) and writes through ``foreachBatch`` into epoch folders
 ("upsert by replace": the newest epoch of a key wins when read back).
 Checkpoints and outputs live under the shared checkpoint folder.
 
-SS-1 chunk assembly and SS-3 attempt tracking keep per-key state with
-``applyInPandasWithState``; SS-4 and SS-5 use streaming aggregation, SS-5
-with a watermark plus ``dropDuplicatesWithinWatermark`` to bound state.
+SS-1 chunk assembly, SS-3 attempt tracking and SS-5 first decisions keep
+per-key state on RocksDB with ``transformWithStateInPandas``: a key's state ends
+at its end marker or when the watermark has passed its last row by ``keep``
+(an event-time timer), and its result is written then, once.  Rows behind the
+watermark change nothing; they go to a side table, so none is lost uncounted.
+SS-4 uses streaming aggregation.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from quire.operators import gate as G
 from quire.sources.io import scratch_dir
@@ -34,7 +38,7 @@ def stage_files(df: DataFrame, path: str, by: str | None = None) -> str:
     """Write ``df`` as the stream's input.  Without ``by`` every task writes its
     own file; with it rows are spread by key hash over the shuffle partitions,
     so all rows of a key arrive in one file."""
-    (df.repartition(by) if by else df).write.mode("overwrite").parquet(path)
+    (df.repartition(by) if by else df).write.mode("append").parquet(path)
     return path
 
 
@@ -47,8 +51,9 @@ def epoch_sink(out: str):
     return sink
 
 
-def run_to_completion(sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> str:
-    """Drain a streaming DataFrame into epoch folders; return the output root.
+def run_to_completion(sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append", with_progress: bool = False):
+    """Drain a streaming DataFrame into epoch folders; return the output root
+    (``with_progress``: and the last progress report).
 
     An empty epoch -1 carries the schema, so a stream without rows reads back
     as an empty table.
@@ -60,7 +65,7 @@ def run_to_completion(sdf: DataFrame, spark: SparkSession, name: str, mode: str
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    return (out, q.lastProgress) if with_progress else out
 
 
 def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
@@ -74,6 +79,132 @@ def _source(spark: SparkSession, path: str, schema, files_per_trigger: int) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+# -------------------------------------------------------- state with an end
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LATE = "late_ts"  # set on the rows that came behind the watermark
+
+
+class Drained:
+    """What a stateful stream left: results, late rows and open state rows."""
+
+    def __init__(self, rows: DataFrame, results: list[str], inputs: list[str], open_rows: int):
+        self.results = rows.where(F.col(LATE).isNull()).select(*results)
+        self.late = rows.where(F.col(LATE).isNotNull()).select(*inputs, LATE)
+        self.open_rows = open_rows
+
+
+class TimedProcessor(StatefulProcessor):
+    """State per key that ends ``keep_ms`` after the key's last row.
+
+    Subclasses say how rows change the state (``fold``: a dict or None) and
+    what it gives in the end (``result``); a state that ``fold`` calls finished
+    gives its result and ends at once."""
+
+    STATE: str
+    RESULTS: list[str]
+    INPUTS: list[str]
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.STATE)
+        self.until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        pdf = pd.concat(list(rows), ignore_index=True)
+        ms = pdf["ts_ms"].to_numpy()
+        late = ms < mark
+        if late.any():
+            yield self._frame(pdf[late], ms[late])
+        pdf, ms = pdf[~late], ms[~late]
+        if not len(pdf):
+            return
+        before = self.state.get() if self.state.exists() else None
+        after, finished = self.fold(key, before, pdf)
+        if finished:
+            yield self._result(key, after)
+            self._end()
+            return
+        self.state.update(after)
+        old = self.until.get()[0] if self.until.exists() else None
+        new = max(int(ms.max()) + self.keep_ms, old or 0)
+        if new != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+            self.until.update((new,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield self._result(key, self.state.get())
+        self._end()
+
+    def _end(self) -> None:
+        if self.until.exists():
+            self.handle.deleteTimer(self.until.get()[0])
+        self.state.clear()
+        self.until.clear()
+
+    def _frame(self, pdf: pd.DataFrame, late_ms) -> pd.DataFrame:
+        out = pd.DataFrame({c: pdf[c].to_numpy() if c in pdf else None for c in dict.fromkeys([*self.RESULTS, *self.INPUTS])}, dtype=object)
+        out[LATE] = pd.Series(late_ms, dtype=object)
+        return out
+
+    def _result(self, key, state) -> pd.DataFrame:
+        got = self.result(key, state)
+        rows = [] if got is None else [dict(zip(self.RESULTS, got))]
+        return self._frame(pd.DataFrame(rows, columns=self.RESULTS, dtype=object), [None] * len(rows))
+
+    def close(self) -> None:
+        pass
+
+
+def _arrivals(rows: DataFrame | list[DataFrame], *cols) -> list[DataFrame]:
+    return [x.select(*cols) for x in (rows if isinstance(rows, list) else [rows])]
+
+
+def drain(spark: SparkSession, arrivals: list[DataFrame], key: str, processor: TimedProcessor, out_types: dict[str, str], watermark: str,
+          name: str, by: str | None, files_per_trigger: int) -> Drained:
+    """Run rows (with an event time ``ts``), staged one arrival after the other,
+    through a timed processor until every key's state has ended.
+
+    A last file holds one row without a key, later than all others by the time
+    states are kept and the watermark lags, so the timers of all keys fire.
+    Rows without a key have no result."""
+    src = scratch_dir(spark, f"stream-{name}-src")
+    for part in arrivals:
+        stage_files(part, src, by)
+    rows = arrivals[0]
+    delay = F.expr(f"interval {watermark}")
+    keep = F.expr(f"interval {processor.keep_ms + 1000} milliseconds")
+    staged = spark.read.schema(rows.schema).parquet(src)
+    ahead = staged.agg((F.max("ts") + delay + delay + keep).alias("ts")).where("ts is not null")
+    close = ahead.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    close.coalesce(1).write.mode("append").parquet(src)
+    stream = _source(spark, src, rows.schema, files_per_trigger).withWatermark("ts", watermark)
+    # the plain copy of the time has no watermark of its own, so late rows reach the processor
+    ms = F.coalesce(F.unix_millis("ts"), F.lit(-1))  # without a time: late
+    # the closing row goes after the watermark has seen it: a condition on the time stays above that
+    stream = stream.where(F.col(key).isNotNull() | (ms < -(1 << 62))).withColumn("ts_ms", ms).drop("ts")
+    fields = [T.StructField(c, T._parse_datatype_string(t)) for c, t in out_types.items()] + [T.StructField(LATE, T.LongType())]
+    res = stream.groupBy(key).transformWithStateInPandas(processor, T.StructType(fields), "Append", "EventTime")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        out, progress = run_to_completion(res, spark, name, with_progress=True)
+    finally:
+        if old is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    open_rows = sum(op["numRowsTotal"] for op in progress["stateOperators"]) if progress else 0
+    return Drained(spark.read.parquet(out), processor.RESULTS, processor.INPUTS, open_rows)
+
+
 # ---------------------------------------------------------------- SS-2
 
 
@@ -88,17 +219,22 @@ def gate(spark: SparkSession, docs: DataFrame, files_per_trigger: int = FILES_PE
 
 # ---------------------------------------------------------------- SS-3
 
-ATTEMPT_STATE = "wins int, losses int, state string, stop_seq long, last_seq long"
-ATTEMPT_OUT = "idea_id long, outcome string, stop_seq long"
+class Attempts(TimedProcessor):
+    """Successes so far, failures since the last one.  An idea fails at
+    ``max_iters`` failures before the first success, one fewer after it.  A
+    verdict stays until the state ends, so later events change nothing."""
 
+    STATE = "wins int, losses int, verdict string, stop long, last long"
+    RESULTS = ["idea_id", "outcome", "stop_seq"]
+    INPUTS = ["idea_id", "seq", "ok"]
 
-def _attempt_fn(max_runs: int, max_iters: int):
-    """State per idea: successes so far, failures since the last one.  It fails
-    at ``max_iters`` failures before the first success, one fewer after it."""
+    def __init__(self, keep_ms: int, max_runs: int, max_iters: int):
+        super().__init__(keep_ms)
+        self.max_runs, self.max_iters = max_runs, max_iters
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wins, losses, verdict, stop, last = state.get if state.exists else (0, 0, "open", None, -1)
-        rows = pd.concat(list(pdfs)).sort_values("seq")
+    def fold(self, key, state, pdf):
+        wins, losses, verdict, stop, last = state or (0, 0, "open", None, -1)
+        rows = pdf[pdf["seq"].notna()].sort_values("seq")
         rows = rows[rows["seq"] > last]  # ids seen before are copies
         if verdict == "open" and len(rows):
             good = rows["ok"].to_numpy() == 1
@@ -106,29 +242,27 @@ def _attempt_fn(max_runs: int, max_iters: int):
             lost = np.cumsum(~good)
             at_win = np.maximum.accumulate(np.where(good, lost, -losses))
             bad = lost - at_win
-            fails = (bad >= np.where(won > 0, max_iters - 1, max_iters)) & (~good | (max_iters <= 1))
-            ends = np.flatnonzero(fails | (won >= max_runs))
+            fails = (bad >= np.where(won > 0, self.max_iters - 1, self.max_iters)) & (~good | (self.max_iters <= 1))
+            ends = np.flatnonzero(fails | (won >= self.max_runs))
             if len(ends):
                 verdict = "fail" if fails[ends[0]] else "success"
                 stop = int(rows["seq"].iloc[ends[0]])
             wins, losses = int(won[-1]), int(bad[-1])
         if len(rows):
             last = int(rows["seq"].iloc[-1])
-        state.update((wins, losses, verdict, stop, last))
-        yield pd.DataFrame({"idea_id": [key[0]], "outcome": [verdict], "stop_seq": [stop]})
-    return fn
+        return (wins, losses, verdict, stop, last), False
+
+    def result(self, key, state):
+        return key[0], state[2], state[3]
 
 
-def attempts(spark: SparkSession, events: DataFrame, max_runs: int = 2, max_iters: int = 4,
-             files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """Attempt tracker (batch twin: ``attempts.outcome``).  Staged by key, so
-    the events of an idea arrive in order."""
-    src = stage_files(events, scratch_dir(spark, "stream-attempts-src"), "idea_id")
-    stream = _source(spark, src, events.schema, files_per_trigger)
-    res = stream.groupBy("idea_id").applyInPandasWithState(
-        _attempt_fn(max_runs, max_iters), ATTEMPT_OUT, ATTEMPT_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = run_to_completion(res, spark, "attempts", mode="update")
-    return latest_per_key(spark, out, ["idea_id"])
+def attempts(spark: SparkSession, events: DataFrame | list[DataFrame], max_runs: int = 2, max_iters: int = 4, watermark: str = "1 hour",
+             keep: int = 3_600_000, files_per_trigger: int = FILES_PER_TRIGGER) -> Drained:
+    """Attempt tracker (batch twin: ``attempts.outcome``) over (idea_id, seq,
+    ok, ts).  Staged by key, so the events of an idea arrive in order."""
+    rows = _arrivals(events, F.col("idea_id").cast("long"), F.col("seq").cast("long"), F.col("ok").cast("int"), "ts")
+    types = {"idea_id": "long", "outcome": "string", "stop_seq": "long", "seq": "long", "ok": "int"}
+    return drain(spark, rows, "idea_id", Attempts(keep, max_runs, max_iters), types, watermark, "attempts", "idea_id", files_per_trigger)
 
 
 # ---------------------------------------------------------------- SS-4
@@ -148,59 +282,82 @@ def run_stats(spark: SparkSession, summaries: DataFrame, files_per_trigger: int
 # ---------------------------------------------------------------- SS-5
 
 
-def first_decision(spark: SparkSession, responses: DataFrame, watermark: str, max_rounds: int = 10,
-                   files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+class FirstDecision(TimedProcessor):
+    """The earliest round with a decision, among rounds up to ``max_rounds``;
+    copies of a reply change nothing."""
+
+    STATE = "novel boolean, round int"
+    RESULTS = ["item_id", "novel", "round"]
+    INPUTS = ["item_id", "round", "text"]
+
+    def __init__(self, keep_ms: int, max_rounds: int):
+        super().__init__(keep_ms)
+        self.max_rounds = max_rounds
+
+    def fold(self, key, state, pdf):
+        novel, first = state or (False, None)
+        for r, text in sorted(zip(pdf["round"], pdf["text"]), key=lambda x: x[0]):
+            low = (text or "").lower()
+            said = True if "decision made: novel" in low else False if "decision made: not novel" in low else None
+            if said is not None and r <= self.max_rounds and (first is None or r < first):
+                novel, first = said, int(r)
+        return (novel, first), False
+
+    def result(self, key, state):
+        return key[0], state[0], state[1]
+
+
+def first_decision(spark: SparkSession, responses: DataFrame | list[DataFrame], watermark: str, max_rounds: int = 10, keep: int = 3_600_000,
+                   files_per_trigger: int = FILES_PER_TRIGGER) -> Drained:
     """(item_id, novel, round) of every item: its first novelty decision within
     ``max_rounds``; undecided items are not novel and have a null round.
 
-    Replies carry an event time ``ts``; ``watermark`` is how late one may come
-    and bounds the de-duplication state of (item, round).
+    Replies (item_id, round, text) carry an event time ``ts``; ``watermark`` is
+    how late one may come, ``keep`` (ms) how long an item is held after its last one.
     """
-    src = stage_files(responses, scratch_dir(spark, "stream-novelty-src"), "item_id")
-    stream = _source(spark, src, responses.schema, files_per_trigger)
-    low = F.lower("text")
-    dec = F.when(F.col("round") <= max_rounds,
-                 F.when(F.contains(low, F.lit("decision made: novel")), True).when(
-                     F.contains(low, F.lit("decision made: not novel")), False))
-    d = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["item_id", "round"]).withColumn("dec", dec)
-    at = F.when(F.col("dec").isNotNull(), F.col("round"))
-    agg = d.groupBy("item_id").agg(F.coalesce(F.min_by("dec", at), F.lit(False)).alias("novel"), F.min(at).alias("round"))
-    out = run_to_completion(agg, spark, "novelty", mode="update")
-    return latest_per_key(spark, out, ["item_id"])
+    rows = _arrivals(responses, F.col("item_id").cast("long"), F.col("round").cast("int"), "text", "ts")
+    types = {"item_id": "long", "novel": "boolean", "round": "int", "text": "string"}
+    return drain(spark, rows, "item_id", FirstDecision(keep, max_rounds), types, watermark, "novelty", "item_id", files_per_trigger)
 
 
 # ---------------------------------------------------------------- SS-1
 
-CHUNK_STATE = "parts array<struct<pos: long, chunk: string>>, emitted string"
-CHUNK_OUT = "resp_id long, text string, last_pos long"
-
-
-def _assemble_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    parts = list(state.get[0]) if state.exists and state.get[0] is not None else []
-    known = {int(p["pos"]) if isinstance(p, dict) else int(p[0]) for p in parts}
-    seq = [(int(p["pos"]), p["chunk"]) if isinstance(p, dict) else (int(p[0]), p[1]) for p in parts]
-    for pdf in pdfs:
-        for pos, chunk in zip(pdf["pos"].to_numpy(), pdf["chunk"].to_numpy()):
-            if int(pos) not in known:
-                known.add(int(pos))
-                seq.append((int(pos), chunk))
-    seq.sort()
-    ends = [p for p, c in seq if c.endswith(EOT)]
-    out = []
-    if ends:
-        last = ends[-1]
-        text = "".join(c for p, c in seq if p <= last).replace(EOT, "")
-        out.append({"resp_id": key[0], "text": text, "last_pos": last})
-    state.update(([{"pos": p, "chunk": c} for p, c in seq], None))
-    yield pd.DataFrame(out, columns=["resp_id", "text", "last_pos"])
-
-
-def assemble(spark: SparkSession, chunks: DataFrame, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """Assemble chunks per response; emit the text up to the latest end marker
-    (marker removed).  Batch twin: ``replies.assemble`` cut at that marker."""
-    src = stage_files(chunks, scratch_dir(spark, "stream-chunks-src"))
-    stream = _source(spark, src, chunks.schema, files_per_trigger)
-    res = stream.groupBy("resp_id").applyInPandasWithState(
-        _assemble_fn, CHUNK_OUT, CHUNK_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = run_to_completion(res, spark, "chunks", mode="update")
-    return latest_per_key(spark, out, ["resp_id"])
+
+class Assembler(TimedProcessor):
+    """Chunks by position.  The text up to the latest end marker is written
+    when the state ends: with ``one_marker`` at the first marker whose chunks
+    are all there, else by time.  Without a marker nothing is written."""
+
+    STATE = "parts array<struct<pos: long, chunk: string>>"
+    RESULTS = ["resp_id", "text", "last_pos"]
+    INPUTS = ["resp_id", "pos", "chunk"]
+
+    def __init__(self, keep_ms: int, one_marker: bool):
+        super().__init__(keep_ms)
+        self.one_marker = one_marker
+
+    def fold(self, key, state, pdf):
+        parts = {int(p[0]): p[1] for p in (state[0] if state else [])}
+        for pos, chunk in zip(pdf["pos"], pdf["chunk"]):
+            parts.setdefault(int(pos), chunk or "")
+        seq = sorted(parts.items())
+        ends = [p for p, c in seq if c.endswith(EOT)]
+        whole = self.one_marker and bool(ends) and all(p in parts for p in range(ends[0]))
+        return ([tuple(x) for x in seq if not whole or x[0] <= ends[0]],), whole
+
+    def result(self, key, state):
+        seq = [(int(p[0]), p[1]) for p in state[0]]
+        ends = [p for p, c in seq if c.endswith(EOT)]
+        if not ends:
+            return None
+        return key[0], "".join(c for p, c in seq if p <= ends[-1]).replace(EOT, ""), ends[-1]
+
+
+def assemble(spark: SparkSession, chunks: DataFrame | list[DataFrame], watermark: str = "1 hour", keep: int = 3_600_000, one_marker: bool = False,
+             files_per_trigger: int = FILES_PER_TRIGGER) -> Drained:
+    """Assemble chunks (resp_id, pos, chunk, ts) per response; the text up to
+    the latest end marker (marker removed).  Batch twin: ``replies.assemble``
+    cut at that marker."""
+    rows = _arrivals(chunks, F.col("resp_id").cast("long"), F.col("pos").cast("long"), "chunk", "ts")
+    types = {"resp_id": "long", "text": "string", "last_pos": "long", "pos": "long", "chunk": "string"}
+    return drain(spark, rows, "resp_id", Assembler(keep, one_marker), types, watermark, "chunks", None, files_per_trigger)
