@@ -171,9 +171,9 @@ def pf5(t):
 WITH stripped AS (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from d_papers),
 {_verdict_sql('stripped')}
 select doc_id, length(text) > 200 and is_paper as ok,
-  md5(case when not length(text) > 200 then 'Error processing pdf'
-       when not is_paper then concat('{G.NOT_PAPER_MSG}', reason, '{G.NOT_PAPER_TAIL}')
-       when confidence < 0.9 then concat('{G.WARN_HEAD}', reason, '{G.WARN_TAIL}', text)
+  md5(case when not length(text) > 200 then 'Refused: too little text.'
+       when not is_paper then 'Refused: the gate does not take this text for a research paper (' || reason || ').' || chr(10)
+       when confidence < 0.9 then 'Doubtful (' || reason || '); parts of the paper may be missing.' || chr(10) || chr(10) || text
        else text end) as out_md5
 from v""", ("d_papers",))
 def pf7(t):

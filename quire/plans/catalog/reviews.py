@@ -120,10 +120,9 @@ def _bul_sql(arr: str, none_text: str) -> str:
 WITH {FEEDBACK_SQL}
 select fb.doc_id, md5(p) as prompt_md5, cast(length(p) as integer) as prompt_len from fb join (
   select doc_id, review, {SCORE_SQL.format(t='review')} as score from d_review_md) d on fb.doc_id = d.doc_id,
-lateral (select concat('{RV.IMPROVE_HEAD}', cast(d.score as varchar), '/10**' || chr(10) || chr(10) || '**Main Weaknesses:**' || chr(10),
-   {_bul_sql('fb.weaknesses', 'None identified')}, chr(10) || chr(10) || '**Improvement Suggestions:**' || chr(10),
-   {_bul_sql('fb.suggestions', 'None provided')}, chr(10) || chr(10) || '**Full Review (excerpt):**' || chr(10),
-   substring(d.review, 1, 2000), '{RV.IMPROVE_TAIL}') as p)""", ("d_review_md",))
+lateral (select concat('Reviewers rate this draft ', cast(d.score as varchar), ' of 10.', chr(10), chr(10), 'Weak points:', chr(10),
+   {_bul_sql('fb.weaknesses', 'none')}, chr(10), chr(10), 'Proposals:', chr(10), {_bul_sql('fb.suggestions', 'none')}, chr(10), chr(10),
+   'From the review:', chr(10), substring(d.review, 1, 2000), chr(10), chr(10), 'Rework the draft so that every point is dealt with.', chr(10)) as p)""", ("d_review_md",))
 def sc14(t):
     fb = RV.feedback_items(D.d_review_md(t))
     p = RV.improvement_prompt(F.col("weaknesses"), F.col("suggestions"), F.col("score"), F.col("full_review"))
@@ -190,10 +189,8 @@ def sc24(t):
 @query("sc17_fewshot_block", """
 WITH p AS (select item_id, text, row_number() over (order by item_id) as pos from benchmark),
 r AS (select paper_id, json_extract_string(raw, '$.review') as review, row_number() over (order by paper_id) as pos from d_reviews)
-select md5(concat(chr(10) || 'Below are some sample reviews, copied from previous machine learning conferences.' || chr(10)
-  || 'Note that while each review is formatted differently according to each reviewer''s style, the reviews are well-structured and therefore easy to navigate.' || chr(10),
-  string_agg(chr(10) || 'Paper:' || chr(10) || chr(10) || '```' || chr(10) || p.text || chr(10) || '```' || chr(10) || chr(10) || 'Review:' || chr(10) || chr(10) || '```' || chr(10)
-             || r.review || chr(10) || '```' || chr(10), '' order by p.pos))) as prompt_md5
+select md5(concat('Papers with the reviews they got:', chr(10),
+  string_agg(chr(10) || '[paper]' || chr(10) || p.text || chr(10) || '[review]' || chr(10) || r.review || chr(10), '' order by p.pos))) as prompt_md5
 from p join r on p.pos = r.pos where p.pos <= 2""", ("d_reviews",))
 def sc17f(t):
     reviews = D.d_reviews(t).select("paper_id", F.from_json("raw", "review string")["review"].alias("review"))
