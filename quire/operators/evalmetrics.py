@@ -114,17 +114,55 @@ def throughput(df: DataFrame, by: Sequence[str], tokens: str, seconds: str) -> D
                                F.avg(seconds).alias("seconds_per_item"))
 
 
-def ols_effect(df: DataFrame, y: str, x: str, adjust: Sequence[str] = ()) -> DataFrame:
-    """OLS with intercept (normal equations, distributed X'X aggregation):
-    coefficient and standard error of ``x`` given the adjustment set."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    feats = [x, *adjust]
-    data = VectorAssembler(inputCols=feats, outputCol="_f").transform(df.select(y, *feats))
-    model = LinearRegression(featuresCol="_f", labelCol=y, solver="normal", regParam=0.0).fit(data)
-    se = model.summary.coefficientStandardErrors
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        [(x, float(model.coefficients[0]), float(se[0]), float(model.intercept), int(model.summary.numInstances))],
-        "regressor string, coef double, std_err double, intercept double, n long")
+def cholesky(s: Column, size: int) -> Column:
+    """Lower triangle L (rows of growing length) with L·Lᵀ = s, for a column
+    that holds the symmetric matrix as an array of rows.  Null where s is not
+    positive definite."""
+    nothing, number = F.array().cast("array<double>"), F.lit(0.0)
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), number, lambda acc, x: acc + x)
+
+    def row(done, i):
+        def entry(r, j):
+            other = F.get(done, j)
+            rest = F.get(F.get(s, i), j) - dot(r, F.when(j < i, F.slice(other, 1, F.size(r))).otherwise(r))
+            return F.when(j < i, F.try_divide(rest, F.get(other, j))).otherwise(F.when(rest > 0, F.sqrt(rest)))
+
+        return F.aggregate(F.sequence(F.lit(0), i), nothing, lambda r, j: F.array_append(r, entry(r, j)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<array<double>>"),
+                       lambda done, i: F.array_append(done, row(done, i)))
+
+
+def ols_effect(df: DataFrame, y: str, x: str, adjust: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """OLS with intercept: coefficient and standard error of ``x`` given the
+    adjustment set, per group of ``by``.
+
+    One aggregate gives the covariances of [adjust, x, y] (combined before the
+    shuffle); the rest is Column algebra on its rows, in the same plan.  With
+    L·Lᵀ the scatter matrix in that order, the last two rows of L hold the
+    answer: coefficient L[y][x] / L[x][x], residual sum of squares L[y][y]²,
+    and 1 / L[x][x]² is the entry of the inverse for x.  Rows with a null take
+    no part; collinear regressors, or no rows to spare, give nulls."""
+    cols = [*adjust, x, y]
+    p = len(cols) - 1
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)]).dropna(subset=list(dict.fromkeys(cols)))
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("_mean"),
+        F.array(*[F.array(*[F.covar_pop(cols[max(i, j)], cols[min(i, j)]) for j in range(p + 1)]) for i in range(p + 1)]).alias("_s"))
+    fit = sums.withColumn("_l", cholesky(F.col("_s"), p + 1))
+
+    def at(i, j):
+        return F.get(F.get("_l", F.lit(i)), F.lit(j))
+
+    fit = fit.withColumn("_b", F.array().cast("array<double>"))
+    for j in range(p - 1, -1, -1):  # back substitution: the coefficient of x first
+        known = [at(i, j) * F.get("_b", F.lit(i - j - 1)) for i in range(j + 1, p)]
+        fit = fit.withColumn("_b", F.array_prepend("_b", F.try_divide(sum((-k for k in known), at(p, j)), at(j, j))))
+    slope = F.get("_b", F.lit(p - 1))
+    spare = F.when(F.col("n") > p + 1, F.col("n") - p - 1)
+    err = F.sqrt(at(p, p) * at(p, p) * F.col("n") / spare) / (at(p - 1, p - 1) * F.sqrt("n"))
+    shift = F.get("_mean", F.lit(p)) - sum((F.get("_b", F.lit(i)) * F.get("_mean", F.lit(i)) for i in range(1, p)),
+                                           F.get("_b", F.lit(0)) * F.get("_mean", F.lit(0)))
+    return fit.select(*by, F.lit(x).alias("regressor"), slope.alias("coef"), err.alias("std_err"), shift.alias("intercept"), "n")

@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.plans.ordering import global_row_number, neighbour, positions, running, running_totals
 
@@ -189,50 +188,92 @@ def gaps(df: DataFrame, key: Sequence[str], order: str, x: str, pad: float = 1e1
 
 # ------------------------------------------------------------------------ EMA
 
-AFFINE = T.StructType([T.StructField("A", T.DoubleType()), T.StructField("C", T.DoubleType())])
+EMA_BLOCK = 1 << 16  # rows of a key that are scanned together
 
 
-def ema_gain(step: np.ndarray, beta: float, after: int, every: int, gamma: float, power: float, least: float) -> np.ndarray:
+def ema_gain(step: Column, beta: float, after: int, every: int, gamma: float, power: float, least: float) -> Column:
     """How far the average moves to the value at each step (0-based): not at
     all between updates, all the way up to ``after`` and at the first update
     beyond it, then 1 - decay with decay = 1 - (1 + n / gamma) ** -power,
     n = step - after, kept within [least, beta]."""
-    past = np.maximum(step - after, 0)
-    move = 1.0 - np.clip(1.0 - (1.0 + past / gamma) ** -power, least, beta)
+    past = F.greatest(step - after, F.lit(0))
+    decay = 1.0 - F.pow(1.0 + past / F.lit(float(gamma)), F.lit(-float(power)))
+    move = 1.0 - F.least(F.greatest(decay, F.lit(float(least))), F.lit(float(beta)))
     whole = (step <= after) | (step < (after // every + 1) * every + 1)
-    return np.where(step % every != 0, 0.0, np.where(whole, 1.0, move))
+    return F.when(step == 0, 1.0).when(F.pmod(step, F.lit(every)) != 0, 0.0).when(whole, 1.0).otherwise(move)
 
 
-def ema(df: DataFrame, key: str, order: str, value: str, beta: float = 0.9999, update_after: int = 100,
-        update_every: int = 10, inv_gamma: float = 1.0, power: float = 2 / 3, min_value: float = 0.0) -> DataFrame:
-    """EMA of a series with a warm-up schedule (see ``ema_gain``); the average
-    starts at the first value of the key.
+def affine_scan(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running compositions of the maps v -> a·v + b, each run starting where
+    ``place`` (0, 1, 2, ... in a run) is 0: the map from the run's start to
+    each row.  Doubles the reach of every row in each pass over the arrays."""
+    a, b, reach = a.copy(), b.copy(), 1
+    most = int(place.max(initial=0))
+    while reach <= most:
+        far = np.flatnonzero(place >= reach)
+        a_far, b_far = a[far], b[far]
+        b[far], a[far] = a_far * b[far - reach] + b_far, a_far * a[far - reach]
+        reach *= 2
+    return a, b
+
 
-    One algorithm at every size: rows are hashed by key and sorted, and one
-    ``mapInPandas`` pass carries (key, step, average) across Arrow batches, so
-    memory does not grow with the length of a series."""
-    ktype = dict(df.dtypes)[key]
+def _scan_blocks(rows: DataFrame, keys: list[str], order: str, a: str, b: str) -> DataFrame:
+    """``rows`` with (a, b) replaced by the map from the start of the row's
+    ``keys`` group; a group is a task's sorted run of rows, of any length."""
 
     def run(batches):
-        last, done, avg = None, 0, 0.0
+        last, held = None, (1.0, 0.0)
         for pdf in batches:
-            keys, x = pdf[key].to_numpy(), pdf[value].to_numpy(dtype=float)
-            if not len(x):
+            if not len(pdf):
                 continue
-            fresh = np.concatenate(([last is None or keys[0] != last], keys[1:] != keys[:-1]))
-            place = np.arange(len(x))
-            since = np.maximum.accumulate(np.where(fresh, place, -1))
-            step = np.where(since >= 0, place - since, done + place)
-            gain = np.where(step == 0, 1.0, ema_gain(step, beta, update_after, update_every, inv_gamma, power, min_value))
-            out = np.empty(len(x))
-            for i in range(len(x)):  # a recurrence: each average needs the one before
-                avg = x[i] if step[i] == 0 else avg + (x[i] - avg) * gain[i]
-                out[i] = avg
-            last, done = keys[-1], int(step[-1]) + 1
-            yield pd.DataFrame({key: keys, "step": step.astype("int64"), value: x, "ema": out})
-
-    part = df.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
-    return part.mapInPandas(run, f"{key} {ktype}, step long, {value} double, ema double")
+            cols = [pdf[k].to_numpy() for k in keys]
+            fresh = np.zeros(len(pdf), bool)
+            for c in cols:
+                fresh[1:] |= (c[1:] != c[:-1]) & ~(pd.isna(c[1:]) & pd.isna(c[:-1]))
+            now = tuple(c[0] for c in cols)
+            goes_on = last is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(now, last))
+            fresh[0] = True
+            at = np.arange(len(pdf))
+            place = at - np.maximum.accumulate(np.where(fresh, at, 0))
+            pa, pb = affine_scan(pdf[a].to_numpy(float), pdf[b].to_numpy(float), place)
+            if goes_on:  # the run began in the batch before
+                n = int(np.flatnonzero(fresh)[1]) if fresh[1:].any() else len(pdf)
+                pb[:n] += pa[:n] * held[1]
+                pa[:n] *= held[0]
+            last, held = tuple(c[-1] for c in cols), (pa[-1], pb[-1])
+            yield pdf.assign(**{a: pa, b: pb})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, rows.schema)
+
+
+def ema(df: DataFrame, key: str, order: str, value: str, beta: float = 0.9999, update_after: int = 100,
+        update_every: int = 10, inv_gamma: float = 1.0, power: float = 2 / 3, min_value: float = 0.0) -> DataFrame:
+    """EMA of a series with a warm-up schedule (see ``ema_gain``); the average
+    starts at the first value of the key.
+
+    An update is a map e -> (1 - g)·e + g·x, and maps compose, so a series is a
+    two-level scan: blocks of ``EMA_BLOCK`` rows are scanned by themselves (a
+    hot key is as many tasks as it has blocks), the maps of whole blocks are
+    scanned per key (a row per block), and the average at the start of each
+    block is put into the block's maps.  Rows of a null value keep the average."""
+    pos = positions(df.select(key, order, value), [key], [order], "step")
+    gain = F.when(F.col(value).isNull(), F.lit(0.0)).otherwise(
+        ema_gain(F.col("step"), beta, update_after, update_every, inv_gamma, power, min_value))
+    maps = pos.withColumn("_g", gain).select(
+        key, "step", value, F.call_function("div", F.col("step"), F.lit(EMA_BLOCK)).alias("_block"),
+        F.when(F.col("step") == 0, F.lit(0.0)).otherwise(1.0 - F.col("_g")).alias("_a"),
+        F.coalesce(F.col("_g") * F.col(value), F.lit(0.0)).cast("double").alias("_b"))
+    local = _scan_blocks(maps, [key, "_block"], "step", "_a", "_b")
+    # maps of whole blocks: only keys that go on after one have any
+    long = pos.where(F.col("step") == EMA_BLOCK).select(F.struct(key).alias("_k"))
+    more = maps.withColumn("_k", F.struct(key)).join(long, "_k", "left_semi").drop("_k")
+    ends = F.pmod("step", F.lit(EMA_BLOCK)) == EMA_BLOCK - 1
+    whole = _scan_blocks(more, [key, "_block"], "step", "_a", "_b").where(ends).select(key, "_block", "_a", "_b")
+    start = _scan_blocks(whole, [key], "_block", "_a", "_b").select(
+        F.struct(key).alias("_k"), (F.col("_block") + 1).alias("_next"), F.col("_b").alias("_start"))  # the first map has a = 0
+    out = local.join(start, (F.struct(key) == F.col("_k")) & (F.col("_block") == F.col("_next")), "left")
+    e = F.col("_b") + F.when(F.col("_block") > 0, F.col("_a") * F.col("_start")).otherwise(0.0)
+    return out.select(key, "step", value, e.alias("ema"))
 
 
 # ------------------------------------------------------------- top-k softmax

@@ -160,7 +160,7 @@ from k, e, p"""
 
 @query("ag22_ols_effect", OLS_SQL)
 def ag22(t):
-    """OLS of price on quantity given discount and tax (Spark ML normal equations)."""
+    """OLS of price on quantity given discount and tax (one aggregate, Cholesky in the plan)."""
     df = t.lineitem.select("l_extendedprice", "l_quantity", "l_discount", "l_tax")
     out = EM.ols_effect(df, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"])
     return out.select("regressor", F.round("coef", 4).alias("coef"), F.round("std_err", 4).alias("std_err"),

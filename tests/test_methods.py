@@ -177,3 +177,46 @@ def test_centred_and_upright_poses(spark):
         for a, b in itertools.combinations(p, 2):  # a rotation of all: angles and distances stay
             assert np.allclose(p[a][:3, :3].T @ p[b][:3, :3], new[a][:, :3].T @ new[b][:, :3], atol=1e-8)
             assert np.isclose(np.linalg.norm(p[a][:3, 3] - p[b][:3, 3]), np.linalg.norm(new[a][:, 3] - new[b][:, 3]))
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_ema_equals_plain_recurrence(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "EMA_BLOCK", block)
+    rng = np.random.default_rng(8)
+    series = {1: rng.random(3000), 2: rng.random(7), 3: rng.random(8), None: rng.random(20), 5: np.array([2.0])}
+    rows = [(k, i * 3, float(x) if rng.random() < 0.95 or i == 0 else None) for k, xs in series.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "k long, t long, v double").repartition(7)
+    got = {(r["k"], r["step"]): r["ema"] for r in S.ema(df, "k", "t", "v", beta=0.9, update_after=10, update_every=3, inv_gamma=2.0).collect()}
+    assert len(got) == len(rows)
+    for k in series:
+        xs, e = [x for kk, _, x in rows if kk == k], None
+        for i, x in enumerate(xs):
+            past = max(i - 10, 0)
+            decay = min(max(1 - (1 + past / 2.0) ** (-2 / 3), 0.0), 0.9)
+            if i == 0:
+                e = x
+            elif i % 3 == 0 and x is not None:
+                e = x if i <= 10 or i < 13 else decay * e + (1 - decay) * x
+            assert abs(got[k, i] - e) < 1e-9
+
+
+def test_ols_equals_least_squares(spark):
+    from quire.operators import evalmetrics as EM
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(3):
+        a, x = rng.normal(size=60) * 5 + 100, rng.normal(size=60)
+        rows += [(g, float(2 * u - 3 * v + rng.normal() + 7), float(u), float(v)) for u, v in zip(x, a)]
+    rows += [(0, None, 1.0, 1.0), (7, 1.0, 2.0, 3.0), (8, 1.0, 2.0, 4.0), (8, 2.0, 3.0, 6.0), (8, 3.0, 5.0, 10.0), (8, 4.0, 4.0, 8.0)]
+    df = spark.createDataFrame(rows, "g int, y double, x double, a double")
+    got = {r["g"]: r for r in EM.ols_effect(df, "y", "x", ["a"], by=["g"]).collect()}
+    for g in range(3):
+        d = np.array([r[1:] for r in rows if r[0] == g and r[1] is not None])
+        m = np.column_stack((np.ones(len(d)), d[:, 1], d[:, 2]))
+        beta, rss = np.linalg.lstsq(m, d[:, 0], rcond=None)[:2]
+        err = np.sqrt(rss[0] / (len(d) - 3) * np.linalg.inv(m.T @ m)[1, 1])
+        assert np.allclose([got[g]["coef"], got[g]["std_err"], got[g]["intercept"]], [beta[1], err, beta[0]], rtol=1e-7)
+    assert got[7]["coef"] is None and got[8]["coef"] is None and got[8]["n"] == 4
+    alone = EM.ols_effect(df.where("g < 3"), "y", "x").first()
+    assert alone["n"] == 180 and alone["std_err"] > 0
