@@ -13,8 +13,8 @@ def append(seeds: DataFrame, generated: DataFrame, seq: str = "seq", allow_missi
     """Archive = seeds followed by generated ideas (UNION ALL, duplicates kept).
 
     The generated ``seq`` is offset past the last seed so order survives."""
-    offset = seeds.agg(F.max(seq)).first()[0] or 0
-    gen = generated.withColumn(seq, F.col(seq) + F.lit(offset))
+    offset = F.coalesce(seeds.agg(F.max(seq)).scalar(), F.lit(0))  # lazy scalar subquery
+    gen = generated.withColumn(seq, F.col(seq) + offset)
     return seeds.unionByName(gen, allowMissingColumns=allow_missing)
 
 

@@ -212,13 +212,16 @@ def sample_cdf(weights: DataFrame, bins: DataFrame, draws: DataFrame, key: Seque
 # ------------------------------------------------------------------ grids
 
 
-def dense_grid(spark, lo: Sequence[float], hi: Sequence[float], n: int) -> DataFrame:
-    """All (i, j, k) cells of a box with lo·(1-s) + hi·s, s = linspace(0, 1, n)."""
-    seq = F.sequence(F.lit(0), F.lit(n - 1))
-    g = (spark.range(1).select(F.explode(seq).alias("i")).select("i", F.explode(seq).alias("j"))
-         .select("i", "j", F.explode(seq).alias("k")))
-    s = [F.col(c) / F.lit(max(n - 1, 1)) for c in ("i", "j", "k")]
-    return g.select("i", "j", "k", *[(F.lit(lo[a]) * (1 - s[a]) + F.lit(hi[a]) * s[a]).alias(AX[a]) for a in range(3)])
+def dense_grid(boxes: DataFrame, group: Sequence[str], n: int) -> DataFrame:
+    """All n³ cells (i, j, k) of every box (``bounding_box`` rows) with
+    coordinates lo·(1-s) + hi·s, s = linspace(0, 1, n).  A box counts out its
+    own cells, so the grids of many boxes are made where the boxes are."""
+    cell = boxes.select(*group, *[f"{m}_{a}" for a in AX for m in ("min", "max")],
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n ** 3 - 1).cast("long"))).alias("_c"))
+    place = [F.pmod(F.call_function("div", F.col("_c"), F.lit(n ** e)), F.lit(n)) for e in (2, 1, 0)]
+    out = cell.select("*", *[p.cast("long").alias(c) for p, c in zip(place, "ijk")])
+    s = [F.col(c) / F.lit(float(max(n - 1, 1))) for c in "ijk"]
+    return out.select(*group, "i", "j", "k", *[(F.col(f"min_{a}") * (1 - s[m]) + F.col(f"max_{a}") * s[m]).alias(a) for m, a in enumerate(AX)])
 
 
 # ------------------------------------------------------------- aggregates
@@ -366,20 +369,25 @@ def rescale(points: DataFrame, coords: Sequence[str] = AX, target: float = 4.0)
 
 def total_variation(grid: DataFrame, img: str, r: str, c: str, v: str, h: int, w: int) -> DataFrame:
     """2·(Σ Δrow²/count_h + Σ Δcol²/count_w)/batch on dense h×w images (missing
-    cells count as 0).  Neighbours come from equi-joins on shifted indices."""
-    images = grid.select(img).distinct()
-    cells = images.select(img, F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("_p")).select(
-        img, F.floor(F.col("_p") / w).cast("int").alias(r), (F.col("_p") % w).cast("int").alias(c))
-    dense = cells.join(grid.select(img, r, c, v), [img, r, c], "left").withColumn(v, F.coalesce(F.col(v), F.lit(0.0)))
-    down = dense.select(img, (F.col(r) - 1).alias(r), c, F.col(v).alias("_vd"))
-    right = dense.select(img, r, (F.col(c) - 1).alias(c), F.col(v).alias("_vr"))
-    hsum = dense.join(down, [img, r, c]).agg(F.sum(F.pow(F.col("_vd") - F.col(v), 2)).alias("h_tv"))
-    wsum = dense.join(right, [img, r, c]).agg(F.sum(F.pow(F.col("_vr") - F.col(v), 2)).alias("w_tv"))
-    batch = images.agg(F.count("*").alias("batch"))
-    count_h = (h - 1) * w
-    count_w = max(h * (w - 1), 1)
-    out = _one_row_join(_one_row_join(hsum, wsum), batch)
-    return out.select((2 * (F.col("h_tv") / count_h + F.col("w_tv") / count_w) / F.col("batch")).alias("tv"))
+    cells count as 0).
+
+    One pass over the cells there are: a cell adds +v or -v to the up to four
+    neighbour pairs it belongs to, the sum of a pair is its difference, and the
+    squares are summed per image, then over all; no dense grid, no join."""
+    row, col, val = F.col(r), F.col(c), F.col(v).cast("double")
+
+    def part(axis, i, j, x, there):
+        return F.when(there, F.struct(F.lit(axis).alias("axis"), i.cast("long").alias("i"), j.cast("long").alias("j"), x.alias("d")))
+
+    parts = F.array(part("h", row, col, -val, row < h - 1), part("h", row - 1, col, val, row > 0),
+                    part("w", row, col, -val, col < w - 1), part("w", row, col - 1, val, col > 0),
+                    part("n", F.lit(0), F.lit(0), F.lit(0.0), F.lit(True)))  # counts the image
+    pairs = grid.select(img, F.explode(parts).alias("p")).where("p is not null").select(img, "p.*")
+    diff = pairs.groupBy(img, "axis", "i", "j").agg(F.sum("d").alias("d"))
+    sq = F.col("d") * F.col("d")
+    per = diff.groupBy(img).agg(*[F.sum(F.when(F.col("axis") == x, sq).otherwise(0.0)).alias(x) for x in "hw"])
+    total = F.sum("h") / max((h - 1) * w, 1) + F.sum("w") / max(h * (w - 1), 1)
+    return per.agg((2 * total / F.count("*")).alias("tv"))
 
 
 def occupancy(grid: DataFrame, img: str, r: str, c: str, v: str, thr: float, h: int, w: int) -> DataFrame:

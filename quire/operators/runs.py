@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.joins import small_join
+from quire.plans.joins import contains_join, small_join
 from quire.plans.ordering import positions
 
 STDERR_MODES = ("n", "sqrt_n", "sample_std")
@@ -100,8 +100,8 @@ def match_keys(log_keys: DataFrame, datasets: DataFrame, key: str = "key",
     """Match log keys ``{dataset}_{seed}_{kind}`` to data-set names.
 
     Reference rule (``strict=False``): substring containment of the data set
-    and of ``kind`` (so ``x`` also matches ``xy_0_val_info``).  The data-set
-    side is a small list; it is broadcast behind a size check.
+    and of ``kind`` (so ``x`` also matches ``xy_0_val_info``).  The
+    substring join of ``plans.joins`` is an equi-join on pieces, at every size.
     ``strict=True`` parses the key and equi-joins.
     """
     k = F.col(key)
@@ -110,8 +110,7 @@ def match_keys(log_keys: DataFrame, datasets: DataFrame, key: str = "key",
             dataset, F.regexp_extract(k, r"^(.*)_([^_]+)_([a-z]+_info)$", 1))
         return (parsed.where(F.regexp_extract(k, r"_([a-z]+_info)$", 1) == kind)
                 .join(datasets.select(dataset), dataset))
-    cond = F.contains(k, F.col(dataset)) & F.contains(k, F.lit(kind))
-    return small_join(log_keys.where(F.contains(k, F.lit(kind))), datasets.select(dataset), cond, "inner")
+    return contains_join(log_keys.where(F.contains(k, F.lit(kind))), key, datasets.select(dataset), dataset)
 
 
 def parse_key(c: Column) -> Column:

@@ -221,16 +221,16 @@ def blocks(tokens: DataFrame, key: str, arr: str, size: int, n_starts: int, seed
 
 def fewshot_prompts(df: DataFrame, order: str, inp: str, target: str, n: int = 10, sep: str = ", ") -> DataFrame:
     """Groups of ``n`` consecutive rows -> "in1:t1, ..., inN:" (last target left
-    out); the incomplete tail is dropped; error when there is no full group."""
-    total = df.count()
-    if total // n == 0:
-        raise ValueError("Not enough data to generate training prompts.")
+    out); the incomplete tail is dropped.  Fewer than ``n`` rows are an error
+    when the query runs; an empty table gives no prompt."""
+    total = df.agg(F.count("*")).scalar()  # lazy scalar subquery
     num = global_row_number(df, [order])
     g = F.floor((F.col("rn") - 1) / n)
     last = F.pmod(F.col("rn") - 1, F.lit(n)) == n - 1
     piece = F.when(last, F.concat(F.col(inp), F.lit(":"))).otherwise(
         F.concat(F.col(inp), F.lit(":"), F.col(target), F.lit(sep)))
-    kept = num.where(F.col("rn") <= (total // n) * n).select(g.alias("prompt_no"), "rn", piece.alias("_p"))
+    full = F.when(total < n, F.raise_error(F.lit(f"no full group of {n} rows")).cast("long")).otherwise(total - F.pmod(total, F.lit(n)))
+    kept = num.where(F.col("rn") <= full).select(g.alias("prompt_no"), "rn", piece.alias("_p"))
     parts = F.array_sort(F.collect_list(F.struct("rn", "_p")))
     return kept.groupBy("prompt_no").agg(F.array_join(F.transform(parts, lambda x: x["_p"]), "").alias("prompt"))
 

@@ -41,6 +41,16 @@ def shift(vec: Column, v: Column, beta: float) -> Column:
     return F.zip_with(vec, v, lambda a, b: a + F.lit(beta) * b)
 
 
+def shift_by_mean(df: DataFrame, vec: str, of: Column, beta: float) -> DataFrame:
+    """``df`` with ``shifted`` = vector + beta · mean vector of the rows where
+    ``of`` holds.  The mean is one row of the same plan (its size is that of a
+    vector); nulls where no row holds."""
+    e = df.where(of).select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = e.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("m")).scalar()
+    out = df.withColumn("_mean", mean)
+    return out.withColumn("shifted", shift(F.transform(vec, lambda x: x.cast("double")), F.col("_mean"), beta)).drop("_mean")
+
+
 def sinusoidal(x: Column, dim: int, scale: float = 1.0) -> Column:
     """[sin(x·s·f_i)..., cos(x·s·f_i)...] with f_i = exp(-ln(10000)·i/(dim/2 - 1))."""
     half = dim // 2

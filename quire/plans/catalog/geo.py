@@ -36,12 +36,8 @@ WITH v AS (select pos, avg(x) as m from d_vectors where layer = 0 group by pos)
 select d.vec_id, round(sum(d.x + 2.0 * v.m), 6) as shifted_sum from d_vectors d join v on d.pos = v.pos group by d.vec_id""",
        ("d_vectors",))
 def sc29(t):
-    emb = t.embeddings
-    mean = (emb.where(F.col("label") == 0).select(F.posexplode("embedding").alias("pos", "x"))
-            .groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    vec = [r["m"] for r in sorted(mean.collect(), key=lambda r: r["pos"])]  # one vector (dimension-bounded)
-    shifted = V.shift(F.transform("embedding", lambda x: x.cast("double")), F.array(*[F.lit(v) for v in vec]), 2.0)
-    return emb.select("vec_id", r6(F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)).alias("shifted_sum"))
+    out = V.shift_by_mean(t.embeddings, "embedding", F.col("label") == 0, 2.0)
+    return out.select("vec_id", r6(F.aggregate("shifted", F.lit(0.0), lambda a, x: a + x)).alias("shifted_sum"))
 
 
 @query("sc31_sinusoidal_features", """
@@ -240,17 +236,13 @@ def jn15u(t):
 
 
 @query("jn21_dense_grid", """
-WITH b AS (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1 from d_points)
-select i, j, k, round(x0 * (1 - i / 5.0) + x1 * (i / 5.0), 9) as x, round(y0 * (1 - j / 5.0) + y1 * (j / 5.0), 9) as y,
+WITH b AS (select mol // 1000 as scene, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1 from d_points group by all)
+select scene, i, j, k, round(x0 * (1 - i / 5.0) + x1 * (i / 5.0), 9) as x, round(y0 * (1 - j / 5.0) + y1 * (j / 5.0), 9) as y,
        round(z0 * (1 - k / 5.0) + z1 * (k / 5.0), 9) as z
 from b, (select unnest(range(6)) as i), (select unnest(range(6)) as j), (select unnest(range(6)) as k)""", ("d_points",))
 def jn21(t):
-    bb = D.d_points(t).agg(*[f(c) for c in ("x", "y", "z") for f in (F.min, F.max)]).first()
-    lo = [bb[0], bb[2], bb[4]]
-    hi = [bb[1], bb[3], bb[5]]
-    g = G.dense_grid(t.spark, lo, hi, 6)
-    return g.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
-                    F.col("k").cast("long").alias("k"), *[r9(c).alias(c) for c in ("x", "y", "z")])
+    boxes = G.bounding_box(D.d_points(t).withColumn("scene", F.call_function("div", F.col("mol"), F.lit(1000))), ["scene"])
+    return G.dense_grid(boxes, ["scene"], 6).select("scene", "i", "j", "k", *[r9(c).alias(c) for c in ("x", "y", "z")])
 
 
 @query("ag20_bounding_box", """

@@ -42,23 +42,21 @@ def ag1(t):
 
 
 @query("wn26_numbered_reviews", """
-select paper_id, reviewer, concat('Review ', cast(row_number() over (partition by paper_id order by reviewer) as varchar), '/',
-       cast(count(*) over (partition by paper_id) as varchar)) as review_label
-from d_scores where field = 'Overall'""", ("d_scores",))
+select paper_id, field, reviewer, concat('Review ', cast(row_number() over (partition by paper_id, field order by reviewer) as varchar), '/',
+       cast(count(*) over (partition by paper_id, field) as varchar)) as review_label
+from d_scores""", ("d_scores",))
 def wn26(t):
-    s = D.d_scores(t).where(F.col("field") == "Overall")
-    return RV.numbered(s).select("paper_id", "reviewer", "review_label")
+    return RV.numbered(D.d_scores(t), ["paper_id", "field"]).select("paper_id", "field", "reviewer", "review_label")
 
 
 @query("wn16_stop_at_score", """
-WITH s AS (select paper_id, reviewer, score from d_scores where field = 'Overall' and reviewer <= 6),
-st AS (select paper_id, min(case when score >= 8 or score is null then reviewer end) as stop from s group by paper_id)
-select s.paper_id, s.reviewer, s.score, st.stop is not null as stopped_early
-from s join st on s.paper_id = st.paper_id where st.stop is null or s.reviewer <= st.stop""", ("d_scores",))
+WITH s AS (select paper_id, field, reviewer, score from d_scores where reviewer <= 6),
+st AS (select paper_id, field, min(case when score >= 8 or score is null then reviewer end) as stop from s group by paper_id, field)
+select s.paper_id, s.field, s.reviewer, s.score, st.stop is not null as stopped_early
+from s join st on s.paper_id = st.paper_id and s.field = st.field where st.stop is null or s.reviewer <= st.stop""", ("d_scores",))
 def wn16(t):
-    s = D.d_scores(t).where(F.col("field") == "Overall").select("paper_id", "reviewer", "score")
-    return RV.stop_at_score(s, "paper_id", "reviewer", "score", at=8, max_iters=6).select(
-        "paper_id", "reviewer", "score", "stopped_early")
+    return RV.stop_at_score(D.d_scores(t), ["paper_id", "field"], "reviewer", "score", at=8, max_iters=6).select(
+        "paper_id", "field", "reviewer", "score", "stopped_early")
 
 
 FEEDBACK_SQL = """

@@ -288,12 +288,12 @@ def wn28(t):
 
 
 @query("st5_append_results", """
-select run, dataset, round(avg(val_loss), 6) as mean, cast(null as varchar) as note from d_runs where run = 'run_0' group by all
-union all select run, dataset, round(avg(val_loss), 6), 'extra' from d_runs where run = 'run_1' group by all""", ("d_runs",))
+select run, dataset, round(avg(val_loss), 6) as mean, cast(null as varchar) as note from d_runs where phase = 'full1' group by all
+union all select run, dataset, round(avg(val_loss), 6), 'extra' from d_runs where phase <> 'full1' group by all""", ("d_runs",))
 def st5(t):
     runs = D.d_runs(t)
-    a = runs.where(F.col("run") == "run_0").groupBy("run", "dataset").agg(r6(F.avg("val_loss")).alias("mean"))
-    b = (runs.where(F.col("run") == "run_1").groupBy("run", "dataset").agg(r6(F.avg("val_loss")).alias("mean"))
+    a = runs.where(F.col("phase") == "full1").groupBy("run", "dataset").agg(r6(F.avg("val_loss")).alias("mean"))
+    b = (runs.where(F.col("phase") != "full1").groupBy("run", "dataset").agg(r6(F.avg("val_loss")).alias("mean"))
          .withColumn("note", F.lit("extra")))
     return R.append(a, b)
 

@@ -93,14 +93,14 @@ def wn8(t):
 
 
 @query("wn10_cumulative_product", """
-select paper_id, reviewer, round(product(x) over (partition by paper_id order by reviewer rows between unbounded preceding and current row), 9) as cumprod,
-       round(coalesce(product(x) over (partition by paper_id order by reviewer rows between unbounded preceding and 1 preceding), 1.0), 9) as cumprod_prev
-from (select paper_id, reviewer, score / 10.0 as x from d_scores where field = 'Overall')""", ("d_scores",))
+select paper_id, field, reviewer, round(product(x) over (partition by paper_id, field order by reviewer rows between unbounded preceding and current row), 9) as cumprod,
+       round(coalesce(product(x) over (partition by paper_id, field order by reviewer rows between unbounded preceding and 1 preceding), 1.0), 9) as cumprod_prev
+from (select paper_id, field, reviewer, score / 10.0 as x from d_scores)""", ("d_scores",))
 def wn10(t):
-    s = D.d_scores(t).where(F.col("field") == "Overall").select("paper_id", "reviewer", (F.col("score") / 10.0).alias("x"))
-    a = S.cumulative_product(s, ["paper_id"], "reviewer", "x", name="cumprod")
-    b = S.cumulative_product(a, ["paper_id"], "reviewer", "x", shift=True, name="cumprod_prev")
-    return b.select("paper_id", "reviewer", F.round("cumprod", 9).alias("cumprod"),
+    s = D.d_scores(t).select("paper_id", "field", "reviewer", (F.col("score") / 10.0).alias("x"))
+    a = S.cumulative_product(s, ["paper_id", "field"], "reviewer", "x", name="cumprod")
+    b = S.cumulative_product(a, ["paper_id", "field"], "reviewer", "x", shift=True, name="cumprod_prev")
+    return b.select("paper_id", "field", "reviewer", F.round("cumprod", 9).alias("cumprod"),
                     F.round("cumprod_prev", 9).alias("cumprod_prev"))
 
 

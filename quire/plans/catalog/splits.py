@@ -114,15 +114,15 @@ def jn9_names(t):
 
 
 @query("jn10_parameter_grid", """
-WITH g AS (select * from (values (0), (1), (2)) s(split), (select unnest(range(10)) as layer) l, (values (1), (5)) b(beta))
-select g.split, cast(g.layer as integer) as layer, g.beta, count(*) as n, round(avg(v.x * g.beta), 6) as score
+WITH g AS (select * from (values (0), (1), (2)) s(split), (select distinct layer from d_vectors) l, (values (1), (5)) b(beta))
+select g.split, g.layer, g.beta, count(*) as n, round(avg(v.x * g.beta), 6) as score
 from g join d_vectors v on v.layer = g.layer and v.vec_id % 3 = g.split group by g.split, g.layer, g.beta""",
        ("d_vectors",))
 def jn10(t):
-    spark = t.spark
-    grid = spark.range(1).select(SP.grid(split=[0, 1, 2], layer=list(range(10)), beta=[1, 5]))
     v = D.d_vectors(t)
-    j = v.join(F.broadcast(grid), (v["layer"] == grid["layer"]) & (v["vec_id"] % 3 == grid["split"]))
+    layers = t.embeddings.select("label").where("label is not null").distinct().select(F.col("label").alias("layer"))
+    grid = layers.select("layer", SP.grid(split=[0, 1, 2], beta=[1, 5]))
+    j = v.join(grid, (v["layer"] == grid["layer"]) & (v["vec_id"] % 3 == grid["split"]))
     return j.groupBy(grid["split"], grid["layer"], grid["beta"]).agg(
         F.count("*").alias("n"), r6(F.avg(v["x"] * grid["beta"])).alias("score"))
 
