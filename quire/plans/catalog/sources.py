@@ -128,6 +128,19 @@ def src7(t):
     return docs.groupBy(grp.alias("grp")).agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
+@query("src7_read_corpus", """
+select doc_id, cast(length(review) as int) as n_chars, md5(review) as text_md5 from d_review_md""", ("d_review_md",))
+def src7c(t):
+    """Documents read back from files of many records each."""
+    path = IO.scratch_dir(t.spark, "corpus")
+    md = D.d_review_md(t).select(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("review")).alias("value"))
+    IO.write_corpus(md, path, "value")
+    docs = IO.read_corpus(t.spark, path)
+    head = F.substring_index("text", "\n", 1)
+    body = F.substring(F.col("text"), F.length(head) + 2, F.length("text"))
+    return docs.select(head.cast("long").alias("doc_id"), F.length(body).alias("n_chars"), F.md5(body).alias("text_md5"))
+
+
 @query("src8_read_xyz_frames", """
 select mol, cast(row_number() over (partition by mol order by atom) - 1 as bigint) as atom, x, y, z from d_points""",
        ("d_points",))
@@ -141,7 +154,7 @@ def src8(t):
     blocks.select((F.col("mol") % 8).alias("grp"), text.alias("value")) \
         .repartition("grp").write.mode("overwrite").partitionBy("grp").text(path)
     atoms = IO.read_xyz(t.spark, path)
-    lines = IO._lines(t.spark, path)
+    lines = IO.read_lines(t.spark, path)
     comments = lines.where(F.col("line").startswith("mol=")).select(
         "path", (F.col("line_no") - 1).alias("_start"), F.regexp_extract("line", r"mol=(\d+)", 1).cast("long").alias("mol"))
     framed = positions(lines.where(F.trim("line").rlike(r"^\d+$")), ["path"], ["line_no"], "frame").select(

@@ -150,16 +150,36 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 # -------------------------------------------------------- record text files
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    docs = read_documents(spark, path)
-    return docs.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def read_corpus(spark: SparkSession, path: str, separator: str = "\n\x1e\n") -> DataFrame:
+    """(path, text): the records of text files that hold many of them, each
+    ended by ``separator``.  A file is read in byte ranges by many tasks, each of
+    which goes on to the end of its last record, so no row holds a file."""
+    df = spark.read.option("lineSep", separator).text(path)
+    return df.select(file_path().alias("path"), F.col("value").alias("text"))
+
+
+def write_corpus(df: DataFrame, path: str, text: str, separator: str = "\n\x1e\n") -> str:
+    """Records for ``read_corpus``; the separator must not be in a text."""
+    df.select(F.col(text).alias("value")).write.mode("overwrite").option("lineSep", separator).text(path)
+    return path
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line): the lines of text files, numbered from 0.
+
+    Files are read in byte ranges; a line's place is that of its range in the
+    file and of the line in the range, and the numbers come from a running count
+    that splits a large file (``plans.ordering``).  No row holds a file."""
+    df = spark.read.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("_range"),
+                                      F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    return positions(df, ["path"], ["_range", "_row"], "line_no").select("path", "line_no", "line")
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """XYZ frames: count line, comment line, ``sym x y z`` lines; several
     frames per file.  A frame starts at a line holding one integer; atom
     index = position after the frame's two header lines."""
-    lines = _lines(spark, path).withColumn("_t", F.trim("line"))
+    lines = read_lines(spark, path).withColumn("_t", F.trim("line"))
     is_count = F.col("_t").rlike(r"^\d+$")
     numbered = running_totals(lines, ["line_no"], {"frame": is_count.cast("long")}, partition_by=["path"])
     starts = numbered.where(is_count).select("path", "frame", F.col("line_no").alias("_start"))
@@ -210,7 +230,7 @@ def read_image_poses(spark: SparkSession, path: str, skip_early: int = 0) -> Dat
     """Image list: non-comment lines numbered from 1; lines before
     ``skip_early*2`` skipped; odd lines are records
     ``id qw qx qy qz tx ty tz camera name...``."""
-    lines = _lines(spark, path).withColumn("_t", F.trim("line"))
+    lines = read_lines(spark, path).withColumn("_t", F.trim("line"))
     kept = lines.where((F.length("_t") > 0) & ~F.col("_t").startswith("#"))
     num = running_totals(kept, ["line_no"], {"i": F.lit(1).cast("long")}, partition_by=["path"])
     rec = num.where((F.col("i") >= skip_early * 2) & (F.col("i") % 2 == 1))

@@ -31,7 +31,7 @@ def test_sample_cdf_matches_numpy(spark):
         exp[key] = np_sample_pdf(b, w, 6)
     wdf = spark.createDataFrame(w_rows, "k int, i int, w double")
     bdf = spark.createDataFrame(b_rows, "k int, i int, b double")
-    got = GE.sample_cdf(wdf, bdf, "k", "i", "w", "b", 6).collect()
+    got = GE.sample_cdf(wdf, bdf, GE.even_draws(wdf, ["k"], 6), ["k"], "i").collect()
     for r in got:
         assert abs(r["sample"] - exp[r["k"]][r["s"]]) < 1e-9
     assert len(got) == 5 * 6

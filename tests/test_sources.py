@@ -108,3 +108,32 @@ def test_json_and_csv_sinks_roundtrip(spark, scratch):
         sorted(tuple(r) for r in df.collect())
     jpath = IO.write_json(df, os.path.join(scratch, "json"))
     assert spark.read.json(jpath).where(F.col("beta") == 5).count() == 1
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, scratch):
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(9000)] + ["", "last"]
+    p = _write(scratch, "big/lines.txt", "\n".join(lines) + "\n")
+    texts = [f"doc {i}\n\nmore " + "é" * (i % 50) for i in range(4000)]
+    c = _write(scratch, "big/corpus.txt", "".join(t + "\n\x1e\n" for t in texts))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = IO.read_lines(spark, p).orderBy("line_no").collect()
+        assert [r["line"] for r in got] == lines and [r["line_no"] for r in got] == list(range(len(lines)))
+        docs = IO.read_corpus(spark, c)
+        assert docs.rdd.getNumPartitions() > 5
+        assert sorted(r["text"] for r in docs.collect()) == sorted(texts)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_listing_of_a_folder(spark, scratch):
+    for f in ("a/2_x.png", "a/0_y.png", "b/c/1_z.png", "b/note.txt"):
+        _write(scratch, f"tree/{f}", "content")
+    files = IO.listing(spark, os.path.join(scratch, "tree"), ".png")
+    assert sorted((r["name"], r["size"]) for r in files.collect()) == [("0_y.png", 7), ("1_z.png", 7), ("2_x.png", 7)]
+    folder = files.withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    got = {(r["folder"], r["place"]): r["name"] for r in IO.sorted_listing(folder, ["folder"]).collect()}
+    assert got == {("a", 0): "0_y.png", ("a", 1): "2_x.png", ("c", 0): "1_z.png"}
