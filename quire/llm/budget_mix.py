@@ -158,12 +158,18 @@ def select_copies(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights
 def mix(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights: DataFrame, id_col: str = "doc_id",
         text_col: str = "text", **options) -> DataFrame:
     """``docs`` as selected, one row per copy, plus ``mix_tokens`` and
-    ``mix_epoch`` (0, 1, ...).  Options as in ``select_copies``."""
-    got = select_copies(docs, levels, weights, id_col=id_col, text_col=text_col, **options) \
-        .groupBy(F.col("id").alias("__mix_id"), F.col("text_key").alias("__mix_key")) \
+    ``mix_epoch`` (0, 1, ...), in place of columns with these names.  A row gets
+    the copies of its id, text and leaf; rows that agree in all three have one
+    place in the order and so the same copies.  Options as in ``select_copies``."""
+    cols = [f"l_{i}" for i in range(len(levels))]
+    got = select_copies(docs, levels, weights, id_col=id_col, text_col=text_col, **options)
+    got = got.groupBy(F.col("id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), *[F.col(c).alias(f"__mix_{c}") for c in cols]) \
         .agg(F.max("tokens").alias("mix_tokens"), F.max("copies").alias("__mix_copies"))
+    names = [c for c in docs.columns if c not in ("mix_tokens", "mix_epoch")]
+    rows = docs.select(*names, F.xxhash64(text_col).alias("__doc_key"), *[c.cast("string").alias(f"__doc_{a}") for a, (_, c) in zip(cols, levels)])
     # merge: neither side has a bound that would allow a broadcast
-    out = docs.join(got.hint("merge"), docs[id_col].cast("long").eqNullSafe(got["__mix_id"])
-                    & (F.xxhash64(docs[text_col]) == got["__mix_key"]))
-    return out.select(*[docs[c] for c in docs.columns], got["mix_tokens"],
-                      F.explode(F.sequence(F.lit(0), got["__mix_copies"] - 1)).alias("mix_epoch"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__doc_key") == F.col("__mix_key"))
+    for c in cols:
+        same = same & F.col(f"__doc_{c}").eqNullSafe(F.col(f"__mix_{c}"))
+    out = rows.join(got.hint("merge"), same)
+    return out.select(*names, "mix_tokens", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)).alias("mix_epoch"))

@@ -222,6 +222,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``component_id``: smallest id reachable over links of at most ``max_bits``
     differing bits.
     """
+    return _grouped(docs, id_col, text_col, shingle, max_bits).drop("group")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """``near_groups`` with a name for each group that no other has."""
     fps = table(fingerprints(docs, id_col, text_col, shingle), "simhash")
     leaves = table(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-leaves")
     part = components(links(leaves.select("fp"), max_bits))
@@ -229,40 +234,47 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = leaves.join(part, leaves["fp"] == part["node"], "left") \
         .select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    of = table(of.join(least, "c").select("fp", "component_id"), "simhash-groups")
+    of = table(of.join(least, "c").select("fp", "c", "component_id"), "simhash-groups")
     return fps.join(of, "fp").select(
-        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("c").alias("group"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near group.
 
-    Of repeated rows with that id one stays; rows with a null id stay only if
+    Rows with one id and texts of different groups are judged each for itself.
+    Of the rows of one id in one group one stays (the smallest text); rows with a null id stay only if
     their whole group has no id (then one of them stays).
     """
-    groups = table(near_groups(docs, id_col, text_col, shingle, max_bits), "simhash-rows")
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")) \
-        .agg(F.count("*").alias("__kept_rows"))
+    groups = table(_grouped(docs, id_col, text_col, shingle, max_bits), "simhash-rows")
+    first = groups.where(F.col("doc_id") == F.col("component_id"))
+    by_id = groups.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__kept_rows"))
+    kept = first.select(F.col("doc_id").alias("__kept_id")).distinct().join(by_id, "__kept_id")
     cols = [docs[c] for c in docs.columns]
     found = docs.join(kept.hint("merge"), docs[id_col] == F.col("__kept_id"))
     once = found.where("__kept_rows = 1").select(*cols)
-    again = found.where("__kept_rows > 1").groupBy("__kept_id") \
-        .agg(F.min_by(F.struct(*cols), F.struct(docs[text_col])).alias("__row")).select("__row.*")
+    # ids with several rows: their fingerprints say which rows are of the group
+    mark = first.select(F.col("doc_id").alias("__mark_id"), F.col("fingerprint").alias("__fp"), F.col("group").alias("__group")).distinct()
+    again = _with_fingerprint(found.where("__kept_rows > 1").select(*cols), text_col, shingle) \
+        .join(mark, (F.col(id_col) == F.col("__mark_id")) & (F.col("__fp_row") == F.col("__fp"))) \
+        .groupBy("__mark_id", "__group").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col))).alias("__row")).select("__row.*")
     lone = groups.where("component_id is null").select("fingerprint").distinct()
     return once.unionByName(again).unionByName(_null_rows(docs, lone, id_col, text_col, shingle))
 
 
-def _null_rows(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """For groups without any id: one of their rows (smallest text) per fingerprint."""
-    rows = docs.where(F.col(id_col).isNull())
-
+def _with_fingerprint(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            pdf["__fp"] = [f"{fingerprint(t, shingle):016x}" for t in pdf[text_col]]
-            yield pdf
+            yield pdf.assign(__fp_row=[f"{fingerprint(t, shingle):016x}" for t in pdf[text_col]])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    with_fp = rows.mapInPandas(run, ddl + ", __fp string").join(lone, F.col("__fp") == F.col("fingerprint"), "left_semi")
-    first = with_fp.groupBy("__fp").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col))).alias("__r"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, ddl + ", __fp_row string")
+
+
+def _null_rows(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """For groups without any id: one of their rows (smallest text) per fingerprint."""
+    rows = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col, shingle)
+    with_fp = rows.join(lone, F.col("__fp_row") == F.col("fingerprint"), "left_semi")
+    first = with_fp.groupBy("__fp_row").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col))).alias("__r"))
     return first.select("__r.*")

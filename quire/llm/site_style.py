@@ -9,7 +9,10 @@
    base m.  The importance of a leaf is its content entropy; that of an inner
    node is (1 - g^l) * presentation entropy + g^l * mean importance of its l
    children (g = 0.9), computed level by level.  Identical pages count once, so
-   copies of a page do not make its text look like a template.
+   copies of a page do not make its text look like a template.  A
+   container is named by the hash of its path, however deep it is.  A branch on
+   fewer than ``min_pages`` pages cannot be template and is judged as a leaf,
+   so there are as many levels as so many pages of one host share.
 3. A branch with importance under ``threshold`` on at least ``min_pages``
    distinct pages is template and goes, on every page of the host.
 4. What is left is reduced to the main text: the ``article`` (else ``main``,
@@ -31,16 +34,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import table
 
 GAMMA = 0.9
-MAX_DEPTH = 8  # containers nested deeper belong to their ancestor at this depth
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,10 +70,11 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 P_SCOPE = frozenset("article aside blockquote body button caption div footer header html li main nav object section td "
                     "th table form".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Nothing here steps back, and a lone quote is an ordinary character: where a ">" follows, a tag ends.
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[A-Za-z0-9]+")
-_LONE = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+_LONE = re.compile(r"<[a-zA-Z/!?]")
 
 
 class Node:
@@ -86,10 +88,12 @@ def read(page: str | None) -> Node:
     """The tree of a page: items of a node are strings and nodes in order."""
     root = Node("html", {}, None)
     cur, at, page = root, 0, page or ""
+    edge = page.rfind(">") + 1  # whatever opens after it is cut off
     while True:
-        m = _MARK.search(page, at)
+        m = _MARK.search(page, at, edge)
         if m is None:
-            tail = _LONE.sub("", page[at:])
+            lone = _LONE.search(page, max(at, edge))
+            tail = page[at:lone.start()] if lone else page[at:]
             if tail:
                 cur.items.append(entities.unescape(tail))
             return root
@@ -97,6 +101,8 @@ def read(page: str | None) -> Node:
             cur.items.append(entities.unescape(page[at:m.start()]))
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                return root  # a comment without an end takes the rest
             continue
         tag = m[2].lower()
         if m[1]:
@@ -155,13 +161,15 @@ def _name(node: Node) -> str:
     return f"{node.tag}.{'.'.join(sorted(words.split()))}" if words else node.tag
 
 
-def _path(node: Node) -> str:
-    names = []
-    while node.parent is not None:
-        if node.tag in CONTAINERS or node.tag == "article":
-            names.append(_name(node))
-        node = node.parent
-    return ">".join(reversed(names))
+ROOT = 0
+
+
+def _below(path: int, node: Node) -> int:
+    """Path of a container under the container at ``path``."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(f"{path}>{_name(node)}".encode("utf-8", "replace"))
+    return h - ((h >> 63) << 64)
 
 
 def walk(root: Node):
@@ -182,14 +190,15 @@ def walk(root: Node):
             stack.append((x, iter(x.items)))
 
 
-def outline(page: str | None) -> list[tuple[str, int, str, str]]:
-    """(path, depth, presentation, content) of the containers of a page.
+def outline(page: str | None) -> list[tuple[int, int, int, str, str]]:
+    """(path, path of the container above, level, presentation, content) of the
+    containers of a page.
 
     Script and style texts are never read into the tree.
     """
     import xxhash
 
-    rows, open_ = [], []  # open containers: [path, presentation, content hash]
+    rows, open_ = [], []  # open containers: [path, presentation, content hash, node, height]
     for x, begin in walk(read(page)):
         if begin is None:
             if open_:
@@ -199,19 +208,19 @@ def outline(page: str | None) -> list[tuple[str, int, str, str]]:
         elif begin:
             if open_:
                 open_[-1][1].append(_name(x))
-            if x.tag in CONTAINERS and len(open_) < MAX_DEPTH:
-                path = f"{open_[-1][0]}>{_name(x)}" if open_ else _path(x)
-                open_.append([path, [], xxhash.xxh64(), x])
+            if x.tag in CONTAINERS or x.tag == "article":
+                open_.append([_below(open_[-1][0] if open_ else ROOT, x), [], xxhash.xxh64(), x])
         elif open_ and open_[-1][3] is x:
             path, style, content, _ = open_.pop()
             if open_:
                 open_[-1][2].update(content.digest())
-            rows.append((path, path.count(">"), xxhash.xxh64_hexdigest(" ".join(style).encode("utf-8", "replace")),
-                         content.hexdigest()))
+            if x.tag in CONTAINERS:
+                rows.append((path, open_[-1][0] if open_ else ROOT, len(open_), xxhash.xxh64_hexdigest(" ".join(style).encode("utf-8", "replace")),
+                             content.hexdigest()))
     return rows
 
 
-def main_text(page: str | None, template: frozenset[str] | set[str] = frozenset()) -> str:
+def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Main text of a page without the branches at the ``template`` paths."""
     root = read(page)
     found = {"article": False, "main": False}
@@ -228,6 +237,7 @@ def main_text(page: str | None, template: frozenset[str] | set[str] = frozenset(
     is_main = lambda n: n.tag == kind or kind == "main" and n.attrs.get("role", "").lower() == "main"
     blocks: list[str] = []
     buf: list[str] = []
+    paths = [ROOT]  # of the open containers
     inside, skip, head = 0 if kind else 1, None, 0
 
     def flush():
@@ -241,11 +251,16 @@ def main_text(page: str | None, template: frozenset[str] | set[str] = frozenset(
             if inside and skip is None and head != 1:
                 buf.append(x)
             continue
+        boxed = template and x.parent is not None and (x.tag in CONTAINERS or x.tag == "article")
+        if begin and boxed:
+            paths.append(_below(paths[-1], x))
+        elif boxed:
+            paths.pop()
         if begin:
             if skip is not None:
                 continue
             if x.parent is not None and (_noise(x, inside > 0 and kind == "article")
-                                         or template and x.tag in CONTAINERS and not is_main(x) and _path(x) in template):
+                                         or boxed and x.tag in CONTAINERS and not is_main(x) and paths[-1] in template):
                 skip = x
                 flush() if x.tag in BLOCKS else buf.append(" ")
                 continue
@@ -275,70 +290,68 @@ def main_text(page: str | None, template: frozenset[str] | set[str] = frozenset(
     return "\n\n".join(blocks)
 
 
-def host(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").netloc or "").lower()
-    except ValueError:
-        return ""
+def site(url: Column) -> Column:
+    """Host of an address, with or without a scheme ('' where there is none)."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
 def _entropy(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Entropy of a column per host and path, to base m (pages): 1 if m is 1."""
-    n = rows.groupBy("host", "path", value).agg(F.count("*").alias("c"))
+    """Entropy of a column per host and path over its distinct (page, value)
+    rows, to base m (their number): 1 if m is 1."""
+    n = rows.select("host", "path", "page", value).distinct().groupBy("host", "path", value).agg(F.count("*").alias("c"))
     s = n.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("x"))
     return s.select("host", "path", "m", F.when(F.col("m") > 1, (F.log("m") - F.col("x") / F.col("m")) / F.log("m"))
                     .otherwise(1.0).alias(name))
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, depth, m, importance) of the merged containers."""
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 8) -> DataFrame:
+    """(host, path, up, pages, text, importance) of the merged containers."""
 
     def run(batches):
         import xxhash
 
         for pdf in batches:
             rows = []
-            for url, page in zip(pdf["url"], pdf["html"]):
+            for h, page in zip(pdf["host"], pdf["html"]):
                 if page:
-                    h, whole = host(url), xxhash.xxh64_intdigest(page.encode("utf-8", "replace"))
+                    whole = xxhash.xxh64_intdigest(page.encode("utf-8", "replace"))
                     whole -= (whole >> 63) << 64
                     rows += [(h, whole, *r) for r in outline(page)]
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "depth", "style", "content"])
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "up", "depth", "style", "content"])
 
-    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")) \
-        .mapInPandas(run, "host string, page long, path string, depth int, style string, content string").distinct()
+    rows = pages.select(site(F.col(url_col)).alias("host"), F.col(html_col).alias("html")) \
+        .mapInPandas(run, "host string, page long, path long, up long, depth int, style string, content string").distinct()
     rows = table(rows, "style-nodes")
-    depth = rows.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.countDistinct("page").alias("pages"))
+    depth = rows.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.max("up").alias("up"), F.countDistinct("page").alias("pages"))
     both = _entropy(rows, "style", "look").join(_entropy(rows, "content", "text").drop("m"), ["host", "path"]) \
-        .join(depth, ["host", "path"]).withColumn("up", F.regexp_replace("path", "(^|>)[^>]*$", ""))
+        .join(depth, ["host", "path"])
     nodes = table(both, "style-merged")
-    depths = sorted((r[0] for r in nodes.select("depth").distinct().collect()), reverse=True)  # at most MAX_DEPTH + 2
-    done, last = nodes.limit(0).select("host", "path", "up", "depth", "pages", "text", F.lit(0.0).alias("importance")), None
-    for d in depths:  # children before parents
-        here = nodes.where(F.col("depth") == d)
-        if last is None:
-            here = here.withColumn("importance", F.col("text"))
-        else:
-            kids = last.groupBy("host", F.col("up").alias("path")).agg(F.count("*").alias("l"), F.avg("importance").alias("below"))
-            weight = F.pow(F.lit(GAMMA), F.col("l"))
-            here = here.join(kids, ["host", "path"], "left").withColumn(
-                "importance", F.when(F.col("l").isNull(), F.col("text"))
-                .otherwise((1 - weight) * F.col("look") + weight * F.col("below")))
-        last = table(here.select("host", "path", "up", "depth", "pages", "text", "importance"), "style-level")
-        done = done.unionByName(last)
+    # leaves, and branches that are too rare to be template, are judged by their content
+    many = F.col("pages") >= min_pages
+    inner = nodes.where(many).select("host", F.col("path").alias("up")).join(nodes.select("host", "up").distinct(), ["host", "up"])
+    inner = table(inner.select("host", F.col("up").alias("path")), "style-inner")
+    leaf = nodes.join(inner, ["host", "path"], "left_anti").withColumn("importance", F.col("text"))
+    keep = ["host", "path", "up", "pages", "text", "importance"]
+    done = table(leaf.select(*keep), "style-level")
+    depths = sorted((r[0] for r in nodes.join(inner, ["host", "path"], "left_semi").select("depth").distinct().collect()), reverse=True)
+    for d in depths:  # levels that many pages of a host share; children before parents
+        here = nodes.where(F.col("depth") == d).join(inner, ["host", "path"], "left_semi")
+        kids = done.groupBy("host", F.col("up").alias("path")).agg(F.count("*").alias("l"), F.avg("importance").alias("below"))
+        weight = F.pow(F.lit(GAMMA), F.col("l"))
+        here = here.join(kids, ["host", "path"]).withColumn("importance", (1 - weight) * F.col("look") + weight * F.col("below"))
+        done = done.unionByName(table(here.select(*keep), "style-level"))
     return done
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             threshold: float = 0.2, min_pages: int = 8) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
-    low = style_tree(pages, url_col, html_col) \
+    low = style_tree(pages, url_col, html_col, min_pages) \
         .where((F.col("importance") < threshold) & (F.col("text") < threshold) & (F.col("pages") >= min_pages))
     low = table(low.groupBy("host").agg(F.collect_set("path").alias("paths")), "style-template") \
         .withColumnRenamed("host", "h")
-    site = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
-                       F.col(html_col).alias("html")).withColumn("site", site)
+                       F.col(html_col).alias("html")).withColumn("site", site(F.col("url")))
     joined = src.join(low, F.col("site") == F.col("h"), "left").select("page_id", "url", "html", "paths")
 
     def run(batches):

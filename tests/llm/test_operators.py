@@ -183,6 +183,28 @@ def test_mix_is_seeded_and_whole(spark):
         budget_mix.mix(df, levels, spark.createDataFrame([(0, "en", 0.0)], none.schema))
 
 
+def test_mix_tells_rows_of_one_id_and_text_apart_by_leaf(spark):
+    text = "one two three four"
+    rows = [(1, text, "en", "a"), (1, text, "en", "b"), (2, "five six", "en", "a"), (2, "five six", None, None)] + \
+        [(10 + i, some_text(random.Random(i), 9), "en", "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("mix_tokens", F.lit(-1)) \
+        .withColumn("mix_epoch", F.lit("x"))
+    weights = spark.createDataFrame([(1, "b", 0.5)], "level int, name string, weight double")
+    levels = [("lang", F.col("lang")), ("source", F.col("source"))]
+    for budget in (0.0, 3.0, 10.0, 60.0, 150.0):
+        got = budget_mix.mix(df, levels, weights, budget=budget, max_epochs=3).collect()
+        plan = budget_mix.select_copies(df, levels, weights, budget=budget, max_epochs=3).collect()
+        assert sum(r["mix_tokens"] for r in got) == sum(r["tokens"] * r["copies"] for r in plan) <= budget
+        assert {(r["doc_id"], r["source"]) for r in got} == {(r["id"], r["l_1"]) for r in plan}
+
+
+def test_keep_first_with_one_id_for_different_texts(spark):
+    rng = random.Random(21)
+    a, b, c = (some_text(rng, 200) for _ in range(3))
+    df = docs_of(spark, [(7, a), (7, b), (7, a), (8, a + " "), (9, c), (3, c)])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash_trie.keep_first(df).collect()) == sorted([(7, a), (7, b), (3, c)])
+
+
 # ---------------------------------------------------------- 5 decontaminate
 
 def test_alignment_scores():
@@ -398,6 +420,29 @@ def test_main_text():
     assert site_style.main_text(None) == site_style.main_text("") == site_style.main_text("<p") == ""
     assert site_style.main_text("<p>a<p>b <i>c</i>d") == "a\n\nb cd"
     assert site_style.main_text("<div>" * 5000 + "deep") == "deep"
+    assert site_style.main_text("a <b>x</b> &lt; 3<p>c <i <b>d</i> e") == "a x < 3\n\nc d e"
+    assert site_style.main_text("one <!-- two > three") == "one" and site_style.main_text("1 <!-- > --> 2 <? 3") == "1 2"
+
+
+def test_long_malformed_pages_are_read_once():
+    import time
+
+    for part in ("<a ", "<a \"", "<a '\"", "<!x", "</", "<div><p ", "x>", "<a \">"):
+        for tail in ("", ">", "\">"):
+            start = time.time()
+            site_style.main_text(part * (1_000_000 // len(part)) + tail)
+            assert time.time() - start < 20  # some tenths of a second; quadratic reading takes hours
+
+
+def test_style_tree_finds_template_under_many_wrappers(spark):
+    note = "<div>" * 12 + '<div class="strip"><p>Same words on every page</p></div>' + "</div>" * 12
+    rows = [(i, f"//a.example/{i}", f"<body>{note}<div class='txt'><p>Story number {i} tells of {i * 7}</p></div></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in site_style.extract(df).collect()} == {f"Story number {i} tells of {i * 7}" for i in range(12)}
+    # importance of the merged nodes against a plain computation
+    got = {(r["path"], r["up"]): r for r in site_style.style_tree(df).collect()}
+    story = next(r for r in got.values() if r["importance"] > 0.99)
+    assert story["pages"] == 12 and sum(r["importance"] < 1e-12 for r in got.values()) == 13
 
 
 def test_style_tree_removes_site_template(spark):
