@@ -18,6 +18,7 @@ whole.  Repeated rows give repeated results; extra columns are not read.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,45 +76,55 @@ class Notice:
         self.pattern = regex.compile(rb"(?b)(?:%b){e<=%d}" % (regex.escape(self.text), self.errors))
 
     def find(self, norm: bytes) -> list[tuple[int, int, int]]:
-        """(start byte, end byte, errors) of the matches, left to right."""
+        """(start byte, end byte, errors) of the matches, left to right.
+
+        Every place that a piece points to is verified in a window that holds
+        one match at most, from the end of the match before; a notice that
+        stands close to a better one is so found too, and the work is in
+        proportion to the places."""
         spots = sorted({at - off for off, piece in self.pieces for at in places(norm, piece)})
-        found, area = [], None
+        found, done = [], 0
         for s in spots:
-            lo, hi = max(0, s - self.errors), s + self.size + 2 * self.errors
-            if area and lo <= area[1]:
-                area = (area[0], max(area[1], hi))
+            lo, hi = max(done, s - self.errors), min(len(norm), s + self.size + 2 * self.errors)
+            if hi - lo < self.size - self.errors:
                 continue
-            if area:
-                found += self._verify(norm, *area)
-            area = (lo, hi)
-        return [*found, *(self._verify(norm, *area) if area else ())]
-
-    def _verify(self, norm: bytes, lo: int, hi: int):
-        for m in self.pattern.finditer(norm, lo, min(hi, len(norm))):
-            yield m.start(), m.end(), sum(m.fuzzy_counts)
+            m = self.pattern.search(norm, lo, hi)
+            if m:
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                done = m.end()
+        return found
 
 
 def scan_text(text: str | None, notices: list[Notice]) -> dict:
     """Places, labels and notice spans of one text (places count words)."""
     norm, n = normalise(text)
-    base, labels = [], set()
+    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    word = lambda at: np.searchsorted(gaps, at, side="right") - 1  # noqa: E731 - number of the word at a byte
+    base, labels = np.empty(0, np.int64), set()
     for phrase, label in PHRASES.items():
-        for at in places(norm, b" " + phrase.encode() + b" "):
-            base.append(norm.count(b" ", 0, at + 1) - 1)
+        at = places(norm, b" " + phrase.encode() + b" ")
+        if at:
+            base = np.concatenate((base, word(np.array(at, np.int64))))
             labels.add(label)
-    spans, more, score = [], set(labels), 1.0 if base else 0.0
+    spans, more, score = [], set(labels), 1.0 if len(base) else 0.0
     for notice in notices:
-        for a, b, errors in notice.find(norm):
-            first = norm.count(b" ", 0, a + 1) - 1
+        got = notice.find(norm)
+        if not got:
+            continue
+        first = np.maximum(word(np.array([g[0] for g in got])), 0)
+        last = np.maximum(word(np.array([g[1] for g in got]) - 1), 0)
+        for f, l, (_, _, errors) in zip(first.tolist(), last.tolist(), got):
             likeness = 1 - errors / notice.size
-            spans.append({"label": notice.label, "first_word": max(0, first),
-                          "last_word": max(0, norm.count(b" ", 0, b) - 1), "errors": errors, "score": likeness})
+            spans.append({"label": notice.label, "first_word": f, "last_word": l, "errors": errors, "score": likeness})
             score = max(score, likeness)
     # of notices that claim the same words the one with the fewest errors counts
-    spans = [s for s in spans if not any(t["score"] > s["score"] and t["first_word"] <= s["last_word"]
-                                         and s["first_word"] <= t["last_word"] for t in spans)]
+    claim = np.zeros(n + 1)
+    for s in sorted(spans, key=lambda s: s["score"]):
+        claim[s["first_word"]:s["last_word"] + 1] = s["score"]
+    spans = [s for s in spans if claim[s["first_word"]:s["last_word"] + 1].max(initial=0.0) <= s["score"]]
     more |= {s["label"] for s in spans}
-    return {"n_words": n, "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None),
+    return {"n_words": n, "n_base": len(base), "first_word": int(base.min()) if len(base) else None,
+            "last_word": int(base.max()) if len(base) else None,
             "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(more)), "score": score, "spans": spans}
 
 

@@ -415,6 +415,35 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 <div class="comments"><p>reader</p></div><table><tr><td>1</td><td>2</td></tr></table></article><footer>&copy;</footer>"""
 
 
+def test_notices_close_to_each_other_and_long_texts():
+    import time
+
+    notices = [license_scan.Notice(t, label) for t, label in license_scan.NOTICES]
+    got = license_scan.scan_text("released undor the mit license and released under the mit license", notices)["spans"]
+    assert [(s["first_word"], s["last_word"], s["errors"]) for s in got] == [(0, 4, 1), (6, 10, 0)]
+    rng = random.Random(3)
+    for n in notices:  # every planted copy with up to k errors is found, at its place
+        words, want = [], []
+        for _ in range(6):
+            words += some_text(rng, rng.randrange(1, 9)).split()
+            text = bytearray(n.text)
+            for _ in range(rng.randrange(n.errors + 1)):
+                k = rng.randrange(1, len(text) - 1)
+                if text[k] != 32:
+                    text[k] = ord("q")
+            want.append(len(words))
+            words += text.decode().split()
+        spans = license_scan.scan_text(" ".join(words), [n])["spans"]
+        assert [s["first_word"] for s in spans] == want
+    sizes, times = (500, 4000), []
+    for k in sizes:
+        start = time.time()
+        r = license_scan.scan_text("released under the mit license " * k, notices)
+        times.append(time.time() - start)
+        assert len(r["spans"]) == r["n_base"] == k and r["last_word"] == 5 * k - 2
+    assert times[1] < 30 * times[0]  # eight times the text
+
+
 def test_main_text():
     assert site_style.main_text(PAGE).split("\n\n") == ["Head & line", "One two three.", "Café A &am x", "a", "b", "1 2"]
     assert site_style.main_text(None) == site_style.main_text("") == site_style.main_text("<p") == ""
