@@ -56,12 +56,43 @@ def point_in_box(p: Sequence[Column], lo: Sequence[float], hi: Sequence[float])
 # ----------------------------------------------------------- pair rules
 
 
+def _small_pair_sums(points: DataFrame, keys: list[str], pid: str, cols: list[str]) -> DataFrame:
+    """(keys, n, s, s2) over the pairs of each group, inside one row per group."""
+    rows = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(pid).alias("id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)]))).alias("_p"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("s2"))
+
+    def add(acc, a, b):
+        sq = (a["c0"] - b["c0"]) * (a["c0"] - b["c0"])
+        for k in range(1, len(cols)):
+            sq = sq + (a[f"c{k}"] - b[f"c{k}"]) * (a[f"c{k}"] - b[f"c{k}"])
+        return F.when(a["id"] < b["id"], F.struct((acc["n"] + 1).alias("n"), (acc["s"] + F.sqrt(sq)).alias("s"), (acc["s2"] + sq).alias("s2"))) \
+            .otherwise(acc)
+
+    firsts = F.sequence(F.lit(1), F.size("_p"))
+    sums = F.aggregate(firsts, start, lambda acc, i: F.aggregate(
+        F.slice("_p", i, F.size("_p")), acc, lambda acc2, b: add(acc2, F.element_at("_p", i), b)))
+    return rows.select(*keys, sums.alias("_t")).select(*keys, "_t.*")
+
+
 def pair_distance_stats(points: DataFrame, group: Sequence[str], pid: str, coords: Sequence[str] = AX,
                         block_size: int = 2048) -> DataFrame:
     """Distances of all unordered pairs i < j inside each group, reduced to
-    count, mean and population variance (pairs never leave the task)."""
+    count, mean and population variance (pairs never leave the task).
+
+    A group of up to ``block_size`` rows is one row of arrays, reduced in place;
+    larger ones go in pairs of blocks.  Where there are none, adaptive execution
+    drops that branch after the count by group.  Rows with a null id or
+    coordinate take no part."""
     keys = list(group)
     cols = list(coords)
+    points = points.select(*keys, pid, *cols).dropna(subset=[pid, *cols])
+    large = points.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block_size).select(
+        *[F.struct(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.struct(points[k]) == F.col(f"_k{i}"))
+    few, many = points.join(large, same, "left_anti"), points.join(large, same, "left_semi")
 
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
@@ -82,9 +113,8 @@ def pair_distance_stats(points: DataFrame, group: Sequence[str], pid: str, coord
 
     types = dict(points.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["n long", "s double", "s2 double"])
-    sel = points.select(*keys, pid, *cols)
-    part = block_cogroup(sel, sel, keys, pid, pid, fn, schema, block_size)
-    agg = part.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.sum("s").alias("_s"), F.sum("s2").alias("_s2"))
+    part = block_cogroup(many, many, keys, pid, pid, fn, schema, block_size, cut=False)
+    agg = part.unionByName(_small_pair_sums(few, keys, pid, cols)).groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.sum("s").alias("_s"), F.sum("s2").alias("_s2"))
     mean = F.col("_s") / F.col("n_pairs")
     return agg.where(F.col("n_pairs") > 0).select(
         *keys, "n_pairs", mean.alias("mean_dist"), (F.col("_s2") / F.col("n_pairs") - mean * mean).alias("var_dist"))

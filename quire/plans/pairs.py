@@ -30,20 +30,23 @@ GID = "_gid"
 
 def block_cogroup(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str,
                   fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                  block_size: int = DEFAULT_BLOCK, pack_factor: int = 8) -> DataFrame:
+                  block_size: int = DEFAULT_BLOCK, pack_factor: int = 8, cut: bool = True) -> DataFrame:
     """Apply ``fn(left_rows, right_rows)`` to every block pair.
 
     A group larger than ``block_size`` is cut into blocks of that size (the
     bound on pairs per task); small groups are packed about
     ``block_size * pack_factor`` rows per task, since they only pair within
     themselves.  Both frames carry ``_gid`` (a hash of the group key); ``fn``
-    must only combine rows with equal ``_gid`` (see ``pair_index``)."""
+    must only combine rows with equal ``_gid`` (see ``pair_index``).  ``cut``
+    writes the inputs once; without it they are read by each branch, which
+    suits inputs that are mostly empty."""
     # the inputs feed four branches (group counts, total, both replicated
     # sides): write each once to the shared checkpoint folder instead of
     # recomputing a derived input four times
     same_input = right is left
-    left = cut_lineage(left)
-    right = left if same_input else cut_lineage(right)
+    if cut:
+        left = cut_lineage(left)
+        right = left if same_input else cut_lineage(right)
     keys = list(group) or ["_g"]
     if not group:
         same0 = right is left
@@ -93,10 +96,6 @@ def per_left(i: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(i, weights=values, minlength=n)
 
 
-def same_group(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
-    return lp[GID].to_numpy()[:, None] == rp[GID].to_numpy()[None, :]
-
-
 def group_sums(lp: pd.DataFrame, keys: Sequence[str], values: dict[str, np.ndarray]) -> pd.DataFrame:
     """Sum per-left-row values by the left rows' group key columns."""
     frame = lp[list(keys)].copy()
