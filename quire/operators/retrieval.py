@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
+from quire.session import written
 
 TERM = r"[\p{L}\p{N}]+"
 
@@ -36,15 +36,14 @@ class BlockIndex:
     with length, so blocks of short documents have low bounds."""
 
     def __init__(self, docs: DataFrame, dkey: str, dtext: str, vocabulary: DataFrame):
-        words = docs.select(dkey, F.explode(terms(F.col(dtext))).alias("term")).groupBy(dkey, "term").agg(F.count("*").alias("tf"))
-        words = words.join(vocabulary, "term", "left_semi")
-        sizes = words.groupBy(dkey).agg(F.floor(F.log2(F.sum("tf") + 1) * 6).cast("int").alias("_class"))
-        classes = sizes.groupBy("_class").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("_n"))  # some 6 rows per doubling of length
-        block = F.struct("_class", F.pmod(F.xxhash64(dkey), F.col("_n")).alias("_part"))
-        member = sizes.join(F.broadcast(classes), "_class").select(dkey, block.alias("block"))
+        size = F.floor(F.log2(F.length(dtext) + 1) * 6).cast("int").alias("_class")
+        classes = docs.select(size).where("_class is not null").groupBy("_class").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("_n"))
+        block = F.struct("_class", F.pmod(F.xxhash64(dkey), F.col("_n")).alias("_part")).alias("block")
+        member = docs.select(dkey, dtext, size).join(F.broadcast(classes), "_class")  # some 6 rows per doubling of length
+        words = member.select(dkey, block, F.explode(terms(F.col(dtext))).alias("term")).join(vocabulary, "term", "left_semi")
         self.dkey = dkey
-        self.postings = cut_lineage(words.join(member, dkey).select("block", "term", dkey, "tf"))
-        self.tops = cut_lineage(self.postings.groupBy("term", "block").agg(F.max("tf").alias("top"), F.count("*").alias("n")))
+        self.postings = written(words.groupBy("block", "term", dkey).agg(F.count("*").alias("tf")), "postings")
+        self.tops = written(self.postings.groupBy("term", "block").agg(F.max("tf").alias("top"), F.count("*").alias("n")), "posting-tops")
         self.terms = self.tops.groupBy("term").agg(F.sum("n").alias("df"), F.ceil(F.count("*") / HOT_BLOCKS).alias("salts"))
 
     def bounds(self, weights: DataFrame, qkey: str) -> DataFrame:
@@ -71,7 +70,7 @@ def survivors(index: BlockIndex, weights: DataFrame, qkey: str, n: int, slack: f
     The ``n``-th best score over the best-bounded blocks is a lower limit for
     the final ``n``-th score, so a block whose bound stays below it has no part
     in the result.  Queries with fewer than ``n`` scores so far keep all."""
-    bounds = cut_lineage(index.bounds(weights, qkey))
+    bounds = written(index.bounds(weights, qkey), "block-bounds")
     best = Window.partitionBy(qkey).orderBy(F.desc("bound"), "block")
     seeds = bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= SEED_BLOCKS)
     nth = Window.partitionBy(qkey).orderBy(F.desc("score"))
@@ -93,10 +92,10 @@ def top_documents(queries: DataFrame, qkey: str, qtext: str, docs: DataFrame, dk
     bound from the block's greatest counts, and only blocks that can reach the
     ``n`` best are scored (``survivors``)."""
     n_docs = docs.agg(F.count("*")).scalar()  # lazy scalar subquery
-    qt = cut_lineage(term_counts(queries, qkey, qtext).withColumnRenamed("tf", "qtf"))
+    qt = written(term_counts(queries, qkey, qtext).withColumnRenamed("tf", "qtf"), "query-terms")
     index = BlockIndex(docs, dkey, dtext, qt.select("term").distinct())  # only query terms can score
-    weights = cut_lineage(qt.join(index.terms, "term").select(
-        qkey, "term", (F.col("qtf") * F.log(n_docs.cast("double") / F.col("df"))).alias("w")))
+    weights = written(qt.join(index.terms, "term").select(
+        qkey, "term", (F.col("qtf") * F.log(n_docs.cast("double") / F.col("df"))).alias("w")), "query-weights")
     chosen = survivors(index, weights, qkey, n, 0.0 if rounding is None else 10.0 ** -rounding)
     scored = index.scores(chosen, weights, qkey)
     rank_score = F.round("score", rounding) if rounding is not None else F.col("score")

@@ -86,6 +86,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: the cut
+    to take where the size of the files helps the plan that goes on (a small
+    table can be broadcast from what it measures)."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/quire-cut/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
