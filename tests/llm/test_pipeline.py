@@ -35,3 +35,20 @@ def test_stages_follow_each_other(spark):
         else:
             assert cur.columns == [*docs.columns, "mix_tokens", "mix_epoch"] and set(ids) <= {r["doc_id"] for r in before.collect()}
     assert pq.read_table(os.path.join(SF001, "documents.parquet")).num_rows == docs.count()
+
+
+def test_every_stage_takes_odd_rows_and_empty_tables(spark):
+    """Nulls, empty and repeated rows, extra columns with names the operators use."""
+    long = " ".join(f"word{i % 97} and" for i in range(3000))
+    rows = [(1, None), (2, ""), (None, "no id at all"), (3, "twice"), (3, "twice"), (4, long), (5, long + " more"), (6, "x\n" * 400)]
+    docs = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, "src1", len(t or ""), "a", 7, -1, "c") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, id string, n int, mix_tokens int, text_key string")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF001)
+        want = docs.columns if i < 4 else [*(c for c in docs.columns if c != "mix_tokens"), "mix_tokens", "mix_epoch"]
+        assert out.columns == want, name
+        kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+        if i < 4:
+            assert len(kept) <= len(rows) and {k for k, _ in kept} <= {k for k, _ in rows}, name
+        none = stage(spark, docs.limit(0), SF001)
+        assert none.columns == want and none.count() == 0, name
