@@ -9,15 +9,16 @@ sequences and equi-joins; pairwise rules use bounded block pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.ordering import neighbour, running, running_totals
+from quire.plans.ordering import has_hot, hot_keys, neighbour, positions, running, running_totals
 from quire.plans.pairs import block_cogroup, group_sums, pair_index, per_left
+from quire.session import cut_lineage
 
 AX = ("x", "y", "z")
 
@@ -197,8 +198,8 @@ def even_draws(weights: DataFrame, key: Sequence[str], n_samples: int) -> DataFr
         .select(*key, "s", u.alias("u"))
 
 
-def sample_cdf(weights: DataFrame, bins: DataFrame, draws: DataFrame, key: Sequence[str], idx: str = "idx",
-               w: str = "w", b: str = "b", u: str = "u", digits: int = 12) -> DataFrame:
+def sample_cdf(weights: DataFrame, bins: DataFrame | Callable[[Column], Column], draws: DataFrame | int, key: Sequence[str], idx: str = "idx",
+               w: str = "w", b: str = "b", u: str = "u", digits: int = 12, order: Sequence[str] = ()) -> DataFrame:
     """Inverse-CDF samples at the points of a draw table.
 
     weights (key, idx 0..n-1, w) and bins (key, idx 0..n, b): pdf from
@@ -212,8 +213,87 @@ def sample_cdf(weights: DataFrame, bins: DataFrame, draws: DataFrame, key: Seque
     draw meets one segment, not all of its key, and a hot key is split
     (``plans.ordering``).  u below 0 gives the first edge and u from 1 on the
     last one; draws of a key without weights give none; null u gives null.
+
+    ``bins`` may be a rule (idx -> edge), ``draws`` a number of even draws for
+    every key (see ``even_draws``).  With ``order`` weights need no ``idx``: it
+    is the row's place in that order.  With a rule, weights and draws of the keys
+    that are not hot move in one shuffle, for even draws the weights alone.
     """
     key = list(key)
+    if not callable(bins):
+        return _sample_table(weights, bins, draws, key, idx, w, b, u, digits, order)
+    place = list(order) or [idx]
+    weights = weights.select(*key, *place, w).dropna(subset=key)
+    draws = draws if isinstance(draws, int) else draws.dropna(subset=key)
+    even = isinstance(draws, int)
+    made = _sample_even if even else _sample_rows
+    seen = weights.select(*key) if even else weights.select(*key).unionByName(draws.select(*key))
+    if not has_hot(seen, key):
+        return made(weights, bins, draws, key, place, bool(order), w, u, digits)
+    hot = F.broadcast(cut_lineage(hot_keys(seen, key).select(*key)))  # ``MOST_HOT`` rows at most
+    usual, large = (lambda df: df.join(hot, key, "left_anti")), (lambda df: cut_lineage(df.join(hot, key, "left_semi")))
+    out = made(usual(weights), bins, draws if even else usual(draws), key, place, bool(order), w, u, digits)
+    return out.unionByName(_sample_table(large(weights), bins, draws if even else large(draws), key, idx, w, b, u, digits, order))
+
+
+def _segments(rows: DataFrame, bins: Callable[[Column], Column], key: list[str], place: list[str], ranked: bool, digits: int) -> DataFrame:
+    """``rows`` (weights have ``_kind`` 0) with ``_seg``, the weight's segment of the cdf, and ``_t``, where it stands."""
+    by = Window.partitionBy(*key).orderBy("_kind", *place)
+    rows = rows.withColumns({"_t": F.sum("_w").over(Window.partitionBy(*key)), "_n": F.row_number().over(by).cast("long") - 1,
+                             "_c": F.coalesce(F.sum("_w").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))})
+    i = F.col("_n") if ranked else F.col(place[0]).cast("long")
+    hi = F.round(F.col("_c") / F.col("_t"), digits)
+    lo = F.when(i == 0, F.lit(0.0)).otherwise(F.round((F.col("_c") - F.col("_w")) / F.col("_t"), digits))
+    seg = F.struct(i.alias("_i"), lo.alias("_lo"), hi.alias("_hi"), bins(i).alias("_b"), bins(i + 1).alias("_e"))
+    start = F.when(i == 0, F.lit(float("-inf"))).otherwise(lo)
+    return rows.withColumns({"_seg": F.when((F.col("_kind") == 0) & i.isNotNull(), seg), "_start": F.when(F.col("_kind") == 0, start)})
+
+
+def _inverse(at: Column, near: Column) -> Column:
+    """The sample at ``at`` in the segment ``near``."""
+    width = F.when(near["_hi"] - near["_lo"] < 1e-5, F.lit(1.0)).otherwise(near["_hi"] - near["_lo"])
+    inside = near["_b"] + (at - near["_lo"]) / width * (near["_e"] - near["_b"])
+    return F.when(at < near["_lo"], near["_b"].cast("double")).when(at >= near["_hi"], near["_e"].cast("double")).otherwise(inside)
+
+
+def _sample_even(weights: DataFrame, bins, n: int, key: list[str], place: list[str], ranked: bool, w: str, u: str, digits: int) -> DataFrame:
+    """Even draws: a segment takes those from its start up to the start of any
+    later segment."""
+    rows = weights.select(*key, *place, (F.col(w) + 1e-5).alias("_w"), F.lit(0).alias("_kind"))
+    seg = _segments(rows, bins, key, place, ranked, digits).where(F.col("_seg").isNotNull())
+    seg = seg.withColumn("_start", F.coalesce("_start", F.lit(float("-inf"))))
+    later = Window.partitionBy(*key).orderBy(F.desc(F.col("_seg")["_i"])).rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_end", F.min("_start").over(later))
+    at = lambda s: s / F.lit(float(max(n - 1, 1)))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: (at(s) >= F.col("_start")) & (F.col("_end").isNull() | (at(s) < F.col("_end"))))
+    got = seg.select(*key, "_seg", F.explode(mine).alias("s"))
+    return got.select(*key, "s", at(F.col("s")).alias(u), _inverse(at(F.col("s")), F.col("_seg")).alias("sample"))
+
+
+def _sample_rows(weights: DataFrame, bins, draws: DataFrame, key: list[str], place: list[str], ranked: bool, w: str, u: str, digits: int) -> DataFrame:
+    """Draws of a table, merged with the segments in one shuffle."""
+    extra = [c for c in draws.columns if c not in key]
+    row_of = F.struct(*[F.col(c) for c in extra])
+    none = lambda t: F.lit(None).cast(t)
+    items = weights.select(*key, *place, (F.col(w) + 1e-5).alias("_w"), F.lit(0).alias("_kind"), none("double").alias("_at"),
+                           none(draws.select(row_of.alias("r")).schema["r"].dataType).alias("_row"))
+    asks = draws.select(*key, *[none(items.schema[c].dataType).alias(c) for c in place], none("double").alias("_w"), F.lit(1).alias("_kind"),
+                        F.coalesce(F.col(u).cast("double"), F.lit(float("inf"))).alias("_at"), row_of.alias("_row"))
+    rows = _segments(items.unionByName(asks), bins, key, place, ranked, digits)
+    by = Window.partitionBy(*key).orderBy(F.coalesce("_at", "_start"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = rows.withColumn("_near", F.max("_seg").over(by)).where((F.col("_kind") == 1) & F.col("_near").isNotNull())
+    return merged.select(*key, "_row.*", F.when(F.col("_row")[u].isNotNull(), _inverse(F.col("_at"), F.col("_near"))).alias("sample"))
+
+
+def _sample_table(weights: DataFrame, bins, draws, key: list[str], idx: str, w: str, b: str, u: str, digits: int, order: Sequence[str]) -> DataFrame:
+    """The merge over tables of any kind, hot keys split at every step."""
+    if order:
+        weights = cut_lineage(positions(weights, key, list(order), idx))
+    if callable(bins):
+        rule, n = bins, weights.groupBy(*key).agg(F.max(F.col(idx).cast("long")).alias("_n"))
+        bins = n.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") + 1)).alias(idx)).withColumn(b, rule(F.col(idx)))
+    if isinstance(draws, int):
+        draws = even_draws(weights, key, draws).withColumnRenamed("u", u)
     wp = weights.select(*key, F.col(idx).cast("long").alias("_i"), (F.col(w) + 1e-5).alias("_w"))
     total = wp.groupBy(*key).agg(F.sum("_w").alias("_t"))
     cum = running_totals(wp, ["_i"], {"_c": F.col("_w")}, partition_by=key)
@@ -231,12 +311,12 @@ def sample_cdf(weights: DataFrame, bins: DataFrame, draws: DataFrame, key: Seque
                        F.struct("_i", "_lo", "_hi", "_b", "_e").alias("_seg"), F.lit(None).cast(draws.select(row_of.alias("r")).schema["r"].dataType).alias("_row"))
     asks = draws.select(*key, F.coalesce(F.col(u).cast("double"), F.lit(float("inf"))).alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(row_of).alias("_tie"),
                         F.lit(None).cast(items.schema["_seg"].dataType).alias("_seg"), row_of.alias("_row"))
-    merged = running(items.unionByName(asks), ["_at", "_kind", "_tie"], {"_near": (F.col("_seg"), "max")}, partition_by=key)
+    items = items.unionByName(asks)
+    if has_hot(items, key):  # the plan of a table split by hot keys reads it several times
+        items = cut_lineage(items)
+    merged = running(items, ["_at", "_kind", "_tie"], {"_near": (F.col("_seg"), "max")}, partition_by=key)
     at, near = F.col("_at"), F.col("_near")
-    width = F.when(near["_hi"] - near["_lo"] < 1e-5, F.lit(1.0)).otherwise(near["_hi"] - near["_lo"])
-    inside = near["_b"] + (at - near["_lo"]) / width * (near["_e"] - near["_b"])
-    sample = F.when(at < near["_lo"], near["_b"].cast("double")).when(at >= near["_hi"], near["_e"].cast("double")).otherwise(inside)
-    return merged.where((F.col("_kind") == 1) & near.isNotNull()).select(*key, "_row.*", F.when(F.col("_row")[u].isNotNull(), sample).alias("sample"))
+    return merged.where((F.col("_kind") == 1) & near.isNotNull()).select(*key, "_row.*", F.when(F.col("_row")[u].isNotNull(), _inverse(at, near)).alias("sample"))
 
 
 # ------------------------------------------------------------------ grids

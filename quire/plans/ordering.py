@@ -13,9 +13,9 @@ accumulate) over a total order in two distributed steps:
 
 With a key, only hot keys are split: the ``MOST_HOT`` largest with more than
 ``HOT_ROWS`` rows.  Any other key has at most ``HOT_ROWS`` rows or a share of
-1 / ``MOST_HOT`` of the table, and is one part of a plain window.  Where no key
-is hot, the branches of the hot ones are empty and adaptive execution drops
-them after the count by key.
+1 / ``MOST_HOT`` of the table, and is one part of a plain window.  Whether a key
+is hot is counted while the plan is built (``has_hot``); where none is, the plan
+is that plain window.
 
 Everything is deterministic: recomputation after an executor loss gives
 the same numbers.
@@ -95,9 +95,30 @@ def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None
 
 HOT_ROWS = 1 << 20   # rows of a key that one task may sort
 MOST_HOT = 512       # hot keys that are split
+HOT_SLOTS = 1 << 14  # slots of key hashes that are counted before keys are
 HOT_BUCKETS = 1024   # most buckets of one hot key
 
 
+def hot_keys(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(names, _n) of the ``MOST_HOT`` largest keys with more than ``HOT_ROWS`` rows.
+
+    Rows are counted by slots of the key's hash first (``HOT_SLOTS`` rows a task
+    at most), keys only in slots that hold more than ``HOT_ROWS`` rows, so a table
+    without hot keys is not shuffled by key for the count."""
+    r = rows.select(*names, F.pmod(F.xxhash64(*names), F.lit(HOT_SLOTS)).alias("_slot"))
+    slots = r.groupBy("_slot").agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS).select("_slot")
+    counts = r.join(F.broadcast(slots), "_slot", "left_semi").groupBy(*names).agg(F.count("*").alias("_n"))
+    return counts.where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(MOST_HOT)  # so many rows at most
+
+
+def has_hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a key of ``df`` is hot: one count by slots, run at once.  The
+    plan that is built next then holds the branches of hot keys only where there
+    are some, and else plain windows by key that share one shuffle."""
+    return not hot_keys(df.select(*[F.struct(F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]),
+                        [f"_k{i}" for i in range(len(keys))]).isEmpty()
+
+
 def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``df`` with ``_bucket``: -1 for the rows of ordinary keys, ranges of the
     order for those of hot keys (see the module's text)."""
@@ -105,8 +126,7 @@ def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     names = [f"_k{i}" for i in range(len(keys))]
     at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     rows = df.select("*", *same)
-    counts = rows.groupBy(*names).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(MOST_HOT)  # so many rows at most
+    hot = hot_keys(rows, names)
     parts = F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(HOT_BUCKETS))
     few = F.greatest(F.floor(F.col("_n") / (parts * SAMPLES_PER_BUCKET)), F.lit(1))
     sample = rows.join(F.broadcast(hot), names).where(F.pmod(F.xxhash64(*_sortable(df)), few) == 0)
@@ -138,6 +158,10 @@ def running(df: DataFrame, order: Sequence[str], aggs: dict[str, tuple[Column, s
     keys: the whole table) are split by ranges of all order columns.
     """
     keys = list(partition_by)
+    if keys and bucket is None and not has_hot(df, keys):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.select(*[c for c in df.columns if c not in aggs],
+                         *[(F.coalesce(F.sum(c).over(w), F.lit(0)) if k == "sum" else _COMBINE[k][0](c).over(w)).alias(n) for n, (c, k) in aggs.items()])
     if bucket is not None:
         b = df.withColumn("_bucket", bucket)
     else:
@@ -187,6 +211,9 @@ def neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], cols: Seq
     the ends.  A plain ``lag`` per (key, bucket); the first row of a bucket of
     a hot key takes them from the edge row of the nearest bucket with rows."""
     keys = list(key)
+    if not has_hot(df, keys):
+        w = Window.partitionBy(*keys).orderBy(*[F.desc(c) if ahead else F.asc(c) for c in order])
+        return df.select(*df.columns, *[F.lag(c).over(w).alias(prefix + c) for c in cols])
     b = _split_hot(df, keys, list(order))
     w = Window.partitionBy(*keys, "_bucket").orderBy(*[F.desc(c) if ahead else F.asc(c) for c in order])
     vals = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])

@@ -45,6 +45,31 @@ def test_cdf_samples_match_numpy(spark, monkeypatch, hot_rows):
                         spark.createDataFrame(bins, "k string, idx long, b double"), none, ["k"]).count() == 0
 
 
+def test_cdf_samples_by_rule_equal_tables(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    series = {"a": rng.random(7), "z": np.zeros(3), "hot": rng.random(60) * (rng.random(60) < 0.5), None: rng.random(2)}
+    rows = [(k, 10 * i + 3, i, float(w)) for k, ws in series.items() for i, w in enumerate(ws)] + [("n", 1, 0, 0.5), ("n", 2, 1, None)]
+    weights = spark.createDataFrame(rows, "k string, at long, idx long, w double")
+    bins = spark.createDataFrame([(k, i, i * 0.5) for k, n in [*((k, len(x)) for k, x in series.items()), ("n", 2)] for i in range(n + 1)], "k string, idx long, b double")
+    draws = spark.createDataFrame([(k, s, float(u)) for k in ["a", "z", "hot", "n", "missing", None] for s, u in enumerate([0.0, 1.0, -0.2, 1.7, *rng.random(20)])]
+                                  + [("a", 99, None)], "k string, s long, u double")
+    rule = lambda i: i * 0.5
+    same = lambda a, b: Counter(map(tuple, a.select("k", "s", F.round("sample", 9)).collect())) == Counter(map(tuple, b.select("k", "s", F.round("sample", 9)).collect()))
+    assert same(G.sample_cdf(weights.drop("idx"), rule, draws, ["k"], order=["at"]), G.sample_cdf(weights.drop("at"), bins, draws, ["k"]))
+    assert same(G.sample_cdf(weights.drop("idx"), rule, 5, ["k"], order=["at"]), G.sample_cdf(weights.drop("at"), bins, G.even_draws(weights, ["k"], 5), ["k"]))
+    usual = G.sample_cdf(weights.drop("idx"), rule, draws, ["k"], order=["at"])
+    monkeypatch.setattr(ordering, "HOT_ROWS", 20)  # now "hot" is split
+    assert same(usual, G.sample_cdf(weights.drop("idx"), rule, draws, ["k"], order=["at"]))
+
+
+def test_cdf_samples_move_rows_once(spark):
+    weights = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.25)], "k string, at long, w double")
+    draws = spark.createDataFrame([("a", 0, 0.1)], "k string, s long, u double")
+    for d in (5, draws):
+        out = G.sample_cdf(weights, lambda i: i * 0.5, d, ["k"], order=["at"])
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_permutations_by_number(spark):
     for k in (1, 3, 5):
         want = list(itertools.permutations(range(k)))
