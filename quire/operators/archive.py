@@ -40,8 +40,10 @@ def pending(ideas: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
 def match_by_name(folders: DataFrame, folder: str, ideas: DataFrame, name: str = "name",
                   seq: str = "seq") -> DataFrame:
     """First archive idea (lowest ``seq``) whose name occurs in the folder name;
-    folders without a match are returned with NULLs (the reference errors)."""
-    hits = contains_join(folders.select(folder), folder, ideas.select(seq, name), name)
+    folders without a match are returned with NULLs (the reference errors).
+    Only the first idea of each name is matched."""
+    named = ideas.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(seq).alias(seq))
+    hits = contains_join(folders.select(folder), folder, named.select(seq, name), name)
     first = hits.groupBy(folder).agg(F.min_by(F.struct(F.col(seq), F.col(name)), F.col(seq)).alias("_m"))
     return (folders.select(folder).join(first, folder, "left")
             .select(folder, F.col("_m")[seq].alias(seq), F.col("_m")[name].alias(name)))

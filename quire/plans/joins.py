@@ -37,23 +37,28 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
 
 
 BNLJ_MAX_ROWS = 1000
+HEADS = 16  # lengths of pattern heads
 
 
 def contains_join(left: DataFrame, text: str, right: DataFrame, pattern: str) -> DataFrame:
     """Rows where ``left[text]`` contains ``right[pattern]`` as a substring.
 
-    One path at every size: patterns are joined by their first g characters (g:
-    length of the shortest non-empty pattern) to the distinct g-character pieces
-    of each text, then verified whole.  Empty patterns are in every text.  Null
-    texts and patterns match nothing.
+    One path at every size: a pattern is joined by its head to the distinct pieces
+    of each text, then verified whole.  Heads and pieces have up to ``HEADS`` lengths,
+    chosen among those of the patterns (a head is as long as the pattern allows; with
+    few lengths it is the whole pattern), so patterns that begin alike do not meet
+    every text.  Empty patterns are in every text.  Null texts and patterns match nothing.
     """
     full = right.where(F.length(pattern) > 0)
-    short = full.agg(F.coalesce(F.min(F.length(pattern)), F.lit(1)).alias("_g"))  # one row
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_g") + 1, F.lit(1))),
-        lambda i: F.substring(F.col(text), i, F.col("_g"))))
+    lengths = full.select(F.length(pattern).alias("_n")).distinct().agg(F.sort_array(F.collect_list("_n")).alias("_s"))
+    step = F.greatest(F.ceil(F.size("_s") / HEADS), F.lit(1)).cast("int")
+    short = lengths.select(F.filter("_s", lambda n, i: i % step == 0).alias("_g"))  # one row
+    pieces = F.array_distinct(F.flatten(F.transform(
+        F.filter("_g", lambda g: g <= F.length(text)),
+        lambda g: F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.substring(F.col(text), i, g)))))
     texts = left.crossJoin(F.broadcast(short)).withColumn("_piece", F.explode(pieces)).drop("_g")
-    heads = full.crossJoin(F.broadcast(short)).withColumn("_head", F.substring(F.col(pattern), F.lit(1), F.col("_g"))).drop("_g")
+    head = F.substring(F.col(pattern), F.lit(1), F.array_max(F.filter("_g", lambda g: g <= F.length(pattern))))
+    heads = full.crossJoin(F.broadcast(short)).withColumn("_head", head).drop("_g")
     found = texts.join(heads, (F.col("_piece") == F.col("_head")) & F.contains(F.col(text), F.col(pattern))) \
         .drop("_piece", "_head")
     # empty patterns meet every text over a constant key (a row each, by definition)
