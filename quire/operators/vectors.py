@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.plans.pairs import DEFAULT_BLOCK, block_cogroup, group_sums, pair_index, per_left
+from quire.plans.pairs import DEFAULT_BLOCK, GID, block_cogroup, group_sums, pair_index
 from quire.session import cut_lineage
 
 
@@ -97,6 +97,40 @@ def _pair_dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
+FIRST = 8  # components in which all pairs are compared before the rest of a pair is
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared Euclidean distances by a matrix product, and how far each row may be off."""
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    err = 1e-12 * (aa + bb.max(initial=0.0)) + 1e-300
+    return np.maximum(aa[:, None] + bb[None, :] - 2 * (a @ b.T), 0.0), err
+
+
+def _within(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the pairs with a distance of at most the
+    row's limit; the distances are those of ``_pair_dist``, computed for pairs only
+    that a cheaper bound leaves."""
+    if metric == "euclidean":
+        sq, err = _squares(a, b)
+        i, j = np.nonzero(sq <= (limit * limit * (1 + 1e-12) + err)[:, None])
+    else:
+        i, j = np.nonzero(_dist(a[:, :FIRST], b[:, :FIRST], metric) <= limit[:, None])
+    found = []
+    for lo in range(0, len(i), 1 << 18):  # so many pairs at a time
+        x, y = i[lo:lo + (1 << 18)], j[lo:lo + (1 << 18)]
+        if metric == "chebyshev":
+            for c in range(FIRST, a.shape[1], FIRST):
+                keep = np.abs(a[x, c:c + FIRST] - b[y, c:c + FIRST]).max(axis=1) <= limit[x]
+                x, y = x[keep], y[keep]
+        d = _pair_dist(a[x], b[y], metric)
+        keep = d <= limit[x]
+        found.append((x[keep], y[keep], d[keep]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(p) for p in zip(*found))
+
+
 def knn(left: DataFrame, right: DataFrame, lid: str, rid: str, coords: Sequence[str], k: int,
         metric: str = "euclidean", exclude_self: bool = False, group: Sequence[str] = (),
         block_size: int = DEFAULT_BLOCK) -> DataFrame:
@@ -168,9 +202,11 @@ class PivotBlocks:
 
         def assign(batches):
             for pdf in batches:
-                d = _dist(np.stack(pdf["v"].to_numpy()), pivots, metric)
-                best = d.argmin(axis=1)
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": best.astype(np.int32), "away": d[np.arange(len(d)), best]})
+                if pdf.empty:
+                    continue
+                v = np.stack(pdf["v"].to_numpy())
+                best = (_squares(v, pivots)[0] if metric == "euclidean" else _dist(v, pivots, metric)).argmin(axis=1)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": best.astype(np.int32), "away": _pair_dist(v, pivots[best], metric)})
 
         near = vectors.mapInPandas(assign, f"id {id_type}, v array<double>, pivot int, away double")
         sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_BLOCK).alias("parts"))  # a row per pivot
@@ -185,15 +221,11 @@ class PivotBlocks:
             packed, f"pivot int, part int, ids array<{id_type}>, data binary, radius double"))
 
 
-def _k_best(dist: np.ndarray, rids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k smallest distances of each row, ties by id; infinite ones are left out."""
-    n = min(k, dist.shape[1])
-    edge = np.partition(dist, n - 1, axis=1)[:, n - 1]
-    i, j = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
-    order = np.lexsort((rids[j], dist[i, j], i))
-    i, j = i[order], j[order]
-    keep = pd.Series(i).groupby(i).cumcount().to_numpy() < k if len(i) else np.zeros(0, bool)
-    return i[keep], j[keep]
+def _k_best(i: np.ndarray, rids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest distances of each row i, ties by id."""
+    order = np.lexsort((rids, dist, i))
+    rank = pd.Series(i[order]).groupby(i[order]).cumcount().to_numpy() if len(i) else np.zeros(0, int)
+    return order[rank < k]
 
 
 def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, k: int, metric: str = "euclidean",
@@ -224,8 +256,13 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
     def matrix(data) -> np.ndarray:
         return np.frombuffer(data, float).reshape(-1, width)
 
-    def distances(q, b, qids, bids):
-        d = _dist(q, b, metric)
+    def upper(q, b, qids, bids):
+        """Distances, or a little more."""
+        if metric == "euclidean":
+            sq, err = _squares(q, b)
+            d = np.sqrt(sq + err[:, None])
+        else:
+            d = _dist(q, b, metric)
         if exclude_self:
             d[np.asarray(qids)[:, None] == np.asarray(bids)[None, :]] = np.inf
         return d
@@ -234,7 +271,7 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                d = distances(matrix(r.qdata), matrix(r.data), r.qids, r.ids) if r.data is not None else np.full((len(r.qids), 1), np.inf)
+                d = upper(matrix(r.qdata), matrix(r.data), r.qids, r.ids) if r.data is not None else np.full((len(r.qids), 1), np.inf)
                 n = d.shape[1]
                 out.append((np.partition(d, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(d), np.inf)))
             keep = pdf[["pivot", "qpart", "qids", "qdata", "qradius"]].copy()
@@ -271,10 +308,13 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
                 rows = np.flatnonzero(away - r.radius <= limit * (1 + 1e-9) + 1e-12)
                 if not len(rows):
                     continue
-                d = distances(q[rows], matrix(r.data), qids[rows], bids)
-                d[d > limit[rows][:, None]] = np.inf
-                i, j = _k_best(d, bids, k)
-                yield pd.DataFrame({"left_id": qids[rows[i]], "right_id": bids[j], "dist": d[i, j]})
+                i, j, d = _within(q[rows], matrix(r.data), limit[rows], metric)
+                lids, rids = qids[rows[i]], bids[j]
+                if exclude_self:
+                    other = lids != rids
+                    i, lids, rids, d = i[other], lids[other], rids[other], d[other]
+                at = _k_best(i, rids, d, k)
+                yield pd.DataFrame({"left_id": lids[at], "right_id": rids[at], "dist": d[at]})
 
     q = bounded.select(F.col("pivot").alias("qpivot"), "qpart", "qids", "qdata", "within")
     met = pairs.join(q, ["qpivot", "qpart"]).join(index.blocks, ["pivot", "part"])
@@ -322,25 +362,37 @@ def knn_self(points: DataFrame, pid: str, coords: Sequence[str], k: int, metric:
     return knn(points, other, pid, "_other", coords, k, metric, exclude_self=True, group=group)
 
 
+GRAM_ROWS = 1024  # left rows of a matrix product
+
+
 def gram_offdiag(vecs: DataFrame, group: Sequence[str], vid: str, vec: str,
-                 block_size: int = 1024) -> DataFrame:
-    """Per group mean |<v_i, v_j>| over ordered pairs i != j."""
+                 block_size: int = 8192) -> DataFrame:
+    """Per group mean |<v_i, v_j>| over ordered pairs i != j.
+
+    Inner products of a block pair are matrix products of ``GRAM_ROWS`` rows at
+    a time; pairs of equal ids are taken out by id."""
     keys = list(group)
 
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({**{c: [] for c in keys}, "s": [], "n": []})
-        a = np.stack(lp[vec].to_numpy()).astype(float)
-        b = np.stack(rp[vec].to_numpy()).astype(float)
-        i, j = pair_index(lp, rp)
-        keep = lp[vid].to_numpy()[i] != rp[vid].to_numpy()[j]
-        i, j = i[keep], j[keep]
-        dots = np.abs(np.einsum("ij,ij->i", a[i], b[j])) if len(i) else np.zeros(0)
-        n = len(lp)
-        return group_sums(lp, keys, {"s": per_left(i, dots, n), "n": np.bincount(i, minlength=n).astype("int64")})
+        sums, counts = np.zeros(len(lp)), np.zeros(len(lp), "int64")
+        right = {g: (np.stack(r[vec].to_numpy()).astype(float), r[vid].to_numpy()) for g, r in rp.groupby(GID, sort=False)}
+        at, ids = np.arange(len(lp)), lp[vid].to_numpy()
+        for g, rows in pd.Series(at).groupby(lp[GID].to_numpy(), sort=False):
+            if g not in right:
+                continue
+            b, bids = right[g]
+            for lo in range(0, len(rows), GRAM_ROWS):
+                mine = rows.to_numpy()[lo:lo + GRAM_ROWS]
+                dots = np.abs(np.stack(lp[vec].to_numpy()[mine]).astype(float) @ b.T)
+                same = ids[mine][:, None] == bids[None, :]
+                sums[mine] = np.where(same, 0.0, dots).sum(axis=1)
+                counts[mine] = len(bids) - same.sum(axis=1)
+        return group_sums(lp, keys, {"s": sums, "n": counts})
 
     types = dict(vecs.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["s double", "n long"])
     part = block_cogroup(vecs.select(*keys, vid, vec), vecs.select(*keys, vid, vec), keys, vid, vid, fn, schema,
-                         block_size)
+                         block_size, pack_factor=1)
     return part.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("gram_offdiag"))

@@ -245,3 +245,45 @@ def test_ols_equals_least_squares(spark):
     assert got[7]["coef"] is None and got[8]["coef"] is None and got[8]["n"] == 4
     alone = EM.ols_effect(df.where("g < 3"), "y", "x").first()
     assert alone["n"] == 180 and alone["std_err"] > 0
+
+
+def test_names_that_begin_alike_meet_their_folders_only(spark):
+    from quire.operators import archive as AR
+    from quire.plans.joins import contains_join
+
+    names = [f"idea_{i}" for i in range(300)] * 2 + ["", None, "a" * 40]
+    texts = [f"2024_idea_{i}" for i in range(0, 400, 7)] + ["idea", None, "x" + "a" * 41]
+    left, right = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(list(enumerate(names)), "seq long, name string")
+    got = contains_join(left, "t", right, "name")
+    want = Counter((t, s) for t in texts if t is not None for s, n in enumerate(names) if n is not None and n in t)
+    assert Counter((r["t"], r["seq"]) for r in got.collect()) == want
+    many = spark.createDataFrame([(i, "b" * i) for i in range(1, 60)], "seq long, name string")  # more lengths than HEADS
+    assert contains_join(spark.createDataFrame([("b" * 30,)], "t string"), "t", many, "name").count() == 30
+    first = AR.match_by_name(left.where("t is not null"), "t", right, "name", "seq")
+    assert {r["t"]: r["seq"] for r in first.collect()} == {t: min(s for s, n in enumerate(names) if n is not None and n in t) for t in texts if t is not None}
+    plain = AR.match_by_name(left, "t", right.where("name <> ''"), "name", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(seq" in plain  # one idea a name goes into the join
+
+
+def test_gram_blocks_equal_plain_sums(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 90, i % 3 if i % 4 else None, rng.normal(size=5).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g long, v array<double>")
+    got = {r["g"]: r["gram_offdiag"] for r in V.gram_offdiag(df, ["g"], "id", "v", block_size=16).collect()}
+    for g in (0, 1, 2):
+        mine = [(i, np.array(v)) for i, x, v in rows if x == g]
+        assert abs(got[g] - np.mean([abs(a @ b) for i, a in mine for j, b in mine if i != j])) < 1e-9
+    assert set(got) == {0, 1, 2}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
+def test_pairs_within_a_limit_equal_all_distances(metric):
+    rng = np.random.default_rng(4)
+    q, b = rng.normal(size=(40, 24)), rng.normal(size=(70, 24))
+    b[3] = q[5]
+    all_d = V._dist(q, b, metric)
+    limit = np.sort(all_d, axis=1)[:, 4]
+    limit[7] = np.inf
+    i, j, d = V._within(q, b, limit, metric)
+    want = np.nonzero(all_d <= limit[:, None])
+    assert sorted(zip(i, j)) == sorted(zip(*want)) and np.array_equal(d, all_d[i, j])
