@@ -261,8 +261,8 @@ def _pose_folder(t):
     k = F.col("s_suppkey")
     split = F.when((F.col("s_nationkey") % 3 == 0) & (k % 3 == 2), F.lit(0)).otherwise(k % 3)
     name = F.concat(split.cast("string"), F.lit("_"), k.cast("string"), F.when(k % 4 == 0, F.lit(" a+b.txt")).otherwise(F.lit(".txt")))
-    t.supplier.select(F.col("s_nationkey").alias("scene"), name.alias("file"), F.col("s_name").alias("value")) \
-        .write.mode("overwrite").partitionBy("scene", "file").text(path)
+    rows = t.supplier.select(F.col("s_nationkey").alias("scene"), name.alias("file"), F.col("s_name").alias("value"))
+    IO.write_folders(rows, path, ["scene", "file"])
     files = IO.listing(t.spark, path, ".txt")
     return files.select(IO.folder_value("path", "scene").cast("long").alias("scene"), IO.folder_value("path", "file").alias("name"), "size")
 

@@ -285,6 +285,17 @@ def listing(spark: SparkSession, path: str, suffix: str | None = None) -> DataFr
     return df.where(F.col("name").endswith(suffix)) if suffix else df
 
 
+def write_folders(df: DataFrame, path: str, levels: Sequence[str]) -> str:
+    """Text files in folders by ``levels``, for many folders: rows are dealt by
+    folder to as many tasks as the session has partitions or cores, and each task
+    moves its files to their place (committer version 2), not the driver one by one."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    df.repartition(tasks, *levels).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2") \
+        .partitionBy(*levels).text(path)
+    return path
+
+
 def folder_value(path: Column | str, key: str) -> Column:
     """Value of the folder level ``key=value`` in a path (null without one)."""
     got = F.regexp_extract(path, f"/{key}=([^/]+)/", 1)

@@ -137,3 +137,13 @@ def test_listing_of_a_folder(spark, scratch):
     folder = files.withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     got = {(r["folder"], r["place"]): r["name"] for r in IO.sorted_listing(folder, ["folder"]).collect()}
     assert got == {("a", 0): "0_y.png", ("a", 1): "2_x.png", ("c", 0): "1_z.png"}
+
+
+def test_many_folders_are_written_by_many_tasks(spark):
+    path = IO.scratch_dir(spark, "many-folders")
+    rows = spark.createDataFrame([(i % 3, f"{i}_a+b c.txt", f"body {i}") for i in range(60)], "scene long, file string, value string").coalesce(1)
+    IO.write_folders(rows, path, ["scene", "file"])
+    files = IO.listing(spark, path, ".txt")
+    got = files.select(IO.folder_value("path", "scene").cast("long"), IO.folder_value("path", "file"), "size", "name").collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted((i % 3, f"{i}_a+b c.txt", len(f"body {i}") + 1) for i in range(60))
+    assert len({r["name"].split("-")[1] for r in got}) > 1  # part numbers: tasks
