@@ -192,7 +192,8 @@ class PivotBlocks:
         base = cut_lineage(base)
         n = min(MOST_PIVOTS, max(1, math.isqrt(base.count()) // 2))
         rows = base.select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()  # bounded
-        self.pivots = np.array(sorted({tuple(r["v"]) for r in rows}), float).reshape(len({tuple(r["v"]) for r in rows}), -1)
+        points = sorted({tuple(r["v"]) for r in rows})
+        self.pivots = np.array(points, float).reshape(len(points), len(points[0]) if points else 0)
         self.blocks = self.pack(base) if rows else None
 
     def pack(self, vectors: DataFrame) -> DataFrame:
