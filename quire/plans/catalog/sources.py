@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quire.functions.fmt import r6
 from quire.operators import runs as R
 from quire.plans import derived as D
-from quire.plans.ordering import positions
 from quire.plans.registry import query
 from quire.sources import io as IO
 
@@ -152,14 +151,10 @@ def src8(t):
     text = F.concat_ws("\n", F.size("a").cast("string"), F.concat(F.lit("mol="), F.col("mol").cast("string")),
                        F.array_join(F.transform("a", lambda s: s["l"]), "\n"))
     blocks.select((F.col("mol") % 8).alias("grp"), text.alias("value")) \
-        .repartition("grp").write.mode("overwrite").partitionBy("grp").text(path)
+        .write.mode("overwrite").partitionBy("grp").text(path)  # by every task: a folder's frames are in many files
     atoms = IO.read_xyz(t.spark, path)
-    lines = IO.read_lines(t.spark, path)
-    comments = lines.where(F.col("line").startswith("mol=")).select(
-        "path", (F.col("line_no") - 1).alias("_start"), F.regexp_extract("line", r"mol=(\d+)", 1).cast("long").alias("mol"))
-    framed = positions(lines.where(F.trim("line").rlike(r"^\d+$")), ["path"], ["line_no"], "frame").select(
-        "path", F.col("line_no").alias("_start"), (F.col("frame") + 1).alias("frame"))
-    mols = framed.join(comments, ["path", "_start"]).select("path", "frame", "mol")
+    comments = IO.read_xyz_comments(t.spark, path).where(F.col("comment").startswith("mol="))
+    mols = comments.select("path", "frame", F.regexp_extract("comment", r"mol=(\d+)", 1).cast("long").alias("mol"))
     return atoms.join(mols, ["path", "frame"]).select("mol", F.col("atom").cast("long").alias("atom"), "x", "y", "z")
 
 

@@ -16,10 +16,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.plans.ordering import positions, running_totals
+from quire.plans.ordering import positions, running
 from quire.session import ensure_checkpoint_dir
 
 
@@ -164,33 +164,56 @@ def write_corpus(df: DataFrame, path: str, text: str, separator: str = "\n\x1e\n
     return path
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line): the lines of text files, numbered from 0.
+def _ranged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, _range, line_no, line) of text files, ``_range`` the place of the
+    byte range that a line was read in.
 
-    Files are read in byte ranges; a line's place is that of its range in the
-    file and of the line in the range, and the numbers come from a running count
-    that splits a large file (``plans.ordering``).  No row holds a file."""
+    A range is read by one task, row after row, so a line's place in its range is
+    its row id less the smallest of the range; one row per range (its first id and
+    its lines) gives the lines of the file before it.  No line is shuffled."""
     df = spark.read.text(path).select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("_range"),
                                       F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    return positions(df, ["path"], ["_range", "_row"], "line_no").select("path", "line_no", "line")
+    ranges = df.groupBy("path", "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("path", "_range", (before - F.col("_first")).alias("_shift"))  # a row per range: as many as tasks
+    return df.join(F.broadcast(ranges), ["path", "_range"]).select("path", "_range", (F.col("_row") + F.col("_shift")).alias("line_no"), "line")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line): the lines of text files, numbered from 0.
+
+    Files are read in byte ranges; no row holds a file and no task more than a
+    range of it (see ``_ranged_lines``)."""
+    return _ranged_lines(spark, path).select("path", "line_no", "line")
+
+
+def _xyz_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line, frame, _start) of XYZ files: the frame of every line,
+    from 1, and the number of its count line.  Running values inside byte ranges,
+    carried on by one row per range."""
+    lines = _ranged_lines(spark, path)
+    is_count = F.trim("line").rlike(r"^\d+$")
+    return running(lines, ["line_no"], {"frame": (is_count.cast("long"), "sum"), "_start": (F.when(is_count, F.col("line_no")), "max")},
+                   bucket=F.col("_range"), partition_by=["path"]).drop("_range")
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """XYZ frames: count line, comment line, ``sym x y z`` lines; several
     frames per file.  A frame starts at a line holding one integer; atom
     index = position after the frame's two header lines."""
-    lines = read_lines(spark, path).withColumn("_t", F.trim("line"))
-    is_count = F.col("_t").rlike(r"^\d+$")
-    numbered = running_totals(lines, ["line_no"], {"frame": is_count.cast("long")}, partition_by=["path"])
-    starts = numbered.where(is_count).select("path", "frame", F.col("line_no").alias("_start"))
-    parts = F.split(F.col("_t"), r"\s+")
-    atoms = (numbered.join(starts, ["path", "frame"])
-             .where((F.col("line_no") >= F.col("_start") + 2) & (F.size(parts) == 4)))
+    parts = F.split(F.trim("line"), r"\s+")
+    atoms = _xyz_lines(spark, path).where((F.col("line_no") >= F.col("_start") + 2) & (F.size(parts) == 4))
     return atoms.select("path", "frame", (F.col("line_no") - F.col("_start") - 2).alias("atom"),
                         parts.getItem(0).alias("symbol"),
                         *[parts.getItem(i).cast("double").alias(a) for i, a in ((1, "x"), (2, "y"), (3, "z"))])
 
 
+def read_xyz_comments(spark: SparkSession, path: str) -> DataFrame:
+    """(path, frame, comment): the line after the count line of every frame of ``read_xyz``."""
+    lines = _xyz_lines(spark, path).where(F.col("line_no") == F.col("_start") + 1)
+    return lines.select("path", "frame", F.col("line").alias("comment"))
+
+
 # Parameter layout per camera model (after id, model, w, h, f).
 CAMERA_MODELS = {
     "SIMPLE_PINHOLE": ("cx", "cy"),
