@@ -114,8 +114,9 @@ def running_mean(df: DataFrame, key: Sequence[str], order: str, loss: str, n: st
     """Running mean loss (over batches so far) and running percent accuracy
     inside each key (epoch), logged for batch indices divisible by ``every``."""
     keys = list(key)
-    p = positions(df, keys, [order], "batch_idx")
-    r = running_totals(p, [order], {"_l": F.col(loss), "_c": F.col(correct), "_t": F.col(n)}, partition_by=keys)
+    one = F.lit(1).cast("long")
+    r = running_totals(df, [order], {"_i": one, "_l": F.col(loss), "_c": F.col(correct), "_t": F.col(n)}, partition_by=keys)
+    r = r.withColumn("batch_idx", F.col("_i") - 1)
     return (r.where(F.pmod(F.col("batch_idx"), F.lit(every)) == 0)
             .select(*keys, "batch_idx", (F.col("_l") / (F.col("batch_idx") + 1)).alias("loss"),
                     (100.0 * F.col("_c") / F.col("_t")).alias("acc")))
