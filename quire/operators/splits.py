@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.plans.ordering import global_row_number, hash_int, hash_row_number
 
@@ -147,11 +151,26 @@ def chars(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)."), 0)
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+
+
 def build_vocab(texts: DataFrame, text: str, reserved: Sequence[str] = ("<pad>", "<unk>")) -> DataFrame:
     """Vocabulary (symbol, id): reserved symbols first, then distinct
-    characters in code-point order.  Per-document distinct first, so the
-    shuffle carries at most one row per (document, character)."""
-    distinct = texts.select(F.explode(F.array_distinct(chars(F.col(text)))).alias("symbol")).distinct()
+    characters in code-point order.  A task marks the code points of its texts
+    in one table (of the size of Unicode), so the shuffle carries at most one
+    row per task and character."""
+
+    def run(batches):
+        seen = np.zeros(0x110000, dtype=bool)
+        for pdf in batches:
+            for t in pdf["text"]:
+                if t:
+                    seen[_points(t)] = True
+        yield pd.DataFrame({"symbol": [chr(p) for p in np.flatnonzero(seen)]}, dtype=object)
+
+    distinct = texts.select(F.col(text).alias("text")).mapInPandas(run, "symbol string").distinct()
     numbered = global_row_number(distinct, ["symbol"])
     spark = texts.sparkSession
     res = spark.createDataFrame([(s, i) for i, s in enumerate(reserved)], "symbol string, id int")
@@ -168,33 +187,68 @@ def decode(ids: Column, symbols: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.get(symbols, i)), "")
 
 
-def _in_order(pairs: DataFrame, at: str, value: str, name: str) -> DataFrame:
-    """One row: the values in the order of ``at``."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
-    return pairs.agg(F.transform(rows, lambda x: x["value"]).alias(name))
+def _encoded(texts: pa.Array, by_point: np.ndarray, unk: int = 1) -> pa.Array:
+    """Ids of the characters (null for null); ``by_point`` is the array of ids
+    by code point, -1 where there is none (its last place is one such)."""
+    def one(t):
+        if t is None:
+            return None
+        ids = by_point[np.minimum(_points(t), len(by_point) - 1)]
+        return np.where(ids < 0, np.int32(unk), ids)
+    return pa.array([one(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+
+def _decoded(ids: pa.Array, symbols: list[str | None]) -> pa.Array:
+    """Text of ids (null for null); ``symbols`` is the list of symbols by id.
+    Ids without a symbol give nothing."""
+    point = np.array([ord(s) if s is not None and len(s) == 1 else -1 for s in symbols] + [-1], dtype=np.int64)
+    flat = ids.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat[(flat < 0) | (flat >= len(symbols))] = len(symbols)
+    at, there = ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+
+    def one(x):
+        p = point[x]
+        if (p >= 0).all():
+            return p.astype("<u4").tobytes().decode("utf-32-le")
+        return "".join(symbols[i] or "" for i in x if i < len(symbols))
+    return pa.array([one(flat[at[i]:at[i + 1]]) if there[i] else None for i in range(len(ids))], pa.string())
+
+
+ROWS_HELD = 512  # texts that a task codes at a time
+
+
+def _mapped(df: DataFrame, key: str, col: str, out: str, kind: str, fn) -> DataFrame:
+    """(key, out): ``fn`` (Arrow array to array) of a column, a bounded number of rows at a time."""
+    src = df.select(F.col(key).alias("key"), F.col(col).alias("value"))
+    schema = T.StructType([src.schema["key"], T.StructField("value", T._parse_datatype_string(kind))])
+
+    def run(batches):
+        for part in (b.slice(lo, ROWS_HELD) for b in batches for lo in range(0, b.num_rows, ROWS_HELD)):
+            yield pa.RecordBatch.from_arrays([part.column(0), fn(part.column(1))], names=["key", "value"])
+
+    return src.mapInArrow(run, schema).toDF(key, out)
 
 
 def encode_table(docs: DataFrame, key: str, text: str, vocab: DataFrame, unk: int = 1) -> DataFrame:
     """(key, ids) per document; null texts have null ids.
 
-    One path at every size: the single-character symbols become one array
-    indexed by code point (so at most 1,114,112 ids, the size of Unicode),
-    handed to every row by a broadcast of that one row."""
-    points = vocab.where(F.char_length("symbol") == 1).select(F.ascii("symbol").alias("point"), "id")
-    last = points.agg(F.coalesce(F.max("point"), F.lit(0))).scalar()
-    slots = docs.sparkSession.range(0x110000).where(F.col("id") <= last).select(F.col("id").cast("int").alias("point"))
-    by_point = _in_order(slots.join(points, "point", "left"), "point", "id", "_ids")
-    return docs.select(key, text).crossJoin(F.broadcast(by_point)) \
-        .select(key, encode(F.col(text), F.col("_ids"), unk).alias("ids"))
+    One path at every size: the ids of single-character symbols are one array by
+    code point (at most 1,114,112 ids, the size of Unicode), sent to a task once."""
+    rows = vocab.where(F.char_length("symbol") == 1).select("symbol", "id").toPandas()  # bounded by Unicode
+    by_point = np.full(max(map(ord, rows["symbol"]), default=0) + 2, -1, dtype=np.int32)
+    by_point[[ord(s) for s in rows["symbol"]]] = rows["id"].to_numpy(np.int32)
+    return _mapped(docs, key, text, "ids", "array<int>", lambda x: _encoded(x, by_point, unk))
 
 
 def decode_table(coded: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
     """(key, text) per document from ids of ``build_vocab``'s numbering; ids
-    outside of the vocabulary give nothing.  The symbols are one row, bounded
+    outside of the vocabulary give nothing.  The symbols are one list, bounded
     like the table of ``encode_table``."""
-    symbols_by_id = _in_order(vocab, "id", "symbol", "_symbols")
-    return coded.select(key, ids).crossJoin(F.broadcast(symbols_by_id)) \
-        .select(key, decode(F.col(ids), F.col("_symbols")).alias("text"))
+    rows = vocab.select("symbol", "id").toPandas()
+    symbols: list[str | None] = [None] * (int(rows["id"].max()) + 1 if len(rows) else 0)
+    for s, i in zip(rows["symbol"], rows["id"]):
+        symbols[int(i)] = s
+    return _mapped(coded, key, ids, "text", "string", lambda x: _decoded(x, symbols))
 
 
 def vocab_size(a: DataFrame, b: DataFrame, col: str, approx: bool = False) -> DataFrame:

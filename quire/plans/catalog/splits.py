@@ -10,6 +10,7 @@ from quire.operators import splits as SP
 from quire.plans import derived as D
 from quire.plans.ordering import SQL_HASH_INT, hash_int
 from quire.plans.registry import query
+from quire.session import written
 
 HASH_ORDER = "md5(cast(doc_id as varchar) || '42'), doc_id"
 
@@ -150,7 +151,7 @@ def jn16(t):
 select doc_id, true as roundtrip_ok from documents""")
 def jn16r(t):
     docs = t.documents.select("doc_id", "text")
-    vocab = SP.build_vocab(docs, "text")
+    vocab = written(SP.build_vocab(docs, "text"), "vocab")  # read by both ways
     back = SP.decode_table(SP.encode_table(docs, "doc_id", "text", vocab), "doc_id", "ids", vocab)
     return docs.join(back.withColumnRenamed("text", "_back"), "doc_id") \
         .select("doc_id", (F.col("_back") == F.col("text")).alias("roundtrip_ok"))
