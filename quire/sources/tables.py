@@ -46,6 +46,21 @@ def spread(df: DataFrame, key: str | None, min_bytes: int = MIN_SPREAD_BYTES) ->
     return df.repartition(n, key) if key else df.repartition(n)
 
 
+DEALT_BYTES = 8 << 20  # of a table's files: what one task holds of a table dealt by a key
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df``, a table as read, dealt by ``key`` into one part per ``DEALT_BYTES``
+    of its files, the session's shuffle partitions at least: a task's share stays
+    the same however large the table grows.  Without a size: by the session's number."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM handles (e.g. a remote session)
+        return df.repartition(key)
+    return df.repartition(max(n, -(-size // DEALT_BYTES)), key)
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).lineitem`` reads on first use.
 
@@ -68,6 +83,9 @@ class Tables:
             return df
         raise AttributeError(name)
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        return dealt(getattr(self, name), key)
+
     @cached_property
     def names(self) -> tuple[str, ...]:
         return TABLES
