@@ -9,6 +9,7 @@ of the rows is spread over many tasks instead of one window partition.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -338,6 +339,9 @@ def mod_div(a: Column, b: Column, p: int) -> Column:
     return F.pmod(a.cast("long") * mod_pow(b, p - 2, p), F.lit(p))
 
 
+LISTED = 6  # permutations of so many and fewer are listed
+
+
 def compose(a: Column, b: Column) -> Column:
     """Permutation composition: result[i] = a[b[i]] (0-based entries)."""
     return F.transform(b, lambda i: F.element_at(a, (i + 1).cast("int")))
@@ -347,7 +351,16 @@ def unrank(rank: Column, k: int) -> Column:
     """Permutation of 0..k-1 with lexicographic number ``rank`` (0-based).
 
     The factorial digits of the rank (Lehmer code) say which of the values
-    still left comes next."""
+    still left comes next.  Up to ``LISTED`` a rank looks its permutation up in
+    the list of all k!."""
+    if k <= LISTED:
+        every = F.lit([list(p) for p in itertools.permutations(range(k))])  # in lexicographic order
+        at = F.pmod(rank, F.lit(math.factorial(k))).cast("int")
+        return F.when(rank >= 0, F.get(every, at)).otherwise(_unrank_by_digits(rank, k))
+    return _unrank_by_digits(rank, k)
+
+
+def _unrank_by_digits(rank: Column, k: int) -> Column:
     digits = F.array(*[F.pmod(F.call_function("div", rank, F.lit(math.factorial(k - 1 - i))), F.lit(k - i)).cast("int")
                        for i in range(k)])
     empty = F.array().cast("array<int>")
@@ -364,6 +377,14 @@ def unrank(rank: Column, k: int) -> Column:
 def rank_of(perm: Column, k: int) -> Column:
     """Lexicographic number of a permutation of 0..k-1: at each place the
     smaller values that come later, weighted by factorials."""
+    x = [F.get(perm, F.lit(i)) for i in range(k)]
+    later = [F.coalesce((x[j] < x[i]).cast("long"), F.lit(0)) * math.factorial(k - 1 - i) for i in range(k) for j in range(i + 1, k)]
+    if 1 < k <= LISTED:
+        return F.when(F.size(perm) == k, sum(later[1:], later[0])).otherwise(_rank_by_parts(perm, k))
+    return _rank_by_parts(perm, k)
+
+
+def _rank_by_parts(perm: Column, k: int) -> Column:
     weights = F.array(*[F.lit(math.factorial(k - 1 - i)).cast("long") for i in range(k)])
     smaller = F.transform(perm, lambda x, i: F.size(F.filter(F.slice(perm, i + 1, F.lit(k)), lambda y: y < x)).cast("long"))
     return F.aggregate(F.zip_with(smaller, weights, lambda n, w: n * w), F.lit(0).cast("long"), lambda acc, x: acc + x)
@@ -416,7 +437,7 @@ def permutation_example(idx: Column, k: int) -> tuple[Column, Column, Column]:
     permutations of k by themselves: places by division, elements by unranking."""
     i, j = pair_from_index(idx, math.factorial(k))
     a, b = unrank(i, k), unrank(j, k)
-    return a, b, compose(a, b)
+    return a, b, F.array(*[F.get(a, F.get(b, F.lit(n))) for n in range(k)])  # compose(a, b), its length being known
 
 
 # --------------------------------------------------------- noise schedules
