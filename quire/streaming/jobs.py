@@ -9,7 +9,10 @@ Checkpoints and outputs live under the shared checkpoint folder.
 SS-1 chunk assembly, SS-3 attempt tracking and SS-5 first decisions keep
 per-key state on RocksDB with ``transformWithStateInPandas``: a key's state ends
 at its end marker or when the watermark has passed its last row by ``keep``
-(an event-time timer), and its result is written then, once.  Rows behind the
+(an event-time timer), and its result is written then, once.  Keys are grouped
+in slots by hash: a slot's states are read and written together and share one
+timer, so the calls to the state store are by slot, not by key; the number of
+slots follows the rows, ``SLOT_ROWS`` a slot.  Rows behind the
 watermark change nothing; they go to a side table, so none is lost uncounted.
 SS-4 uses streaming aggregation.
 """
@@ -32,6 +35,7 @@ EOT = "<|eot_id|>"
 
 
 FILES_PER_TRIGGER = 1000  # files of one micro-batch
+SLOT_ROWS = 8192  # rows whose keys share a slot of the state store
 
 
 def stage_files(df: DataFrame, path: str, by: str | None = None) -> str:
@@ -97,9 +101,11 @@ class Drained:
 class TimedProcessor(StatefulProcessor):
     """State per key that ends ``keep_ms`` after the key's last row.
 
-    Subclasses say how rows change the state (``fold``: a dict or None) and
-    what it gives in the end (``result``); a state that ``fold`` calls finished
-    gives its result and ends at once."""
+    Subclasses say how rows (tuples of the ``INPUTS`` after the key, in order of
+    arrival) change the state (``fold``: a tuple or None) and what it gives in
+    the end (``result``); a state that ``fold`` calls finished gives its result
+    and ends at once.  The first of ``INPUTS`` is the key; a call has the rows
+    of a slot of keys."""
 
     STATE: str
     RESULTS: list[str]
@@ -107,11 +113,14 @@ class TimedProcessor(StatefulProcessor):
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
+        one = T.StructType([T.StructField("item", T.LongType()), T.StructField("until", T.LongType()),
+                            *T._parse_datatype_string(self.STATE).fields])
+        self.schema = T.StructType([T.StructField("open", T.ArrayType(one))])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.STATE)
-        self.until = handle.getValueState("until", "ms long")
+        self.open = handle.getValueState("open", self.schema)
+        self.timer = handle.getValueState("timer", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
@@ -123,41 +132,61 @@ class TimedProcessor(StatefulProcessor):
         pdf, ms = pdf[~late], ms[~late]
         if not len(pdf):
             return
-        before = self.state.get() if self.state.exists() else None
-        after, finished = self.fold(key, before, pdf)
-        if finished:
-            yield self._result(key, after)
-            self._end()
-            return
-        self.state.update(after)
-        old = self.until.get()[0] if self.until.exists() else None
-        new = max(int(ms.max()) + self.keep_ms, old or 0)
+        order = np.argsort(pdf[self.INPUTS[0]].to_numpy(), kind="stable")
+        items, ms = pdf[self.INPUTS[0]].to_numpy()[order], ms[order]
+        values = list(zip(*[pdf[c].to_numpy()[order].tolist() for c in self.INPUTS[1:]]))
+        first = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+        held, done = self._held(), []
+        for a, b, item, last in zip(first.tolist(), [*first[1:].tolist(), len(items)], items[first].tolist(),
+                                    np.maximum.reduceat(ms, first).tolist()):
+            until, state = held.get(item, (0, None))
+            state, finished = self.fold(state, values[a:b])
+            if finished:
+                done.append((item, state))
+                held.pop(item, None)
+            else:
+                held[item] = (max(last + self.keep_ms, until), state)
+        yield from self._results(done)
+        self._hold(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, now = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        held = self._held()
+        done = [(item, state) for item, (until, state) in held.items() if until < mark or until <= now]
+        for item, _ in done:
+            del held[item]
+        yield from self._results(done)
+        self._hold(held)
+
+    def _held(self) -> dict[int, tuple[int, tuple]]:
+        """{key: (end of its state, state)} of the slot."""
+        rows = self.open.get()[0] if self.open.exists() else []
+        return {r[0]: (r[1], tuple(r[2:])) for r in map(tuple, rows)}
+
+    def _hold(self, held) -> None:
+        old = self.timer.get()[0] if self.timer.exists() else None
+        new = min((until for until, _ in held.values()), default=None)
         if new != old:
             if old is not None:
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(new)
-            self.until.update((new,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._result(key, self.state.get())
-        self._end()
-
-    def _end(self) -> None:
-        if self.until.exists():
-            self.handle.deleteTimer(self.until.get()[0])
-        self.state.clear()
-        self.until.clear()
+            if new is not None:
+                self.handle.registerTimer(new)
+                self.timer.update((new,))
+        if held:
+            self.open.update(([(item, until, *state) for item, (until, state) in held.items()],))
+        else:
+            self.open.clear()
+            self.timer.clear()
 
     def _frame(self, pdf: pd.DataFrame, late_ms) -> pd.DataFrame:
         out = pd.DataFrame({c: pdf[c].to_numpy() if c in pdf else None for c in dict.fromkeys([*self.RESULTS, *self.INPUTS])}, dtype=object)
         out[LATE] = pd.Series(late_ms, dtype=object)
         return out
 
-    def _result(self, key, state) -> pd.DataFrame:
-        got = self.result(key, state)
-        rows = [] if got is None else [dict(zip(self.RESULTS, got))]
-        return self._frame(pd.DataFrame(rows, columns=self.RESULTS, dtype=object), [None] * len(rows))
+    def _results(self, ended) -> Iterator[pd.DataFrame]:
+        rows = [r for r in (self.result(item, state) for item, state in ended) if r is not None]
+        if rows:
+            yield self._frame(pd.DataFrame(rows, columns=self.RESULTS, dtype=object), [None] * len(rows))
 
     def close(self) -> None:
         pass
@@ -177,7 +206,8 @@ def drain(spark: SparkSession, arrivals: list[DataFrame], key: str, processor: T
     Rows without a key have no result."""
     src = scratch_dir(spark, f"stream-{name}-src")
     for part in arrivals:
-        stage_files(part, src, by)
+        # a small arrival is one file: its rows come in one micro-batch, none late by another's time
+        stage_files(part if by else part.hint("rebalance"), src, by)
     rows = arrivals[0]
     delay = F.expr(f"interval {watermark}")
     keep = F.expr(f"interval {processor.keep_ms + 1000} milliseconds")
@@ -191,7 +221,8 @@ def drain(spark: SparkSession, arrivals: list[DataFrame], key: str, processor: T
     # the closing row goes after the watermark has seen it: a condition on the time stays above that
     stream = stream.where(F.col(key).isNotNull() | (ms < -(1 << 62))).withColumn("ts_ms", ms).drop("ts")
     fields = [T.StructField(c, T._parse_datatype_string(t)) for c, t in out_types.items()] + [T.StructField(LATE, T.LongType())]
-    res = stream.groupBy(key).transformWithStateInPandas(processor, T.StructType(fields), "Append", "EventTime")
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), staged.count() // SLOT_ROWS)
+    res = stream.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots))).groupBy("slot").transformWithStateInPandas(processor, T.StructType(fields), "Append", "EventTime")
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
@@ -232,28 +263,22 @@ class Attempts(TimedProcessor):
         super().__init__(keep_ms)
         self.max_runs, self.max_iters = max_runs, max_iters
 
-    def fold(self, key, state, pdf):
+    def fold(self, state, rows):
         wins, losses, verdict, stop, last = state or (0, 0, "open", None, -1)
-        rows = pdf[pdf["seq"].notna()].sort_values("seq")
-        rows = rows[rows["seq"] > last]  # ids seen before are copies
-        if verdict == "open" and len(rows):
-            good = rows["ok"].to_numpy() == 1
-            won = wins + np.cumsum(good)
-            lost = np.cumsum(~good)
-            at_win = np.maximum.accumulate(np.where(good, lost, -losses))
-            bad = lost - at_win
-            fails = (bad >= np.where(won > 0, self.max_iters - 1, self.max_iters)) & (~good | (self.max_iters <= 1))
-            ends = np.flatnonzero(fails | (won >= self.max_runs))
-            if len(ends):
-                verdict = "fail" if fails[ends[0]] else "success"
-                stop = int(rows["seq"].iloc[ends[0]])
-            wins, losses = int(won[-1]), int(bad[-1])
-        if len(rows):
-            last = int(rows["seq"].iloc[-1])
-        return (wins, losses, verdict, stop, last), False
-
-    def result(self, key, state):
-        return key[0], state[2], state[3]
+        new = sorted((r for r in rows if r[0] > last), key=lambda r: r[0])  # ids seen before are copies; no id: NaN
+        for seq, ok in new:
+            if verdict != "open":
+                break
+            good = ok == 1
+            wins, losses = (wins + 1, 0) if good else (wins, losses + 1)
+            if losses >= (self.max_iters - 1 if wins else self.max_iters) and (not good or self.max_iters <= 1):
+                verdict, stop = "fail", int(seq)
+            elif wins >= self.max_runs:
+                verdict, stop = "success", int(seq)
+        return (wins, losses, verdict, stop, int(new[-1][0]) if new else last), False
+
+    def result(self, item, state):
+        return item, state[2], state[3]
 
 
 def attempts(spark: SparkSession, events: DataFrame | list[DataFrame], max_runs: int = 2, max_iters: int = 4, watermark: str = "1 hour",
@@ -294,17 +319,17 @@ class FirstDecision(TimedProcessor):
         super().__init__(keep_ms)
         self.max_rounds = max_rounds
 
-    def fold(self, key, state, pdf):
+    def fold(self, state, rows):
         novel, first = state or (False, None)
-        for r, text in sorted(zip(pdf["round"], pdf["text"]), key=lambda x: x[0]):
+        for r, text in rows:  # of one round the first to come
             low = (text or "").lower()
             said = True if "decision made: novel" in low else False if "decision made: not novel" in low else None
             if said is not None and r <= self.max_rounds and (first is None or r < first):
                 novel, first = said, int(r)
         return (novel, first), False
 
-    def result(self, key, state):
-        return key[0], state[0], state[1]
+    def result(self, item, state):
+        return item, state[0], state[1]
 
 
 def first_decision(spark: SparkSession, responses: DataFrame | list[DataFrame], watermark: str, max_rounds: int = 10, keep: int = 3_600_000,
@@ -336,21 +361,21 @@ class Assembler(TimedProcessor):
         super().__init__(keep_ms)
         self.one_marker = one_marker
 
-    def fold(self, key, state, pdf):
+    def fold(self, state, rows):
         parts = {int(p[0]): p[1] for p in (state[0] if state else [])}
-        for pos, chunk in zip(pdf["pos"], pdf["chunk"]):
+        for pos, chunk in rows:
             parts.setdefault(int(pos), chunk or "")
         seq = sorted(parts.items())
         ends = [p for p, c in seq if c.endswith(EOT)]
         whole = self.one_marker and bool(ends) and all(p in parts for p in range(ends[0]))
         return ([tuple(x) for x in seq if not whole or x[0] <= ends[0]],), whole
 
-    def result(self, key, state):
+    def result(self, item, state):
         seq = [(int(p[0]), p[1]) for p in state[0]]
         ends = [p for p, c in seq if c.endswith(EOT)]
         if not ends:
             return None
-        return key[0], "".join(c for p, c in seq if p <= ends[-1]).replace(EOT, ""), ends[-1]
+        return item, "".join(c for p, c in seq if p <= ends[-1]).replace(EOT, ""), ends[-1]
 
 
 def assemble(spark: SparkSession, chunks: DataFrame | list[DataFrame], watermark: str = "1 hour", keep: int = 3_600_000, one_marker: bool = False,
