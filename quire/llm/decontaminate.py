@@ -65,6 +65,19 @@ def bit_table(seeds: DataFrame) -> np.ndarray:
     return bits
 
 
+def may_hold(df: DataFrame, key: str):
+    """Whether a hash may be among those in column ``key`` of ``df`` (a function
+    of a column, by ``bit_table``): spares a join the rows that cannot match."""
+    bits = df.sparkSession.sparkContext.broadcast(bit_table(df.select(F.col(key).alias("g"))))
+
+    def found(g: pd.Series) -> pd.Series:
+        g = g.to_numpy(np.int64).view(np.uint64)
+        at = (g & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
+        return pd.Series((bits.value[at] >> (g & np.uint64(63))) & np.uint64(1) > 0)
+
+    return F.pandas_udf(found, "boolean")
+
+
 def hits(docs: DataFrame, seeds: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(id, key, g, at): n-grams of whole documents that may be among ``seeds``;
     ``key`` is Spark's xxhash64 of the text, ``at`` the word place."""

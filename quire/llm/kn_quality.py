@@ -40,11 +40,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import char_model
+from quire.llm.decontaminate import may_hold
 from quire.llm.store import table
 
 SYMBOLS = 40
 ORDER = 4
 SHARED = "*"
+FEW = 10  # rows that the median of all counts beside a language's own
 GROUP = 32  # model languages handed to the tasks at a time
 TABLES = 4  # dense tables of a task
 SLICE = 512  # texts turned into Python strings at a time
@@ -94,59 +97,79 @@ def _pieces(text: str, size: int = 1 << 20):
         yield _codes(piece)[lead:]
 
 
+class _Symbols:
+    """4-gram counts of a task by language, a bounded number of tables."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+        self.texts: dict[str, int] = {}
+
+    def _flush(self, lang) -> pd.DataFrame:
+        c = self.held.pop(lang)
+        g = np.flatnonzero(c)
+        return pd.DataFrame({"lang": lang, "g": np.append(g, TEXTS).astype(np.int32),
+                             "c": np.append(c[g], self.texts.pop(lang)).astype(np.int64)})
+
+    def add(self, pdf: pd.DataFrame):
+        held, texts = self.held, self.texts
+        for lang, rows in pdf.groupby("lang", dropna=False, sort=True)["text"]:  # a table at a time
+            lang = None if pd.isna(lang) else lang
+            if lang not in held:
+                if len(held) >= TABLES:
+                    yield self._flush(min(held, key=texts.get))  # the least used makes room
+                held[lang], texts[lang] = np.zeros(SYMBOLS ** ORDER, dtype=np.int64), 0
+            c, wait, size = held[lang], [], 0
+            for text in rows:
+                if not text:
+                    continue
+                texts[lang] += 1
+                for codes in _pieces(text):
+                    wait.append(codes)
+                    size += len(codes)
+                    if size >= 1 << 19:
+                        c += np.bincount(np.concatenate(wait), minlength=len(c))
+                        wait, size = [], 0
+            if wait:
+                c += np.bincount(np.concatenate(wait), minlength=len(c))
+            if c.max(initial=0) > 1 << 30:
+                yield self._flush(lang)
+
+    def rest(self):
+        for lang in list(self.held):
+            if self.texts[lang]:
+                yield self._flush(lang)
+
+
 def gram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, g, c): 4-gram counts of ``trusted`` (lang, text) by language, and
-    how many texts they are of (g = ``TEXTS``)."""
+    """(lang, g, hi, lo, c) of ``trusted`` (lang, text), counted in one pass:
+    with hi = -1 the 4-grams g of symbols by language, and how many texts they
+    are of (g = ``TEXTS``); else the n-grams (hi, lo) of characters for the
+    model of half g (``char_model``)."""
 
     def run(batches):
-        held: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
+        symbols, texts, half, size = _Symbols(), [], [], 0
 
-        def flush(lang):
-            c = held.pop(lang)
-            g = np.flatnonzero(c)
-            return pd.DataFrame({"lang": lang, "g": np.append(g, TEXTS).astype(np.int32),
-                                 "c": np.append(c[g], texts.pop(lang)).astype(np.int64)})
+        def chars():
+            nonlocal texts, half, size
+            out = char_model.count_block(texts, np.array(half, np.int64)).rename(columns={"half": "g"})
+            texts, half, size = [], [], 0
+            return out.assign(lang=None)
 
         for pdf in batches:
-            for lang, rows in pdf.groupby("lang", dropna=False, sort=True)["text"]:  # a table at a time
-                lang = None if pd.isna(lang) else lang
-                if lang not in held:
-                    if len(held) >= TABLES:
-                        yield flush(min(held, key=texts.get))  # the least used makes room
-                    held[lang], texts[lang] = np.zeros(SYMBOLS ** ORDER, dtype=np.int64), 0
-                c, wait, size = held[lang], [], 0
-                for text in rows:
-                    if not text:
-                        continue
-                    texts[lang] += 1
-                    for codes in _pieces(text):
-                        wait.append(codes)
-                        size += len(codes)
-                        if size >= 1 << 21:
-                            c += np.bincount(np.concatenate(wait), minlength=len(c))
-                            wait, size = [], 0
-                if wait:
-                    c += np.bincount(np.concatenate(wait), minlength=len(c))
-                if c.max(initial=0) > 1 << 30:
-                    yield flush(lang)
-        for lang in list(held):
-            if texts[lang]:
-                yield flush(lang)
-
-    rows = trusted.mapInPandas(run, "lang string, g int, c long")
-    return rows.groupBy("lang", "g").agg(F.sum("c").alias("c"))
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts per language from counts of counts."""
-    n = counts.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}")
-                                     for i in (1, 2, 3, 4)])
-    y = F.when(F.col("n1") + 2 * F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0),
-                F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)),
-                        F.lit(i - 0.05))).otherwise(0.5 * i) for i in (1, 2, 3)]
-    return n.select("lang", *[x.alias(f"d{i}") for i, x in zip((1, 2, 3), d)])
+            yield from (x.assign(hi=-1, lo=-1) for x in symbols.add(pdf))
+            for text, key in zip(pdf["text"], pdf["key"]):
+                texts.append(text)
+                half.append(key & 1)
+                size += len(text or "")
+                if size >= char_model.COUNT:
+                    yield chars()
+        if size:
+            yield chars()
+        yield from (x.assign(hi=-1, lo=-1) for x in symbols.rest())
+
+    rows = trusted.select("lang", "text", F.xxhash64("text").alias("key")) \
+        .mapInPandas(run, "lang string, g int, hi long, lo long, c long")
+    return rows.groupBy("lang", "g", "hi", "lo").agg(F.sum("c").alias("c"))
 
 
 def train(counts: DataFrame) -> DataFrame:
@@ -160,7 +183,7 @@ def train(counts: DataFrame) -> DataFrame:
     level, out = counts, None
     for order in range(ORDER, 0, -1):
         ctx = F.floor(F.col("g") / SYMBOLS).cast("int")
-        rows = level.join(F.broadcast(_discounts(level)), "lang")  # a row per model language
+        rows = level.join(F.broadcast(char_model.discounts(level, "lang")), "lang")  # a row per model language
         rows = rows.withColumn("ctx", ctx)
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         sums = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("all"), F.sum(d).alias("cut")) \
@@ -276,8 +299,9 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def score(docs: DataFrame, shards: Shards, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, model_lang, symbols, log_perplexity, shared) of every row of
-    ``docs``; ``shared`` is the log perplexity under the shared table."""
+    """(id, lang, model_lang, symbols, log_perplexity, shared, key) of every row
+    of ``docs``; ``shared`` is the log perplexity under the shared table,
+    ``key`` names the text."""
 
     def scored(rows: DataFrame, held) -> DataFrame:
         def run(batches):
@@ -289,12 +313,13 @@ def score(docs: DataFrame, shards: Shards, id_col: str, text_col: str, lang_col:
                 own = any(u != SHARED for u in use)
                 shared = scorer.under([SHARED] * len(texts), texts)[2] if own else ppl
                 yield pd.DataFrame({"id": pdf["id"], "lang": pdf["lang"], "model_lang": use, "symbols": n,
-                                    "log_perplexity": null(ppl, pdf), "shared": null(shared, pdf)})
+                                    "log_perplexity": null(ppl, pdf), "shared": null(shared, pdf), "key": pdf["key"]})
 
-        return rows.mapInPandas(run, "id long, lang string, model_lang string, symbols long, log_perplexity double, shared double")
+        return rows.mapInPandas(run, "id long, lang string, model_lang string, symbols long, log_perplexity double, shared double, "
+                               "key long")
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                      F.col(text_col).alias("text"))
+                      F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     return _all([scored(*x) for x in shards.parts(src, F.col("lang"))])
 
 
@@ -307,20 +332,28 @@ def _good(labels: DataFrame) -> DataFrame:
 def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang") -> DataFrame:
     """(id, lang, text) of the documents labelled good and not toxic."""
+    good, id_ = _good(labels), F.col(id_col).cast("long")
+    some = docs.where(may_hold(good.select(F.xxhash64("__good").alias("g")), "g")(F.xxhash64(id_)))
     # merge: neither side has a bound that would allow a broadcast
-    return docs.join(_good(labels).hint("merge"), docs[id_col].cast("long") == F.col("__good")) \
-        .select(F.col("__good").alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
+    return some.join(good.hint("merge"), id_ == F.col("__good")) \
+        .select(F.col("__good").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         tail: float = 0.0005, slack: float = 1.15):
-    """(model shards, {model language: (median, low, high)}, scores of ``docs``).
+    """(model shards, {model language: (median, low, high)}, scores of ``docs``) of the symbols.
 
     Limits are quantiles over all trusted rows of a model language; those of
     the shared table are over the trusted rows of all languages.
     """
-    trusted = trusted_rows(docs, labels, id_col, text_col, lang_col)
-    every = table(gram_counts(trusted.select("lang", "text")), "kn-counts")
+    return _fit(docs, labels, id_col, text_col, lang_col, tail, slack)[:3]
+
+
+def _fit(docs, labels, id_col, text_col, lang_col, tail, slack):
+    """What ``fit`` returns, and the character counts (half, hi, lo, c)."""
+    every = table(gram_counts(trusted_rows(docs, labels, id_col, text_col, lang_col)), "kn-counts")
+    chars = every.where("hi >= 0").select(F.col("g").alias("half"), "hi", "lo", "c")
+    every = every.where("hi < 0").select("lang", "g", "c")
     sizes = every.where((F.col("g") == TEXTS) & (F.col("lang") != SHARED) & (F.col("c") >= math.ceil(1 / tail)))
     names = sorted(r[0] for r in sizes.select("lang").collect())  # a row per model language
     every = every.where(F.col("g") != TEXTS)
@@ -338,7 +371,58 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .agg(F.percentile_approx(z, [tail, 1 - tail], 100000).alias("q"))
     limits = {r["model_lang"]: (r["mid"], r["q"][0] * slack, r["q"][1] * slack) for r in q.collect()  # by language
               if r["q"][0] < r["q"][1]}
-    return shards, limits, scored
+    return shards, limits, scored, chars
+
+
+def char_limits(base: DataFrame, tail: float, slack: float) -> dict[str, tuple[float, float, float]]:
+    """{language: (median, low, high)} of trusted rows (lang, chars,
+    char_log_perplexity); ``SHARED``: those of all rows, for every other language.
+
+    Every language has its own, however few rows n it has: its median counts
+    like n rows beside ``FEW`` with the median of all, its quantiles like n
+    beside ``1 / tail`` with the quantiles of all rows about their languages'
+    medians."""
+    half = F.percentile_approx("char_log_perplexity", 0.5, 100000)
+    mid = base.agg(half).first()[0]
+    if mid is None:
+        return {}
+    own = base.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), half.alias("own")) \
+        .select(F.col("lang").alias("l"), "n", ((F.col("n") * F.col("own") + FEW * mid) / (F.col("n") + FEW)).alias("mid"))
+    rows = base.join(F.broadcast(own), F.col("lang") == F.col("l"), "left")  # a row per language
+    z = lambda m: (F.col("char_log_perplexity") - m) * F.sqrt(F.col("chars") + 1)
+    at = lambda m: F.percentile_approx(z(m), [tail, 1 - tail], 100000)
+    every, about = rows.agg(at(F.lit(mid)), at(F.coalesce("mid", F.lit(mid)))).first()
+    if not every[0] < every[1]:
+        return {}
+    wide = lambda lo, hi: (min(lo, 0.0) * slack, max(hi, 0.0) * slack)
+    limits, k = {SHARED: (mid, *wide(*every))}, 1 / tail
+    for r in rows.where("l is not null").groupBy("l", "n", "mid").agg(at(F.col("mid")).alias("q")).collect():  # by language
+        limits[r["l"]] = (r["mid"], *wide(*((r["n"] * q + k * a) / (r["n"] + k) for q, a in zip(r["q"], about))))
+    return limits
+
+
+def decided(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+            keep_empty: bool = False, tail: float = 0.0005, slack: float = 1.15):
+    """(symbol shards, symbol limits, decisions on every row of ``docs``); a row
+    is kept if the symbols (``by_symbols``) and the characters (``by_chars``) keep it."""
+    shards, limits, scored, counts = _fit(docs, labels, id_col, text_col, lang_col, tail, slack)
+    chars = table(char_model.score(docs.select(F.col(text_col).alias("text")), counts, scored.count()), "kn-chars")
+    scored = table(scored.join(chars, "key"), "kn-scores")
+    base = scored.join(_good(labels), F.col("id") == F.col("__good"), "left_semi").where("char_log_perplexity is not null")
+    own = char_limits(table(base.select("lang", "chars", "char_log_perplexity"), "kn-base"), tail, slack)
+    cuts = [docs.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in x.items()],  # a row per language
+                                              f"{a}_lang string, {a}mid double, {a}low double, {a}high double")
+            for a, x in (("", limits), ("char_", own))]
+    out = scored.join(F.broadcast(cuts[0]), F.col("model_lang") == F.col("_lang"), "left") \
+        .join(F.broadcast(cuts[1]), F.when(F.col("lang").isin([k for k in own if k != SHARED]), F.col("lang"))
+              .otherwise(SHARED) == F.col("char__lang"), "left")
+    z = (F.col("log_perplexity") - F.col("mid")) * F.sqrt("symbols")
+    y = (F.col("char_log_perplexity") - F.col("char_mid")) * F.sqrt(F.col("chars") + 1)
+    out = out.withColumn("standard", z).withColumn("char_standard", y)
+    by_symbols = F.when(F.col("symbols") == 0, F.lit(keep_empty)).when(F.col("mid").isNull(), F.lit(True)) \
+        .otherwise(F.col("standard").between(F.col("low"), F.col("high")))
+    by_chars = F.coalesce(F.col("char_standard").between(F.col("char_low"), F.col("char_high")), F.lit(True))
+    return shards, limits, out.withColumn("by_symbols", by_symbols).withColumn("by_chars", by_chars)
 
 
 def kept(use: list[str], n: np.ndarray, ppl: np.ndarray, limits: dict, keep_empty: bool) -> np.ndarray:
@@ -350,24 +434,27 @@ def kept(use: list[str], n: np.ndarray, ppl: np.ndarray, limits: dict, keep_empt
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           keep_empty: bool = False, **options) -> DataFrame:
-    """(doc_id, lang, symbols, log_perplexity, standard, low, high, keep) of
-    every row of ``docs``; options as in ``fit``."""
-    _, limits, scored = fit(docs, labels, id_col, text_col, lang_col, **options)
-    rows = [(k, *map(float, v)) for k, v in limits.items()]  # a row per model language
-    cuts = docs.sparkSession.createDataFrame(rows, "l string, mid double, low double, high double")
-    out = scored.join(F.broadcast(cuts), F.col("model_lang") == F.col("l"), "left")
-    z = (F.col("log_perplexity") - F.col("mid")) * F.sqrt("symbols")
-    keep = F.when(F.col("symbols") == 0, F.lit(keep_empty)).when(F.col("mid").isNull(), F.lit(True)) \
-        .otherwise(z.between(F.col("low"), F.col("high")))
-    return out.select(F.col("id").alias("doc_id"), "lang", "symbols", "log_perplexity", z.alias("standard"), "low", "high",
-                      keep.alias("keep"))
+    """(doc_id, lang, symbols, log_perplexity, standard, low, high, keep, and
+    the characters' values) of every row of ``docs``; options as in ``fit``."""
+    _, _, out = decided(docs, labels, id_col, text_col, lang_col, keep_empty, **options)
+    return out.select(F.col("id").alias("doc_id"), "lang", "symbols", "log_perplexity", "standard", "low", "high",
+                      (F.col("by_symbols") & F.col("by_chars")).alias("keep"), "chars", "char_log_perplexity", "char_standard",
+                      "char_low", "char_high")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               lang_col: str = "lang", keep_empty: bool = False, **options) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, decided row by row in one
-    pass (no join with the texts; a pass per ``GROUP`` languages); options as in ``fit``."""
-    shards, limits, _ = fit(docs, labels, id_col, text_col, lang_col, **options)
+    """The rows of ``docs`` that ``judge`` keeps; options as in ``fit``.  The
+    symbols decide row by row in one pass (a pass per ``GROUP`` languages).  What
+    the characters reject goes by a join of the rows that may be among it."""
+    shards, limits, every = decided(docs, labels, id_col, text_col, lang_col, keep_empty, **options)
+    gone = table(every.where("by_symbols and not by_chars").select(F.col("key").alias("__gone"), F.col("lang").alias("__lang")).distinct(),
+                 "kn-gone")
+    key, maybe = F.xxhash64(text_col), may_hold(gone, "__gone")
+    # merge: neither side has a bound that would allow a broadcast
+    left = docs.where(maybe(key)).join(gone.hint("merge"), (key == F.col("__gone"))
+                                       & F.col(lang_col).cast("string").eqNullSafe(F.col("__lang")), "left_anti")
+    rest = docs.where(~maybe(key)).union(left)
     at_lang, at_text = docs.columns.index(lang_col), docs.columns.index(text_col)
 
     def chosen(rows: DataFrame, held) -> DataFrame:
@@ -382,4 +469,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
         return rows.mapInArrow(run, docs.schema)
 
-    return _all([chosen(*x) for x in shards.parts(docs, docs[lang_col].cast("string"))])
+    return _all([chosen(*x) for x in shards.parts(rest, F.col(lang_col).cast("string"))])
