@@ -38,10 +38,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.decontaminate import may_hold
 from quire.llm.store import table
 
 KEY = ("__id", "__key")
 RANGES = 1024
+SLICE = 512  # texts whose lines a task holds at a time
 
 
 def _windows(words: np.ndarray, least: int) -> list[np.ndarray]:
@@ -66,7 +68,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     def run(batches):
         import xxhash
 
-        for pdf in batches:
+        for pdf in (p.iloc[lo:lo + SLICE] for p in batches for lo in range(0, len(p), SLICE)):
             rows = {c: [] for c in ("__id", "__key", "ord", "raw", "h1", "h2", "lens")}
             for doc_id, text in zip(pdf["__id"], pdf["t"]):
                 if not text:
@@ -184,13 +186,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``__deleted`` (lines deleted)."""
     gone = table(deleted_lines(docs, id_col, text_col, min_words), "line-deleted") \
         .select(F.col("__id").alias("__gone_id"), F.col("__key").alias("__gone_key"), F.col("lines").alias("__lines"))
+    key = F.xxhash64(text_col)
+    maybe = may_hold(gone, "__gone_key")  # most texts lose nothing and need no join
     # merge: neither side has a bound that would allow a broadcast
-    joined = docs.join(gone.hint("merge"), (F.xxhash64(docs[text_col]) == F.col("__gone_key"))
-                       & docs[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left")
+    joined = docs.where(maybe(key)).join(gone.hint("merge"), (key == F.col("__gone_key"))
+                                         & F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))
     text = F.when(F.col("__lines").isNull(), F.col(text_col)) \
         .otherwise(F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n"))
-    rest = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns]
-    return joined.select(*rest, F.coalesce(F.size("__lines"), F.lit(0)).alias("__deleted"))
-
+    cut = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns]
+    rest = docs.where(~maybe(key)).select(*docs.columns, F.lit(0).alias("__deleted"))
+    return rest.union(joined.select(*cut, F.coalesce(F.size("__lines"), F.lit(0)).alias("__deleted")))
