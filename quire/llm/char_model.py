@@ -123,7 +123,10 @@ def discounts(counts: DataFrame, by: str) -> DataFrame:
 
 def train(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """Model rows (half, kind, hi, lo, v, c) from n-gram counts (half, hi, lo,
-    c), and the log probability of an unseen character by half."""
+    c), and the log probability of an unseen character by half.
+
+    Every order's context sums and probabilities are written, so that no plan
+    holds more than one order."""
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         hi = {4: F.expr(f"hi & {TWO}L"), 3: F.expr(f"hi & {LOW}L")}.get(k, F.lit(0).cast("long"))
@@ -131,11 +134,14 @@ def train(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
         levels[k] = table(levels[k + 1].groupBy("half", hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c")), "kn-char-level")
     out, below, unseen = [], None, {}
     for k in range(1, ORDER + 1):
-        rows = levels[k].join(F.broadcast(discounts(levels[k], "half")), "half")  # two rows
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.select("half", "hi", "lo", "c", d.alias("d"), F.expr(f"shiftright(hi, {WIDE})").alias("chi"),
-                           F.expr(f"shiftleft(hi & {LOW}L, {WIDE}) | shiftright(lo, {WIDE})").alias("clo"))
-        sums = rows.groupBy("half", "chi", "clo").agg(F.sum("c").alias("all"), F.sum("d").alias("cut"), F.count("*").alias("kinds"))
+        d = F.lit(None).cast("double")
+        for r in discounts(levels[k], "half").collect():  # two rows
+            mine = F.when(F.col("c") == 1, r["d1"]).when(F.col("c") == 2, r["d2"]).otherwise(r["d3"])
+            d = F.when(F.col("half") == r["half"], mine).otherwise(d)
+        rows = levels[k].select("half", "hi", "lo", "c", d.alias("d"), F.expr(f"shiftright(hi, {WIDE})").alias("chi"),
+                                F.expr(f"shiftleft(hi & {LOW}L, {WIDE}) | shiftright(lo, {WIDE})").alias("clo"))
+        sums = table(rows.groupBy("half", "chi", "clo").agg(F.sum("c").alias("all"), F.sum("d").alias("cut"),
+                                                            F.count("*").alias("kinds")), "kn-char-sums")
         rows = rows.join(sums, ["half", "chi", "clo"]).withColumn("b", F.col("cut") / F.col("all"))
         if k == 1:
             rows = rows.withColumn("q", 1 / (F.col("kinds") + 1))

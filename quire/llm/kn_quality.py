@@ -178,21 +178,23 @@ def train(counts: DataFrame) -> DataFrame:
     kind 'p': discounted share of an n-gram, max(c - D, 0) / c(context);
     kind 'b': back-off weight of its context.  Orders 2 and 3 use continuation
     counts (distinct symbols before the n-gram), order 1 likewise, mixed with
-    the uniform distribution.
+    the uniform distribution.  Every order is written, so that no plan holds
+    more than one.
     """
     level, out = counts, None
     for order in range(ORDER, 0, -1):
         ctx = F.floor(F.col("g") / SYMBOLS).cast("int")
-        rows = level.join(F.broadcast(char_model.discounts(level, "lang")), "lang")  # a row per model language
-        rows = rows.withColumn("ctx", ctx)
+        cuts = table(char_model.discounts(level, "lang"), "kn-cuts")  # a row per model language
+        rows = level.join(F.broadcast(cuts), "lang").withColumn("ctx", ctx)
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        sums = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("all"), F.sum(d).alias("cut")) \
-            .withColumn("b", F.col("cut") / F.col("all"))
+        sums = table(rows.groupBy("lang", "ctx").agg(F.sum("c").alias("all"), F.sum(d).alias("cut"))
+                     .withColumn("b", F.col("cut") / F.col("all")), "kn-sums")
         p = rows.withColumn("cut", d).join(sums.select("lang", "ctx", "all"), ["lang", "ctx"]) \
             .select("lang", F.lit("p").alias("kind"), F.lit(order).alias("order"), "g",
                     ((F.col("c") - F.col("cut")) / F.col("all")).alias("v"))
         b = sums.select("lang", F.lit("b").alias("kind"), F.lit(order).alias("order"), F.col("ctx").alias("g"),
                         F.col("b").alias("v"))
+        p = table(p, "kn-shares")
         out = p.union(b) if out is None else out.union(p).union(b)
         if order > 1:  # how many distinct symbols stand before the (order - 1)-gram
             low = SYMBOLS ** (order - 1)

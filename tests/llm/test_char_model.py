@@ -90,3 +90,12 @@ def test_bit_table_holds_every_key(spark):
     maybe = may_hold(held, "g")
     some = spark.range(0, 100000).where(maybe(F.xxhash64("id")))
     assert some.where("id < 3000").count() == 3000 and some.count() < 3100
+
+
+def test_models_hold_no_shuffle(spark):
+    """Every order is written: what the driver plans does not grow with the orders joined."""
+    counts = kn_quality.gram_counts(spark.createDataFrame([("en", "a word or two"), ("en", "another word")], "lang string, text string")).localCheckpoint()
+    chars = char_model.train(counts.where("hi >= 0").select(F.col("g").alias("half"), "hi", "lo", "c"))[0]
+    symbols = kn_quality.train(counts.where("hi < 0 and g >= 0").select("lang", "g", "c"))
+    for model in (chars, symbols):
+        assert "Exchange" not in model._jdf.queryExecution().executedPlan().toString()
