@@ -16,9 +16,12 @@ where one was not seen, with d = log p(n-gram) - log b(context) - log p(the
 n-gram without its first character).  So texts are scored by a join of their
 n-grams with the count shards and a sum per text: tasks put the keys of a
 block of texts into packets, one a shard; the shard answers with one sum a
-text (``score``).  A table of fixed size holds the n-grams met most often,
-which would make hot shards, and is looked up in the task; a bit table of
-fixed size leaves out n-grams that no shard has.  Both only spare messages.
+text (``score``).  Tables of fixed size hold the n-grams met most often, which
+would make hot shards, and are looked up in the task: whole n-grams by their
+counts, and of the parts that a missing one asks for the short ones first,
+as every missing n-gram asks for one of each length.  A bit table of fixed size
+leaves out n-grams that no shard has.  All only spare messages, which hold
+sorted keys as differences (``pack_sorted``).
 
 Keys are 48 hash bits of an n-gram, texts are named by Spark's xxhash64.
 """
@@ -42,7 +45,8 @@ BACK = ORDER                     # 1 to ORDER: d of that order, BACK + 1 on: b o
 PIECE = 1 << 18                  # characters looked at together
 COUNT = 1 << 20                  # characters counted together
 SLOTS = 1 << 21                  # of the table of frequent n-grams
-BLOCK_TEXTS, BLOCK_ASKS = 1 << 13, 1 << 21
+OWNER = 14                       # bits of a text's number in its block
+BLOCK_TEXTS, BLOCK_ASKS = 1 << 13, 1 << 20
 _U = np.uint64
 
 
@@ -193,40 +197,67 @@ class Frequent:
         return on, self.v[at[on]]
 
 
-def frequent(model: DataFrame, slots: int = SLOTS) -> Frequent:
-    """The table of frequent n-grams: a bounded number from ``keyed`` rows,
-    those above a count that few enough reach."""
-    whole, step = F.col("kind") == WHOLE, F.floor(F.log2("c") * 8).cast("int")
-    hist = model.groupBy(whole.alias("whole"), step.alias("step")).agg(F.count("*").alias("n")).collect()  # a row per step
-    take = F.lit(False)
-    for kind, room in ((True, slots // 4), (False, slots // 8)):
-        least = None
-        for r in sorted((r for r in hist if r["whole"] == kind), key=lambda r: -r["step"]):
+def frequent(model: DataFrame, slots: int = SLOTS) -> tuple[Frequent, Frequent]:
+    """The tables of frequent n-grams, whole ones and parts: a bounded number
+    from ``keyed`` rows, the whole above a count that few enough reach, the
+    parts shortest first, then by count."""
+    length = F.when(F.col("kind") > BACK, F.col("kind") - BACK).otherwise(F.col("kind"))
+    step = F.floor(F.log2("c") * 8).cast("int")
+    hist = model.groupBy(length.alias("length"), step.alias("step")).agg(F.count("*").alias("n")).collect()  # a row per step
+    none, least = (np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.int64)), {}
+    for whole, room in ((True, slots // 4), (False, slots // 8)):
+        for r in sorted((r for r in hist if (r["length"] == WHOLE) == whole), key=lambda r: (r["length"], -r["step"])):
             room -= r["n"]
             if room < 0:
                 break
-            least = r["step"]
-        if least is not None:
-            take = take | ((whole == F.lit(kind)) & (step >= least))
+            least[r["length"]] = r["step"]
+    take = F.lit(False)
+    for k, low in least.items():
+        take = take | ((length == k) & (step >= low))
 
     def pack(batches):
         for pdf in batches:
-            yield pd.DataFrame({"key": [pdf["key"].to_numpy().tobytes()], "v": [pdf["v"].to_numpy(np.float32).tobytes()],
-                                "c": [pdf["c"].to_numpy().tobytes()]})
-
-    got = [(np.frombuffer(r["key"], np.uint64), np.frombuffer(r["v"], np.float32), np.frombuffer(r["c"], np.int64))
-           for r in model.where(take).select("key", "v", "c").mapInPandas(pack, "key binary, v binary, c binary").toLocalIterator()]
-    none = (np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.int64))
-    return Frequent(*(np.concatenate(x) for x in zip(none, *got)), slots)
+            part = pdf["length"].to_numpy() > 0
+            for x, rows in ((False, pdf[~part]), (True, pdf[part])):
+                # in a slot the shorter n-gram stays, then the one of the higher count
+                rank = rows["c"].to_numpy() + ((BACK - rows["length"].to_numpy(np.int64)) << 48)
+                yield pd.DataFrame({"part": [x], "key": [rows["key"].to_numpy().tobytes()],
+                                    "v": [rows["v"].to_numpy(np.float32).tobytes()], "c": [rank.tobytes()]})
+
+    got = {False: [none], True: [none]}
+    rows = model.where(take).select(length.alias("length"), "key", "v", "c") \
+        .mapInPandas(pack, "part boolean, key binary, v binary, c binary")
+    for r in rows.toLocalIterator():
+        got[r["part"]].append((np.frombuffer(r["key"], np.uint64), np.frombuffer(r["v"], np.float32), np.frombuffer(r["c"], np.int64)))
+    return tuple(Frequent(*(np.concatenate(x) for x in zip(*got[part])), n) for part, n in ((False, slots), (True, slots // 2)))
+
+
+def pack_sorted(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising numbers as differences: how many bytes each takes (two to a
+    byte), and those bytes."""
+    d = np.diff(x, prepend=_U(0))
+    wide = np.zeros(len(d) + len(d) % 2, np.uint8)
+    for k in range(8):
+        wide[:len(d)] += d >= _U(1 << 8 * k)
+    return (wide[::2] << 4 | wide[1::2]).tobytes(), d.view(np.uint8).reshape(-1, 8)[np.arange(8) < wide[:len(d), None]].tobytes()
+
+
+def unpack_sorted(n: int, wide: bytes, data: bytes) -> np.ndarray:
+    """The ``n`` numbers of ``pack_sorted``."""
+    two = np.frombuffer(wide, np.uint8)
+    size = np.stack((two >> 4, two & 15), axis=1).ravel()[:n]
+    d = np.zeros((n, 8), np.uint8)
+    d[np.arange(8) < size[:, None]] = np.frombuffer(data, np.uint8)
+    return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 class Block:
     """Sums and open questions of some texts of a task."""
 
     def __init__(self, held, unseen: dict[int, float]):
-        self.held, self.bits = held
+        (self.held, self.parts), self.bits = held
         self.unseen = np.array([unseen.get(i, np.nan) for i in (0, 1)])
-        self.names, self.n, self.sums, self.owners, self.asks, self.open = [], [], [], [], [], 0
+        self.names, self.n, self.sums, self.asks, self.open = [], [], [], [], 0
 
     def add(self, names: np.ndarray, texts: list[str | None]) -> None:
         first = sum(map(len, self.names))
@@ -251,9 +282,8 @@ class Block:
     def _look(self, key, owner, size, first) -> np.ndarray:
         there = (self.bits[(key & _U((1 << BITS) - 1)) >> _U(6)] >> (key & _U(63))) & _U(1) > 0
         key, owner = key[there], owner[there]
-        on, v = self.held(key)
-        self.asks.append(key[~on] >> _U(16))
-        self.owners.append((owner[~on] + first).astype(np.uint16))
+        on, v = self.parts(key)
+        self.asks.append(key[~on] >> _U(16) << _U(OWNER) | (owner[~on] + first).astype(np.uint64))
         self.open += len(self.asks[-1])
         return np.bincount(owner[on], v, minlength=size)
 
@@ -262,17 +292,14 @@ class Block:
 
     def packets(self, block: int, shards: int) -> pd.DataFrame:
         """A row per shard asked, and one with the texts' own sums."""
-        key, owner = np.concatenate([np.empty(0, np.uint64), *self.asks]), np.concatenate([np.empty(0, np.uint16), *self.owners])
-        shard = (key >> _U(48 - shards.bit_length() + 1)).astype(np.uint16)
-        order = np.argsort(shard, kind="stable")
-        key, owner, shard = key[order], owner[order], shard[order]
-        cut = np.flatnonzero(np.diff(shard, prepend=-1)) if len(shard) else np.empty(0, np.int64)
-        six = key.view(np.uint8).reshape(-1, 8)[:, :6]
-        rows = [(int(shard[a]), block, owner[a:b].tobytes(), six[a:b].tobytes(), None, None)
-                for a, b in zip(cut, np.append(cut[1:], len(key)))]
+        asks = np.sort(np.concatenate([np.empty(0, np.uint64), *self.asks]))
+        shard = asks >> _U(OWNER + 48 - shards.bit_length() + 1)
+        cut = np.flatnonzero(np.diff(shard, prepend=~_U(0))) if len(shard) else np.empty(0, np.int64)
+        rows = [(int(shard[a]), block, *pack_sorted(asks[a:b]), np.int64(b - a).tobytes(), None)
+                for a, b in zip(cut, np.append(cut[1:], len(asks)))]
         rows.append((block % shards, block, None, np.concatenate(self.names).tobytes(), np.concatenate(self.n).tobytes(),
                      np.concatenate(self.sums).tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "block", "owner", "key", "n", "sums"])
+        return pd.DataFrame(rows, columns=["shard", "block", "wide", "key", "n", "sums"])
 
 
 def _answer(model: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -281,13 +308,11 @@ def _answer(model: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
     v = model["v"].to_numpy(np.float64)[at]
     rows = []
     for r in asks.itertuples():
-        if r.owner is None:
+        if r.wide is None:
             rows.append((r.block, None, r.key, r.n, r.sums))
             continue
-        owner = np.frombuffer(r.owner, np.uint16)
-        key = np.zeros((len(owner), 8), np.uint8)
-        key[:, :6] = np.frombuffer(r.key, np.uint8).reshape(-1, 6)
-        key = key.view(np.uint64).ravel()
+        asks = unpack_sorted(int(np.frombuffer(r.n, np.int64)[0]), r.wide, r.key)
+        key, owner = asks >> _U(OWNER), (asks & _U((1 << OWNER) - 1)).astype(np.uint16)
         spot = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
         on = have[spot] == key if len(have) else np.zeros(len(key), bool)
         if on.any():
@@ -336,7 +361,7 @@ def score(texts: DataFrame, counts: DataFrame, rows: int, slots: int = SLOTS) ->
             yield block.packets(at, shards)
 
     asks = texts.select(F.xxhash64("text").alias("key"), "text") \
-        .mapInPandas(run, "shard int, block long, owner binary, key binary, n binary, sums binary")
+        .mapInPandas(run, "shard int, block long, wide binary, key binary, n binary, sums binary")
     # the highest of the 48 bits name the shard; a shift without sign
     part = asked.select(F.expr(f"cast(shiftrightunsigned(key, {65 - shards.bit_length()}) as int)").alias("shard"),
                         F.expr("shiftrightunsigned(key, 16)").alias("key"), "v")

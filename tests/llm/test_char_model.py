@@ -92,6 +92,26 @@ def test_bit_table_holds_every_key(spark):
     assert some.where("id < 3000").count() == 3000 and some.count() < 3100
 
 
+def test_messages_are_small():
+    """Asks of a few texts for the same n-grams: sorted differences, two bytes an ask or less."""
+    rng = np.random.default_rng(4)
+    asks = np.sort(rng.choice(rng.integers(0, 1 << 48, 400, dtype=np.uint64), 50_000) << np.uint64(14)
+                   | rng.integers(0, 8192, 50_000, dtype=np.uint64))
+    for x in (asks, asks[:1], asks[:7], asks[:0], np.array([0, 0, (1 << 62) - 1], np.uint64)):
+        wide, data = char_model.pack_sorted(x)
+        assert np.array_equal(char_model.unpack_sorted(len(x), wide, data), x)
+    assert sum(map(len, char_model.pack_sorted(asks))) < 2 * len(asks)
+
+
+def test_short_parts_are_held_first(spark):
+    """Every missing n-gram asks for a part of each length: the few short ones are held before the many long ones."""
+    rows = [(k, (k + 1 << 40) + 32 * k + i, 0.5, c) for k, n, c in ((0, 50, 9), (1, 10, 1), (6, 10, 1), (2, 20, 2), (4, 300, 500)) for i in range(n)]
+    whole, parts = char_model.frequent(spark.createDataFrame(rows, "kind int, key long, v float, c long"), slots=512)
+    key = lambda k, n: np.array([(k + 1 << 40) + 32 * k + i for i in range(n)], np.uint64)
+    assert all(parts(key(k, n))[0].all() for k, n in ((1, 10), (6, 10), (2, 20)))
+    assert whole(key(0, 50))[0].all()
+
+
 def test_models_hold_no_shuffle(spark):
     """Every order is written: what the driver plans does not grow with the orders joined."""
     counts = kn_quality.gram_counts(spark.createDataFrame([("en", "a word or two"), ("en", "another word")], "lang string, text string")).localCheckpoint()
