@@ -252,10 +252,11 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
 def read_image_poses(spark: SparkSession, path: str, skip_early: int = 0) -> DataFrame:
     """Image list: non-comment lines numbered from 1; lines before
     ``skip_early*2`` skipped; odd lines are records
-    ``id qw qx qy qz tx ty tz camera name...``."""
-    lines = read_lines(spark, path).withColumn("_t", F.trim("line"))
+    ``id qw qx qy qz tx ty tz camera name...``.  Records are numbered inside
+    byte ranges, carried on by one row per range."""
+    lines = _ranged_lines(spark, path).withColumn("_t", F.trim("line"))
     kept = lines.where((F.length("_t") > 0) & ~F.col("_t").startswith("#"))
-    num = running_totals(kept, ["line_no"], {"i": F.lit(1).cast("long")}, partition_by=["path"])
+    num = running(kept, ["line_no"], {"i": (F.lit(1).cast("long"), "sum")}, bucket=F.col("_range"), partition_by=["path"])
     rec = num.where((F.col("i") >= skip_early * 2) & (F.col("i") % 2 == 1))
     e = F.split("_t", " ")
     return rec.select("path", e.getItem(0).cast("long").alias("image_id"),
