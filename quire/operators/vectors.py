@@ -89,15 +89,15 @@ def _pair_dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "chebyshev":
         return np.max(np.abs(a - b), axis=1) if len(a) else np.zeros(0)
     if metric == "euclidean":
-        sq = np.zeros(len(a))
-        for c in range(a.shape[1]):
-            diff = a[:, c] - b[:, c]
-            sq += diff * diff
-        return np.sqrt(sq)
+        diff = a - b
+        np.multiply(diff, diff, out=diff)
+        return np.sqrt(np.add.accumulate(diff, axis=1)[:, -1]) if a.shape[1] else np.zeros(len(a))  # added in their order
     raise ValueError(metric)
 
 
 FIRST = 8  # components in which all pairs are compared before the rest of a pair is
+NEAR_CELLS = 1 << 18  # pairs of two blocks that are compared at a time
+NEAR_PAIRS = 1 << 15  # pairs whose distances are computed at a time
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,25 +107,72 @@ def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(aa[:, None] + bb[None, :] - 2 * (a @ b.T), 0.0), err
 
 
+def _steps(rows: int, columns: int) -> range:
+    return range(0, rows, max(1, NEAR_CELLS // max(1, columns)))
+
+
+def _near(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: str):
+    """(rows of a, rows of b) of the pairs that a cheap bound leaves, some rows of
+    ``a`` at a time: all with a distance of at most the row's limit, and others.
+
+    Euclidean: a product of float32 matrices around the middle of ``b``, less what
+    rounding can make of it."""
+    if not len(a) or not len(b):
+        return
+    steps, middle = _steps(len(a), len(b)), (b.min(axis=0) + b.max(axis=0)) / 2
+    if metric == "euclidean":
+        x, y = a - middle, b - middle
+        xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        if max(xx.max(initial=0.0), yy.max(initial=0.0)) < 1e30:
+            # d <= limit if and only if x.y - yy / 2 >= (xx - limit * limit) / 2
+            off = (2 * a.shape[1] + 32) * 2.0 ** -24 * (xx + yy.max(initial=0.0)) + 1e-36
+            least = np.nextafter(((xx - limit * limit * (1 + 1e-12) - off) / 2).astype(np.float32), np.float32(-np.inf))
+            x, y = np.column_stack([x, np.ones(len(x))]).astype(np.float32), np.column_stack([y, yy / -2]).astype(np.float32).T
+            for lo in steps:
+                i, j = np.divmod(np.flatnonzero(x[lo:lo + steps.step] @ y >= least[lo:lo + steps.step, None]), len(b))
+                yield i + lo, j
+            return
+    for lo in steps:
+        at = slice(lo, lo + steps.step)
+        if metric == "euclidean":  # vectors far too long for float32, or infinite
+            sq, err = _squares(a[at], b)
+            i, j = np.nonzero(sq <= (limit[at] * limit[at] * (1 + 1e-12) + err)[:, None])
+        else:
+            i, j = np.nonzero(_dist(a[at, :FIRST], b[:, :FIRST], metric) <= limit[at, None])
+        yield i + lo, j
+
+
+def _parts_within(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: str):
+    """``_within``, some pairs at a time."""
+    waiting, n = [], 0
+
+    def measured():
+        i, j = (np.concatenate(p) for p in zip(*waiting))
+        for lo in range(0, len(i), NEAR_PAIRS):
+            x, y = i[lo:lo + NEAR_PAIRS], j[lo:lo + NEAR_PAIRS]
+            if metric == "chebyshev":
+                for c in range(FIRST, a.shape[1], FIRST):
+                    keep = np.abs(a[x, c:c + FIRST] - b[y, c:c + FIRST]).max(axis=1) <= limit[x]
+                    x, y = x[keep], y[keep]
+            d = _pair_dist(a[x], b[y], metric)
+            keep = d <= limit[x]
+            yield x[keep], y[keep], d[keep]
+
+    for pairs in _near(a, b, limit, metric):
+        waiting.append(pairs)
+        n += len(pairs[0])
+        if n >= NEAR_PAIRS:
+            yield from measured()
+            waiting, n = [], 0
+    if n:
+        yield from measured()
+
+
 def _within(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, distance) of the pairs with a distance of at most the
     row's limit; the distances are those of ``_pair_dist``, computed for pairs only
-    that a cheaper bound leaves."""
-    if metric == "euclidean":
-        sq, err = _squares(a, b)
-        i, j = np.nonzero(sq <= (limit * limit * (1 + 1e-12) + err)[:, None])
-    else:
-        i, j = np.nonzero(_dist(a[:, :FIRST], b[:, :FIRST], metric) <= limit[:, None])
-    found = []
-    for lo in range(0, len(i), 1 << 18):  # so many pairs at a time
-        x, y = i[lo:lo + (1 << 18)], j[lo:lo + (1 << 18)]
-        if metric == "chebyshev":
-            for c in range(FIRST, a.shape[1], FIRST):
-                keep = np.abs(a[x, c:c + FIRST] - b[y, c:c + FIRST]).max(axis=1) <= limit[x]
-                x, y = x[keep], y[keep]
-        d = _pair_dist(a[x], b[y], metric)
-        keep = d <= limit[x]
-        found.append((x[keep], y[keep], d[keep]))
+    that a cheaper bound leaves (see ``_near``)."""
+    found = [*_parts_within(a, b, limit, metric)]
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(p) for p in zip(*found))
@@ -170,6 +217,7 @@ def knn(left: DataFrame, right: DataFrame, lid: str, rid: str, coords: Sequence[
 
 MOST_PIVOTS = 1024   # pivots that are handed to the tasks
 PIVOT_BLOCK = 2048   # vectors of a packed block
+HELD_BYTES = 32 << 20  # bytes of right vectors that a task holds
 
 
 def _usable(df: DataFrame, id_col: str, vec: str, width: int) -> DataFrame:
@@ -190,10 +238,13 @@ class PivotBlocks:
     def __init__(self, base: DataFrame, metric: str):
         self.metric = metric
         base = cut_lineage(base)
-        n = min(MOST_PIVOTS, max(1, math.isqrt(base.count()) // 2))
+        count = base.count()
+        n = min(MOST_PIVOTS, max(1, math.isqrt(count) // 2))
         rows = base.select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()  # bounded
         points = sorted({tuple(r["v"]) for r in rows})
         self.pivots = np.array(points, float).reshape(len(points), len(points[0]) if points else 0)
+        self.shares = max(1, math.ceil(count * self.pivots.shape[1] * 8 / HELD_BYTES))  # of the blocks, each held by a task
+        self.tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
         self.blocks = self.pack(base) if rows else None
 
     def pack(self, vectors: DataFrame) -> DataFrame:
@@ -218,15 +269,39 @@ class PivotBlocks:
             return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1].to_numpy(), "part": pdf["part"].iloc[0], "ids": [pdf["id"].to_numpy()],
                                  "data": [np.stack(pdf["v"].to_numpy()).tobytes()], "radius": pdf["away"].max()})
 
+        cut = cut.repartition(max(self.shares, self.tasks), "pivot", "part")
         return cut_lineage(cut.groupBy("pivot", "part").applyInPandas(
             packed, f"pivot int, part int, ids array<{id_type}>, data binary, radius double"))
 
 
-def _k_best(i: np.ndarray, rids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k smallest distances of each row i, ties by id."""
-    order = np.lexsort((rids, dist, i))
-    rank = pd.Series(i[order]).groupby(i[order]).cumcount().to_numpy() if len(i) else np.zeros(0, int)
-    return order[rank < k]
+class _Best:
+    """The k nearest vectors found so far of every vector of a left block, ties by id."""
+
+    def __init__(self, key: tuple, ids: np.ndarray, vectors: np.ndarray, limit: np.ndarray, k: int, id_type: np.dtype):
+        self.key, self.ids, self.vectors, self.limit, self.k = key, ids, vectors, limit.copy(), k
+        self.count = np.zeros(len(ids), int)
+        self.rids, self.dist = np.zeros((len(ids), k), id_type), np.full((len(ids), k), np.inf)
+
+    def add(self, i: np.ndarray, rids: np.ndarray, dist: np.ndarray) -> None:
+        """Take in right vectors of rows i; a full row's limit falls to its k-th distance."""
+        if not len(i):
+            return
+        rows = np.unique(i)
+        r, c = np.nonzero(np.arange(self.k) < self.count[rows, None])
+        i, rids, dist = (np.concatenate(p) for p in ((i, rows[r]), (rids, self.rids[rows[r], c]), (dist, self.dist[rows[r], c])))
+        order = np.lexsort((rids, dist, i))
+        i, rids, dist = i[order], rids[order], dist[order]
+        begins = np.searchsorted(i, rows)
+        sizes = np.diff(np.append(begins, len(i)))
+        rank = np.arange(len(i)) - np.repeat(begins, sizes)
+        keep = rank < self.k
+        self.rids[i[keep], rank[keep]], self.dist[i[keep], rank[keep]] = rids[keep], dist[keep]
+        self.count[rows] = np.minimum(sizes, self.k)
+        self.limit[rows] = np.where(sizes >= self.k, np.minimum(self.limit[rows], self.dist[rows, self.k - 1]), self.limit[rows])
+
+    def rows(self) -> pd.DataFrame:
+        r, c = np.nonzero(np.arange(self.k) < self.count[:, None])
+        return pd.DataFrame({"left_id": self.ids[r], "right_id": self.rids[r, c], "dist": self.dist[r, c]})
 
 
 def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, k: int, metric: str = "euclidean",
@@ -238,9 +313,11 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
     the same pivots.  One block near each left block gives an upper limit for
     the k-th distance of its rows; then a block pair is met only if the
     triangle inequality leaves room for a distance within the largest limit,
-    a row only if it does for its own limit, and only distances within that
-    are returned.  Vectors move in packed blocks, as often as their block is
-    met.  ``skipped`` (a list) receives (pairs met, all pairs).
+    a row only if it does for its own limit.  A task meets some left blocks, one
+    after the other, with a share of the right ones (``HELD_BYTES``), both read
+    from the shared folder and not shuffled; it returns the k best of each left
+    row in its share, whose limit falls as they are found.  ``skipped`` (a list)
+    receives (pairs met, all pairs).
 
     Rows with a null id or vector, a null or NaN component or another number
     of components than the first right vector take no part."""
@@ -257,8 +334,14 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
     def matrix(data) -> np.ndarray:
         return np.frombuffer(data, float).reshape(-1, width)
 
+    reach = np.zeros(len(pivots))
+    for r in index.blocks.groupBy("pivot").agg(F.max("radius").alias("r")).collect():  # a row per pivot
+        reach[r["pivot"]] = r["r"]
+
     def upper(q, b, qids, bids):
-        """Distances, or a little more."""
+        """The k-th distances, or a little more."""
+        if len(b) < k:
+            return np.full(len(q), np.inf)
         if metric == "euclidean":
             sq, err = _squares(q, b)
             d = np.sqrt(sq + err[:, None])
@@ -266,60 +349,55 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
             d = _dist(q, b, metric)
         if exclude_self:
             d[np.asarray(qids)[:, None] == np.asarray(bids)[None, :]] = np.inf
-        return d
+        return np.partition(d, k - 1, axis=1)[:, k - 1]
 
     def limits(batches):
         for pdf in batches:
-            out = []
+            within, near = [], []
             for r in pdf.itertuples(index=False):
-                d = upper(matrix(r.qdata), matrix(r.data), r.qids, r.ids) if r.data is not None else np.full((len(r.qids), 1), np.inf)
-                n = d.shape[1]
-                out.append((np.partition(d, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(d), np.inf)))
-            keep = pdf[["pivot", "qpart", "qids", "qdata", "qradius"]].copy()
-            keep["within"] = [x.tobytes() for x in out]
-            keep["most"] = [x.max() for x in out]
+                q, b, bids = matrix(r.qdata), matrix(r.data or b""), r.ids if r.data is not None else []
+                steps = _steps(len(q), len(b))
+                out = np.concatenate([upper(q[lo:lo + steps.step], b, r.qids[lo:lo + steps.step], bids) for lo in steps])
+                least = _dist(pivots[r.pivot][None, :], pivots, metric)[0] - r.qradius - reach
+                within.append(out.tobytes())
+                near.append(least <= out.max() * (1 + 1e-9) + 1e-12)
+            keep = pdf[["pivot", "qpart", "qids", "qdata"]].copy()
+            keep["within"], keep["near"] = within, near
             yield keep
 
     bounded = asked.join(index.blocks.where("part = 0").select("pivot", "ids", "data"), "pivot", "left").mapInPandas(
-        limits, f"pivot int, qpart int, qids array<{lt}>, qdata binary, qradius double, within binary, most double")
-    bounded = cut_lineage(bounded)
-
-    reach = np.zeros(len(pivots))
-    for r in index.blocks.groupBy("pivot").agg(F.max("radius").alias("r")).collect():  # a row per pivot
-        reach[r["pivot"]] = r["r"]
-
-    def candidates(batches):
-        apart = _dist(pivots, pivots, metric)
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                least = apart[r.pivot] - r.qradius - reach
-                b = np.flatnonzero(least <= r.most * (1 + 1e-9) + 1e-12)
-                yield pd.DataFrame({"qpivot": r.pivot, "qpart": r.qpart, "pivot": b.astype(np.int32)})
-
-    pairs = bounded.select("pivot", "qpart", "qradius", "most").mapInPandas(candidates, "qpivot int, qpart int, pivot int")
-    pairs = pairs.join(index.blocks.select("pivot", "part"), "pivot")
+        limits, f"pivot int, qpart int, qids array<{lt}>, qdata binary, within binary, near array<boolean>")
+    bounded = cut_lineage(bounded.repartition(index.tasks, "pivot", "qpart")).withColumnRenamed("pivot", "qpivot")
+    # a product by partitions: its tasks read theirs where they were written
+    shares = index.blocks.select("pivot", "ids", "data", "radius").coalesce(index.shares)
+    met = bounded.hint("shuffle_replicate_nl").join(shares, F.get("near", F.col("pivot")))
     if skipped is not None:
-        skipped.append((pairs.count(), bounded.count() * index.blocks.count()))
+        skipped.append((met.count(), bounded.count() * index.blocks.count()))
 
     def meet(batches):
+        best = None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                q, limit, qids, bids = matrix(r.qdata), np.frombuffer(r.within, float), np.asarray(r.qids), np.asarray(r.ids)
-                away = _dist(q, pivots[r.pivot][None, :], metric)[:, 0]
-                rows = np.flatnonzero(away - r.radius <= limit * (1 + 1e-9) + 1e-12)
+                bids = np.asarray(r.ids)
+                if best is None or best.key != (r.qpivot, r.qpart):
+                    if best is not None:
+                        yield best.rows()
+                    best = _Best((r.qpivot, r.qpart), np.asarray(r.qids), matrix(r.qdata), np.frombuffer(r.within, float), k, bids.dtype)
+                q = best.vectors
+                away = _pair_dist(q, pivots[r.pivot][None, :], metric)
+                rows = np.flatnonzero(away - r.radius <= best.limit * (1 + 1e-9) + 1e-12)
                 if not len(rows):
                     continue
-                i, j, d = _within(q[rows], matrix(r.data), limit[rows], metric)
-                lids, rids = qids[rows[i]], bids[j]
-                if exclude_self:
-                    other = lids != rids
-                    i, lids, rids, d = i[other], lids[other], rids[other], d[other]
-                at = _k_best(i, rids, d, k)
-                yield pd.DataFrame({"left_id": lids[at], "right_id": rids[at], "dist": d[at]})
-
-    q = bounded.select(F.col("pivot").alias("qpivot"), "qpart", "qids", "qdata", "within")
-    met = pairs.join(q, ["qpivot", "qpart"]).join(index.blocks, ["pivot", "part"])
-    found = met.select("pivot", "qids", "qdata", "within", "ids", "data", "radius").mapInPandas(meet, schema)
+                for i, j, d in _parts_within(q[rows], matrix(r.data), best.limit[rows], metric):
+                    i, rids = rows[i], bids[j]
+                    if exclude_self:
+                        other = best.ids[i] != rids
+                        i, rids, d = i[other], rids[other], d[other]
+                    best.add(i, rids, d)
+        if best is not None:
+            yield best.rows()
+
+    found = met.select("qpivot", "qpart", "qids", "qdata", "within", "pivot", "ids", "data", "radius").mapInPandas(meet, schema)
     w = Window.partitionBy("left_id").orderBy("dist", "right_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
