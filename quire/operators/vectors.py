@@ -116,7 +116,8 @@ def _near(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: str):
     ``a`` at a time: all with a distance of at most the row's limit, and others.
 
     Euclidean: a product of float32 matrices around the middle of ``b``, less what
-    rounding can make of it."""
+    rounding can make of it.  Chebyshev: components as whole steps in one byte,
+    compared until few pairs are left."""
     if not len(a) or not len(b):
         return
     steps, middle = _steps(len(a), len(b)), (b.min(axis=0) + b.max(axis=0)) / 2
@@ -132,6 +133,32 @@ def _near(a: np.ndarray, b: np.ndarray, limit: np.ndarray, metric: str):
                 i, j = np.divmod(np.flatnonzero(x[lo:lo + steps.step] @ y >= least[lo:lo + steps.step, None]), len(b))
                 yield i + lo, j
             return
+    step = np.abs(b - middle).max(initial=0.0) / 127
+    if metric == "chebyshev" and 1e-300 < step < 1e300 and np.isfinite(a).all():
+        # a difference of limit is one of limit / step and 1 steps at most; cut off at 0 and 255 it is not more
+        x, y = ((np.clip(np.floor((v - middle) / step), -128, 127) + 128).astype(np.uint8) for v in (a, b))
+        far = np.minimum(np.floor(limit / step * (1 + 1e-9) + 1e-6) + 1, 128).astype(int)
+        most = np.minimum(2 * far, 255).astype(np.uint8)  # from 128 steps on all pairs are near
+        x -= far.astype(np.uint8)[:, None]  # y - x of a near pair is then 0 to 2 x far, modulo 256
+        xt, yt = (np.ascontiguousarray(v.T) for v in (x, y))
+        worst, one = (np.empty((steps.step, len(b)), np.uint8) for _ in range(2))
+        for lo in steps:
+            at = slice(lo, lo + steps.step)
+            w, o = worst[:len(x[at])], one[:len(x[at])]
+            w[:] = 0
+            for c in range(0, a.shape[1], FIRST):
+                for p in range(c, min(c + FIRST, a.shape[1])):
+                    np.maximum(w, np.subtract(yt[p], xt[p, at, None], out=o), out=w)
+                near = w <= most[at, None]
+                if np.count_nonzero(near) * 32 <= near.size:
+                    break
+            i, j = np.divmod(np.flatnonzero(near), len(b))
+            i += lo
+            if c + FIRST < a.shape[1]:
+                keep = (y[j, c + FIRST:] - x[i, c + FIRST:]).max(axis=1) <= most[i]
+                i, j = i[keep], j[keep]
+            yield i, j
+        return
     for lo in steps:
         at = slice(lo, lo + steps.step)
         if metric == "euclidean":  # vectors far too long for float32, or infinite

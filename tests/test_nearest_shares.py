@@ -51,3 +51,34 @@ def test_no_pair_within_the_limit_is_left_out(monkeypatch, metric, scale, away):
         pairs = [*zip(*V._within(a, b, limit, metric))]
         want = {(i, j): d[i, j] for i, j in zip(*np.nonzero(d <= limit[:, None]))}
         assert len(pairs) == len(want) and {(i, j): x for i, j, x in pairs} == want
+
+
+def test_kl_of_samples_in_shares_shuffles_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(V, "PIVOT_BLOCK", 20)
+    monkeypatch.setattr(V, "HELD_BYTES", 4000, raising=False)
+    rng = np.random.default_rng(11)
+    p, q = rng.standard_normal((150, 10)), rng.standard_normal((170, 10)) * 1.3
+    frames = [spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>") for x in (p, q)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are not small
+    try:
+        out = V.kl_knn_vectors(*frames, "id", "id", "v", 10, k=4)
+        got = out.collect()[0]["kl"]
+        plan = out._jdf.queryExecution().executedPlan().toString()  # the final and the initial one
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("CartesianProduct") == 4
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "pivot" in line]
+    apart = lambda a, b: np.sort(np.abs(a[:, None] - b[None]).max(-1), axis=1)
+    rho, nu = apart(p, p)[:, 4], apart(p, q)[:, 3]
+    assert abs(got - (np.log(170 / 149) + 10 * (np.log(nu).mean() - np.log(rho).mean())) / np.log(2)) < 1e-9
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
+def test_few_pairs_are_left_without_structure(metric):
+    rng = np.random.default_rng(13)
+    a, b = rng.standard_normal((300, 64)), rng.standard_normal((400, 64))
+    d = V._dist(a, b, metric)
+    limit = np.sort(d, axis=1)[:, 4]
+    left = sum(len(i) for i, _ in V._near(a, b, limit, metric))
+    assert (d <= limit[:, None]).sum() == 1500 <= left < 4500  # of 120,000
