@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,11 +248,11 @@ PIVOT_BLOCK = 2048   # vectors of a packed block
 HELD_BYTES = 32 << 20  # bytes of right vectors that a task holds
 
 
-def _usable(df: DataFrame, id_col: str, vec: str, width: int) -> DataFrame:
+def _usable(df: DataFrame, id_col: str, vec: str, width: int, kind: str = "double") -> DataFrame:
     v = F.col(vec)
     good = (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
     return df.where(F.col(id_col).isNotNull() & v.isNotNull() & good) \
-        .select(F.col(id_col).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+        .select(F.col(id_col).alias("id"), F.transform(v, lambda x: x.cast(kind)).alias("v"))
 
 
 class PivotBlocks:
@@ -260,45 +261,47 @@ class PivotBlocks:
     The pivots are rows with the smallest hashes, about half the root of the
     table and ``MOST_PIVOTS`` at most.  A vector belongs to its nearest pivot;
     pivots with more than ``PIVOT_BLOCK`` vectors are cut by a hash of the id.
-    A block is one row: ids, vectors as bytes, radius around its pivot."""
+    A block is one row: ids, vectors as bytes of their own type, radius around its pivot."""
 
     def __init__(self, base: DataFrame, metric: str):
         self.metric = metric
-        base = cut_lineage(base)
+        self.kind = base.schema["v"].dataType.elementType.simpleString()
+        self.dtype = np.dtype(np.float32 if self.kind == "float" else np.float64)
+        base = base.persist(StorageLevel.DISK_ONLY)  # until it is packed
         count = base.count()
         n = min(MOST_PIVOTS, max(1, math.isqrt(count) // 2))
         rows = base.select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()  # bounded
         points = sorted({tuple(r["v"]) for r in rows})
         self.pivots = np.array(points, float).reshape(len(points), len(points[0]) if points else 0)
-        self.shares = max(1, math.ceil(count * self.pivots.shape[1] * 8 / HELD_BYTES))  # of the blocks, each held by a task
+        self.shares = max(1, math.ceil(count * self.pivots.shape[1] * self.dtype.itemsize / HELD_BYTES))  # of the blocks, each held by a task
         self.tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
-        self.blocks = self.pack(base) if rows else None
+        self.blocks = cut_lineage(self.pack(base)) if rows else None
+        base.unpersist()
 
     def pack(self, vectors: DataFrame) -> DataFrame:
         """(pivot, part, ids, data, radius) of ``vectors`` (id, v)."""
-        pivots, metric = self.pivots, self.metric
+        pivots, metric, kind, dtype = self.pivots, self.metric, self.kind, self.dtype
         id_type = vectors.schema["id"].dataType.simpleString()
 
         def assign(batches):
             for pdf in batches:
                 if pdf.empty:
                     continue
-                v = np.stack(pdf["v"].to_numpy())
+                v = np.stack(pdf["v"].to_numpy()).astype(float)
                 best = (_squares(v, pivots)[0] if metric == "euclidean" else _dist(v, pivots, metric)).argmin(axis=1)
                 yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": best.astype(np.int32), "away": _pair_dist(v, pivots[best], metric)})
 
-        near = vectors.mapInPandas(assign, f"id {id_type}, v array<double>, pivot int, away double")
+        near = vectors.mapInPandas(assign, f"id {id_type}, v array<{kind}>, pivot int, away double")
         sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_BLOCK).alias("parts"))  # a row per pivot
         cut = near.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
         def packed(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", kind="stable")
             return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1].to_numpy(), "part": pdf["part"].iloc[0], "ids": [pdf["id"].to_numpy()],
-                                 "data": [np.stack(pdf["v"].to_numpy()).tobytes()], "radius": pdf["away"].max()})
+                                 "data": [np.stack(pdf["v"].to_numpy()).astype(dtype).tobytes()], "radius": pdf["away"].max()})
 
         cut = cut.repartition(max(self.shares, self.tasks), "pivot", "part")
-        return cut_lineage(cut.groupBy("pivot", "part").applyInPandas(
-            packed, f"pivot int, part int, ids array<{id_type}>, data binary, radius double"))
+        return cut.groupBy("pivot", "part").applyInPandas(packed, f"pivot int, part int, ids array<{id_type}>, data binary, radius double")
 
 
 class _Best:
@@ -352,14 +355,14 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
     width = first["n"] if first else 0
     lt, rt = (df.schema[c].dataType.simpleString() for df, c in ((left, lid), (right, rid)))
     schema = f"left_id {lt}, right_id {rt}, dist double"
-    index = PivotBlocks(_usable(right, rid, vec, width), metric)
+    kind = "float" if all(df.schema[vec].dataType.simpleString() == "array<float>" for df in (left, right)) else "double"
+    index = PivotBlocks(_usable(right, rid, vec, width, kind), metric)
     if index.blocks is None:
         return left.sparkSession.createDataFrame([], schema + ", rank int")
-    asked = index.pack(_usable(left, lid, vec, width)).withColumnsRenamed({"ids": "qids", "data": "qdata", "radius": "qradius", "part": "qpart"})
-    pivots = index.pivots
+    pivots, dtype = index.pivots, index.dtype
 
     def matrix(data) -> np.ndarray:
-        return np.frombuffer(data, float).reshape(-1, width)
+        return np.frombuffer(data, dtype).reshape(-1, width).astype(float)
 
     reach = np.zeros(len(pivots))
     for r in index.blocks.groupBy("pivot").agg(F.max("radius").alias("r")).collect():  # a row per pivot
@@ -392,9 +395,14 @@ def knn_vectors(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
             keep["within"], keep["near"] = within, near
             yield keep
 
-    bounded = asked.join(index.blocks.where("part = 0").select("pivot", "ids", "data"), "pivot", "left").mapInPandas(
-        limits, f"pivot int, qpart int, qids array<{lt}>, qdata binary, within binary, near array<boolean>")
-    bounded = cut_lineage(bounded.repartition(index.tasks, "pivot", "qpart")).withColumnRenamed("pivot", "qpivot")
+    query = {"part": "qpart", "ids": "qids", "data": "qdata", "radius": "qradius"}
+    if lid == rid and left.sameSemantics(right):  # a block's own vectors give its limits
+        asked = index.blocks.select("pivot", *[F.col(c).alias(q) for c, q in query.items()], "ids", "data")
+    else:
+        asked = index.pack(_usable(left, lid, vec, width, kind)).withColumnsRenamed(query) \
+            .join(index.blocks.where("part = 0").select("pivot", "ids", "data"), "pivot", "left").repartition(index.tasks, "pivot", "qpart")
+    bounded = cut_lineage(asked.mapInPandas(
+        limits, f"pivot int, qpart int, qids array<{lt}>, qdata binary, within binary, near array<boolean>")).withColumnRenamed("pivot", "qpivot")
     # a product by partitions: its tasks read theirs where they were written
     shares = index.blocks.select("pivot", "ids", "data", "radius").coalesce(index.shares)
     met = bounded.hint("shuffle_replicate_nl").join(shares, F.get("near", F.col("pivot")))
